@@ -121,7 +121,7 @@ def shingles(h: np.ndarray, n: int = SHINGLE) -> np.ndarray:
         return h
     n = min(n, len(h))
     m = len(h) - n + 1
-    out = np.full(m, np.uint64(n) * np.uint64(0x9E3779B97F4A7C15), np.uint64)
+    out = np.full(m, n * 0x9E3779B97F4A7C15 % (1 << 64), np.uint64)
     for k in range(n):
         out ^= h[k : k + m] * _ODD[k % len(_ODD)]
         out = (out << np.uint64(13)) | (out >> np.uint64(51))
