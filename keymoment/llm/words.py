@@ -75,12 +75,16 @@ def _cut(data: np.ndarray, a: int, b: int) -> Iterator[tuple[int, int]]:
     yield a, b
 
 
-def _piece(data: np.ndarray, first: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+#: Breaks words at all ASCII that is neither a letter nor a digit, for features rather than for contracts.
+NOT_ALNUM = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
+
+
+def _piece(data: np.ndarray, first: np.ndarray, lower: bool, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(starts, ends, hashes) of the words of a piece; first marks bytes where a document begins."""
     n = len(data)
     if lower:
         data = _LOWER[data]
-    word = ~_SPACE[data]
+    word = ~breaks[data]
     begin, end = word.copy(), word.copy()
     begin[1:] &= ~word[:-1] | first[1:]
     end[:-1] &= ~word[1:] | first[1:]
@@ -91,7 +95,7 @@ def _piece(data: np.ndarray, first: np.ndarray, lower: bool) -> tuple[np.ndarray
     return starts, ends, mix((sums[ends] - sums[starts]) * down[starts])
 
 
-def words_of(offsets: np.ndarray, data: np.ndarray, lower: bool = True) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def words_of(offsets: np.ndarray, data: np.ndarray, lower: bool = True, breaks: np.ndarray = _SPACE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Groups of consecutive rows: (first row, end row, word counts' offsets by row, starts, ends, hashes).
 
     starts and ends are positions in data. Rows are grouped up to PIECE bytes; a longer row comes alone.
@@ -105,7 +109,7 @@ def words_of(offsets: np.ndarray, data: np.ndarray, lower: bool = True) -> Itera
             first = np.zeros(y - x + 1, bool)
             own = offsets[i:j]
             first[own[(own >= x) & (own < y)] - x] = True
-            s, e, h = _piece(data[x:y], first[:-1], lower)
+            s, e, h = _piece(data[x:y], first[:-1], lower, breaks)
             parts.append((s + x, e + x, h))
         s, e, h = parts[0] if len(parts) == 1 else map(np.concatenate, zip(*parts, strict=True))
         yield i, j, np.searchsorted(s, offsets[i : j + 1]), s, e, h
