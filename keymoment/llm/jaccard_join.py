@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .buckets import Packer, bucket_count, by_bucket, runs, unpack
 from .graph import Forest, components, spanning
-from .store import drop, written
+from .store import written
 from .words import SHINGLE, mix, set_digest, shingles, signed, text_buffers, words_of
 
 #: Shingles in a task's block, or in each of the two chunks of a pair of chunks.
@@ -237,7 +237,6 @@ def jaccard_components(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
     sizes = reps.groupBy("component").agg(F.sum("size").alias("total"))
     chunks = F.ceil(F.col("total") / BLOCK).cast("int")
     reps = written(reps.join(sizes, "component").withColumn("chunks", chunks), "blocks")
-    cut = reps.where("chunks > 1").limit(1).count() > 0
     chunk = F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda k: F.concat_ws(":", F.hex("component"), F.least(k, chunk).cast("string"), F.greatest(k, chunk).cast("string")))
     members = reps.select(F.col("rep").alias("doc_id"), pairs.alias("blocks"))
@@ -266,11 +265,10 @@ def jaccard_components(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
                 u, v = [], []
         yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
-    held = docs.join(members, "doc_id").select("doc_id", "text", "blocks").mapInArrow(to_sets, "doc_id long, held binary, blocks array<string>")
+    held = docs.join(members.hint("merge"), "doc_id").select("doc_id", "text", "blocks").mapInArrow(to_sets, "doc_id long, held binary, blocks array<string>")
     held = held.select("doc_id", "held", F.explode("blocks").alias("block"))
     links = held.repartition(bucket_count(docs), "block").sortWithinPartitions("block").mapInArrow(link, "u long, v long")
     found = components(links)
-    drop(reps) if not cut else None
     classes = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("component_id"))
     out = meta.join(classes, ["d1", "d2"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("_k"))
     return out.select("doc_id", "n_shingles", "component_id")
