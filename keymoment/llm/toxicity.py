@@ -1,7 +1,7 @@
 """Operator 8: toxicity by multiple-instance learning.
 
 A document is a bag of sentences and only bags have labels. A sentence's score is a logistic function of its hashed
-words (a word counts once a sentence), a document's the noisy-or 1 - prod(1 - score) of its sentences' scores.
+words and their beginnings of 4 and 5 bytes (each counts once a sentence), a document's the noisy-or 1 - prod(1 - score) of its sentences' scores.
 The weights are trained through the noisy-or from document labels, by Adam with an L1 shrinkage step that leaves few words.
 Scoring adds weights by sentence with numpy over whole buffers and gives back the offending sentences' places.
 
@@ -23,22 +23,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .split import held_out, learnable
-from .words import NOT_ALNUM, text_buffers, words_of
+from .words import NOT_ALNUM, mix, prefixes, text_buffers, words_of
 
-TRAIN_DOCS, BITS, EPOCHS, THRESHOLD = 12_000, 18, 120, 0.3
-MIN_DOCS, SHRINK = 6, 2e-5
+TRAIN_DOCS, BITS, EPOCHS, THRESHOLD = 8_000, 23, 120, 0.3
+MIN_DOCS, SHRINK = 6, 6e-4
+PREFIXES = (4, 5)
 _END = np.zeros(256, bool)
 _END[[10, 33, 46, 63]] = True  # newline ! . ?
 
 
 def _sentences(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For groups of rows: (first row, words' offsets by row, word starts, feature of each word, sentence of each word in the group)."""
+    """For groups of rows: (first row, features' offsets by row, and of each feature: its word's start, number, sentence in the group)."""
     offsets, data = text_buffers(column)
-    for i, j, at, starts, _, h in words_of(offsets, data, breaks=NOT_ALNUM):
+    kinds = 1 + len(PREFIXES)
+    for i, j, at, starts, ends, h in words_of(offsets, data, breaks=NOT_ALNUM):
         a, b = int(offsets[i]), int(offsets[j])
         marks = np.concatenate([[0], np.cumsum(_END[data[a:b]])])
         row = np.repeat(np.arange(j - i), np.diff(at))
-        yield i, at, starts, (h >> np.uint64(64 - BITS)).astype(np.int64), marks[starts - a] + row
+        f = np.stack([h, *(mix(prefixes(data, starts, ends, k)) for k in PREFIXES)], 1).reshape(-1)
+        yield i, at * kinds, np.repeat(starts, kinds), (f >> np.uint64(64 - BITS)).astype(np.int64), np.repeat(marks[starts - a] + row, kinds)
 
 
 def _bags(docs: DataFrame) -> DataFrame:
@@ -58,6 +61,26 @@ def _bags(docs: DataFrame) -> DataFrame:
     return docs.select("text", F.col("y").cast("int")).mapInArrow(run, "y int, sentences binary, features binary")
 
 
+def _adam(y: np.ndarray, f: np.ndarray, s: np.ndarray, bag: np.ndarray, w: np.ndarray, b: float, epochs: int, shrink: float) -> tuple[np.ndarray, float]:
+    """(weights, bias) after so many full steps; f and s are the features and sentences of the entries, bag of each sentence."""
+    m, v, mb, vb, rate = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0, 0.15
+    for t in range(1, epochs + 1):
+        z = np.bincount(s, w[f], minlength=len(bag)) + b
+        p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        none = np.exp(np.bincount(bag, np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=len(y)))
+        some = np.maximum(1 - none, 1e-9)
+        g = np.where(y == 1, -none / some, 1.0)[bag] * p / len(y)  # of the log loss, by sentence
+        gw, gb = np.bincount(f, g[s], minlength=len(w)), g.sum()
+        m, v = 0.9 * m + 0.1 * gw, 0.999 * v + 0.001 * gw**2
+        mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb**2
+        a, c = 1 - 0.9**t, 1 - 0.999**t
+        scale = rate / (np.sqrt(v / c) + 1e-6)
+        w = w - scale * m / a
+        w = np.sign(w) * np.maximum(np.abs(w) - scale * shrink, 0)
+        b -= rate * (mb / a) / (np.sqrt(vb / c) + 1e-6)
+    return w, b
+
+
 def fit(y: np.ndarray, sentences: list[np.ndarray], features: list[np.ndarray], epochs: int = EPOCHS) -> np.ndarray:
     """Weights of the 2**BITS features, then the bias, from bags."""
     weights = np.zeros((1 << BITS) + 1)
@@ -80,22 +103,11 @@ def fit(y: np.ndarray, sentences: list[np.ndarray], features: list[np.ndarray],
         bag_of.append(np.full(n, k))
         base += n
     f, s, bag = np.concatenate(flat), np.concatenate(row_starts), np.concatenate(bag_of)
-    w, b = np.zeros(len(names)), np.log(max(y.mean(), 1e-3)) - np.log(base / len(y)) - 1.0
-    m, v, mb, vb, rate = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0, 0.15
-    for t in range(1, epochs + 1):
-        z = np.bincount(s, w[f], minlength=base) + b
-        p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        none = np.exp(np.bincount(bag, np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=len(y)))
-        some = np.maximum(1 - none, 1e-9)
-        g = np.where(y == 1, -none / some, 1.0)[bag] * p / len(y)  # of the log loss, by sentence
-        gw, gb = np.bincount(f, g[s], minlength=len(w)), g.sum()
-        m, v = 0.9 * m + 0.1 * gw, 0.999 * v + 0.001 * gw**2
-        mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb**2
-        a, c = 1 - 0.9**t, 1 - 0.999**t
-        scale = rate / (np.sqrt(v / c) + 1e-6)
-        w = w - scale * m / a
-        w = np.sign(w) * np.maximum(np.abs(w) - scale * SHRINK, 0)
-        b -= rate * (mb / a) / (np.sqrt(vb / c) + 1e-6)
+    b = np.log(max(y.mean(), 1e-3)) - np.log(base / len(y)) - 1.0
+    w, b = _adam(y, f, s, bag, np.zeros(len(names)), b, epochs, SHRINK)
+    left = w != 0  # what the shrinkage has left is trained again without it
+    number = np.where(left, np.cumsum(left) - 1, -1)[f]
+    w[left], b = _adam(y, number[number >= 0], s[number >= 0], bag, w[left], b, epochs, 0.0)
     weights[names], weights[-1] = w, b
     return weights
 

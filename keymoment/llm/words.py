@@ -116,6 +116,16 @@ def words_of(offsets: np.ndarray, data: np.ndarray, lower: bool = True, breaks:
         i = j
 
 
+def prefixes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, k: int) -> np.ndarray:
+    """The first k (at most 7) bytes of words as integers, A-Z as a-z; the length k is part of them."""
+    out = np.full(len(starts), k << 56, np.uint64)
+    for i in range(k):
+        at = starts + i
+        ok = at < ends
+        out |= np.where(ok, _LOWER[data[np.where(ok, at, 0)]], 0).astype(np.uint64) << np.uint64(8 * i)
+    return out
+
+
 _ODD = np.array([0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F, 0xEB44ACCAB455D165, 0x9C6E6877736C46E3], dtype=np.uint64)
 
 
