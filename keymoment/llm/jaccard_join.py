@@ -24,7 +24,7 @@ digest is kept for it if their texts differ); other columns are ignored, whateve
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -226,25 +226,15 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum())
 
 
-def jaccard_components(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of each row of docs(doc_id, text): see the module."""
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
-    meta = written(document_sets(docs, n).groupBy("doc_id").agg(F.max(F.struct("n_shingles", "d1", "d2")).alias("x"), F.count("*").alias("times")).select("doc_id", "x.*", "times"), "sets")
-    classes = meta.where("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("size"))
-    frequent = frequent_shingles(docs, meta.count(), n)
-    blocks = components(candidate_edges(docs, frequent, n))
-    reps = classes.join(blocks, F.col("d1") == F.col("node")).select("rep", "component", "size")
+def linked(reps: DataFrame, attach: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(node, component) of the ids of reps(id, component, size) that link within their block, a component of candidates.
+
+    attach gives members(id, blocks) their sets as (id, held, block), one row for each of a member's blocks.
+    """
     sizes = reps.groupBy("component").agg(F.sum("size").alias("total"))
-    chunks = F.ceil(F.col("total") / BLOCK).cast("int")
-    reps = written(reps.join(sizes, "component").withColumn("chunks", chunks), "blocks")
-    chunk = F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int")
+    reps = written(reps.join(sizes, "component").withColumn("chunks", F.ceil(F.col("total") / BLOCK).cast("int")), "blocks")
+    chunk = F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda k: F.concat_ws(":", F.hex("component"), F.least(k, chunk).cast("string"), F.greatest(k, chunk).cast("string")))
-    members = reps.select(F.col("rep").alias("doc_id"), pairs.alias("blocks"))
-
-    def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            held = [s.tobytes() for _, s in _sets(batch, n)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(held, pa.binary()), batch.column(2)], names=["doc_id", "held", "blocks"])
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         u: list[int] = []
@@ -252,7 +242,7 @@ def jaccard_components(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
         for _, rows in runs(batches, "block"):
             ids: dict[int, np.ndarray] = {}
             for r in rows:
-                for d, x in zip(_ids(r), r.column(r.schema.get_field_index("held")), strict=True):
+                for d, x in zip(_ids(r, "id"), r.column(r.schema.get_field_index("held")), strict=True):
                     s = np.frombuffer(x.as_buffer(), "<u8")
                     if len(s) >= len(ids.get(d, ())):
                         ids[d] = s
@@ -265,10 +255,30 @@ def jaccard_components(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
                 u, v = [], []
         yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
-    held = docs.join(members.hint("merge"), "doc_id").select("doc_id", "text", "blocks").mapInArrow(to_sets, "doc_id long, held binary, blocks array<string>")
-    held = held.select("doc_id", "held", F.explode("blocks").alias("block"))
-    links = held.repartition(bucket_count(docs), "block").sortWithinPartitions("block").mapInArrow(link, "u long, v long")
-    found = components(links)
+    held = attach(reps.select("id", pairs.alias("blocks"))).select("id", "held", "block")
+    links = held.repartition(bucket_count(held), "block").sortWithinPartitions("block").mapInArrow(link, "u long, v long")
+    return components(links)
+
+
+def jaccard_components(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of each row of docs(doc_id, text): see the module."""
+    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    meta = written(document_sets(docs, n).groupBy("doc_id").agg(F.max(F.struct("n_shingles", "d1", "d2")).alias("x"), F.count("*").alias("times")).select("doc_id", "x.*", "times"), "sets")
+    classes = meta.where("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("size"))
+    frequent = frequent_shingles(docs, meta.count(), n)
+    blocks = components(candidate_edges(docs, frequent, n))
+    reps = classes.join(blocks, F.col("d1") == F.col("node")).select(F.col("rep").alias("id"), "component", "size")
+
+    def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = [s.tobytes() for _, s in _sets(batch, n)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(held, pa.binary()), batch.column(2)], names=["id", "held", "blocks"])
+
+    def attach(members: DataFrame) -> DataFrame:
+        rows = docs.join(members.hint("merge"), docs["doc_id"] == members["id"]).select("id", "text", "blocks")
+        return rows.mapInArrow(to_sets, "id long, held binary, blocks array<string>").select("id", "held", F.explode("blocks").alias("block"))
+
+    found = linked(reps, attach)
     classes = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("component_id"))
     out = meta.join(classes, ["d1", "d2"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("_k"))
     return out.select("doc_id", "n_shingles", "component_id")

@@ -34,7 +34,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_TABLES.get("up", ())) < n:
         size = max(n, PIECE + 1024)
         for name, base in (("up", _BASE), ("down", _INVERSE)):
@@ -89,7 +89,7 @@ def _piece(data: np.ndarray, first: np.ndarray, lower: bool, breaks: np.ndarray)
     begin[1:] &= ~word[:-1] | first[1:]
     end[:-1] &= ~word[1:] | first[1:]
     starts, ends = np.flatnonzero(begin), np.flatnonzero(end) + 1
-    up, down = _powers(n + 1)
+    up, down = powers(n + 1)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
     return starts, ends, mix((sums[ends] - sums[starts]) * down[starts])
