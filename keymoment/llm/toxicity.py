@@ -26,7 +26,7 @@ from .split import held_out, learnable
 from .words import NOT_ALNUM, mix, prefixes, text_buffers, words_of
 
 TRAIN_DOCS, BITS, EPOCHS, THRESHOLD = 8_000, 23, 120, 0.3
-MIN_DOCS, SHRINK = 6, 6e-4
+MIN_DOCS, LIFT, SHRINK = 6, 2.0, 3e-4
 PREFIXES = (4, 5)
 _END = np.zeros(256, bool)
 _END[[10, 33, 46, 63]] = True  # newline ! . ?
@@ -81,49 +81,54 @@ def _adam(y: np.ndarray, f: np.ndarray, s: np.ndarray, bag: np.ndarray, w: np.nd
     return w, b
 
 
-def fit(y: np.ndarray, sentences: list[np.ndarray], features: list[np.ndarray], epochs: int = EPOCHS) -> np.ndarray:
-    """Weights of the 2**BITS features, then the bias, from bags."""
-    weights = np.zeros((1 << BITS) + 1)
-    weights[-1] = -30.0
+def fit(y: np.ndarray, sentences: list[np.ndarray], features: list[np.ndarray], epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray, float]:
+    """(features with a weight, their weights, the bias) from bags.
+
+    Features are screened first: those in MIN_DOCS toxic documents or more (fewer in small samples), LIFT times as often
+    there as in others, get a weight.
+    """
+    nothing = np.zeros(0, np.int64), np.zeros(0), -30.0
     keep = [i for i in range(len(y)) if len(features[i])]
     if not keep or not y[keep].any():
-        return weights
+        return nothing
     y = y[keep].astype(np.float64)
-    seen = np.bincount(np.concatenate([np.unique(features[i]) for i in keep]), minlength=1 << BITS)
-    names = np.flatnonzero(seen >= min(MIN_DOCS, max(1, len(keep) // 50)))
-    number = np.full(1 << BITS, -1)
+    seen = np.zeros((2, 1 << BITS), np.int32)
+    for k, i in enumerate(keep):
+        seen[int(y[k] > 0), np.unique(features[i])] += 1
+    least = min(MIN_DOCS, max(2, int(y.sum()) // 10))
+    names = np.flatnonzero((seen[1] >= least) & (seen[1] * max(1, int((y == 0).sum())) >= LIFT * seen[0] * float(y.sum())))
+    del seen
+    number = np.full(1 << BITS, -1, np.int32)
     number[names] = np.arange(len(names))
     flat, row_starts, bag_of, base = [], [], [], 0
     for k, i in enumerate(keep):
         n = int(sentences[i].max()) + 1
-        f, s = number[features[i]], sentences[i] + base
+        f, s = number[features[i]], sentences[i].astype(np.int64) + base
         ok = f >= 0
         flat.append(f[ok])
         row_starts.append(s[ok])
-        bag_of.append(np.full(n, k))
+        bag_of.append(np.full(n, k, np.int32))
         base += n
     f, s, bag = np.concatenate(flat), np.concatenate(row_starts), np.concatenate(bag_of)
     b = np.log(max(y.mean(), 1e-3)) - np.log(base / len(y)) - 1.0
     w, b = _adam(y, f, s, bag, np.zeros(len(names)), b, epochs, SHRINK)
     left = w != 0  # what the shrinkage has left is trained again without it
     number = np.where(left, np.cumsum(left) - 1, -1)[f]
-    w[left], b = _adam(y, number[number >= 0], s[number >= 0], bag, w[left], b, epochs, 0.0)
-    weights[names], weights[-1] = w, b
-    return weights
+    w, b = _adam(y, number[number >= 0], s[number >= 0], bag, w[left], b, epochs, 0.0)
+    return names[left], w, float(b)
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> np.ndarray:
+def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> tuple[np.ndarray, np.ndarray, float]:
     known = labels.where(learnable() & F.col("toxic").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max("toxic").alias("y"))
     chosen = known.orderBy(F.xxhash64("_id"), "_id").limit(most)
     rows = docs.join(F.broadcast(chosen), docs["doc_id"] == chosen["_id"]).select("text", "y")
     got = _bags(rows).toPandas()
-    return fit(got["y"].to_numpy(), [np.frombuffer(x, "<u4").astype(np.int64) for x in got["sentences"]], [np.frombuffer(x, "<u4").astype(np.int64) for x in got["features"]])
+    return fit(got["y"].to_numpy(), [np.frombuffer(x, "<u4") for x in got["sentences"]], [np.frombuffer(x, "<u4") for x in got["features"]])
 
 
-def score(docs: DataFrame, weights: np.ndarray, locate: float = 0.5) -> DataFrame:
+def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], locate: float = 0.5) -> DataFrame:
     """(doc_id, score, sentences): sentences are those that score locate or more, with character offsets."""
-    kept = np.flatnonzero(weights[:-1])
-    values, bias = weights[kept].astype(np.float32), float(weights[-1])
+    kept, values, bias = model
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = np.zeros(1 << BITS, np.float32)
