@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, jaccard_join, language, media, passages, token_files, toxicity
+from . import bpe, decontaminate, jaccard_join, language, licenses, media, passages, quality, token_files, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +22,19 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(_table(spark, sf_dir, "documents"))
 
 
+def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources are hosts, the languages within a source its paths."""
+    return quality.quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), F.col("source"), F.col("lang"))
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
 def _vocabulary(name: str) -> str:
     import public_tokenizers
 
@@ -47,6 +61,6 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.repeated_passages(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_bpe_round_trip, op5_language_id, op6_ngram_jaccard_join, op7_media_columns, op8_toxicity, op9_token_id_files, op10_substring_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_benchmark_decontamination, op2_quality, op4_license_scan, op3_bpe_round_trip, op5_language_id, op6_ngram_jaccard_join, op7_media_columns, op8_toxicity, op9_token_id_files, op10_substring_dedup)}
 
 ORACLE: dict[str, str] = {}
