@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from .store import new_path, open_fs, written
 
 BLOCK, PERCENTILE, END_ID = 1024, 90, 1
-WORDS_KEPT = 400_000
+WORDS_KEPT = 1_200_000
 _MAGIC = b"PFORIDS1"
 
 #: Fixed by the tokenizer's definition; only for texts without _ODD characters, for which NFC changes nothing.
@@ -54,12 +54,27 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        vocab = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)  # of ids that end a word
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self._forget()
 
     def _forget(self) -> None:
         self.index: dict[str, int] = {}
         self.size, self.ids = np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
+    def _learn(self, words: list[str]) -> None:
+        """Adds the ids of words: the library gets them as one text, in which each ends with an id that ends a word."""
+        parts = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast([" ".join(words[i : i + 5000]) for i in range(0, len(words), 5000)], add_special_tokens=False)]
+        ids = np.concatenate(parts)
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) != len(words):
+            found = [self.tokenizer.encode(w, add_special_tokens=False).ids for w in words]
+            ids = np.array([i for x in found for i in x], np.uint32)
+            ends = np.cumsum([len(x) for x in found])
+        self.size = np.concatenate([self.size, np.diff(ends, prepend=0)])
+        self.ids = np.concatenate([self.ids, ids])
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(numbers of ids, ids end to end)."""
         if len(self.index) > WORDS_KEPT:
@@ -82,9 +97,7 @@ class WordEncoder:
                         at[i] = index[w]
             own.append(np.array(at, np.int64))
         if new:
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-            self.size = np.concatenate([self.size, np.array([len(x) for x in found], np.int64)])
-            self.ids = np.concatenate([self.ids, np.array([i for x in found for i in x], np.uint32)])
+            self._learn(new)
         start = np.cumsum(self.size) - self.size
         flat = np.concatenate(own) if own else np.zeros(0, np.int64)
         n = self.size[flat]
