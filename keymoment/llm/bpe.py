@@ -28,14 +28,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .buckets import bucket_count, runs, unpack
-from .store import new_path, open_fs
+from .store import drop, new_path, open_fs, written
 from .words import text_buffers
 
 LEXICON = 200_000
 PIECE = 4_000_000
 
 #: Fixed by the pre-tokenizer's definition; the first form covers _PLAIN texts only, for which both agree.
-_FAST = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+_LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ÿ"
+_FAST = re.compile(f" ?[{_LETTERS}]+|'(?:s|t|re|ve|m|ll|d)| ?[0-9]+| ?[^\\t-\\r \x85\xa00-9{_LETTERS}]+|\\s+(?!\\S)|\\s+")
 _FULL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _NOT_PLAIN = re.compile(r"[^\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-\xff]")
 
@@ -363,8 +364,16 @@ def word_counts(docs: DataFrame, path: str) -> DataFrame:
 
 
 def build_lexicon(docs: DataFrame, path: str, words: int = LEXICON) -> str:
-    """The place of the compiled lexicon of docs' most frequent words."""
-    top = word_counts(docs, path).orderBy(F.desc("n"), "word").limit(words).select("word").toPandas()["word"].tolist()
+    """The place of the compiled lexicon of docs' most frequent words: all words from a level of frequency on, as low as words allows."""
+    counts = written(word_counts(docs, path).withColumn("level", F.floor(F.log2("n") * 16).cast("int")), "word-counts")
+    least, total = 1 << 30, 0
+    for r in counts.groupBy("level").count().orderBy(F.desc("level")).collect():  # some hundreds of levels
+        total += r["count"]
+        if total > words:
+            break
+        least = r["level"]
+    top = counts.where(F.col("level") >= least).select("word").toPandas()["word"].tolist()
+    drop(counts)
     uri = new_path(docs.sparkSession, "lexicon") + "/transducer.bin"
     Lexicon.of(vocabulary(path), top).save(uri)
     return uri
