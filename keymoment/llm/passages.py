@@ -34,7 +34,7 @@ from .buckets import Packer, bucket_count, by_bucket, runs, unpack
 from .graph import components, spanning
 from .jaccard_join import linked
 from .store import written
-from .words import mix, powers, set_digest, shingles, text_buffers, words_of
+from .words import SHINGLE, mix, powers, shingles, text_buffers, words_of
 
 MIN_WORDS, MIN_RUN, REACH = 20, 12, 4
 THRESHOLD, RECALL, ROWS = 0.8, 0.99, 3
@@ -60,30 +60,47 @@ def anchors(h: np.ndarray, reach: int = REACH) -> np.ndarray:
     return np.flatnonzero(low) + reach
 
 
-def _documents(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(row, doc_id, word starts and ends within the text, word hashes, places of words after line ends)."""
-    ids = batch.column(batch.schema.get_field_index("doc_id")).to_pylist()
+class _Group:
+    """Words of some documents of a batch: row and place of each, and the starts of lines among them."""
+
+    def __init__(self, first: int, at: np.ndarray, starts: np.ndarray, ends: np.ndarray, h: np.ndarray, offsets: np.ndarray, data: np.ndarray, ids: np.ndarray):
+        self.h, self.at, self.first = h, at, first
+        self.row = np.repeat(np.arange(len(at) - 1), np.diff(at))
+        self.id_of_row = ids[first : first + len(at) - 1]
+        base = offsets[first : first + len(at) - 1][self.row]
+        self.starts, self.ends = starts - base, ends - base
+        a, b = int(offsets[first]), int(offsets[first + len(at) - 1])
+        lines = np.flatnonzero(data[a:b] == _NEWLINE) + a
+        cuts = np.unique(np.concatenate([at[:-1][np.diff(at) > 0], np.searchsorted(starts, lines)]))
+        self.lines = cuts[cuts < len(h)]  # the first word of each line
+
+    @property
+    def ids(self) -> np.ndarray:
+        return self.id_of_row[self.row]
+
+    def long_lines(self) -> tuple[np.ndarray, np.ndarray]:
+        """(first words, ends) of the lines of MIN_WORDS words or more."""
+        ends = np.concatenate([self.lines[1:], [len(self.h)]]) if len(self.lines) else self.lines
+        long = ends - self.lines >= MIN_WORDS
+        return self.lines[long], ends[long]
+
+    def pieces(self) -> tuple[np.ndarray, np.ndarray]:
+        """(first words, ends) of the pieces between anchors of a document."""
+        c = anchors(self.h)
+        if len(c):
+            c = c[(self.row[c - REACH] == self.row[c]) & (self.row[c + REACH] == self.row[c])]
+        a, b = c[:-1], c[1:]
+        same = self.row[a] == self.row[b]
+        return a[same], b[same]
+
+
+def _groups(batch: pa.RecordBatch) -> Iterator[_Group]:
+    """Of a batch with doc_id (no nulls) and text."""
+    ids = batch.column(batch.schema.get_field_index("doc_id")).to_numpy(zero_copy_only=False).astype(np.int64)
     offsets, data = text_buffers(batch.column(batch.schema.get_field_index("text")))
-    for i, j, at, starts, ends, h in words_of(offsets, data):
-        lines = np.flatnonzero(data[offsets[i] : offsets[j]] == _NEWLINE) + int(offsets[i])
-        for r in range(i, j):
-            if ids[r] is not None:
-                a, b, base = at[r - i], at[r - i + 1], int(offsets[r])
-                x, y = np.searchsorted(lines, (offsets[r], offsets[r + 1]))
-                breaks = np.unique(np.searchsorted(starts[a:b], lines[x:y]))
-                yield r, ids[r], starts[a:b] - base, ends[a:b] - base, h[a:b], breaks[(breaks > 0) & (breaks < b - a)]
-
-
-def _lines(h: np.ndarray, breaks: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
-    """(first word, end, distinct shingles) of the lines of MIN_WORDS words or more."""
-    cuts = [0, *breaks.tolist(), len(h)]
-    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        if b - a >= MIN_WORDS:
-            yield a, b, np.unique(shingles(h[a:b]))
-
-
-def _minhash(s: np.ndarray, salts: np.ndarray) -> np.ndarray:
-    return np.array([mix(s ^ x).min() for x in salts])
+    for i, _, at, starts, ends, h in words_of(offsets, data):
+        if len(h):
+            yield _Group(i, at, starts, ends, h, offsets, data, ids)
 
 
 def _settle(cls: np.ndarray, doc: np.ndarray, *rest: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
@@ -123,23 +140,12 @@ def exact_repeats(docs: DataFrame) -> DataFrame:
                 yield _kind(x, kind)
 
         for batch in batches:
-            for _, d, starts, ends, h, breaks in _documents(batch):
-                if not len(h):
-                    continue
-                c = anchors(h)
-                a, b = c[:-1], c[1:]
-                place = np.arange(len(a))
-                if len(a):
-                    names = _window_names(h, a, b)
-                    held.append((names, np.full(len(a), d), place, starts[a], (ends[b - 1] - starts[a]).astype(np.uint32), (b - a).astype(np.uint32)))
-                cuts = np.concatenate([[0], breaks, [len(h)]])
-                a, b = cuts[:-1], cuts[1:]
-                long = b - a >= MIN_WORDS
-                a, b = a[long], b[long]
-                if len(a):
-                    names = _window_names(h, a, b) ^ np.uint64(0x5851F42D4C957F2D)
-                    held.append((names, np.full(len(a), d), LINE + np.arange(len(a)), starts[a], (ends[b - 1] - starts[a]).astype(np.uint32), (b - a).astype(np.uint32)))
-                n += len(c) + len(a)
+            for g in _groups(batch):
+                for (a, b), salt, base in ((g.pieces(), 0, 0), (g.long_lines(), 0x5851F42D4C957F2D, LINE)):
+                    place = np.arange(len(a)) - np.searchsorted(g.row[a], np.arange(len(g.at) - 1))[g.row[a]] if len(a) else a
+                    names = _window_names(g.h, a, b) ^ np.uint64(salt)
+                    held.append((names, g.ids[a], base + place, g.starts[a], (g.ends[b - 1] - g.starts[a]).astype(np.uint32), (b - a).astype(np.uint32)))
+                    n += len(a)
             if n > 1 << 20:
                 yield from settle()
                 held, n = [], 0
@@ -183,25 +189,27 @@ def _window_names(h: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def similar_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, start, size, words): lines whose cluster, found by banding and exact Jaccard, has a smaller document."""
     buckets, b = bucket_count(docs), bands()
-    salts = mix(np.arange(1, b * ROWS + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
+    salts = mix(np.arange(1, b * ROWS + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)) | np.uint64(1)  # odd: each product permutes the hashes
     docs = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack, seen = Packer(["sig", "id", "doc"], buckets), set()
+        pack = Packer(["sig", "id", "doc"], buckets)
         for batch in batches:
-            for _, d, _, _, h, breaks in _documents(batch):
-                for _, _, s in _lines(h, breaks):
-                    name = set_digest(s)[0]
-                    if name in seen:
-                        continue
-                    seen.add(name)
-                    if len(seen) > 1_000_000:
-                        seen.clear()
-                    m = _minhash(s, salts).reshape(b, ROWS)
-                    sig = np.arange(b, dtype=np.uint64) * np.uint64(0xE7037ED1A0B428DB)
-                    for k in range(ROWS):
-                        sig = mix(sig ^ m[:, k])
-                    yield from pack.add(sig, np.full(b, name, np.uint64), np.full(b, d, np.int64))
+            for g in _groups(batch):
+                a, e = g.long_lines()
+                if not len(a):
+                    continue
+                name, first = np.unique(_window_names(g.h, a, e), return_index=True)
+                a, e = a[first], e[first]
+                n = e - a - SHINGLE + 1
+                cuts = np.cumsum(n) - n
+                s = shingles(g.h)[np.repeat(a - cuts, n) + np.arange(int(n.sum()))]
+                doc = g.ids[a]
+                for k in range(b):
+                    sig = np.full(len(a), k * 0xE7037ED1A0B428DB % (1 << 64), np.uint64)
+                    for r in range(ROWS):
+                        sig = mix(sig ^ np.minimum.reduceat(s * salts[k * ROWS + r], cuts))
+                    yield from pack.add(sig, name, doc)
         yield from pack.flush()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,13 +237,14 @@ def similar_lines(docs: DataFrame) -> DataFrame:
             names = batch.column(batch.schema.get_field_index("names")).to_pylist()
             out: list[tuple] = []
             done: set[tuple[int, int]] = set()
-            for r, d, starts, ends, h, breaks in _documents(batch):
-                mine = set(names[r])
-                for a, e, s in _lines(h, breaks):
-                    k = set_digest(s)[0]
-                    k = k - (1 << 64) if k >> 63 else k
-                    if k in mine:
-                        out.append((k, d, int(starts[a]), int(ends[e - 1] - starts[a]), e - a, s.tobytes() if (k, d) not in done else b""))
+            for g in _groups(batch):
+                a, e = g.long_lines()
+                own = _window_names(g.h, a, e).view(np.int64).tolist()
+                for k, x, y in zip(own, a.tolist(), e.tolist(), strict=True):
+                    row = g.first + int(g.row[x])
+                    if k in names[row]:
+                        d = int(g.id_of_row[g.row[x]])
+                        out.append((k, d, int(g.starts[x]), int(g.ends[y - 1] - g.starts[x]), y - x, np.unique(shingles(g.h[x:y])).tobytes() if (k, d) not in done else b""))
                         done.add((k, d))
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True) if out else [()] * 6, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["id", "doc_id", "start", "size", "words", "held"])
 
