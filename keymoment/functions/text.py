@@ -9,6 +9,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A word of lower-case Latin letters with their marks, or digits.
 WORD = "[0-9a-zà-ỹ]+"
@@ -17,7 +18,7 @@ WORD = "[0-9a-zà-ỹ]+"
 STOP_WORDS = ("a", "an", "the", "of", "in", "on", "and", "or", "to", "is", "are", "with", "và", "là", "của", "có", "cho", "các", "những", "một", "được", "trong", "ở", "với", "này", "đó")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfc(x: pd.Series) -> pd.Series:
     """Unicode NFC; Spark has no function for it."""
     return x.map(lambda s: unicodedata.normalize("NFC", s), na_action="ignore")
@@ -28,7 +29,7 @@ def folded(x: Column) -> Column:
     return F.lower(nfc(x))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def without_marks(x: pd.Series) -> pd.Series:
     """Letters without their marks (NFKD), đ as d."""
     return x.map(lambda s: "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c)).replace("đ", "d").replace("Đ", "D"), na_action="ignore")
@@ -203,7 +204,7 @@ def split_events(text: str) -> tuple[list[str], str]:
     return (parts, "connectors") if len(parts) > 1 else ([text], "whole")
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def events_of(x: pd.Series) -> pd.Series:
     return x.map(lambda s: split_events(s)[0])
 
@@ -234,7 +235,7 @@ def tolerant_object(raw: str) -> dict | None:
     return None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def json_object(x: pd.Series) -> pd.Series:
     """The object as normal JSON text, or null."""
     return x.map(lambda s: None if (o := tolerant_object(s)) is None else json.dumps(o, ensure_ascii=False, sort_keys=True), na_action="ignore")
@@ -259,6 +260,6 @@ def pack_sentences(text: str, most: int = 58, count=lambda s: len(s.split())) ->
     return out
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def chunks_of(x: pd.Series) -> pd.Series:
     return x.map(lambda s: pack_sentences(s or ""))

@@ -120,7 +120,7 @@ def joined_channels(spark, d):
 _PH = "ph AS (SELECT item_id AS query_id, string_split(lower(text), ' ')[1] || ' ' || string_split(lower(text), ' ')[2] || ' ' || string_split(lower(text), ' ')[3] AS phrase FROM benchmark WHERE item_id < 6)"
 
 
-@query("j8_phrase_search", f"WITH {_PH}, x AS (SELECT query_id, doc_id, CAST(list_sum(list_transform(list_filter(string_split(phrase, ' '), lambda t: t <> ''), lambda t: CASE WHEN contains(lower(text), t) THEN 1.0::DOUBLE ELSE 0 END)) AS DOUBLE) + CASE WHEN contains(lower(text), phrase) THEN 10 ELSE 0 END AS score FROM documents, ph) SELECT * FROM x WHERE score > 0")
+@query("j8_phrase_search", f"WITH {_PH}, x AS (SELECT query_id, doc_id, CAST(list_sum(list_transform(list_filter(regexp_split_to_array(phrase, '\\s+'), lambda t: t <> ''), lambda t: CASE WHEN contains(lower(text), t) THEN 1.0::DOUBLE ELSE 0 END)) AS DOUBLE) + CASE WHEN contains(lower(text), phrase) THEN 10 ELSE 0 END AS score FROM documents, ph) SELECT * FROM x WHERE score > 0")
 def phrase_search(spark, d):
     w = F.split(F.lower("text"), " ")
     q = table(spark, d, "benchmark").where("item_id < 6").select(F.col("item_id").alias("query_id"), F.concat_ws(" ", w[0], w[1], w[2]).alias("phrase"))

@@ -284,7 +284,7 @@ def concentration(spark, d):
     return hits(spark, d, 20).groupBy("query_id", "video_id").agg(F.count("*").alias("c")).groupBy("query_id").agg((F.max("c") / 20.0).alias("share"))
 
 
-@query("g13_majority", "SELECT l_suppkey, l_returnflag AS answer FROM (SELECT l_suppkey, l_returnflag, row_number() OVER (PARTITION BY l_suppkey ORDER BY count(*) DESC, l_returnflag) AS r FROM lineitem GROUP BY ALL) WHERE r = 1")
+@query("g13_majority", "SELECT l_suppkey, l_returnflag AS answer FROM (SELECT l_suppkey, l_returnflag, row_number() OVER (PARTITION BY l_suppkey ORDER BY count(*) DESC, l_returnflag) AS r FROM lineitem GROUP BY l_suppkey, l_returnflag) WHERE r = 1")
 def majority(spark, d):
     c = table(spark, d, "lineitem").groupBy("l_suppkey", "l_returnflag").agg(F.count("*").alias("c"))
     best = c.groupBy("l_suppkey").agg(F.min(F.struct((-F.col("c")).alias("c"), "l_returnflag")).alias("b"))

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ITEM_SCHEMA = "video_id string, n int, frame_filename string, frame_idx long, pts_time double, fps double, rel_path string, abs_path string"
 
@@ -123,7 +124,7 @@ def read_query_files(spark: SparkSession, folder: str) -> DataFrame:
     """(name, text) of .txt files but translations (.en.txt, .vi.txt); a handful of small files each."""
     f = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(folder).where(~F.col("path").rlike("[.](en|vi)[.]txt$"))
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def decoded(content: pd.Series) -> pd.Series:
         return content.map(decode_text)
 
