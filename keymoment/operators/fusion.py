@@ -122,3 +122,15 @@ def insert_guaranteed(ranked: DataFrame, extra: DataFrame, keys: list[str], item
     rest = ranked.join(fresh.select(*keys, item), [*keys, item], "left_anti")
     rows = rest.select(*keys, item, F.when(F.col("rnk") < at, 0).otherwise(2).alias("_p"), F.col("rnk").alias("_o")).unionByName(fresh.select(*keys, item, F.lit(1).alias("_p"), F.col("_e").cast("long").alias("_o")))
     return rows.withColumn("new_rank", F.row_number().over(w.orderBy("_p", "_o"))).drop("_p", "_o")
+
+
+def chain_verdicts(chains: DataFrame, verdicts: DataFrame, reach: int = 3) -> DataFrame:
+    """(query_id, video_id, verdict, picks, accepted) of chains(query_id, video_id, event_idx, n): the mean over events of the best verdict
+    (query_id, event_idx, video_id, n, conf) within reach items, none counting 0; the items of those bests, taken over only if they
+    rise strictly."""
+    near = chains.withColumn("m", F.explode(F.array(*[F.col("n") + i for i in range(-reach, reach + 1)])))
+    v = verdicts.select("query_id", "event_idx", "video_id", F.col("n").alias("m"), "conf")
+    best = near.join(v, ["query_id", "event_idx", "video_id", "m"], "left").groupBy("query_id", "video_id", "event_idx").agg(F.max(F.struct(F.coalesce("conf", F.lit(0.0)).alias("c"), F.when(F.col("conf").isNotNull(), -F.col("m")).alias("m"))).alias("b"), F.max("n").alias("own"))
+    pick = F.coalesce(-F.col("b.m"), F.col("own"))
+    out = best.groupBy("query_id", "video_id").agg(F.round(F.avg("b.c"), 6).alias("verdict"), F.transform(F.sort_array(F.collect_list(F.struct("event_idx", pick.alias("p")))), lambda x: x["p"]).alias("picks"))
+    return out.withColumn("accepted", F.col("picks") == F.sort_array(F.array_distinct("picks")))

@@ -61,3 +61,40 @@ def adjacent_cosine(items: DataFrame, group: str, order: str, v: str, lag: int =
     """cosine of an item with the one `lag` before it in its group; null for the first ones."""
     w = Window.partitionBy(group).orderBy(order)
     return items.withColumn("_p", F.lag(v, lag).over(w)).withColumn("cosine", dot(F.col(v), F.col("_p")) / (norm(F.col(v)) * norm(F.col("_p")))).drop("_p")
+
+
+def top_similar(corpus: DataFrame, queries: DataFrame, v: str, q: str, k: int, digits: int = 6) -> DataFrame:
+    """(query_id, gid, score, rnk): the k best items of each query by products of blocks of vectors with all queries.
+
+    For wide vectors, where element-wise expressions are slow. Queries (query_id, q) are checked to be MOST_QUERIES at most and go
+    along with the task; a block gives k rows for each query at most, so the shuffle holds candidates and not all pairs.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    from .topk import top_per_group
+
+    rows = queries.select("query_id", q).limit(MOST_QUERIES + 1).collect()
+    if len(rows) > MOST_QUERIES:
+        raise ValueError(f"more than {MOST_QUERIES} queries; give them in blocks")
+    schema = "query_id long, gid long, score double"
+    if not rows:
+        return corpus.sparkSession.createDataFrame([], schema + ", rnk long")
+    ids, m = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], np.float64).T
+
+    def run(batches):
+        for batch in batches:
+            gid = batch.column(0).to_numpy()
+            if not len(gid):
+                continue
+            x = batch.column(1).flatten().to_numpy().astype(np.float64).reshape(len(gid), -1)
+            s = np.round(x @ m, digits)
+            n = min(k, len(gid))
+            for j in range(s.shape[1]):
+                cut = np.partition(s[:, j], len(gid) - n)[len(gid) - n]
+                at = np.flatnonzero(s[:, j] >= cut)  # ties stay, the order below decides
+                at = at[np.lexsort((gid[at], -s[at, j]))][:n]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), ids[j]), pa.int64()), pa.array(gid[at], pa.int64()), pa.array(s[at, j])], names=["query_id", "gid", "score"])
+
+    found = corpus.select(F.col("gid").cast("long"), F.col(v).alias("_v")).mapInArrow(run, schema)
+    return top_per_group(found, ["query_id"], [F.desc("score"), F.asc("gid")], k)

@@ -114,6 +114,21 @@ def assembly(spark, d):
     return a.select("query_id", "video_id", "score", "gids", F.sort_array("gids").alias("chronological"), F.concat_ws(",", "video_id", F.array_join(F.transform(F.sort_array("gids"), lambda x: x.cast("string")), ",")).alias("line"))
 
 
+_CV = "ch AS (SELECT q AS query_id, 'V00' || q AS video_id, e AS event_idx, 3 + 4 * e + q AS n FROM (SELECT unnest(range(0, 4)) AS q), (SELECT unnest(range(0, 3)) AS e)), ve AS (SELECT user_id % 4 AS query_id, event_id % 3 AS event_idx, 'V00' || user_id % 4 AS video_id, event_id % 20 AS n, max(value) / 100 AS conf FROM events WHERE event_type = 'signup' GROUP BY ALL)"
+
+
+@query("k8_chain_verdicts", f"""WITH {_CV}, b AS (SELECT ch.query_id, ch.video_id, ch.event_idx, ch.n AS own, max({{'c': coalesce(conf, 0), 'm': -ve.n}}) AS b FROM ch LEFT JOIN ve ON ch.query_id = ve.query_id AND ch.event_idx = ve.event_idx AND ch.video_id = ve.video_id AND ve.n BETWEEN ch.n - 3 AND ch.n + 3 GROUP BY ALL),
+p AS (SELECT query_id, video_id, round(avg(b.c), 6) AS verdict, list(coalesce(-b.m, own) ORDER BY event_idx) AS picks FROM b GROUP BY ALL) SELECT *, picks[1] < picks[2] AND picks[2] < picks[3] AS accepted FROM p""")
+def chain_verdicts(spark, d):
+    from keymoment.operators.fusion import chain_verdicts as of
+
+    q = spark.range(4).select(F.col("id").alias("query_id"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long"))).alias("event_idx"))
+    chains = q.select("query_id", F.format_string("V%03d", "query_id").alias("video_id"), "event_idx", (3 + 4 * F.col("event_idx") + F.col("query_id")).alias("n"))
+    e = table(spark, d, "events").where("event_type = 'signup'")
+    v = e.groupBy((F.col("user_id") % 4).alias("query_id"), (F.col("event_id") % 3).alias("event_idx"), F.format_string("V%03d", F.col("user_id") % 4).alias("video_id"), (F.col("event_id") % 20).alias("n")).agg((F.max("value") / 100).alias("conf"))
+    return of(chains, v)
+
+
 @query("l15_independent", f"WITH {EV}, b AS (SELECT query_id, video_id, event_idx, max(score) AS m FROM ev GROUP BY ALL) SELECT query_id, video_id, round(sum(m), 6) AS score FROM b GROUP BY ALL")
 def independent(spark, d):
     return align.align(events(spark, d), "independent").select("query_id", "video_id", "score")

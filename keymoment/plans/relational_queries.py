@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from keymoment.operators import joins, topk, windows
+from keymoment.operators import joins, topk, vector, windows
 
 from .corpus import H, K, S, hits, keyframes, scores, table
 from .registry import query
@@ -17,6 +17,13 @@ def top_n(spark, d):
     return hits(spark, d, 50).select("query_id", "gid", "score", "rnk")
 
 
+@query("e1_top_n_blocks", f"WITH {H} SELECT query_id, gid, score, rnk FROM h WHERE rnk <= 50")
+def top_n_blocks(spark, d):
+    from .corpus import query_vectors
+
+    return vector.top_similar(keyframes(spark, d).where("n > 2"), query_vectors(spark, d), "v", "qv", 50)
+
+
 @query("e2_top_videos", f"WITH {S}, b AS (SELECT query_id, video_id, max(score) AS best FROM s WHERE n > 2 GROUP BY ALL) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY best DESC, video_id) AS rnk FROM b) WHERE rnk <= 5")
 def top_videos(spark, d):
     b = scores(spark, d).where("n > 2").groupBy("query_id", "video_id").agg(F.max("score").alias("best"))

@@ -136,3 +136,57 @@ def read_answers(spark: SparkSession, path: str) -> DataFrame:
     t = spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), F.posexplode(F.split(F.regexp_replace("value", "^﻿", ""), "\r?\n")).alias("pos", "line"))
     c = F.split("line", ",", 3)
     return t.where("line <> ''").select("file", F.col("pos").cast("long"), c[0].alias("video_id"), F.expr("try_cast(split(line, ',', 3)[1] as long)").alias("frame"), F.get(c, F.lit(2)).alias("answer"))
+
+
+MEDIA_INFO = "title string, description string, keywords array<string>, author string, publish_date string, watch_url string"
+
+
+def read_media_info(spark: SparkSession, path: str) -> DataFrame:
+    """(video_id, title, description, keywords, author, publish_date, watch_url) of JSON files named after their video, loose or in ZIPs."""
+    import json
+    import zipfile
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for name, raw in zip(f["path"], f["content"], strict=True):
+                members = [(name, raw)]
+                if name.endswith(".zip"):
+                    with zipfile.ZipFile(io.BytesIO(raw)) as z:
+                        members = [(m, z.read(m)) for m in sorted(z.namelist()) if m.endswith(".json")]
+                rows = []
+                for m, x in members:
+                    try:
+                        o = json.loads(x)
+                    except ValueError:
+                        continue  # a broken file is left out
+                    k = o.get("keywords") or []
+                    rows.append({"video_id": m.rpartition("/")[2].rpartition(".")[0], **{c: o.get(c) for c in ("title", "description", "author", "publish_date", "watch_url")}, "keywords": k if isinstance(k, list) else [w.strip() for w in k.split(",")]})
+                if rows:
+                    yield pd.DataFrame(rows)
+
+    files = spark.read.format("binaryFile").load(path).where(F.col("path").rlike("[.](json|zip)$")).select("path", "content")
+    return files.mapInPandas(run, f"video_id string, {MEDIA_INFO}").select("video_id", "title", "description", "keywords", "author", "publish_date", "watch_url")
+
+
+def read_text_cache(spark: SparkSession, path: str, least: float = 0.35) -> DataFrame:
+    """(video_id, frame_idx, text, confidence) of caches, one JSON object a video: frame -> [[text, confidence], ...]."""
+    raw = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), "([^/]+)[.]json$", 1).alias("video_id"), F.from_json("value", "map<string,array<array<string>>>").alias("m"))
+    rows = raw.select("video_id", F.explode("m").alias("frame_idx", "found")).select("video_id", F.col("frame_idx").cast("long"), F.explode("found").alias("x"))
+    return rows.select("video_id", "frame_idx", F.col("x")[0].alias("text"), F.col("x")[1].cast("double").alias("confidence")).where(F.col("confidence") >= least)
+
+
+def read_transcripts(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(video_id, title, segments) of transcript files of either shape ({segments, title} or [[start, text], ...]); of several folders
+    the first that has a video wins, broken files are left out."""
+    from keymoment.operators.joins import priority_rows
+
+    seg = "array<struct<start:double,text:string>>"
+    out = None
+    for i, p in enumerate(paths):
+        raw = spark.read.text(p, wholetext=True).select(F.regexp_extract(F.input_file_name(), "([^/]+)[.]json$", 1).alias("video_id"), "value", F.lit(i).alias("_p"))
+        a = F.from_json("value", f"struct<segments:{seg},title:string>")
+        b = F.transform(F.from_json("value", "array<array<string>>"), lambda x: F.struct(x[0].cast("double").alias("start"), x[1].alias("text")))
+        is_list = F.ltrim("value").startswith("[")
+        rows = raw.select("video_id", "_p", F.when(~is_list, a["title"]).alias("title"), F.when(is_list, b).otherwise(a["segments"]).alias("segments")).where("segments is not null")
+        out = rows if out is None else out.unionAll(rows)
+    return priority_rows(out, ["video_id"], [F.asc("_p")]).drop("_p")

@@ -198,3 +198,25 @@ def test_runs_alike_twice(spark, name):
     assert len(a)
     assert sorted(map(repr, a.astype(object).where(a.notna(), None).values.tolist())) == sorted(map(repr, b.astype(object).where(b.notna(), None).values.tolist()))
     assert isinstance(a, pd.DataFrame) and topk is not None
+
+
+def test_sidecar_readers(spark, tmp_path):
+    import json
+    import zipfile
+
+    (tmp_path / "info").mkdir()
+    (tmp_path / "info" / "a.json").write_text(json.dumps({"title": "T", "keywords": "x, y"}))
+    (tmp_path / "info" / "bad.json").write_text("{")
+    with zipfile.ZipFile(tmp_path / "info" / "more.zip", "w") as z:
+        z.writestr("media/b.json", json.dumps({"title": "U", "keywords": ["k"]}))
+    got = {r["video_id"]: (r["title"], r["keywords"]) for r in items.read_media_info(spark, str(tmp_path / "info")).collect()}
+    assert got == {"a": ("T", ["x", "y"]), "b": ("U", ["k"])}
+    (tmp_path / "ocr").mkdir()
+    (tmp_path / "ocr" / "v1.json").write_text(json.dumps({"30": [["sign", 0.9], ["blur", 0.1]]}))
+    assert [tuple(r) for r in items.read_text_cache(spark, str(tmp_path / "ocr")).collect()] == [("v1", 30, "sign", 0.9)]
+    for folder, x in (("s1", {"a": [[0, "x"], [5, "y"]]}), ("s2", {"a": {"segments": [{"start": 1, "text": "z"}], "title": "t"}, "b": {"segments": [{"start": 2, "text": "w"}], "title": "u"}})):
+        (tmp_path / folder).mkdir()
+        for k, v in x.items():
+            (tmp_path / folder / f"{k}.json").write_text(json.dumps(v))
+    t = {r["video_id"]: (r["title"], [tuple(s) for s in r["segments"]]) for r in items.read_transcripts(spark, [str(tmp_path / "s1"), str(tmp_path / "s2")]).collect()}
+    assert t == {"a": (None, [(0.0, "x"), (5.0, "y")]), "b": ("u", [(2.0, "w")])}
