@@ -28,11 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .buckets import bucket_count, runs, unpack
+from .lean import lean
 from .store import drop, new_path, open_fs, written
 from .words import text_buffers
 
 LEXICON = 200_000
-PIECE = 4_000_000
+PIECE = 2_000_000
 
 #: Fixed by the pre-tokenizer's definition; the first form covers _PLAIN texts only, for which both agree.
 _LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ÿ"
@@ -359,8 +360,8 @@ def word_counts(docs: DataFrame, path: str) -> DataFrame:
                     total[raw[a:b]] += n
             yield pa.RecordBatch.from_arrays([pa.array([w.decode() for w in total], pa.string()), pa.array(list(total.values()), pa.int64())], names=["word", "n"])
 
-    packed = docs.where(F.col("text").isNotNull()).select("text").mapInArrow(count, "bucket int, words binary, sizes binary, counts binary")
-    return packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(add, "word string, n long")
+    packed = docs.where(F.col("text").isNotNull()).select("text").mapInArrow(lean(count), "bucket int, words binary, sizes binary, counts binary")
+    return packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(lean(add), "word string, n long")
 
 
 def build_lexicon(docs: DataFrame, path: str, words: int = LEXICON) -> str:
@@ -439,40 +440,67 @@ def encode(docs: DataFrame, path: str, lexicon_uri: str | None = None) -> DataFr
                 counts, ids = encode_texts(v, lex, [x or "" for x in texts.slice(i, j - i).to_pylist()])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), _binary(counts, ids.astype("<u4").tobytes(), 4)], names=["doc_id", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(run), "doc_id long, ids binary")
+
+
+class Decoder:
+    """Bytes of ids by table lookups."""
+
+    def __init__(self, v: Vocabulary):
+        self.size = np.array([len(x) for x in v.text], np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        self.blob = np.frombuffer(b"".join(v.text), np.uint8)
+
+    def __call__(self, counts: np.ndarray, ids: np.ndarray) -> pa.Array:
+        """Texts of rows with so many ids each; bytes that aren't UTF-8 become U+FFFD."""
+        n = self.size[ids]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        at = np.repeat(self.start[ids] - ends[:-1], n)
+        at += np.arange(len(at))
+        raw = self.blob[at].tobytes()
+        cuts = ends[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)]
+        try:
+            raw.decode()
+            text = pa.Array.from_buffers(pa.large_string(), len(counts), [None, pa.py_buffer(cuts), pa.py_buffer(raw)]).cast(pa.string())
+            text.validate(full=True)
+            return text
+        except (UnicodeDecodeError, pa.ArrowInvalid):
+            return pa.array([raw[a:b].decode(errors="replace") for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)], pa.string())
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """encoded(doc_id, ids) with the column decoded; bytes that aren't UTF-8 become U+FFFD."""
+    """(doc_id, ids, decoded) of encoded(doc_id, ids)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocabulary(path)
-        size = np.array([len(x) for x in v.text], np.int64)
-        start = np.cumsum(size) - size
-        blob = np.frombuffer(b"".join(v.text), np.uint8)
+        decoder = Decoder(vocabulary(path))
         for batch in batches:
             column = batch.column(1)
             for i, j in _pieces(column, PIECE * 2):
                 offsets, data = text_buffers(column.slice(i, j - i))
                 ids = np.frombuffer(data[offsets[0] : offsets[-1]].tobytes(), "<u4")
-                n = size[ids]
-                ends = np.concatenate([[0], np.cumsum(n)])
-                at = np.repeat(start[ids] - ends[:-1], n)
-                at += np.arange(len(at))
-                raw = blob[at].tobytes()
-                cuts = ends[(offsets - offsets[0]) // 4]
-                try:
-                    raw.decode()
-                    text = pa.Array.from_buffers(pa.large_string(), j - i, [None, pa.py_buffer(cuts), pa.py_buffer(raw)]).cast(pa.string())
-                    text.validate(full=True)
-                except (UnicodeDecodeError, pa.ArrowInvalid):
-                    text = pa.array([raw[a:b].decode(errors="replace") for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)], pa.string())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), column.slice(i, j - i), text], names=["doc_id", "ids", "decoded"])
-
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, decoded string")
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), column.slice(i, j - i), decoder(np.diff(offsets) // 4, ids)], names=["doc_id", "ids", "decoded"])
+
+    return encoded.select("doc_id", "ids").mapInArrow(lean(run), "doc_id long, ids binary, decoded string")
+
+
+def encode_decode(docs: DataFrame, path: str) -> DataFrame:
+    """decode(encode(docs)) in one task, so that ids pass between processes once and in small pieces."""
+    uri = build_lexicon(docs, path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v, lex = vocabulary(path), lexicon(uri)
+        decoder = Decoder(v)
+        for batch in batches:
+            texts = batch.column(1)
+            for i, j in _pieces(texts):
+                counts, ids = encode_texts(v, lex, [x or "" for x in texts.slice(i, j - i).to_pylist()])
+                raw = ids.astype("<u4").tobytes()
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), _binary(counts, raw, 4), decoder(counts, np.frombuffer(raw, "<u4"))], names=["doc_id", "ids", "decoded"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(run), "doc_id long, ids binary, decoded string")
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each document."""
-    both = decode(encode(docs, path), path)
+    both = encode_decode(docs, path)
     return both.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))

@@ -22,7 +22,7 @@ def bucket_count(df: DataFrame) -> int:
 class Packer:
     """Collects arrays of equal length and gives them out as rows (bucket, one binary column per array)."""
 
-    def __init__(self, names: list[str], buckets: int, limit: int = 1 << 20):
+    def __init__(self, names: list[str], buckets: int, limit: int = 1 << 19):
         self.names, self.buckets, self.limit = names, np.uint64(buckets), limit
         self.parts: list[list[np.ndarray]] = [[] for _ in names]
         self.n = 0

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .lean import lean
 from .words import NOT_ALNUM, mix, powers, text_buffers, words_of
 
 WINDOW, MIN_LITERALS, COVER, BLOCK = 8, 4, 0.5, 2_000_000
@@ -195,7 +196,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_pylist(found, schema=kinds)
 
         kinds = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("coverage", pa.float64()), ("slots", pa.int32()), ("changed", pa.bool_()), ("start", pa.int64()), ("end", pa.int64())])
-        out = out.unionAll(rows.mapInArrow(run, schema))
+        out = out.unionAll(rows.mapInArrow(lean(run), schema))
     return out
 
 
@@ -213,5 +214,5 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                         keep[i + r] = False
                 yield batch.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(lean(run), docs.schema)
     return docs

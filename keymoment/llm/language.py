@@ -23,10 +23,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .lean import lean
 from .split import held_out, learnable
 
 DIM, SEED, UNKNOWN = 1024, 20_240_131, "und"
-_LETTERS, _SLOTS, _CHARS = 128, 16_384, 600_000
+_LETTERS, _SLOTS, _CHARS = 128, 16_384, 250_000
+
+
+@functools.lru_cache(maxsize=1)
+def _fold() -> np.ndarray:
+    """Of each code point: its lower-case letter, or 32."""
+    fold = np.full(0x110000, 32, np.uint32)
+    for c in range(0x110000):
+        x = chr(c)
+        if x.isalpha():
+            fold[c] = ord(x.lower()[0])
+    return fold
 
 
 class Encoder:
@@ -34,13 +46,8 @@ class Encoder:
 
     def __init__(self, dim: int = DIM):
         self.dim = dim
-        fold = np.full(0x110000, 32, np.uint32)
-        for c in range(0x110000):
-            x = chr(c)
-            if x.isalpha():
-                fold[c] = ord(x.lower()[0])
-        self.fold = fold
-        self.number = np.zeros(0x110000, np.int64)  # 0: break or not yet numbered
+        self.fold = _fold()
+        self.number = np.zeros(0x110000, np.int32)  # 0: break or not yet numbered
         self.letters: list[np.ndarray] = [np.random.default_rng([SEED, 32]).choice(np.array([-1, 1], np.float32), dim)]
         self._forget()
 
@@ -73,8 +80,8 @@ class Encoder:
                 self._letter(c)
             number = self.number[codes]
         at = np.flatnonzero(number)
-        left = np.where(at > 0, number[at - 1], 0)
-        mid, right = number[at], number[at + 1]
+        left = np.where(at > 0, number[at - 1], 0).astype(np.int64)
+        mid, right = number[at].astype(np.int64), number[at + 1].astype(np.int64)
         doc = np.searchsorted(np.cumsum(size), at, "right")
         small = (left < _LETTERS) & (mid < _LETTERS) & (right < _LETTERS)
         key = (left * _LETTERS + mid) * _LETTERS + right
@@ -96,15 +103,10 @@ class Encoder:
         return counts @ self.vectors[: counts.shape[1]]
 
 
-@functools.lru_cache(maxsize=2)
-def encoder(dim: int) -> Encoder:
-    return Encoder(dim)
-
-
-def _groups(texts: list[str | None]) -> Iterator[tuple[int, list[str]]]:
+def _groups(texts: pa.Array) -> Iterator[tuple[int, list[str]]]:
     held, n, first = [], 0, 0
     for i, x in enumerate(texts):
-        held.append(x or "")
+        held.append(x.as_py() or "")
         n += len(held[-1])
         if n > _CHARS:
             yield first, held
@@ -117,10 +119,10 @@ def prototypes(docs: DataFrame, dim: int = DIM) -> tuple[list[str], np.ndarray]:
     """(languages in order of name, their vectors of length one) learned from docs(doc_id, text, lang)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e, total = encoder(dim), {}
+        e, total = Encoder(dim), {}
         for batch in batches:
             langs = np.array(batch.column(1).to_pylist(), object)
-            for i, texts in _groups(batch.column(0).to_pylist()):
+            for i, texts in _groups(batch.column(0)):
                 counts = e.counts(texts)
                 n = counts.sum(1, keepdims=True)
                 counts /= np.maximum(n, 1)
@@ -129,7 +131,7 @@ def prototypes(docs: DataFrame, dim: int = DIM) -> tuple[list[str], np.ndarray]:
                     total[name] = total.get(name, 0) + e.bundle(counts[own == name].sum(0, keepdims=True))[0].astype(np.float64)
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array([x.tolist() for x in total.values()], pa.list_(pa.float64()))], names=["lang", "v"])
 
-    rows = docs.where(learnable() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang").mapInArrow(run, "lang string, v array<double>")
+    rows = docs.where(learnable() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang").mapInArrow(lean(run), "lang string, v array<double>")
     sums = rows.select("lang", F.posexplode("v").alias("k", "x")).groupBy("lang", "k").agg(F.sum("x").alias("x")).groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("k", "x"))).alias("v"))
     found = sorted((r["lang"], [x["x"] for x in r["v"]]) for r in sums.collect())  # a row of DIM numbers for each language
     if not found:
@@ -144,11 +146,11 @@ def identify(docs: DataFrame, names: list[str], vectors: np.ndarray) -> DataFram
     dim = vectors.shape[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = encoder(dim)
+        e = Encoder(dim)
         labels = np.array([*names, UNKNOWN], object)
         for batch in batches:
             best, score = [], []
-            for _, texts in _groups(batch.column(1).to_pylist()):
+            for _, texts in _groups(batch.column(1)):
                 counts = e.counts(texts)
                 some = counts.any(1) if counts.shape[1] else np.zeros(len(texts), bool)
                 if not names or not some.any():
@@ -162,7 +164,7 @@ def identify(docs: DataFrame, names: list[str], vectors: np.ndarray) -> DataFram
                 score.append(np.where(some, np.clip(cos[np.arange(len(k)), k].astype(np.float64), 0, 1), 0))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(labels[np.concatenate(best)] if best else [], pa.string()), pa.array(np.round(np.concatenate(score), 6) if score else [], pa.float64())], names=["doc_id", "lang_pred", "score"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(run), "doc_id long, lang_pred string, score double")
 
 
 def predict_languages(docs: DataFrame) -> DataFrame:
@@ -176,12 +178,12 @@ def keep_identified(docs: DataFrame) -> DataFrame:
     columns = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = encoder(vectors.shape[1])
+        e = Encoder(vectors.shape[1])
         for batch in batches:
             keep = []
-            for _, texts in _groups(batch.column(batch.schema.get_field_index("text")).to_pylist()):
+            for _, texts in _groups(batch.column(batch.schema.get_field_index("text"))):
                 counts = e.counts(texts)
                 keep.append(counts.any(1) & bool(names) if counts.shape[1] else np.zeros(len(texts), bool))
             yield batch.filter(pa.array(np.concatenate(keep) if keep else [], pa.bool_()))
 
-    return docs.select(columns).mapInArrow(run, docs.schema)
+    return docs.select(columns).mapInArrow(lean(run), docs.schema)

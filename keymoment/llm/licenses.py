@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .lean import lean
 from .words import NOT_ALNUM, mix, text_buffers, words_of
 
 SAMPLE_LINES, BITS, STEPS, SHRINK, CONFIDENT, CONFIRM = 4_000, 22, 250, 3e-4, 0.5, 0.6
@@ -246,4 +247,4 @@ def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
             yield pa.RecordBatch.from_pylist(found, schema=kinds)
 
     kinds = pa.schema([("doc_id", pa.int64()), ("line", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("family", pa.string()), ("probability", pa.float64()), ("confirmed", pa.bool_()), ("template_share", pa.float64())])
-    return docs.where("text is not null").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, line int, start long, end long, family string, probability double, confirmed boolean, template_share double")
+    return docs.where("text is not null").select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(run), "doc_id long, line int, start long, end long, family string, probability double, confirmed boolean, template_share double")

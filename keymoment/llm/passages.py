@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from .buckets import Packer, bucket_count, by_bucket, runs, unpack
 from .graph import components, spanning
 from .jaccard_join import linked
+from .lean import lean
 from .store import written
 from .words import SHINGLE, mix, powers, shingles, text_buffers, words_of
 
@@ -168,8 +169,8 @@ def exact_repeats(docs: DataFrame) -> DataFrame:
         for x in known.flush():
             yield x.drop_columns("key")
 
-    packed = docs.where("doc_id is not null and text is not null").select("doc_id", "text").mapInArrow(cut, f"kind int, {_SCHEMA}")
-    return by_bucket(packed).mapInArrow(meet, _SCHEMA)
+    packed = docs.where("doc_id is not null and text is not null").select("doc_id", "text").mapInArrow(lean(cut), f"kind int, {_SCHEMA}")
+    return by_bucket(packed).mapInArrow(lean(meet), _SCHEMA)
 
 
 def _kind(batch: pa.RecordBatch, kind: int) -> pa.RecordBatch:
@@ -227,7 +228,7 @@ def similar_lines(docs: DataFrame) -> DataFrame:
                 u, v = spanning(name[:-1][same], name[1:][same])
                 yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in (u.view(np.int64), v.view(np.int64), np.array([low[k] for k in u.tolist()], np.int64), np.array([low[k] for k in v.tolist()], np.int64)))], names=["u", "v", "ud", "vd"])
 
-    edges = written(by_bucket(docs.mapInArrow(sign, "bucket int, sig binary, id binary, doc binary")).mapInArrow(meet, "u long, v long, ud long, vd long"), "line-edges")
+    edges = written(by_bucket(docs.mapInArrow(lean(sign), "bucket int, sig binary, id binary, doc binary")).mapInArrow(lean(meet), "u long, v long, ud long, vd long"), "line-edges")
     blocks = components(edges)
     where = edges.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.col("ud").alias("doc")), F.struct(F.col("v").alias("node"), F.col("vd").alias("doc")))).alias("e")).groupBy("e.node").agg(F.min("e.doc").alias("doc"))
     wanted = where.join(blocks, "node").groupBy("doc").agg(F.collect_set("node").alias("names"))
@@ -248,7 +249,7 @@ def similar_lines(docs: DataFrame) -> DataFrame:
                         done.add((k, d))
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True) if out else [()] * 6, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["id", "doc_id", "start", "size", "words", "held"])
 
-    found = written(docs.join(wanted.hint("merge"), docs["doc_id"] == wanted["doc"]).select("doc_id", "text", "names").mapInArrow(find, "id long, doc_id long, start long, size long, words long, held binary"), "lines")
+    found = written(docs.join(wanted.hint("merge"), docs["doc_id"] == wanted["doc"]).select("doc_id", "text", "names").mapInArrow(lean(find), "id long, doc_id long, start long, size long, words long, held binary"), "lines")
     reps = found.where("octet_length(held) > 0").join(blocks, F.col("id") == F.col("node")).select("id", "component", (F.octet_length("held") / 8).cast("int").alias("size"))
     sets = found.where("octet_length(held) > 0").select("id", "held")
     clusters = written(linked(reps, lambda members: sets.join(members, "id").select("id", "held", F.explode("blocks").alias("block"))), "clusters")
@@ -293,8 +294,8 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
                     out.append(list(x))
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*out, strict=True) if out else [()] * 4)], names=["doc_id", "start", "end", "words"])
 
-    lines = similar_lines(docs).mapInArrow(pack_lines, _SCHEMA)
-    return by_bucket(exact_repeats(docs).unionAll(lines)).mapInArrow(spans, "doc_id long, start long, end long, words long")
+    lines = similar_lines(docs).mapInArrow(lean(pack_lines), _SCHEMA)
+    return by_bucket(exact_repeats(docs).unionAll(lines)).mapInArrow(lean(spans), "doc_id long, start long, end long, words long")
 
 
 def remove_passages(docs: DataFrame) -> DataFrame:
@@ -338,4 +339,4 @@ def remove_passages(docs: DataFrame) -> DataFrame:
                 arrays[i] = pa.array(n, batch.column(i).type)
             yield pa.RecordBatch.from_arrays(arrays, schema=batch.schema).filter(pa.array(keep))
 
-    return rows.mapInArrow(run, docs.schema)
+    return rows.mapInArrow(lean(run), docs.schema)

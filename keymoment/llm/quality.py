@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .lean import lean
 from .split import held_out, learnable
 from .words import text_buffers, words_of
 
@@ -97,7 +98,7 @@ def _measures(docs: DataFrame) -> DataFrame:
             x = measure(batch.column(0))
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([r.tobytes() for r in x], pa.binary())], names=["y", "x"])
 
-    return docs.select("text", F.col("y").cast("int")).mapInArrow(run, "y int, x binary")
+    return docs.select("text", F.col("y").cast("int")).mapInArrow(lean(run), "y int, x binary")
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Classifier | None:
@@ -133,7 +134,7 @@ def quality(docs: DataFrame, labels: DataFrame, host: Column, path: Column) -> D
             p = model(measure(batch.column(1))) if model else np.full(batch.num_rows, 0.5)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(np.round(p, 9))], names=["doc_id", "host", "path", "p"])
 
-    scored = docs.mapInArrow(run, "doc_id long, host string, path string, p double")
+    scored = docs.mapInArrow(lean(run), "doc_id long, host string, path string, p double")
     rows = scored.join(known, F.col("doc_id") == F.col("_id"), "left").select("doc_id", "host", "path", "p", F.when(F.col("y").isNull(), F.lit(SOFT)).otherwise(1.0).alias("n1"), F.when(F.col("y").isNull(), F.col("p") * SOFT).otherwise(F.col("y").cast("double")).alias("k1"))
     from .store import written
 

@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .lean import lean
 from .store import new_path, open_fs, written
 
 BLOCK, PERCENTILE, END_ID = 1024, 90, 1
@@ -282,7 +283,7 @@ def write_token_files(docs: DataFrame, path: str, folder: str | None = None, end
             yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"]), pa.array([first], pa.int64()), pa.array([len(out.doc_ids)], pa.int64()), pa.array([out.total], pa.int64())], names=["file", "first", "documents", "ids"])
 
     rows = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return written(rows.mapInArrow(run, "file string, first long, documents long, ids long"), "token-files")
+    return written(rows.mapInArrow(lean(run), "file string, first long, documents long, ids long"), "token-files")
 
 
 def read_token_files(files: DataFrame) -> DataFrame:
@@ -308,4 +309,4 @@ def read_token_files(files: DataFrame) -> DataFrame:
     table = spark.createDataFrame(rows, "file string, base long")
     if len(rows) > 1:
         table = table.repartitionByRange(len(rows), "base")
-    return table.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return table.mapInArrow(lean(run), "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .lean import lean
 from .split import held_out, learnable
 from .words import NOT_ALNUM, mix, prefixes, text_buffers, words_of
 
@@ -58,7 +59,7 @@ def _bags(docs: DataFrame) -> DataFrame:
                     feat.append((own & ((1 << BITS) - 1)).astype("<u4").tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(sent, pa.binary()), pa.array(feat, pa.binary())], names=["y", "sentences", "features"])
 
-    return docs.select("text", F.col("y").cast("int")).mapInArrow(run, "y int, sentences binary, features binary")
+    return docs.select("text", F.col("y").cast("int")).mapInArrow(lean(run), "y int, sentences binary, features binary")
 
 
 def _adam(y: np.ndarray, f: np.ndarray, s: np.ndarray, bag: np.ndarray, w: np.ndarray, b: float, epochs: int, shrink: float) -> tuple[np.ndarray, float]:
@@ -163,7 +164,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], locate:
                     found[r].append({"start": head, "end": head + len(own), "score": round(float(1 / (1 + np.exp(-z[k]))), 6)})
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.round(np.clip(out, 0, 1), 6)), pa.array(found, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())])))], names=["doc_id", "score", "sentences"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double, sentences array<struct<start:int,end:int,score:double>>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(run), "doc_id long, score double, sentences array<struct<start:int,end:int,score:double>>")
 
 
 def predict_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:

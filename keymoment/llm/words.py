@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-PIECE = 1 << 20
+PIECE = 1 << 19
 SHINGLE = 5
 
 _LOWER = np.arange(256, dtype=np.uint8)
