@@ -18,8 +18,8 @@ one task by rarest-first prefixes over the block's own frequencies, and a block
 chunks whose pairs are joined in tasks of bounded size.
 
 Defined cases: null text, empty text and text of white space have the empty set and link with nothing; a null
-doc_id has a null component; rows that repeat a doc_id count as one document (the row with the larger set
-digest is kept for it if their texts differ); other columns are ignored, whatever their names.
+doc_id has a null component; rows that repeat a doc_id, null ones too, count as one document (the one with the larger set
+stands for it if their texts differ); other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from .buckets import Packer, bucket_count, by_bucket, runs, unpack
 from .graph import Forest, components, spanning
+from .lean import lean
 from .store import written
 from .words import SHINGLE, mix, set_digest, shingles, signed, text_buffers, words_of
 
@@ -68,7 +69,7 @@ def document_sets(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
                 d2.append(signed(b))
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_id")).cast(pa.int64()), pa.array(size, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64())], names=["doc_id", "n_shingles", "d1", "d2"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(run), "doc_id long, n_shingles long, d1 long, d2 long")
 
 
 def frequent_shingles(docs: DataFrame, n_docs: int, n: int = SHINGLE) -> np.ndarray:
@@ -90,17 +91,18 @@ def frequent_shingles(docs: DataFrame, n_docs: int, n: int = SHINGLE) -> np.ndar
 
     buckets = bucket_count(docs)
     part = docs.where((F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0) & F.col("text").isNotNull()).select("text")
-    found = by_bucket(part.mapInArrow(run, "bucket int, s binary")).mapInArrow(count, "s long, c long")
+    found = by_bucket(part.mapInArrow(lean(run), "bucket int, s binary")).mapInArrow(lean(count), "s long, c long")
     rows = found.orderBy(F.desc("c"), "s").limit(FREQUENT_MOST).select("s").toPandas()
     return np.sort(rows["s"].to_numpy(np.int64).view(np.uint64))
 
 
 def _instances(s: int) -> list[tuple[int, int, int]]:
-    """(instance, its number of partitions, h) of the instances in which a set of s joins. With s < 4 only equal sets link."""
+    """(instance, its number of partitions, h) of the instances in which a set of s joins: h is a ninth of s and its largest partner's
+    size there. With s < 4 only equal sets link."""
     if s < 4:
         return []
     i = s.bit_length() - 1
-    out = [(i, s + s // 4)]
+    out = [(i, 2 * s + s // 4)]
     if s <= ((1 << i) - 1) * 5 // 4:
         out.append((i - 1, s + min(s, (1 << i) - 1)))
     return [(k, int(0.62 * (1 << k)) + 6, total // 9) for k, total in out]
@@ -161,8 +163,8 @@ def candidate_edges(docs: DataFrame, frequent: np.ndarray, n: int = SHINGLE) ->
                 u, v = spanning(u[differ], v[differ])
                 yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["u", "v"])
 
-    signed_rows = docs.where(F.col("text").isNotNull()).select("text").mapInArrow(sign, "bucket int, sig binary, id binary")
-    return by_bucket(signed_rows).mapInArrow(meet, "u long, v long")
+    signed_rows = docs.where(F.col("text").isNotNull()).select("text").mapInArrow(lean(sign), "bucket int, sig binary, id binary")
+    return by_bucket(signed_rows).mapInArrow(lean(meet), "u long, v long")
 
 
 def similar(common: int, a: int, b: int) -> bool:
@@ -256,7 +258,7 @@ def linked(reps: DataFrame, attach: Callable[[DataFrame], DataFrame]) -> DataFra
         yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
     held = attach(reps.select("id", pairs.alias("blocks"))).select("id", "held", "block")
-    links = held.repartition(bucket_count(held), "block").sortWithinPartitions("block").mapInArrow(link, "u long, v long")
+    links = held.repartition(bucket_count(held), "block").sortWithinPartitions("block").mapInArrow(lean(link), "u long, v long")
     return components(links)
 
 
@@ -276,11 +278,11 @@ def jaccard_components(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
 
     def attach(members: DataFrame) -> DataFrame:
         rows = docs.join(members.hint("merge"), docs["doc_id"] == members["id"]).select("id", "text", "blocks")
-        return rows.mapInArrow(to_sets, "id long, held binary, blocks array<string>").select("id", "held", F.explode("blocks").alias("block"))
+        return rows.mapInArrow(lean(to_sets), "id long, held binary, blocks array<string>").select("id", "held", F.explode("blocks").alias("block"))
 
     found = linked(reps, attach)
     classes = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("component_id"))
-    out = meta.join(classes, ["d1", "d2"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("_k"))
+    out = meta.join(classes, ["d1", "d2"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNull(), None).when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("_k"))
     return out.select("doc_id", "n_shingles", "component_id")
 
 
