@@ -65,9 +65,11 @@ def best_passage(cues: DataFrame, terms: DataFrame, idf: DataFrame, tokens: Colu
 
 
 def phrase_search(texts: DataFrame, queries: DataFrame, weight: float = 10.0) -> DataFrame:
-    """score: weight if the whole phrase is in a text, plus 1 for each of its terms in it. queries(query_id, phrase) is a handful of rows
-    by contract, broadcast after a check of its number."""
-    q = F.broadcast(queries.limit(1000))
+    """score: weight if the whole phrase is in a text, plus 1 for each of its terms in it. queries(query_id, phrase) is
+    broadcast after a check of its number."""
+    from .vector import bounded
+
+    q = bounded(queries)
     low = F.lower("text")
     terms = F.filter(F.split(F.lower("phrase"), r"\s+"), lambda t: t != "")
     n = F.aggregate(terms, F.lit(0.0), lambda s, t: s + F.when(F.contains(low, t), 1.0).otherwise(0.0))

@@ -12,6 +12,13 @@ from pyspark.sql import functions as F
 MOST_QUERIES = 4096
 
 
+def bounded(df: DataFrame, most: int = MOST_QUERIES) -> DataFrame:
+    """df with a broadcast hint, after its rows were counted up to `most`; more are refused, as the caller should give them in blocks."""
+    if df.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} rows on the side that is broadcast; give them in blocks")
+    return F.broadcast(df)
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
@@ -41,8 +48,7 @@ def ensemble(df: DataFrame, keys: list[str], v: str, weight: str, out: str) -> D
 
 def similarities(corpus: DataFrame, queries: DataFrame, v: str, q: str, digits: int = 6) -> DataFrame:
     """Every query with every item and their product as score. queries must have MOST_QUERIES rows at most."""
-    small = queries.limit(MOST_QUERIES + 1)
-    return corpus.join(F.broadcast(small)).withColumn("score", F.round(dot(F.col(v), F.col(q)), digits))
+    return corpus.join(bounded(queries)).withColumn("score", F.round(dot(F.col(v), F.col(q)), digits))
 
 
 def combine_chunks(scored: DataFrame, keys: list[str], how: str = "mean") -> DataFrame:

@@ -177,7 +177,7 @@ h1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, video_
 
 def candidates(spark, d, n=60):
     last = keyframes(spark, d).groupBy("video_id").agg(F.max("frame_idx").alias("last_frame"))
-    return hits(spark, d, n).join(F.broadcast(last), "video_id").select("query_id", (F.col("rnk") - 1).alias("pos"), "video_id", "frame_idx", "score", "last_frame")  # last: a row for each of ten videos
+    return hits(spark, d, n).join(last, "video_id").select("query_id", (F.col("rnk") - 1).alias("pos"), "video_id", "frame_idx", "score", "last_frame")
 
 
 @query("m1_ladder", f"WITH {CAND}, l AS (SELECT query_id, pos, frame_idx + CAST({_OFF} AS BIGINT) AS frame, row_number() OVER (PARTITION BY query_id, pos ORDER BY d) - 1 AS depth FROM cand, (SELECT unnest(range(0, 97)) AS d) WHERE frame_idx + {_OFF} BETWEEN 0 AND last_frame) SELECT * FROM l WHERE depth < 12")
