@@ -235,10 +235,10 @@ def class_counts(spark, d):
     return t.groupBy("frame").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("r", "cls", "c"))), lambda x: F.concat_ws(":", x["cls"], x["c"])), ", ").alias("caption"))
 
 
-@query("g5_group_statistics", f"WITH {S} SELECT query_id, gid, min(score) OVER w AS lo, max(score) OVER w AS hi, round(avg(score) OVER w, 6) AS mean, round(stddev_pop(score) OVER w, 6) AS sd FROM s WINDOW w AS (PARTITION BY query_id, video_id)")
+@query("g5_group_statistics", f"WITH {S} SELECT query_id, gid, min(score) OVER w AS lo, max(score) OVER w AS hi, round(avg(score) OVER w, 12) AS mean, round(stddev_pop(score) OVER w, 6) AS sd FROM s WINDOW w AS (PARTITION BY query_id, video_id)")
 def group_statistics(spark, d):
     w = Window.partitionBy("query_id", "video_id")
-    return scores(spark, d).select("query_id", "gid", F.min("score").over(w).alias("lo"), F.max("score").over(w).alias("hi"), F.round(F.avg("score").over(w), 6).alias("mean"), F.round(F.stddev_pop("score").over(w), 6).alias("sd"))
+    return scores(spark, d).select("query_id", "gid", F.min("score").over(w).alias("lo"), F.max("score").over(w).alias("hi"), F.round(F.avg("score").over(w), 12).alias("mean"), F.round(F.stddev_pop("score").over(w), 6).alias("sd"))
 
 
 @query("g6_rank_histogram", f"WITH {H}, f AS (SELECT query_id, min(rnk) AS r FROM h WHERE gid % 10 = query_id % 10 GROUP BY query_id) SELECT CASE WHEN r <= 1 THEN '1' WHEN r <= 5 THEN '2-5' WHEN r <= 20 THEN '6-20' WHEN r <= 50 THEN '21-50' WHEN r <= 100 THEN '51-100' ELSE 'later' END AS bucket, count(*) AS queries FROM f GROUP BY 1")
@@ -349,9 +349,9 @@ def box(spark, d):
 
 for _how, _x in (("mean", "score - avg(score) OVER o + avg(score) OVER a"), ("zscore", "(score - avg(score) OVER o) / (stddev_pop(score) OVER o + 1e-6) * stddev_pop(score) OVER a + avg(score) OVER a"), ("minmax", "CASE WHEN max(score) OVER o - min(score) OVER o > 1e-12 THEN (score - min(score) OVER o) / (max(score) OVER o - min(score) OVER o) ELSE 0 END")):
 
-    @query(f"h6_normal_{_how}", f"WITH {S} SELECT query_id, gid, round(CAST(0.5 AS DOUBLE) * score + CAST(0.5 AS DOUBLE) * ({_x}), 5) AS normal FROM s WINDOW o AS (PARTITION BY query_id, video_id), a AS (PARTITION BY query_id)")
+    @query(f"h6_normal_{_how}", f"WITH {S} SELECT query_id, gid, round(CAST(0.5 AS DOUBLE) * score + CAST(0.5 AS DOUBLE) * ({_x}), {8 if _how == 'minmax' else 5}) AS normal FROM s WINDOW o AS (PARTITION BY query_id, video_id), a AS (PARTITION BY query_id)")
     def normal(spark, d, how=_how):
-        return windows.normalise(scores(spark, d), ["query_id", "video_id"], ["query_id"], "score", how, 0.5, 5).select("query_id", "gid", "normal")
+        return windows.normalise(scores(spark, d), ["query_id", "video_id"], ["query_id"], "score", how, 0.5, 8 if how == "minmax" else 5).select("query_id", "gid", "normal")
 
 
 @query("h7_boundary", f"WITH {S} SELECT query_id, gid, round(score + coalesce(CAST(0.3 AS DOUBLE) * greatest(score - avg(score) OVER (PARTITION BY query_id, video_id ORDER BY n ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), 0), 0), 9) AS bumped FROM s")
