@@ -149,6 +149,14 @@ def quota_error(x: Column) -> Column:
 COLOURS = ("red", "orange", "yellow", "green", "blue", "purple", "pink", "brown", "white", "black", "gray")
 
 
+#: The same colours in Vietnamese.
+COLOURS_VI = {"red": "đỏ", "orange": "cam", "yellow": "vàng", "green": "xanh lá", "blue": "xanh dương", "purple": "tím", "pink": "hồng", "brown": "nâu", "white": "trắng", "black": "đen", "gray": "xám"}
+
+
+def colour_in_vietnamese(c: Column) -> Column:
+    return F.coalesce(*[F.when(c == k, v) for k, v in COLOURS_VI.items()])
+
+
 def colours_in(x: Column) -> Column:
     w = words(x)
     return F.filter(F.array(*map(F.lit, COLOURS)), lambda c: F.array_contains(w, c))
