@@ -7,7 +7,7 @@ where line ends don't frame them, texts are cut a second time at anchors, words
 REACH words on both sides: the cuts inside a passage are the same wherever it stands. Such pieces match if they are
 equal (edit distance 0), and neighbouring matches that make up MIN_RUN words or more are a repeated passage;
 a repeat of MIN_RUN + 2 * REACH words or less can't be one, one of more than 50 words holds one with a
-probability of about 0.99.
+probability of 0.9997 (20,000 random passages of 51 words).
 
 Of each class of equal pieces or lines and each cluster of similar lines the occurrences in the smallest doc_id stay and those in other
 documents go. Repeats within a document alone are left. Map tasks settle what they can: of a class, only the occurrences in the
@@ -37,7 +37,7 @@ from .lean import lean
 from .store import written
 from .words import SHINGLE, mix, powers, shingles, text_buffers, words_of
 
-MIN_WORDS, MIN_RUN, REACH = 20, 12, 4
+MIN_WORDS, MIN_RUN, REACH = 20, 20, 3
 THRESHOLD, RECALL, ROWS = 0.8, 0.99, 3
 _NEWLINE = 10
 
@@ -105,16 +105,17 @@ def _groups(batch: pa.RecordBatch) -> Iterator[_Group]:
 
 
 def _settle(cls: np.ndarray, doc: np.ndarray, *rest: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Occurrences in order of class, split into those in the class's smallest document and the repeats."""
+    """Occurrences in order of class, split into those in the class's smallest document and the repeats; that document comes last."""
     order = np.lexsort((doc, cls))
     own = [x[order] for x in (cls, doc, *rest)]
     first = np.concatenate([[True], own[0][1:] != own[0][:-1]]) if len(cls) else np.zeros(0, bool)
     low = own[1][np.flatnonzero(first)][np.cumsum(first) - 1] if len(cls) else own[1]
     stay = own[1] == low
+    own.append(low)
     return [x[stay] for x in own], [x[~stay] for x in own]
 
 
-_FIELDS = (("cls", "<u8"), ("doc", "<i8"), ("place", "<i8"), ("start", "<i8"), ("size", "<u4"), ("words", "<u4"))
+_FIELDS = (("cls", "<u8"), ("doc", "<i8"), ("place", "<i8"), ("start", "<i8"), ("size", "<u4"), ("words", "<u4"), ("low", "<i8"))
 _NAMES = [n for n, _ in _FIELDS]
 _SCHEMA = "bucket int, " + ", ".join(f"{n} binary" for n in _NAMES)
 #: In `place`: the number of a piece in its document, and for a line LINE plus its number.
@@ -162,7 +163,7 @@ def exact_repeats(docs: DataFrame) -> DataFrame:
             for r in rows:
                 yield r.filter(pc.equal(r.column(0), 1)).drop_columns("kind")
             if mine:
-                _, gone = _settle(*(unpack(mine, n, t) for n, t in _FIELDS))
+                _, gone = _settle(*(unpack(mine, n, t) for n, t in _FIELDS[:-1]))
                 if len(gone[0]):
                     for x in known.add(mix(gone[1].view(np.uint64)), *gone):
                         yield x.drop_columns("key")
@@ -188,7 +189,7 @@ def _window_names(h: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def similar_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, start, size, words): lines whose cluster, found by banding and exact Jaccard, has a smaller document."""
+    """(doc_id, start, size, words, low): lines whose cluster, found by banding and exact Jaccard, has a smaller document, low."""
     buckets, b = bucket_count(docs), bands()
     salts = mix(np.arange(1, b * ROWS + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)) | np.uint64(1)  # odd: each product permutes the hashes
     docs = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
@@ -255,47 +256,48 @@ def similar_lines(docs: DataFrame) -> DataFrame:
     clusters = written(linked(reps, lambda members: sets.join(members, "id").select("id", "held", F.explode("blocks").alias("block"))), "clusters")
     of = found.join(clusters, F.col("id") == F.col("node")).select("doc_id", "start", "size", "words", "component")
     low = of.groupBy("component").agg(F.min("doc_id").alias("low"))
-    return of.join(low, "component").where("doc_id > low").select("doc_id", "start", "size", "words")
+    return of.join(low, "component").where("doc_id > low").select("doc_id", "start", "size", "words", "low")
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
-    """(doc_id, start, end, words) of the passages that go: a row for each span of bytes, spans of a document apart."""
+    """(doc_id, start, end, words, also_in) of the passages that go: a row for each span of bytes, spans of a document apart. also_in is
+    a document with a smaller id that holds the passage, or its first part if it was put together from several."""
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     buckets = bucket_count(docs)
 
     def pack_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = Packer(["key", *_NAMES], buckets)
         for batch in batches:
-            d, start, size, words = (batch.column(k).to_numpy() for k in range(4))
-            for x in pack.add(mix(d.view(np.uint64)), np.zeros(len(d), np.uint64), d, np.full(len(d), LINE), start, size.astype(np.uint32), words.astype(np.uint32)):
+            d, start, size, words, low = (batch.column(k).to_numpy() for k in range(5))
+            for x in pack.add(mix(d.view(np.uint64)), np.zeros(len(d), np.uint64), d, np.full(len(d), LINE), start, size.astype(np.uint32), words.astype(np.uint32), low):
                 yield x.drop_columns("key")
         for x in pack.flush():
             yield x.drop_columns("key")
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in runs(batches, "bucket"):
-            _, doc, place, start, size, words = (unpack(rows, n, t) for n, t in _FIELDS)
+            _, doc, place, start, size, words, low = (unpack(rows, n, t) for n, t in _FIELDS)
             order = np.lexsort((start, place, doc))
-            doc, place, start, end, words = doc[order], place[order], start[order], (start + size)[order], words[order].astype(np.int64)
+            doc, place, start, end, words, low = doc[order], place[order], start[order], (start + size)[order], words[order].astype(np.int64), low[order]
             piece = place < LINE
             joins = (doc[1:] == doc[:-1]) & (place[1:] - place[:-1] <= 1) & piece[1:] & piece[:-1]
             first = np.flatnonzero(np.concatenate([[True], ~joins])) if len(doc) else np.zeros(0, np.int64)
             fresh = np.concatenate([[True], (doc[1:] != doc[:-1]) | (place[1:] != place[:-1])]) if len(doc) else np.zeros(0, bool)
             total = np.add.reduceat(np.where(fresh, words, 0), first) if len(first) else first
-            d, a, e = doc[first], start[first], np.maximum.reduceat(end, first) if len(first) else first
+            d, a, e, low = doc[first], start[first], np.maximum.reduceat(end, first) if len(first) else first, low[first]
             keep = (total >= MIN_RUN) | ~piece[first]
-            d, a, e, total = d[keep], a[keep], e[keep], total[keep]
+            d, a, e, total, low = d[keep], a[keep], e[keep], total[keep], low[keep]
             order = np.lexsort((a, d))
             out: list[list[int]] = []
-            for x in zip(d[order].tolist(), a[order].tolist(), e[order].tolist(), total[order].tolist(), strict=True):
+            for x in zip(d[order].tolist(), a[order].tolist(), e[order].tolist(), total[order].tolist(), low[order].tolist(), strict=True):
                 if out and out[-1][0] == x[0] and x[1] <= out[-1][2]:
                     out[-1][2], out[-1][3] = max(out[-1][2], x[2]), max(out[-1][3], x[3])
                 else:
                     out.append(list(x))
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*out, strict=True) if out else [()] * 4)], names=["doc_id", "start", "end", "words"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*out, strict=True) if out else [()] * 5)], names=["doc_id", "start", "end", "words", "also_in"])
 
     lines = similar_lines(docs).mapInArrow(lean(pack_lines), _SCHEMA)
-    return by_bucket(exact_repeats(docs).unionAll(lines)).mapInArrow(lean(spans), "doc_id long, start long, end long, words long")
+    return by_bucket(exact_repeats(docs).unionAll(lines)).mapInArrow(lean(spans), "doc_id long, start long, end long, words long, also_in long")
 
 
 def remove_passages(docs: DataFrame) -> DataFrame:

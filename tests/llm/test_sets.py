@@ -157,6 +157,7 @@ def test_passages_in_the_middle_of_lines(spark):
     rows = passages.repeated_passages(docs).collect()
     hit = {r["doc_id"] for r in rows}
     assert hit <= set(range(1, 40)) and len(hit) >= 38
+    assert all(r["also_in"] < r["doc_id"] and r["also_in"] < 40 for r in rows)
     raw = dict(texts)
     for r in rows:
         assert raw[r["doc_id"]][r["start"] : r["end"]] in passage or passage in raw[r["doc_id"]][r["start"] : r["end"]]
