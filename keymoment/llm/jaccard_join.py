@@ -38,7 +38,7 @@ from .store import written
 from .words import SHINGLE, mix, set_digest, shingles, signed, text_buffers, words_of
 
 #: Shingles in a task's block, or in each of the two chunks of a pair of chunks.
-BLOCK = 6_000_000
+BLOCK = 2_000_000
 #: The sample that finds frequent shingles takes about this many documents; a shingle is frequent with so many in it.
 SAMPLE_DOCS, SAMPLE_FREQUENT, FREQUENT_MOST = 20_000, 4, 200_000
 
