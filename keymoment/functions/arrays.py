@@ -16,7 +16,7 @@ def mean(a: Column) -> Column:
 
 def deviation(a: Column) -> Column:
     """Population standard deviation."""
-    return F.sqrt(total(F.transform(a, lambda x: (x - mean(a)) * (x - mean(a)))) / F.size(a))
+    return F.element_at(F.transform(F.array(mean(a)), lambda m: F.sqrt(total(F.transform(a, lambda x: (x - m) * (x - m))) / F.size(a))), 1)
 
 
 def sigmoid(x: Column, most: float = 50.0) -> Column:
@@ -24,8 +24,8 @@ def sigmoid(x: Column, most: float = 50.0) -> Column:
 
 
 def softmax(a: Column, temperature: float = 1.0) -> Column:
-    e = F.transform(a, lambda x: F.exp((x - F.array_max(a)) / temperature))
-    return F.transform(e, lambda x: x / total(e))
+    e = F.element_at(F.transform(F.array(F.array_max(a)), lambda m: F.transform(a, lambda x: F.exp((x - m) / temperature))), 1)
+    return F.element_at(F.transform(F.array(e), lambda y: F.element_at(F.transform(F.array(total(y)), lambda t: F.transform(y, lambda x: x / t)), 1)), 1)
 
 
 def quantise(x: Column, step: float = 1e-9) -> Column:

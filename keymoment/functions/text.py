@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -43,13 +44,21 @@ def is_stop(w: Column) -> Column:
     return w.isin(*STOP_WORDS)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once: an expression that a column function uses several times is else computed each time."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def tokens(x: Column) -> Column:
     """Words longer than a letter that aren't stop words, then pairs a_b of neighbours unless both are stop words."""
-    w = words(x)
-    one = F.filter(w, lambda t: ~is_stop(t) & (F.length(t) > 1))
-    n = F.size(w)
-    pairs = F.when(n > 1, F.zip_with(F.slice(w, 1, F.greatest(n - 1, F.lit(0))), F.slice(w, 2, F.greatest(n - 1, F.lit(0))), lambda a, b: F.when(~(is_stop(a) & is_stop(b)), F.concat_ws("_", a, b))))
-    return F.concat(one, F.coalesce(F.filter(pairs, lambda t: t.isNotNull()), F.array().cast("array<string>")))
+
+    def of(w: Column) -> Column:
+        one = F.filter(w, lambda t: ~is_stop(t) & (F.length(t) > 1))
+        n = F.greatest(F.size(w) - 1, F.lit(0))
+        pairs = F.zip_with(F.slice(w, 1, n), F.slice(w, 2, n), lambda a, b: F.when(~(is_stop(a) & is_stop(b)), F.concat_ws("_", a, b)))
+        return F.concat(one, F.array_compact(pairs))
+
+    return let(words(x), of)
 
 
 def metadata_tokens(x: Column, compounds: tuple[str, ...] = ()) -> Column:
@@ -102,10 +111,13 @@ def short_answer(x: Column, most: int = 200) -> Column:
 
 def entropy(x: Column) -> Column:
     """Shannon entropy of a text's letters, in bits."""
-    n = F.length(x).cast("double")
-    chars = F.filter(F.split(x, ""), lambda c: c != "")
-    p = F.transform(F.array_distinct(chars), lambda c: F.size(F.filter(chars, lambda y: y == c)) / n)
-    return F.aggregate(p, F.lit(0.0), lambda s, v: s - v * F.log2(v))
+
+    def of(chars: Column) -> Column:
+        n = F.size(chars).cast("double")
+        p = F.transform(F.array_distinct(chars), lambda c: F.size(F.filter(chars, lambda y: y == c)) / n)
+        return F.aggregate(p, F.lit(0.0), lambda s, v: s - v * F.log2(v))
+
+    return let(F.filter(F.split(x, ""), lambda c: c != ""), of)
 
 
 def minutes(seconds: Column) -> Column:

@@ -47,6 +47,21 @@ def bm25(post: DataFrame, key: str, terms: DataFrame, k1: float = 1.2, b: float
     return out.where(F.col("matched") >= least_terms)
 
 
+def bm25_documents(docs: DataFrame, key: str, tokens: Column, terms: DataFrame, k1: float = 1.2, b: float = 0.75, idf_over: float | None = None, least_terms: int = 1) -> DataFrame:
+    """bm25() straight from documents, for when postings aren't kept: a document's length is the size of its token array, and tokens
+    that no query has go before anything is shuffled."""
+    t = docs.select(key, tokens.alias("_t")).withColumn("dl", F.size("_t")).where("dl > 0")
+    stats = F.broadcast(collection(t))  # one row
+    hit = t.select(key, "dl", F.explode("_t").alias("term")).join(terms.select("term").distinct(), "term", "left_semi").groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    idf = frequencies(hit).join(stats).withColumn("idf", bm25_idf(F.col("n_docs"), F.col("df"))).select("term", "idf", "avg_dl")
+    if idf_over is not None:
+        idf = idf.where(F.col("idf") > idf_over)
+    tf = F.col("tf")
+    part = F.col("qtf") * F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / F.col("avg_dl")))
+    out = hit.join(terms.join(idf, "term"), "term").groupBy("query_id", key).agg(F.sum(part).alias("score"), F.count("*").alias("matched"))
+    return out.where(F.col("matched") >= least_terms)
+
+
 def query_terms(queries: DataFrame, tokens: Column) -> DataFrame:
     return queries.select("query_id", F.explode(tokens).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
 

@@ -57,19 +57,24 @@ def document_lengths(spark, d):
 
 @query("j1_bm25", f"WITH {POST}, {BM.replace('K1', '1.2').replace('IDFGATE', 'true')} SELECT query_id, doc_id, round(score, 5) AS score FROM bm")
 def bm25(spark, d):
+    return lexical.bm25_documents(documents(spark, d), "doc_id", text.tokens(F.col("body")), bench_terms(spark, d)).select("query_id", "doc_id", F.round("score", 5).alias("score"))
+
+
+@query("j1_bm25_postings", f"WITH {POST}, {BM.replace('K1', '1.2').replace('IDFGATE', 'true')} SELECT query_id, doc_id, round(score, 5) AS score FROM bm")
+def bm25_postings(spark, d):
     return lexical.bm25(doc_postings(spark, d), "doc_id", bench_terms(spark, d)).select("query_id", "doc_id", F.round("score", 5).alias("score"))
 
 
 @query("j3_metadata_bm25", f"WITH {POST}, p2 AS (SELECT doc_id, term, 1 AS tf FROM post), {BM.replace('K1', '1.5').replace('IDFGATE', 'ln(1 + (n_docs - df + 0.5) / (df + 0.5)) > 1').replace('FROM post', 'FROM p2')}, g AS (SELECT * FROM bm WHERE matched >= 2) SELECT query_id, doc_id, round(score / max(score) OVER (PARTITION BY query_id), 5) AS score FROM g".replace("dl AS (SELECT doc_id, sum(tf) AS dl FROM post", "dl AS (SELECT doc_id, count(*) AS dl FROM post"))
 def metadata_bm25(spark, d):
-    post = doc_postings(spark, d).withColumn("tf", F.lit(1))  # distinct tokens: every frequency is 1
-    s = lexical.bm25(post, "doc_id", bench_terms(spark, d), 1.5, 0.75, 1.0, 2)
+    once = F.array_distinct(text.tokens(F.col("body")))  # every frequency is 1
+    s = lexical.bm25_documents(documents(spark, d), "doc_id", once, bench_terms(spark, d), 1.5, 0.75, 1.0, 2)
     return s.select("query_id", "doc_id", F.round(F.col("score") / F.max("score").over(Window.partitionBy("query_id")), 5).alias("score"))
 
 
 @query("c9_idf_gate", f"WITH {POST}, g AS (SELECT query_id, doc_id, count(DISTINCT term) AS terms FROM post JOIN qt USING (term) JOIN fr USING (term), st WHERE ln(1 + (n_docs - df + 0.5) / (df + 0.5)) > 1 GROUP BY ALL) SELECT * FROM g WHERE terms >= 2")
 def idf_gate(spark, d):
-    s = lexical.bm25(doc_postings(spark, d), "doc_id", bench_terms(spark, d), idf_over=1.0, least_terms=2)
+    s = lexical.bm25_documents(documents(spark, d), "doc_id", text.tokens(F.col("body")), bench_terms(spark, d), idf_over=1.0, least_terms=2)
     return s.select("query_id", "doc_id", F.col("matched").alias("terms"))
 
 
@@ -161,7 +166,7 @@ def speech_decay(spark, d):
 
 @query("j13_spread_gate", f"WITH {POST}, {BM.replace('K1', '1.2').replace('IDFGATE', 'true')}, r AS (SELECT *, round(score, 6) AS s, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS r FROM bm), t AS (SELECT query_id, max(CASE WHEN r = 1 THEN s END) AS s1, max(CASE WHEN r = 2 THEN s END) AS s2 FROM r GROUP BY query_id) SELECT query_id, round((s1 - s2) / s1, 5) AS spread, round((s1 - s2) / s1, 5) >= 0.1 AS open FROM t")
 def spread_gate(spark, d):
-    s = lexical.bm25(doc_postings(spark, d), "doc_id", bench_terms(spark, d)).withColumn("s", F.round("score", 6))
+    s = lexical.bm25_documents(documents(spark, d), "doc_id", text.tokens(F.col("body")), bench_terms(spark, d)).withColumn("s", F.round("score", 6))
     t = topk.top_per_group(s, ["query_id"], [F.desc("s"), F.asc("doc_id")], 2, "r").groupBy("query_id").agg(F.max(F.when(F.col("r") == 1, F.col("s"))).alias("s1"), F.max(F.when(F.col("r") == 2, F.col("s"))).alias("s2"))
     x = F.round((F.col("s1") - F.col("s2")) / F.col("s1"), 5)
     return t.select("query_id", x.alias("spread"), (x >= 0.1).alias("open"))
