@@ -7,11 +7,23 @@ from pyspark.sql import functions as F
 
 
 def nearest(left: DataFrame, right: DataFrame, keys: list[str], a: str, b: str, left_id: list[str], take: list[str]) -> DataFrame:
-    """For each left row the right row of its keys whose b is nearest to a; ties: the smaller b. An equi-join and a minimum
-    of structs, combined before its shuffle."""
-    pairs = left.join(right.select(*keys, F.col(b).alias("_b"), *[F.col(c).alias(f"_t_{c}") for c in take]), keys)
-    best = pairs.groupBy(*left_id).agg(F.min(F.struct(F.abs(F.col(a) - F.col("_b")).alias("d"), F.col("_b").alias("b"), *[F.col(f"_t_{c}").alias(c) for c in take])).alias("_m"))
-    return best.select(*left_id, F.col("_m.d").alias("distance"), *[F.col(f"_m.{c}").alias(c) for c in take])
+    """For each left row the right row of its keys whose b is nearest to a; ties: the smaller b, then the smaller taken values.
+    Rows without a right row of their keys go.
+
+    Both sides are put in one order by key and value, and the last right row is carried along upwards and downwards: work grows
+    with rows and not with pairs."""
+    from pyspark.sql import Window
+
+    r = right.select(*keys, F.col(b).cast("double").alias("_x"), F.lit(0).alias("_side"), F.struct(F.col(b).alias("b"), *[F.col(c).alias(c) for c in take]).alias("_r"))
+    l = left.select(*keys, F.col(a).cast("double").alias("_x"), F.lit(1).alias("_side"), F.col(a).alias("_a"), *[F.col(c) for c in left_id])
+    both = l.unionByName(r, allowMissingColumns=True)
+    w = Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, 0)
+    under = F.last("_r", ignorenulls=True).over(w.orderBy("_x", "_side", F.desc("_r")))
+    over = F.last("_r", ignorenulls=True).over(w.orderBy(F.desc("_x"), "_side", F.desc("_r")))
+    near = both.withColumn("_u", under).withColumn("_o", over).where("_side = 1")
+    found = [F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col("_a") - F.col(f"{c}.b")).alias("d"), F.col(c).alias("r"))) for c in ("_u", "_o")]
+    best = near.select(*left_id, F.array_min(F.array_compact(F.array(*found))).alias("_m")).where("_m is not null")
+    return best.select(*left_id, F.col("_m.d").alias("distance"), *[F.col(f"_m.r.{c}").alias(c) for c in take])
 
 
 def within(left: DataFrame, right: DataFrame, keys: list[str], x: str, lo: str, hi: str, how: str = "inner") -> DataFrame:
