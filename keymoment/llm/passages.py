@@ -3,13 +3,14 @@
 Paragraphs come in two forms. Lines of MIN_WORDS words or more are compared by MinHash banding over their 5-word
 shingles: bands are tuned for RECALL at a Jaccard similarity of 0.8, colliding lines form candidate blocks, blocks are
 joined by exact Jaccard, and links are clustered by components. As passages are also pasted into the middle of lines,
-where line ends don't frame them, texts are cut a second time at anchors, words whose hash is the lowest within
-REACH words on both sides: the cuts inside a passage are the same wherever it stands. Such pieces match if they are
-equal (edit distance 0), and neighbouring matches that make up MIN_RUN words or more are a repeated passage;
-a repeat of MIN_RUN + 2 * REACH words or less can't be one, one of more than 50 words holds one with a
-probability of 0.9997 (20,000 random passages of 51 words).
-
-Of each class of equal pieces or lines and each cluster of similar lines the occurrences in the smallest doc_id stay and those in other
+where line ends don't frame them, windows of MIN_RUN words of a document are winnowed: of every REACH windows in a row the one with the
+smallest hash, the rightmost of equal ones, is a mark. Marks depend on the words of those REACH windows only, so a passage of
+MIN_RUN + REACH - 1 words or more has at least one of its own wherever it stands, whatever its words, and all from the first
+to the last of its own are the same. Marks match if they are equal (edit distance 0); what overlaps is put together. So a repeat
+of MIN_RUN + REACH - 1 words or more is always found, a shorter one of MIN_RUN words may be; at most REACH - 1 words at each
+edge of a repeat stay. In a run of one word or of a short cycle neighbouring marks are equal and count as one.
+
+Of each class of equal marks or lines and each cluster of similar lines the occurrences in the smallest doc_id stay and those in other
 documents go. Repeats within a document alone are left. Map tasks settle what they can: of a class, only the occurrences in the
 task's smallest doc_id are shuffled, the others are known repeats already, so a passage of any frequency leaves
 a task once. Offsets are of bytes in UTF-8.
@@ -37,7 +38,7 @@ from .lean import lean
 from .store import written
 from .words import SHINGLE, mix, powers, shingles, text_buffers, words_of
 
-MIN_WORDS, MIN_RUN, REACH = 20, 20, 3
+MIN_WORDS, MIN_RUN, REACH = 20, 20, 7
 THRESHOLD, RECALL, ROWS = 0.8, 0.99, 3
 _NEWLINE = 10
 
@@ -47,18 +48,25 @@ def bands(threshold: float = THRESHOLD, recall: float = RECALL, rows: int = ROWS
     return math.ceil(math.log(1 - recall) / math.log(1 - threshold**rows))
 
 
-def anchors(h: np.ndarray, reach: int = REACH) -> np.ndarray:
-    """Places of words whose hash is lower than all others within reach words; fewer neighbours than that: no anchor."""
-    n = len(h)
-    if n < 2 * reach + 1:
-        return np.zeros(0, np.int64)
-    v = mix(h ^ np.uint64(0x8CB92BA72F3D8DD7))
-    mid = v[reach : n - reach]
-    low = np.ones(len(mid), bool)
-    for k in range(2 * reach + 1):
-        if k != reach:
-            low &= mid < v[k : k + len(mid)]
-    return np.flatnonzero(low) + reach
+def marks(h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first words, ends, names) of the winnowed windows of documents' words; row has the document of each word."""
+    m = len(h) - MIN_RUN - REACH + 2
+    if m <= 0:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    at = np.arange(m + REACH - 1)
+    names = _window_names(h, at, at + MIN_RUN)
+    low, best = names[:m], at[:m]
+    for k in range(1, REACH):
+        less = names[k : k + m] <= low
+        low, best = np.where(less, names[k : k + m], low), np.where(less, at[k : k + m], best)
+    best = best[row[:m] == row[MIN_RUN + REACH - 2 :]]  # all windows in one document
+    best = best[np.concatenate([[True], best[1:] != best[:-1]])] if len(best) else best
+    if not len(best):
+        return best, best, names[:0]
+    fresh = np.concatenate([[True], (names[best[1:]] != names[best[:-1]]) | (row[best[1:]] != row[best[:-1]])])
+    first = np.flatnonzero(fresh)
+    last = np.concatenate([first[1:], [len(best)]]) - 1
+    return best[first], best[last] + MIN_RUN, names[best[first]]
 
 
 class _Group:
@@ -85,14 +93,12 @@ class _Group:
         long = ends - self.lines >= MIN_WORDS
         return self.lines[long], ends[long]
 
-    def pieces(self) -> tuple[np.ndarray, np.ndarray]:
-        """(first words, ends) of the pieces between anchors of a document."""
-        c = anchors(self.h)
-        if len(c):
-            c = c[(self.row[c - REACH] == self.row[c]) & (self.row[c + REACH] == self.row[c])]
-        a, b = c[:-1], c[1:]
-        same = self.row[a] == self.row[b]
-        return a[same], b[same]
+    def marks(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return marks(self.h, self.row)
+
+    def place(self, a: np.ndarray) -> np.ndarray:
+        """The number of words in its document."""
+        return a - self.at[self.row[a]]
 
 
 def _groups(batch: pa.RecordBatch) -> Iterator[_Group]:
@@ -118,18 +124,33 @@ def _settle(cls: np.ndarray, doc: np.ndarray, *rest: np.ndarray) -> tuple[list[n
 _FIELDS = (("cls", "<u8"), ("doc", "<i8"), ("place", "<i8"), ("start", "<i8"), ("size", "<u4"), ("words", "<u4"), ("low", "<i8"))
 _NAMES = [n for n, _ in _FIELDS]
 _SCHEMA = "bucket int, " + ", ".join(f"{n} binary" for n in _NAMES)
-#: In `place`: the number of a piece in its document, and for a line LINE plus its number.
-LINE = 1 << 40
+# place is the number of the first word in its document
+
+
+def _joined(doc: np.ndarray, place: np.ndarray, start: np.ndarray, size: np.ndarray, words: np.ndarray, low: np.ndarray) -> list[np.ndarray]:
+    """Spans of documents with those that overlap put together, in order; low is that of the first part."""
+    order = np.lexsort((low, start, doc))
+    doc, place, start, low = doc[order], place[order], start[order], low[order]
+    end, stop = start + size[order].astype(np.int64), place + words[order].astype(np.int64)
+    if not len(doc):
+        return [doc, place, start, end.astype(np.uint32), stop.astype(np.uint32), low]
+    other = doc[1:] != doc[:-1]
+    shift = np.concatenate([[0], np.cumsum(other)]) * (int(end.max()) + 1)
+    so_far = np.maximum.accumulate(end + shift) - shift
+    i = np.flatnonzero(np.concatenate([[True], other | (start[1:] > so_far[:-1])]))
+    at = np.minimum.reduceat(place, i)
+    return [doc[i], at, start[i], (np.maximum.reduceat(end, i) - start[i]).astype(np.uint32), (np.maximum.reduceat(stop, i) - at).astype(np.uint32), low[i]]
 
 
 def exact_repeats(docs: DataFrame) -> DataFrame:
-    """Packed rows of the occurrences of pieces and lines outside the smallest document of their class, bucketed by document."""
+    """Packed rows of the occurrences of marks and lines outside the smallest document of their class, bucketed by document."""
     buckets = bucket_count(docs)
 
     def split(own: list[np.ndarray], gone: list[np.ndarray], out: Packer, known: Packer) -> Iterator[tuple[int, pa.RecordBatch]]:
         yield from ((0, x) for x in out.add(*own)) if out else ()
         if len(gone[0]):
-            yield from ((1, x) for x in known.add(mix(gone[1].view(np.uint64)), *gone))
+            gone = _joined(*gone[1:])
+            yield from ((1, x) for x in known.add(mix(gone[0].view(np.uint64)), np.zeros(len(gone[0]), np.uint64), *gone))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, known = Packer(_NAMES, buckets), Packer(["key", *_NAMES], buckets)
@@ -143,10 +164,9 @@ def exact_repeats(docs: DataFrame) -> DataFrame:
 
         for batch in batches:
             for g in _groups(batch):
-                for (a, b), salt, base in ((g.pieces(), 0, 0), (g.long_lines(), 0x5851F42D4C957F2D, LINE)):
-                    place = np.arange(len(a)) - np.searchsorted(g.row[a], np.arange(len(g.at) - 1))[g.row[a]] if len(a) else a
-                    names = _window_names(g.h, a, b) ^ np.uint64(salt)
-                    held.append((names, g.ids[a], base + place, g.starts[a], (g.ends[b - 1] - g.starts[a]).astype(np.uint32), (b - a).astype(np.uint32)))
+                a, b = g.long_lines()
+                for a, b, names in (g.marks(), (a, b, _window_names(g.h, a, b) ^ np.uint64(0x5851F42D4C957F2D))):
+                    held.append((names, g.ids[a], g.place(a), g.starts[a], (g.ends[b - 1] - g.starts[a]).astype(np.uint32), (b - a).astype(np.uint32)))
                     n += len(a)
             if n > 1 << 20:
                 yield from settle()
@@ -165,7 +185,8 @@ def exact_repeats(docs: DataFrame) -> DataFrame:
             if mine:
                 _, gone = _settle(*(unpack(mine, n, t) for n, t in _FIELDS[:-1]))
                 if len(gone[0]):
-                    for x in known.add(mix(gone[1].view(np.uint64)), *gone):
+                    gone = _joined(*gone[1:])
+                    for x in known.add(mix(gone[0].view(np.uint64)), np.zeros(len(gone[0]), np.uint64), *gone):
                         yield x.drop_columns("key")
         for x in known.flush():
             yield x.drop_columns("key")
@@ -189,7 +210,7 @@ def _window_names(h: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def similar_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, start, size, words, low): lines whose cluster, found by banding and exact Jaccard, has a smaller document, low."""
+    """(doc_id, place, start, size, words, low): lines whose cluster, found by banding and exact Jaccard, has a smaller document, low."""
     buckets, b = bucket_count(docs), bands()
     salts = mix(np.arange(1, b * ROWS + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)) | np.uint64(1)  # odd: each product permutes the hashes
     docs = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
@@ -246,17 +267,17 @@ def similar_lines(docs: DataFrame) -> DataFrame:
                     row = g.first + int(g.row[x])
                     if k in names[row]:
                         d = int(g.id_of_row[g.row[x]])
-                        out.append((k, d, int(g.starts[x]), int(g.ends[y - 1] - g.starts[x]), y - x, np.unique(shingles(g.h[x:y])).tobytes() if (k, d) not in done else b""))
+                        out.append((k, d, x - int(g.at[g.row[x]]), int(g.starts[x]), int(g.ends[y - 1] - g.starts[x]), y - x, np.unique(shingles(g.h[x:y])).tobytes() if (k, d) not in done else b""))
                         done.add((k, d))
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True) if out else [()] * 6, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["id", "doc_id", "start", "size", "words", "held"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True) if out else [()] * 7, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["id", "doc_id", "place", "start", "size", "words", "held"])
 
-    found = written(docs.join(wanted.hint("merge"), docs["doc_id"] == wanted["doc"]).select("doc_id", "text", "names").mapInArrow(lean(find), "id long, doc_id long, start long, size long, words long, held binary"), "lines")
+    found = written(docs.join(wanted.hint("merge"), docs["doc_id"] == wanted["doc"]).select("doc_id", "text", "names").mapInArrow(lean(find), "id long, doc_id long, place long, start long, size long, words long, held binary"), "lines")
     reps = found.where("octet_length(held) > 0").join(blocks, F.col("id") == F.col("node")).select("id", "component", (F.octet_length("held") / 8).cast("int").alias("size"))
     sets = found.where("octet_length(held) > 0").select("id", "held")
     clusters = written(linked(reps, lambda members: sets.join(members, "id").select("id", "held", F.explode("blocks").alias("block"))), "clusters")
-    of = found.join(clusters, F.col("id") == F.col("node")).select("doc_id", "start", "size", "words", "component")
+    of = found.join(clusters, F.col("id") == F.col("node")).select("doc_id", "place", "start", "size", "words", "component")
     low = of.groupBy("component").agg(F.min("doc_id").alias("low"))
-    return of.join(low, "component").where("doc_id > low").select("doc_id", "start", "size", "words", "low")
+    return of.join(low, "component").where("doc_id > low").select("doc_id", "place", "start", "size", "words", "low")
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
@@ -268,33 +289,16 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     def pack_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = Packer(["key", *_NAMES], buckets)
         for batch in batches:
-            d, start, size, words, low = (batch.column(k).to_numpy() for k in range(5))
-            for x in pack.add(mix(d.view(np.uint64)), np.zeros(len(d), np.uint64), d, np.full(len(d), LINE), start, size.astype(np.uint32), words.astype(np.uint32), low):
+            d, place, start, size, words, low = (batch.column(k).to_numpy() for k in range(6))
+            for x in pack.add(mix(d.view(np.uint64)), np.zeros(len(d), np.uint64), d, place, start, size.astype(np.uint32), words.astype(np.uint32), low):
                 yield x.drop_columns("key")
         for x in pack.flush():
             yield x.drop_columns("key")
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in runs(batches, "bucket"):
-            _, doc, place, start, size, words, low = (unpack(rows, n, t) for n, t in _FIELDS)
-            order = np.lexsort((start, place, doc))
-            doc, place, start, end, words, low = doc[order], place[order], start[order], (start + size)[order], words[order].astype(np.int64), low[order]
-            piece = place < LINE
-            joins = (doc[1:] == doc[:-1]) & (place[1:] - place[:-1] <= 1) & piece[1:] & piece[:-1]
-            first = np.flatnonzero(np.concatenate([[True], ~joins])) if len(doc) else np.zeros(0, np.int64)
-            fresh = np.concatenate([[True], (doc[1:] != doc[:-1]) | (place[1:] != place[:-1])]) if len(doc) else np.zeros(0, bool)
-            total = np.add.reduceat(np.where(fresh, words, 0), first) if len(first) else first
-            d, a, e, low = doc[first], start[first], np.maximum.reduceat(end, first) if len(first) else first, low[first]
-            keep = (total >= MIN_RUN) | ~piece[first]
-            d, a, e, total, low = d[keep], a[keep], e[keep], total[keep], low[keep]
-            order = np.lexsort((a, d))
-            out: list[list[int]] = []
-            for x in zip(d[order].tolist(), a[order].tolist(), e[order].tolist(), total[order].tolist(), low[order].tolist(), strict=True):
-                if out and out[-1][0] == x[0] and x[1] <= out[-1][2]:
-                    out[-1][2], out[-1][3] = max(out[-1][2], x[2]), max(out[-1][3], x[3])
-                else:
-                    out.append(list(x))
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*out, strict=True) if out else [()] * 5)], names=["doc_id", "start", "end", "words", "also_in"])
+            d, _, start, size, words, low = _joined(*(unpack(rows, n, t) for n, t in _FIELDS[1:]))
+            yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (d, start, start + size, words, low)], names=["doc_id", "start", "end", "words", "also_in"])
 
     lines = similar_lines(docs).mapInArrow(lean(pack_lines), _SCHEMA)
     return by_bucket(exact_repeats(docs).unionAll(lines)).mapInArrow(lean(spans), "doc_id long, start long, end long, words long, also_in long")

@@ -190,6 +190,38 @@ def test_passages_odd_rows(spark):
     assert passages.bands(0.8, 0.99, 3) == 7
 
 
+def test_repetitive_passages_in_the_middle_of_lines(spark):
+    rng = random.Random(11)
+    cycles = (["to.", "ndti"], ["by"], ["by"] * 3 + ["he"] * 3, ["a", "b", "a"], ["one", "two", "three", "four", "five", "six", "seven", "eight", "nine"])
+    for n in (passages.MIN_RUN + passages.REACH - 1, 60):
+        shared = [" ".join((c * 60)[:n]) for c in cycles] + [prose(n, rng) for _ in range(20)]
+        texts = [(2 * i + j, f"{prose(40, rng)} {x} {prose(40, rng)}") for i, x in enumerate(shared) for j in range(2)]
+        assert {r["doc_id"]: r["also_in"] for r in passages.repeated_passages(frame(spark, texts)).collect()} == {i: i - 1 for i, _ in texts if i % 2}
+
+
+def test_marks_against_brute_force():
+    rng = random.Random(12)
+    for _ in range(60):
+        docs = [np.array([rng.randrange(rng.choice([1, 2, 3, 1000])) for _ in range(rng.choice([0, 5, 19, 25, 26, 27, 60, 200]))], np.uint64) for _ in range(4)]
+        h, row = words.mix(np.concatenate(docs) + np.uint64(1)), np.repeat(np.arange(4), [len(d) for d in docs])
+        a, e, names = passages.marks(h, row)
+        want = set()
+        for r in range(4):
+            at = np.flatnonzero(row == r)[: max(0, int((row == r).sum()) - passages.MIN_RUN + 1)]
+            own = passages._window_names(h, at, at + passages.MIN_RUN).tolist()
+            for k in range(len(own) - passages.REACH + 1):
+                w = own[k : k + passages.REACH]
+                want.add(int(at[0]) + k + max(j for j in range(passages.REACH) if w[j] == min(w)))
+        inside = np.zeros(len(h) + 1, np.int64)
+        for x in want:
+            inside[x : x + passages.MIN_RUN] = 1
+        mine = np.zeros(len(h) + 1, np.int64)
+        for x, y in zip(a.tolist(), e.tolist(), strict=True):
+            assert row[x] == row[y - 1]
+            mine[x:y] = 1
+        assert (mine == inside).all() and set(a.tolist()) <= want
+
+
 # --- decontamination
 
 
