@@ -76,7 +76,8 @@ def tokens_of(offsets: np.ndarray, data: np.ndarray) -> Iterator[tuple[int, int,
         joined = ((number & after_number & (gap == 1) & ((sep == 46) | (sep == 44))) | (name & np.concatenate([[False], name[:-1]]))) & ~first
         keep = np.flatnonzero(~joined)
         slot = (number | name | unit)[keep]
-        total = np.cumsum(h * mix(np.cumsum(joined).astype(np.uint64)) if joined.any() else h)  # of the parts of a joined slot
+        part = np.arange(n) - keep[np.cumsum(~joined) - 1]  # place in its slot
+        total = np.cumsum(np.where(part > 0, h * mix(part.astype(np.uint64)), h))  # of the parts of a joined slot
         last = np.concatenate([keep[1:], [n]]) - 1
         value = np.where(slot, mix(total[last] - total[keep] + h[keep]) | np.uint64(1), np.uint64(0))
         new_at = np.searchsorted(keep, at)

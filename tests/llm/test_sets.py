@@ -248,3 +248,18 @@ def test_leaks_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK", 200)
     got = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
     assert got == {(i, i % 30) for i in range(60) if i % 2}
+
+
+def test_slots_of_several_parts(spark):
+    item = "The bakery sold 500 loaves to Anna before noon and then it gave another 500 loaves to Anna for the late market"
+    parts = item.replace("500", "1,200").replace("Anna", "Mary Smith")
+    bench = spark.createDataFrame([(1, item), (2, parts.replace("bakery", "stall"))], "item_id long, text string")
+    uneven = parts.replace("bakery", "stall").replace("1,200", "1,300", 1).replace("Mary Smith", "Mary Jones", 1)
+    docs = frame(spark, [(10, f"so 1,7 it was. {parts}"), (11, f"at 3.5 then. {bench.collect()[1]['text']}"), (12, f"well. {uneven}")])
+    got = {(r["doc_id"], r["item_id"]): r for r in decontaminate.leaks(docs, bench).collect()}
+    assert got[10, 1]["changed"] and not got[11, 2]["changed"] and got[10, 1]["coverage"] == got[11, 2]["coverage"] == 1
+    assert (12, 2) not in got
+    for text in ("1,200", "Mary Smith"):
+        offsets, data = words.text_buffers(pa.array([f"so {text} and {text}", f"x 1,5 y {text}"]))
+        _, _, at, _, value, _, _ = next(decontaminate.tokens_of(offsets, data))[:7]
+        assert value[1] == value[3] == value[-1] != 0
