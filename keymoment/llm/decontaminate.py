@@ -5,12 +5,14 @@ typed placeholders, neighbouring numbers joined by a point or comma and neighbou
 words stand for themselves in lower case. Windows of WINDOW tokens with MIN_LITERALS words or more are hashed; documents' windows meet
 the benchmark's in a hash join, and matches on a diagonal (document place minus item place) are put together. On a diagonal,
 an item's slot values must map to one document value each (a changed question changes a number everywhere); diagonals that don't
-are left out. A document leaks an item if COVER of the item's tokens are matched by what remains.
+are left out. What of an item lies in no window with MIN_LITERALS words is compared word by word instead, names and numbers included: windows of
+WINDOW words there are matched as they stand, so verbatim copies of items dense in numbers or capitals are found, changed ones aren't.
+A document leaks an item if COVER of the item's tokens (of its words, if some are compared word by word) are matched by what remains.
 
 The benchmark is read in blocks of BLOCK windows at most, each of which fits a broadcast by that bound; every block
 meets all documents. No document windows are shuffled.
 
-Defined cases: null or empty document or item texts match nothing; an item with fewer than MIN_LITERALS tokens can't be
+Defined cases: null or empty document or item texts match nothing; an item with fewer than MIN_LITERALS words can't be
 told from chance and is left out; one shorter than WINDOW is a window of its own length; items that repeat an item_id are all compared, and the
 largest coverage counts; repeated documents are judged each, so their rows repeat in the result; extra columns are ignored or, by drop_leaks(), kept.
 """
@@ -18,6 +20,7 @@ largest coverage counts; repeated documents are judged each, so their rows repea
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -44,14 +47,24 @@ def _unit_hashes() -> np.ndarray:
 _UNIT_WORDS = _unit_hashes()
 
 
-def tokens_of(offsets: np.ndarray, data: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(first row, end row, tokens' offsets by row, canonical tokens, values, starts, ends) of groups of rows; value is 0 for a literal."""
+class Words(NamedTuple):
+    """Words before they become tokens: offsets by row, hashes, starts, ends, and the first word of each token."""
+
+    at: np.ndarray
+    h: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+    keep: np.ndarray
+
+
+def tokens_of(offsets: np.ndarray, data: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, Words]]:
+    """(first row, end row, tokens' offsets by row, canonical tokens, values, starts, ends, words) of groups of rows; value is 0 for a literal."""
     if not len(data):
         data = np.zeros(1, np.uint8)
     for i, j, at, starts, ends, h in words_of(offsets, data, breaks=NOT_ALNUM):
         n = len(h)
         if not n:
-            yield i, j, np.zeros(j - i + 1, np.int64), h, h, starts, ends
+            yield i, j, np.zeros(j - i + 1, np.int64), h, h, starts, ends, Words(at, h, starts, ends, np.zeros(0, np.int64))
             continue
         first = np.zeros(n + 1, bool)
         first[at[:-1]] = True
@@ -81,7 +94,7 @@ def tokens_of(offsets: np.ndarray, data: np.ndarray) -> Iterator[tuple[int, int,
         last = np.concatenate([keep[1:], [n]]) - 1
         value = np.where(slot, mix(total[last] - total[keep] + h[keep]) | np.uint64(1), np.uint64(0))
         new_at = np.searchsorted(keep, at)
-        yield i, j, new_at, token[keep], value, starts[keep], ends[last]
+        yield i, j, new_at, token[keep], value, starts[keep], ends[last], Words(at, h, starts, ends, keep)
 
 
 def windows(token: np.ndarray, value: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -97,40 +110,19 @@ def windows(token: np.ndarray, value: np.ndarray, n: int) -> tuple[np.ndarray, n
     return h, literal[n:] - literal[:m] >= min(MIN_LITERALS, n)
 
 
-class Items:
-    """Windows of a block of items: sorted hashes, and of each the item's number and the place in it."""
+class _Index:
+    """Sorted hashes of windows, and of each the item's number, the place in it and the window's size."""
 
-    def __init__(self, ids: list[int], texts: list[str], window: int = WINDOW):
-        self.ids, self.tokens, self.values = [], [], []
-        offsets, data = text_buffers(pa.array(texts, pa.string()))
-        for i, j, at, token, value, _, _ in tokens_of(offsets, data):
-            for r in range(i, j):
-                a, b = at[r - i], at[r - i + 1]
-                if b - a >= MIN_LITERALS:
-                    self.ids.append(ids[r])
-                    self.tokens.append(token[a:b])
-                    self.values.append(value[a:b])
-        h, item, place, size = [], [], [], []
-        for k, (t, v) in enumerate(zip(self.tokens, self.values, strict=True)):
-            n = min(window, len(t))
-            x, ok = windows(t, v, n)
-            h.append(x[ok])
-            item.append(np.full(int(ok.sum()), k))
-            place.append(np.flatnonzero(ok))
-            size.append(n)
-        self.sizes = sorted(set(size))
-        self.size = np.array(size, np.int64)
-        h = np.concatenate(h) if h else np.zeros(0, np.uint64)
-        order = np.argsort(h, kind="stable")
+    def __init__(self, rows: list[tuple[int, int, np.ndarray, np.ndarray]]):  # item's number, window's size, hashes, places
+        order = np.argsort(h := np.concatenate([np.zeros(0, np.uint64), *(x for _, _, x, _ in rows)]), kind="stable")
         self.h = h[order]
-        self.item = (np.concatenate(item) if item else np.zeros(0, np.int64))[order]
-        self.place = (np.concatenate(place) if place else np.zeros(0, np.int64))[order]
+        self.item, self.place, self.size = (np.concatenate([np.zeros(0, np.int64), *x])[order] for x in ([np.full(len(x), k) for k, _, x, _ in rows], [p for *_, p in rows], [np.full(len(x), n) for _, n, x, _ in rows]))
+        self.sizes = sorted({n for _, n, x, _ in rows if len(x)})
         self.sieve = np.zeros(1 << 22, bool)
         self.sieve[(self.h >> np.uint64(42)).astype(np.int64)] = True
 
-    def match(self, token: np.ndarray, value: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int, float, int, bool, int, int]]:
-        """(row, item's number, coverage, slots, changed, first token, last) of leaks in rows at[i]:at[i + 1]."""
-        found: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
+    def hits(self, token: np.ndarray, value: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
+        """(row, item's number, document place less item place, item place, size) of equal windows."""
         for n in self.sizes:
             h, ok = windows(token, value, n)
             hit = np.flatnonzero(self.sieve[(h >> np.uint64(42)).astype(np.int64)] & ok)
@@ -142,15 +134,52 @@ class Items:
             inside = hit + n <= at[row + 1]
             for p, r, a, b in zip(hit[inside].tolist(), row[inside].tolist(), lo[inside].tolist(), hi[inside].tolist(), strict=True):
                 for k in range(a, b):
-                    item = int(self.item[k])
-                    if self.size[item] == n:
-                        found.setdefault((r, item), []).append((p - int(self.place[k]), int(self.place[k]), n))
-        for (r, item), places in found.items():
-            own = self.values[item]
-            covered, slots, changed, low, high = np.zeros(len(own), bool), 0, False, None, 0
-            diagonals: dict[int, np.ndarray] = {}
-            for d, p, n in places:
-                diagonals.setdefault(d, np.zeros(len(own), bool))[p : p + n] = True
+                    if self.size[k] == n:
+                        yield r, int(self.item[k]), p - int(self.place[k]), int(self.place[k]), n
+
+
+class Items:
+    """Windows of a block of items: of tokens with enough literals, and of words for what of an item lies in none of those."""
+
+    def __init__(self, ids: list[int], texts: list[str], window: int = WINDOW):
+        self.ids, self.values, self.parts, self.by_word = [], [], [], []
+        by_token, by_word = [], []
+        offsets, data = text_buffers(pa.array(texts, pa.string()))
+        for i, j, at, token, value, _, _, words in tokens_of(offsets, data):
+            for r in range(i, j):
+                a, b, c, d = at[r - i], at[r - i + 1], words.at[r - i], words.at[r - i + 1]
+                if d - c < MIN_LITERALS:
+                    continue
+                k = len(self.ids)
+                self.ids.append(ids[r])
+                self.values.append(value[a:b])
+                self.parts.append(np.diff(np.concatenate([words.keep[a:b], [d]])))  # words of each token
+                seen = np.zeros(b - a, bool)
+                if b - a >= MIN_LITERALS:
+                    n = min(window, int(b - a))
+                    x, ok = windows(token[a:b], value[a:b], n)
+                    by_token.append((k, n, x[ok], np.flatnonzero(ok)))
+                    for p in np.flatnonzero(ok):
+                        seen[p : p + n] = True
+                self.by_word.append(not seen.all())
+                if not seen.all():
+                    n = min(window, int(d - c))
+                    x, _ = windows(words.h[c:d], np.zeros(d - c, np.uint64), n)
+                    left = np.concatenate([[0], np.cumsum(~np.repeat(seen, self.parts[k]))])
+                    ok = left[n:] > left[:-n]
+                    by_word.append((k, n, x[ok], np.flatnonzero(ok)))
+        self.tokens, self.words = _Index(by_token), _Index(by_word)
+
+    def match(self, at: np.ndarray, token: np.ndarray, value: np.ndarray, starts: np.ndarray, ends: np.ndarray, words: Words) -> Iterator[tuple[int, int, float, int, bool, int, int]]:
+        """(row, item's number, coverage, slots, changed, start of the first match, end of the last) of leaks in rows at[i]:at[i + 1]."""
+        found: dict[tuple[int, int], tuple[dict[int, np.ndarray], dict[int, np.ndarray]]] = {}
+        for kind, hits in enumerate((self.tokens.hits(token, value, at), self.words.hits(words.h, np.zeros(len(words.h), np.uint64), words.at))):
+            for r, item, d, p, n in hits:
+                size = int(self.parts[item].sum()) if kind else len(self.parts[item])
+                found.setdefault((r, item), ({}, {}))[kind].setdefault(d, np.zeros(size, bool))[p : p + n] = True
+        for (r, item), (diagonals, by_word) in found.items():
+            own, parts = self.values[item], self.parts[item]
+            covered, slots, changed, low, high = np.zeros(len(own), bool), 0, False, [], []
             for d, mask in diagonals.items():
                 where = np.flatnonzero(mask)
                 mine, theirs = own[where], value[where + d]
@@ -161,10 +190,19 @@ class Items:
                 covered |= mask
                 slots += int(s.sum())
                 changed |= any(x != y for x, y in pairs)
-                low = int(where[0] + d) if low is None else min(low, int(where[0] + d))
-                high = max(high, int(where[-1] + d))
-            if low is not None and covered.mean() >= COVER:
-                yield r, item, float(covered.mean()), slots, changed, low, high
+                low.append(starts[where[0] + d])
+                high.append(ends[where[-1] + d])
+            share = np.repeat(covered, parts) if self.by_word[item] else covered
+            for d, mask in by_word.items():
+                where = np.flatnonzero(mask)
+                new = np.logical_and.reduceat(mask, np.cumsum(parts) - parts) & ~covered
+                covered |= new
+                slots += int((new & (own != 0)).sum())
+                share = share | mask
+                low.append(words.starts[where[0] + d])
+                high.append(words.ends[where[-1] + d])
+            if low and share.mean() >= COVER:
+                yield r, item, float(share.mean()), slots, changed, int(min(low)), int(max(high))
 
 
 def _item_blocks(benchmark: DataFrame) -> Iterator[tuple[list[int], list[str]]]:
@@ -190,10 +228,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 docs_of = batch.column(0).to_pylist()
                 offsets, data = text_buffers(batch.column(1))
                 found = []
-                for i, _, at, token, value, starts, ends in tokens_of(offsets, data):
-                    for r, item, cover, slots, changed, low, high in items.match(token, value, at):
+                for i, _, *rest in tokens_of(offsets, data):
+                    for r, item, cover, slots, changed, low, high in items.match(*rest):
                         base = int(offsets[i + r])
-                        found.append({"doc_id": docs_of[i + r], "item_id": items.ids[item], "coverage": round(cover, 6), "slots": slots, "changed": changed, "start": int(starts[low]) - base, "end": int(ends[high]) - base})
+                        found.append({"doc_id": docs_of[i + r], "item_id": items.ids[item], "coverage": round(cover, 6), "slots": slots, "changed": changed, "start": low - base, "end": high - base})
                 yield pa.RecordBatch.from_pylist(found, schema=kinds)
 
         kinds = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("coverage", pa.float64()), ("slots", pa.int32()), ("changed", pa.bool_()), ("start", pa.int64()), ("end", pa.int64())])
@@ -210,8 +248,8 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             for batch in batches:
                 keep = np.ones(batch.num_rows, bool)
                 offsets, data = text_buffers(batch.column(batch.schema.get_field_index("text")))
-                for i, _, at, token, value, _, _ in tokens_of(offsets, data):
-                    for r, *_ in items.match(token, value, at):
+                for i, _, *rest in tokens_of(offsets, data):
+                    for r, *_ in items.match(*rest):
                         keep[i + r] = False
                 yield batch.filter(pa.array(keep))
 

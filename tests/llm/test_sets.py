@@ -263,3 +263,19 @@ def test_slots_of_several_parts(spark):
         offsets, data = words.text_buffers(pa.array([f"so {text} and {text}", f"x 1,5 y {text}"]))
         _, _, at, _, value, _, _ = next(decontaminate.tokens_of(offsets, data))[:7]
         assert value[1] == value[3] == value[-1] != 0
+
+
+def test_items_of_few_literals(spark):
+    items = ["Compute 12 + 7 * 3 - 45 / 9 + 18 * 2 - 6", "Solve for x: 3x + 7 = 22, 5x - 4 = 11, 2x + 9 = 31", "What Is The Capital Of The French Republic?", "3 + 4 = 7 9", "Of The", "the long old road goes down to the sea and then on 11 + 12 + 13 + 14 + 15 + 16 + 17 + 18 + 19 + 20 + 21 + 22"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    rng = random.Random(13)
+    texts = [(10 + k, f"{prose(30, rng)} Then {x} {prose(9, rng)}") for k, x in enumerate(items)]
+    texts += [(20, f"{prose(30, rng)} Compute 13 + 8 * 4 - 46 / 8 + 17 * 3 - 5"), (21, prose(90, rng)), (22, "12 7 3 and 45"), (23, f"Then {items[5].replace('15', '99')}")]
+    got = {(r["doc_id"], r["item_id"]): r for r in decontaminate.leaks(frame(spark, texts), bench).collect()}
+    assert {k for k in got if k[0] != 23} == {(10 + k, k) for k in range(6) if k != 4}
+    raw = dict(texts)
+    for k in (0, 1, 2, 3, 5):
+        r = got[10 + k, k]
+        assert r["coverage"] == 1 and not r["changed"] and raw[10 + k].encode()[r["start"] : r["end"]].decode() == items[k].rstrip("?")
+    assert 0.5 <= got[23, 5]["coverage"] < 1
+    assert {r["doc_id"] for r in decontaminate.drop_leaks(frame(spark, texts), bench).collect()} == {14, 20, 21, 22}
