@@ -1,6 +1,8 @@
 """Operator 4: licence scans by a trained paragraph classifier.
 
-Paragraphs are lines. A multinomial logistic regression over hashed word unigrams and bigrams, kept sparse by L1
+Paragraphs are lines and, for text wrapped over several, runs of lines with words in them (comment marks are no words). Such a
+run as a whole is tried, then that from its first to its last line of a class other than `none`; if that is confirmed and has more words
+of its template than any confirmed line of the run has of its own, it takes the place of its lines. A multinomial logistic regression over hashed word unigrams and bigrams, kept sparse by L1
 shrinkage, is trained on templates (statements and openings of the families below), on variants of them by rule (parts, other
 case, words put before, after or out), on statements of made-up licences as the class `unknown`, and on a bounded sample of
 the corpus's own lines as the class `none`. Its probabilities are calibrated by a temperature fitted on variants that
@@ -219,6 +221,20 @@ def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
         number[model.features] = np.arange(len(model.features))
         none, templates = model.classes.index("none"), _template_sets()
         hinted = (model.w[:, :none].max(1) > 0) & (model.w[:, :none].max(1) > model.w[:, none])
+
+        def judge(one: np.ndarray, two: np.ndarray, w: np.ndarray) -> dict | None:
+            own, pairs = one[w], two[w[:-1]]
+            f = number[np.unique(np.concatenate([own, pairs]))]
+            f = f[f >= 0]
+            p = _softmax(((model.w[f].sum(0) + model.b) / model.temperature)[None])[0]
+            k = int(p.argmax())
+            if k == none:
+                return None
+            family = model.classes[k] if p[k] >= CONFIDENT else "unknown"
+            words = np.unique(own)
+            share = max(((x / len(t), x / len(words), x) for x, t in ((len(np.intersect1d(words, t)), t) for n, t in templates if n == family)), default=(0.0, 0.0, 0))
+            return {"words": w, "common": share[2], "family": family, "probability": round(float(p[k]), 6), "confirmed": bool(share[0] >= CONFIRM), "template_share": round(float(share[1]), 6)}
+
         for batch in batches:
             ids, found = batch.column(0).to_pylist(), []
             offsets, data = text_buffers(batch.column(1))
@@ -231,19 +247,27 @@ def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
                     a, b, base = int(at[r]), int(at[r + 1]), int(offsets[i + r])
                     breaks = np.flatnonzero(data[base : int(offsets[i + r + 1])] == 10) + base
                     line_of = np.searchsorted(breaks, starts[a:b])
-                    for line in np.unique(line_of[hit[rows == r] - a]).tolist():
-                        w = np.flatnonzero(line_of == line) + a
-                        own, pairs = one[w], two[w[:-1]]
-                        f = number[np.unique(np.concatenate([own, pairs]))]
-                        f = f[f >= 0]
-                        p = _softmax(((model.w[f].sum(0) + model.b) / model.temperature)[None])[0]
-                        k = int(p.argmax())
-                        if k == none:
+                    seen: dict[int, dict] = {}
+                    hits = np.unique(line_of[hit[rows == r] - a])
+                    for line in hits.tolist():
+                        if (x := judge(one, two, np.flatnonzero(line_of == line) + a)) is not None:
+                            seen[line] = x
+                    own = np.unique(line_of)
+                    for run_of in np.split(own, np.flatnonzero(np.diff(own) > 1) + 1):
+                        u, v = int(run_of[0]), int(run_of[-1])
+                        k = np.searchsorted(hits, u)
+                        if u == v or k == len(hits) or hits[k] > v:
                             continue
-                        family = model.classes[k] if p[k] >= CONFIDENT else "unknown"
-                        words = np.unique(own)
-                        share = max(((len(np.intersect1d(words, t)) / len(t), len(np.intersect1d(words, t)) / len(words)) for n, t in templates if n == family), default=(0.0, 0.0))
-                        found.append({"doc_id": ids[i + r], "line": line, "start": int(starts[w[0]]) - base, "end": int(ends[w[-1]]) - base, "family": family, "probability": round(float(p[k]), 6), "confirmed": bool(share[0] >= CONFIRM), "template_share": round(float(share[1]), 6)})
+                        inner = [x for x in seen if u <= x <= v]
+                        least = max((seen[x]["common"] for x in inner if seen[x]["confirmed"]), default=0)
+                        for y, z in dict.fromkeys([(u, v), (min(inner, default=u), max(inner, default=v))]):
+                            x = judge(one, two, np.flatnonzero((line_of >= y) & (line_of <= z)) + a)
+                            if x is not None and x["confirmed"] and x["common"] > least:
+                                seen = {n: o for n, o in seen.items() if not y <= n <= z} | {y: x}
+                                break
+                    for line, x in sorted(seen.items()):
+                        w, _ = x.pop("words"), x.pop("common")
+                        found.append({"doc_id": ids[i + r], "line": line, "start": int(starts[w[0]]) - base, "end": int(ends[w[-1]]) - base, **x})
             yield pa.RecordBatch.from_pylist(found, schema=kinds)
 
     kinds = pa.schema([("doc_id", pa.int64()), ("line", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("family", pa.string()), ("probability", pa.float64()), ("confirmed", pa.bool_()), ("template_share", pa.float64())])

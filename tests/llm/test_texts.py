@@ -6,6 +6,7 @@ import hashlib
 import io
 import random
 import tarfile
+import textwrap
 import zlib
 
 import numpy as np
@@ -213,6 +214,23 @@ def test_licences(spark, docs, odd):
     assert licenses.scan(odd, model).count() == 0 and licenses.scan(docs.limit(0)).count() == 0
 
 
+def test_wrapped_licences(spark, docs):
+    model = licenses.train(docs)
+    texts, want = [], []
+    for family, k in (("mit", 2), ("gpl-3.0", 1)):
+        for width in (72, 79):
+            for mark in ("", "# ", " * "):
+                lines = [mark + x for x in textwrap.wrap(licenses.TEMPLATES[family][k], width)]
+                texts.append("\n".join(["#!/bin/sh", "", *lines, "", "The cat sat on the mat", "and looked at the sea."]))
+                want.append((family, "\n".join(lines).lstrip("#* ").rstrip(".")))
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in licenses.scan(rows, model).collect()}
+    assert licenses.scan(rows, model).count() == len(texts) == len(got)
+    for i, (family, part) in enumerate(want):
+        assert got[i]["confirmed"] and got[i]["family"] == family and got[i]["line"] == 2
+        assert texts[i].encode()[got[i]["start"] : got[i]["end"]].decode() == part
+
+
 def test_pipeline_stages(spark, docs):
     at, kept = docs, {"start": docs}
     for name, stage in corpus_pipeline.STAGES:
