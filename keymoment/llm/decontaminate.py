@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .buckets import Packer, runs, unpack
 from .lean import lean
-from .store import new_path, open_fs, written
+from .store import fresh, new_path, open_fs, written
 from .words import NOT_ALNUM, mix, powers, text_buffers, words_of
 
 WINDOW, MIN_LITERALS, COVER = 8, 4, 0.5
@@ -325,5 +325,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id") -> DataFra
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the rows that leak an item; columns stay. Each row is judged by its own text, which a hash of 64 bits stands for."""
-    gone = written(leaks(docs, benchmark, "xxhash64(text)").select(F.col("doc_id").alias("leak")).distinct(), "leaks")
-    return docs.join(gone, F.xxhash64(docs["text"]) == gone["leak"], "left_anti")
+    own = fresh(docs, "leak")
+    gone = written(leaks(docs, benchmark, "xxhash64(text)").select(F.col("doc_id").alias(own)).distinct(), "leaks")
+    return docs.join(gone, F.xxhash64(docs["text"]) == gone[own], "left_anti")

@@ -9,29 +9,55 @@ from pyspark.sql import functions as F
 from .store import drop, written
 
 
-def components(edges: DataFrame) -> DataFrame:
+#: A hub has more than HUB ends and more than one in HUBS of all, so there are fewer than HUBS of them; its rows are dealt to SALTS places.
+HUB, HUBS, SALTS = 1000, 500, 64
+
+
+def _with_lowest(e: DataFrame, ends: int, itself: bool, hub: int) -> DataFrame:
+    """e(u, v), a written table of so many rows, with m, the smallest v of each u (or u, with itself)."""
+    low = e.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    if itself:
+        low = low.withColumn("m", F.least("m", "u"))
+    most = max(hub, ends // HUBS)
+    hubs = {r["u"]: r["m"] for r in low.where(F.col("n") > most).collect()} if ends > most else {}  # under HUBS rows, as their n add up to ends
+    if not hubs:
+        return e.join(low.select("u", "m"), "u")
+    known = F.create_map(*(F.lit(x) for pair in hubs.items() for x in pair))
+    salt = F.when(F.col("u").isin(list(hubs)), F.pmod(F.hash("v"), F.lit(SALTS)) + 1).otherwise(0)
+    rows = e.withColumn("salt", salt).join(low.where(F.col("n") <= most).select("u", F.lit(0).alias("salt"), "m"), ["u", "salt"], "left")
+    return rows.select("u", "v", F.coalesce("m", known[F.col("u")]).alias("m"))
+
+
+def components(edges: DataFrame, hub: int = HUB) -> DataFrame:
     """(node, component) for the nodes of edges (u, v), both long; component is the smallest reachable node.
 
-    Each step is two grouped minima and equi-joins, so a hub's edges are pre-aggregated and its join splits
-    under adaptive execution. Rounds grow with the logarithm of the longest path; each ends in a written table.
+    Each step is a grouped minimum, which map tasks combine, and an equi-join with it; the rows of hubs get theirs from a
+    map of under HUBS entries and are dealt apart, so no task gets a hub's edges. Rounds grow with the logarithm of the
+    longest path; each ends in a written table. The result reads one such table, which drop() deletes.
     An empty edge table gives an empty result; null ends and loops are ignored.
     """
-    e = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct()
-    e, last = written(e, "edges"), None
+    e = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct(), "edges")
+    last, ends = None, 2 * e.count()
     while True:
         both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").where("u > v").distinct()
-        new = written(small, "edges")
+        large = _with_lowest(both, ends, True, hub).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v")
+        wide = ends > hub
+        if wide:
+            large = written(large.distinct(), "edges")
+        small = _with_lowest(large, ends, False, hub) if wide else large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
+        pairs = F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v"))))
+        new = written(small.select(pairs.alias("e")).select("e.*").where("u > v").distinct(), "edges")
         state = new.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first()
         drop(e)
-        e = new
+        if wide:
+            drop(large)
+        e, ends = new, 2 * state[0]
         if state == last:
             break
         last = state
-    return e.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component").unionAll(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    out = e.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component").unionAll(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    out._keymoment_path = e._keymoment_path
+    return out
 
 
 class Forest:

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .buckets import Packer, bucket_count, by_bucket, runs, unpack
 from .graph import Forest, components, spanning
 from .lean import lean
-from .store import written
+from .store import drop, fresh, written
 from .words import SHINGLE, mix, set_digest, shingles, signed, text_buffers, words_of
 
 #: Shingles in a task's block, or in each of the two chunks of a pair of chunks.
@@ -259,7 +259,9 @@ def linked(reps: DataFrame, attach: Callable[[DataFrame], DataFrame]) -> DataFra
 
     held = attach(reps.select("id", pairs.alias("blocks"))).select("id", "held", "block")
     links = held.repartition(bucket_count(held), "block").sortWithinPartitions("block").mapInArrow(lean(link), "u long, v long")
-    return components(links)
+    found = components(links)
+    drop(reps)
+    return found
 
 
 def jaccard_components(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
@@ -281,6 +283,7 @@ def jaccard_components(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
         return rows.mapInArrow(lean(to_sets), "id long, held binary, blocks array<string>").select("id", "held", F.explode("blocks").alias("block"))
 
     found = linked(reps, attach)
+    drop(blocks)
     classes = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("component_id"))
     out = meta.join(classes, ["d1", "d2"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNull(), None).when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("_k"))
     return out.select("doc_id", "n_shingles", "component_id")
@@ -288,5 +291,6 @@ def jaccard_components(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
 
 def one_of_each(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
     """docs without the documents whose component has a smaller doc_id; columns stay. Rows with a null doc_id stay."""
-    gone = jaccard_components(docs, n).where("component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    own = fresh(docs, "gone")
+    gone = jaccard_components(docs, n).where("component_id < doc_id").select(F.col("doc_id").alias(own)).distinct()
+    return docs.join(gone, docs["doc_id"] == gone[own], "left_anti")

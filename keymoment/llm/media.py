@@ -30,7 +30,7 @@ from .buckets import bucket_count
 from .lean import lean
 from .store import new_path, open_fs, written
 
-WIDTH, LEVEL, SHARD_BYTES, PACK_BYTES = 576, 6, 256 << 20, 1 << 20
+WIDTH, LEVEL, SHARD_BYTES, PACK_BYTES, READ_BYTES = 576, 6, 256 << 20, 1 << 20, 64 << 20
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"  # fixed by the format
 
 
@@ -213,7 +213,9 @@ def _read(index: DataFrame, each: Callable[[Callable[[int], bytes], int], tuple]
         if file:
             file.close()
 
-    dealt = index.select("digest", "shard", "offset", "length").repartitionByRange("shard", "offset").sortWithinPartitions("shard", "offset")
+    stored = index.agg(F.sum("length")).first()[0] or 0  # a task for each READ_BYTES of entries, however small the index is
+    tasks = max(bucket_count(index), -(-stored // READ_BYTES))
+    dealt = index.select("digest", "shard", "offset", "length").repartitionByRange(tasks, "shard", "offset").sortWithinPartitions("shard", "offset")
     return dealt.mapInArrow(lean(run), f"digest binary, shard string, offset long, length long, {schema}")
 
 

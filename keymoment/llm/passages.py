@@ -16,8 +16,9 @@ task's smallest doc_id are shuffled, the others are known repeats already, so a
 a task once. Offsets are of bytes in UTF-8.
 
 Defined cases: null or empty text has no paragraphs; a null doc_id is neither compared nor cut; rows that repeat a doc_id are
-one document (they don't repeat each other, and spans of either are cut from both); extra columns are ignored by
-repeated_passages() and kept by remove_passages().
+one document (they don't repeat each other, and spans of either are cut from both); ties don't arise, as ids that are equal are one
+document; a text of any length is read whole, in pieces of words.PIECE bytes; an empty table gives an empty one; extra columns are ignored by
+repeated_passages() and kept by remove_passages(), whatever their names.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ from .buckets import Packer, bucket_count, by_bucket, runs, unpack
 from .graph import components, spanning
 from .jaccard_join import linked
 from .lean import lean
-from .store import written
+from .store import drop, fresh, written
 from .words import SHINGLE, mix, powers, shingles, text_buffers, words_of
 
 MIN_WORDS, MIN_RUN, REACH = 20, 20, 7
@@ -257,7 +258,7 @@ def similar_lines(docs: DataFrame) -> DataFrame:
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names = batch.column(batch.schema.get_field_index("names")).to_pylist()
+            names = [set(x) for x in batch.column(batch.schema.get_field_index("names")).to_pylist()]
             out: list[tuple] = []
             done: set[tuple[int, int]] = set()
             for g in _groups(batch):
@@ -275,6 +276,8 @@ def similar_lines(docs: DataFrame) -> DataFrame:
     reps = found.where("octet_length(held) > 0").join(blocks, F.col("id") == F.col("node")).select("id", "component", (F.octet_length("held") / 8).cast("int").alias("size"))
     sets = found.where("octet_length(held) > 0").select("id", "held")
     clusters = written(linked(reps, lambda members: sets.join(members, "id").select("id", "held", F.explode("blocks").alias("block"))), "clusters")
+    drop(edges)
+    drop(blocks)
     of = found.join(clusters, F.col("id") == F.col("node")).select("doc_id", "place", "start", "size", "words", "component")
     low = of.groupBy("component").agg(F.min("doc_id").alias("low"))
     return of.join(low, "component").where("doc_id > low").select("doc_id", "place", "start", "size", "words", "low")
@@ -309,9 +312,10 @@ def remove_passages(docs: DataFrame) -> DataFrame:
 
     White space that meets where a passage was becomes one space or line end. Documents without repeats stay as they are.
     """
-    cuts = repeated_passages(docs).groupBy(F.col("doc_id").alias("_cut_id")).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_cuts"))
+    own, spans = fresh(docs, "cut_id"), fresh(docs, "cuts")
+    cuts = repeated_passages(docs).groupBy(F.col("doc_id").alias(own)).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias(spans))
     columns = docs.columns
-    rows = docs.join(cuts.hint("merge"), docs["doc_id"] == cuts["_cut_id"], "left").select(*(docs[c] for c in columns), "_cuts")
+    rows = docs.join(cuts.hint("merge"), docs["doc_id"] == cuts[own], "left").select(*(docs[c] for c in columns), cuts[spans])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -128,6 +128,21 @@ def test_components_of_a_path_and_a_star(spark):
     assert graph.components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_components_with_hubs(spark, monkeypatch):
+    """Hubs as smallest and as largest node, with a tail each, against union-find."""
+    rng = random.Random(4)
+    edges = [(0, i) for i in range(1, 60)] + [(5000, i) for i in range(1000, 1060)] + [(59, 300), (300, 301), (1059, 2000)] + [(rng.randrange(6000, 6100), rng.randrange(6000, 6100)) for _ in range(60)]
+    rng.shuffle(edges)
+    up = graph.Forest(7000)
+    for u, v in edges:
+        up.union(u, v)
+    want = {x: up.find(x) for e in edges if e[0] != e[1] for x in e}
+    monkeypatch.setattr(graph, "HUBS", 20)
+    for hub in (3, 30, 10**6):
+        got = graph.components(spark.createDataFrame(edges, "u long, v long").repartition(3), hub).collect()
+        assert len(got) == len(want) and {r["node"]: r["component"] for r in got} == want
+
+
 def test_word_hashes_depend_on_words_only(monkeypatch):
     rng = random.Random(1)
     texts = [prose(rng.choice([0, 1, 50, 700]), rng).replace(" ", rng.choice([" ", "\n", "  "])) for _ in range(20)] + ["é É", None]
@@ -188,6 +203,10 @@ def test_passages_odd_rows(spark):
     assert passages.repeated_passages(frame(spark, [])).count() == 0
     assert passages.remove_passages(frame(spark, [])).count() == 0
     assert passages.bands(0.8, 0.99, 3) == 7
+    clash = docs.where("doc_id > 2").withColumns({n: F.lit(n) for n in ("_cuts", "cuts", "_cut_id", "CUT_ID", "gone", "_gone", "names", "doc")})
+    for step in (passages.remove_passages, jaccard_join.one_of_each):
+        left = step(clash)
+        assert left.columns == clash.columns and {r["gone"] for r in left.collect()} == {"gone"}
 
 
 def test_repetitive_passages_in_the_middle_of_lines(spark):
@@ -241,13 +260,99 @@ def test_leaks_and_changed_slots(spark):
     assert decontaminate.leaks(docs, bench.limit(0)).count() == 0 and decontaminate.leaks(docs.limit(0), bench).count() == 0
 
 
-def test_leaks_in_blocks(spark, monkeypatch):
-    rng = random.Random(2)
-    items = [(i, prose(rng.randint(15, 50), rng)) for i in range(30)]
-    docs = frame(spark, [(i, f"{prose(20, rng)} {items[i % 30][1]}" if i % 2 else prose(60, rng)) for i in range(60)])
-    monkeypatch.setattr(decontaminate, "BLOCK", 200)
-    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
-    assert got == {(i, i % 30) for i in range(60) if i % 2}
+def brute_tokens(text: str) -> tuple[list[tuple[str, tuple | None, int]], list[str]]:
+    """((literal or type, value of a slot, number of words), ...) and the words of a text, by the module's rules."""
+    words_of, tokens, last, after = [], [], "", 0
+    for m in re.finditer(r"[0-9A-Za-z\u0080-\U0010ffff]+", text):
+        raw = m[0]
+        w = re.sub("[A-Z]", lambda x: x[0].lower(), raw)
+        gap = text[after : m.start()]
+        fresh = not words_of or re.search(r"[\n!.:?]", gap)
+        digits, spelt = raw[0].isascii() and raw[0].isdigit(), w in decontaminate.NUMBERS
+        name = bool(re.match(r"[A-ZÀ-Þ]", raw)) and not spelt and w not in decontaminate.OPENERS
+        kind = "digits" if digits else "spelt" if spelt else "name" if name else "unit" if w in decontaminate.UNITS and last in ("digits", "spelt") else ""
+        glued = words_of and kind == last and ((kind == "digits" and gap in (".", ",")) or (kind == "spelt" and gap in (" ", "-")) or (kind == "name" and gap in (" ", "-") and not fresh))
+        if glued:
+            t, v, n = tokens[-1]
+            tokens[-1] = (t, (*v, w), n + 1)
+        elif kind:
+            tokens.append(({"spelt": "digits"}.get(kind, kind).upper(), (w,), 1))
+        else:
+            tokens.append((w, None, 1))
+        words_of.append(w)
+        last, after = kind, m.end()
+    return tokens, words_of
+
+
+def brute_leaks(docs, items) -> dict[tuple[int, int], tuple[float, bool]]:
+    out = {}
+    for i, item in items:
+        own, own_words = brute_tokens(item or "")
+        if len(own_words) < decontaminate.MIN_LITERALS:
+            continue
+        n = min(decontaminate.WINDOW, len(own))
+        good = [p for p in range(len(own) - n + 1) if sum(v is None for _, v, _ in own[p : p + n]) >= min(n, decontaminate.MIN_LITERALS)] if len(own) >= decontaminate.MIN_LITERALS else []
+        seen = {p + k for p in good for k in range(n)}
+        starts = np.cumsum([0, *(k for *_, k in own)]).tolist()
+        unseen = {w for k in range(len(own)) if k not in seen for w in range(starts[k], starts[k + 1])}
+        m = min(decontaminate.WINDOW, len(own_words))
+        for d, text in docs:
+            theirs, their_words = brute_tokens(text or "")
+            diagonals: dict[int, set[int]] = {}
+            for p in good:
+                for q in range(len(theirs) - n + 1):
+                    if [t for t, *_ in theirs[q : q + n]] == [t for t, *_ in own[p : p + n]]:
+                        diagonals.setdefault(q - p, set()).update(range(p, p + n))
+            covered, changed = set(), False
+            for k, places in diagonals.items():
+                pairs = {(own[p][1], theirs[p + k][1]) for p in places if own[p][1]}
+                if len({a for a, _ in pairs}) == len(pairs) == len({b for _, b in pairs}):
+                    covered |= places
+                    changed |= any(a != b for a, b in pairs)
+            share = {w for p in covered for w in range(starts[p], starts[p + 1])}
+            for p in range(len(own_words) - m + 1):
+                if unseen & set(range(p, p + m)) and any(their_words[q : q + m] == own_words[p : p + m] for q in range(len(their_words) - m + 1)):
+                    share |= set(range(p, p + m))
+            cover = len(share) / len(own_words) if unseen else len(covered) / len(own)
+            if cover >= decontaminate.COVER and share:
+                out[d, i] = (round(cover, 6), changed)
+    return out
+
+
+def test_leaks_against_brute_force(spark):
+    rng = random.Random(17)
+    names, units = ["Anna", "Peter Smith", "Ghent", "Mary-Ann"], ["km", "hours", "apples", "%"]
+
+    def filled(template):
+        return " ".join({"#": rng.choice(["5", "12", "3.5", "1,200", "seven", "twenty five"]), "@": rng.choice(names), "u": rng.choice(units)}.get(w, w) for w in template)
+
+    templates = [[rng.choice(["#", "@", "# u", *VOCABULARY[:40]] if rng.random() < 0.4 else VOCABULARY[:400]) for _ in range(rng.randint(3, 30))] for _ in range(25)]
+    templates = [" ".join(t).split() for t in templates]
+    items = [(i, ("What. " if i % 7 == 0 else "") + filled(t)) for i, t in enumerate(templates)]
+    texts = []
+    for k in range(160):
+        t = rng.choice(templates)
+        inner = rng.choice(items)[1] if k % 3 == 0 else filled(t)
+        if k % 5 == 0:
+            w = inner.split()
+            inner = " ".join(w[rng.randrange(len(w)) :] + w[: rng.randrange(len(w))])
+        texts.append((k, f"{prose(rng.randint(0, 20), rng)}{rng.choice([' ', '. ', chr(10), ', '])}{inner}{rng.choice(['', ' ', '. '])}{prose(rng.randint(0, 9), rng)}"))
+    got = {(r["doc_id"], r["item_id"]): (r["coverage"], r["changed"]) for r in decontaminate.leaks(frame(spark, texts).repartition(3), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == brute_leaks(texts, items) and len(got) > 40 and any(c for _, c in got.values())
+
+
+def test_leaks_odd_rows(spark):
+    rng = random.Random(21)
+    item = "Anna walks 12 km on the first day and 7 km on the second day before she rests near Ghent"
+    bench = spark.createDataFrame([(1, item), (1, item), (1, prose(12, rng)), (None, prose(30, rng)), (4, "")], "item_id long, text string").withColumn("h", F.lit(0))
+    long = prose(150_000, rng) + " " + item
+    same = item.replace("12", "9").replace("7", "9")  # two values of the item stand for one
+    texts = [(None, item), (1, f"so. {item}"), (1, f"so. {item}"), (2, long), (3, same), (4, None), (5, "")]
+    docs = frame(spark, texts).withColumn("leak", F.lit("x")).withColumn("_leak", F.lit("y")).withColumn("row", F.lit(1))
+    got = sorted([(r["doc_id"], r["item_id"], r["start"]) for r in decontaminate.leaks(docs, bench).collect()], key=repr)
+    assert got == sorted([(None, 1, 0), (1, 1, 4), (1, 1, 4), (2, 1, len(long) - len(item))], key=repr)
+    kept = decontaminate.drop_leaks(docs, bench)
+    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [3, 4, 5]
 
 
 def test_slots_of_several_parts(spark):

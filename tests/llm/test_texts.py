@@ -11,6 +11,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -143,16 +144,72 @@ def test_languages_odd_rows(spark, docs, odd):
     assert got[0] == got[10] == got[None] == "und" and got[6] in names
     assert {r["lang_pred"] for r in language.predict_languages(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
     assert language.predict_languages(docs.limit(0)).count() == 0
-    kept = language.keep_identified(docs)
-    assert kept.columns == docs.columns and kept.count() == docs.where(F.col("text").rlike(r"\p{L}")).count()
+    clash = docs.withColumn("score", F.lit(1)).withColumn("lang_pred", F.lit("x"))
+    kept = language.keep_identified(clash)
+    assert kept.columns == clash.columns and kept.count() == docs.where(F.col("text").rlike(r"\p{L}")).count()
+    blind = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert language.keep_identified(blind).count() == kept.count()  # nothing was learned, so nothing is told apart
+    assert language.keep_identified(docs.limit(0)).count() == 0
+
+
+def brute_vector(text: str | None) -> np.ndarray:
+    out = np.zeros(language.DIM)
+    for word in "".join(c.lower()[0] if c.isalpha() else " " for c in text or "").split():
+        draw = [np.random.default_rng([language.SEED, ord(c)]).choice(np.array([-1, 1], np.float32), language.DIM) for c in f" {word} "]
+        for x, y, z in zip(draw, draw[1:], draw[2:], strict=False):
+            out += np.roll(x, 2) * np.roll(y, 1) * z
+    return out
+
+
+def test_languages_against_brute_force(spark, docs):
+    """Cosines, prototypes and the pipeline's decision in plain Python, with texts in scripts that nothing was learned from."""
+    rng = random.Random(3)
+    rows = [(r["doc_id"], r["text"][:400], r["lang"]) for r in docs.orderBy("doc_id").limit(40).collect()]
+    rows += [(1000 + i, "".join(rng.choice("αβγδεζηθικλμνξοπρστυφχψω ") for _ in range(200)), None) for i in range(30)] + [(2000, None, "en"), (2001, "", "en"), (2002, "12 34", "en"), (None, "some words", "en")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    vectors = {i: brute_vector(t) for i, t, _ in rows}
+    names = sorted({x for i, t, x in rows if x and t is not None and i is not None and zlib.crc32(str(i).encode()) % 4 != 2})
+    sums = {n: np.zeros(language.DIM) for n in names}
+    for i, t, x in rows:
+        if x and t is not None and i is not None and zlib.crc32(str(i).encode()) % 4 != 2:
+            sums[x] += vectors[i] / max(1, sum(c.isalpha() for c in t))
+    got = {r["doc_id"]: r for r in language.predict_languages(frame).collect()}
+    kept = {r["doc_id"] for r in language.keep_identified(frame).collect()}
+    for i, t, _ in rows:
+        cos = [float(vectors[i] @ sums[n] / max(1e-12, np.linalg.norm(vectors[i]) * np.linalg.norm(sums[n]))) for n in names]
+        some = any(c.isalpha() for c in t or "")
+        assert got[i]["lang_pred"] == (names[int(np.argmax(cos))] if some else "und")
+        assert abs(got[i]["score"] - (min(1, max(0, *cos)) if some else 0)) < 2e-6
+        assert (i in kept) == (some and max(cos) > language.CHANCE / language.DIM**0.5)
+    assert len(kept & set(range(1000, 1030))) < 8 < 40 <= len(kept - set(range(1000, 1030)))
+
+
+def test_language_memory_is_bounded(monkeypatch):
+    """Sections and small pieces give the same vectors; many short or empty texts and one long text in a wide script are taken in pieces."""
+    rng = random.Random(1)
+    texts = ["one two", None, "", "Ab cdéf " * 300, "日本語テスト" * 100, "x", "y" * 999, "1 2"] + ["short %d text" % i for i in range(30)]
+    whole = np.concatenate([v for v, _ in language.Encoder(64).bundles(pa.array(texts))])
+    for name, n in (("CHARS", 50), ("TEXTS", 3), ("COLUMNS", 7), ("SLOTS", 11)):
+        monkeypatch.setattr(language, name, n)
+        e = language.Encoder(64)
+        assert (np.concatenate([v for v, _ in e.bundles(pa.array(texts))]) == whole).all()
+    monkeypatch.undo()
+    e, most = language.Encoder(), 0
+    texts = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(20)) for _ in range(2000)] + [""] * 10_000 + ["".join(map(chr, rng.choices(range(0x4E00, 0x9FFF), k=300_000)))]
+    n = 0
+    for first, end, parts in language.pieces(pa.array(texts)):
+        most, n = max(most, sum(len(p.text) for p in parts)), n + (end - first if not parts[0].left else 0)
+        assert len(parts) <= language.TEXTS
+    assert n == len(texts) and most <= language.CHARS + 2
+    assert sum(len(v) for v, _ in e.bundles(pa.array(texts))) == len(texts) and e.n <= language.SLOTS
 
 
 def test_binding_is_by_place():
     e = language.Encoder(256)
-    v = e.bundle(e.counts(["abc", "cba", "abc", "", "12", "日本語"]))
+    v = np.concatenate([v for v, _ in e.bundles(pa.array(["abc", "cba", "abc", "", "12", "日本語"]))])
     assert (v[0] == v[2]).all() and not (v[0] == v[1]).all() and not v[3].any() and not v[4].any() and v[5].any()
     a, b, c = (e.letters[e.number[ord(x)]] for x in "abc")
-    assert np.allclose(e.vectors[e.slot[(e.number[97] * 128 + e.number[98]) * 128 + e.number[99]]], np.roll(a, 2) * np.roll(b, 1) * c)
+    assert np.allclose(e.bound(*(e.number[[ord(x)]] for x in "abc"))[0], np.roll(a, 2) * np.roll(b, 1) * c)
 
 
 def test_toxicity_held_out_and_located(spark):
