@@ -5,16 +5,20 @@ run as a whole is tried, then that from its first to its last line of a class ot
 of its template than any confirmed line of the run has of its own, it takes the place of its lines. A multinomial logistic regression over hashed word unigrams and bigrams, kept sparse by L1
 shrinkage, is trained on templates (statements and openings of the families below), on variants of them by rule (parts, other
 case, words put before, after or out), on statements of made-up licences as the class `unknown`, and on a bounded sample of
-the corpus's own lines as the class `none`. Its probabilities are calibrated by a temperature fitted on variants that
-were held out; a family whose calibrated probability is under CONFIDENT becomes `unknown`. A family is confirmed if its nearest template
-has at least CONFIRM of its distinct words in the paragraph, in which case the paragraph's share of template words is given too.
-
-Most words have no weight: a line is looked at only if some of its words has one, with numpy over whole buffers,
-so the scan's cost is that of hashing words. The trained model is some thousand weights, whatever the corpus.
-
-Defined cases: null or empty text has no paragraphs; a line without a weighted word is `none` and gives no row; a null doc_id is scanned
-and stays null; repeated rows give repeated results; with no corpus lines to sample, `none` is trained on nothing but its prior;
-extra columns are ignored.
+the corpus's own lines as the class `none` (a line of 20 to LONGEST letters from each of SAMPLE_LINES documents). Its probabilities are
+calibrated by a temperature fitted on whole templates, made-up names and lines that were held out, and the weights are then fitted
+on all; a family whose calibrated probability is under CONFIDENT becomes `unknown`. A family is confirmed if its nearest template has at
+least CONFIRM of its distinct words in the paragraph, and half of the words that tell it from each similar template of another
+family; the paragraph's share of template words is given too.
+
+Most words have no weight: a line is looked at only if some word or pair of words of it speaks for a licence against `none`, with numpy
+over whole buffers; others can't be anything else, as the bias of `none` is made the largest. So the scan's cost is that of
+hashing words. The trained model is some thousand weights, whatever the corpus.
+
+Defined cases: null or empty text has no paragraphs; a line without such a word is `none` and gives no row; a null doc_id is scanned
+and stays null, but gives no line to the sample; repeated rows give repeated results; of classes with equal probability the first counts; a text
+of any length is scanned whole; with no corpus lines to sample, `none` is trained on nothing but its prior; extra columns are ignored;
+an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -29,7 +33,8 @@ from pyspark.sql import functions as F
 from .lean import lean
 from .words import NOT_ALNUM, mix, text_buffers, words_of
 
-SAMPLE_LINES, BITS, STEPS, SHRINK, CONFIDENT, CONFIRM = 4_000, 22, 250, 3e-4, 0.5, 0.6
+#: LONGEST bounds the letters of a line in the sample; scanned lines have no bound.
+SAMPLE_LINES, LONGEST, BITS, STEPS, SHRINK, CONFIDENT, CONFIRM = 4_000, 2_000, 22, 250, 3e-4, 0.5, 0.6
 
 #: Short public statements of licence families.
 TEMPLATES: dict[str, tuple[str, ...]] = {
@@ -94,20 +99,23 @@ def _variants(text: str, rng: np.random.Generator, n: int) -> list[str]:
     return out
 
 
-def _examples() -> tuple[list[str], list[str]]:
+def _examples() -> tuple[list[str], list[str], np.ndarray]:
+    """(texts, classes, which are held out): of each family with three templates or more, and of made-up names, whole templates are."""
     rng = np.random.default_rng(7)
-    texts, names = [], []
+    texts, names, held = [], [], []
     for family, own in TEMPLATES.items():
-        for t in own:
+        for k, t in enumerate(own):
             v = _variants(t, rng, 40)
             texts += v
             names += [family] * len(v)
-    for name in _MADE_UP:
+            held += [len(own) > 2 and k == len(own) - 1] * len(v)
+    for k, name in enumerate(_MADE_UP):
         for frame in _FRAMES:
             v = _variants(frame.format(name, n=int(rng.integers(1, 9))), rng, 6)
             texts += v
             names += ["unknown"] * len(v)
-    return texts, names
+            held += [k % 4 == 0] * len(v)
+    return texts, names, np.array(held)
 
 
 def _features(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -132,30 +140,35 @@ class Model:
     """Sparse weights by feature and class, biases, and a temperature."""
 
     def __init__(self, corpus_lines: list[str]):
-        texts, names = _examples()
+        texts, names, held = _examples()
         lines = [x for x in corpus_lines if not _looks_like_a_template(x)]
         texts += lines
         names += ["none"] * len(lines)
+        held = np.concatenate([held, np.arange(len(lines)) % 5 == 0])
         self.classes = [*TEMPLATES, "unknown", "none"]
         y = np.array([self.classes.index(n) for n in names])
         bags = _bag(pa.array(texts, pa.string()))
         features, codes = np.unique(np.concatenate(bags), return_inverse=True)
         row = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
-        seen = np.bincount(codes, minlength=len(features))
-        keep = seen >= 4
+        seen = np.bincount(codes[y[row] != len(self.classes) - 1], minlength=len(features))
+        keep = seen >= 4  # in licence examples: what only other lines hold is no evidence for a licence
         number = np.where(keep, np.cumsum(keep) - 1, -1)
         ok = number[codes] >= 0
         row, col = row[ok], number[codes][ok]
         features = features[keep]
-        held = np.arange(len(bags)) % 5 == 0
-        w, b = self._fit(row, col, y, ~held, len(features))
-        z = self._logits(row, col, w, b, len(bags))[held]
+        apart = ~held & (np.arange(len(bags)) % 5 == 0)  # variants of templates that are trained on
+        w, b = self._fit(row, col, y, ~held & ~apart, len(features))
+        every = self._logits(row, col, w, b, len(bags))
+        self.held_accuracy = float((every[apart].argmax(1) == y[apart]).mean())
+        self.template_accuracy = float((every[held].argmax(1) == y[held]).mean())
+        z = every[held]
         best = (np.inf, 1.0)
         for t in np.geomspace(0.3, 5, 40):
             p = _softmax(z / t)
             best = min(best, (float(-np.log(p[np.arange(len(p)), y[held]] + 1e-12).mean()), float(t)))
         self.temperature = best[1]
-        self.held_accuracy = float((z.argmax(1) == y[held]).mean())
+        w, b = self._fit(row, col, y, np.ones(len(y), bool), len(features))
+        b[-1] = b.max()  # a paragraph without evidence is `none`
         some = np.abs(w).sum(1) > 0
         self.features, self.w, self.b = features[some], w[some], b
 
@@ -187,12 +200,14 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def _template_sets() -> list[tuple[str, np.ndarray]]:
+def _template_sets() -> list[tuple[str, np.ndarray, list[np.ndarray]]]:
+    """(family, words, words that tell it from templates of other families that share half of its words or more, one array each)."""
     names = [n for n, own in TEMPLATES.items() for _ in own]
     out: list[np.ndarray] = []
     for _, at, _, _, one, _ in _features(pa.array([t for own in TEMPLATES.values() for t in own])):
         out += [np.unique(one[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-    return list(zip(names, out, strict=True))
+    rivals = [[np.setdiff1d(t, r) for m, r in zip(names, out, strict=True) if m != n and 2 * len(np.intersect1d(t, r)) >= len(t)] for n, t in zip(names, out, strict=True)]
+    return [(n, t, [x for x in only if len(x)]) for n, t, only in zip(names, out, rivals, strict=True)]
 
 
 def _looks_like_a_template(line: str) -> bool:
@@ -204,12 +219,12 @@ _TEMPLATE_WORDS = [set(t.lower().replace(",", " ").replace(".", " ").split()) fo
 
 
 def train(docs: DataFrame) -> Model:
-    """Samples lines of SAMPLE_LINES documents, in order of a hash of doc_id, one line each, as the class `none`."""
-    lines = F.filter(F.split("text", "\n"), lambda x: F.length(x) > 20)
-    chosen = docs.where("text is not null").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_LINES)
+    """Samples a line of 20 to LONGEST letters of SAMPLE_LINES documents, in order of a hash of doc_id, as the class `none`."""
+    lines = F.filter(F.split("text", "\n"), lambda x: F.length(x).between(21, LONGEST))
+    chosen = docs.where("text is not null and doc_id is not null").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_LINES)
     rows = docs.join(F.broadcast(chosen.distinct()), "doc_id", "left_semi").select("doc_id", lines.alias("x")).where("size(x) > 0")
-    picked = rows.select(F.substring(F.element_at("x", (F.pmod(F.xxhash64("doc_id"), F.size("x")) + 1).cast("int")), 1, 2000).alias("line")).limit(2 * SAMPLE_LINES)
-    return Model([r["line"] for r in picked.collect()])
+    picked = rows.select("doc_id", F.element_at("x", (F.pmod(F.xxhash64("doc_id"), F.size("x")) + 1).cast("int")).alias("line"))
+    return Model([r["line"] for r in picked.orderBy(F.xxhash64("doc_id"), "doc_id", "line").limit(SAMPLE_LINES).collect()])
 
 
 def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
@@ -220,7 +235,7 @@ def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
         number = np.full(1 << BITS, -1, np.int32)
         number[model.features] = np.arange(len(model.features))
         none, templates = model.classes.index("none"), _template_sets()
-        hinted = (model.w[:, :none].max(1) > 0) & (model.w[:, :none].max(1) > model.w[:, none])
+        hinted = model.w[:, :none].max(1) > model.w[:, none]  # without such a feature no class gains on `none`, whose bias is the largest
 
         def judge(one: np.ndarray, two: np.ndarray, w: np.ndarray) -> dict | None:
             own, pairs = one[w], two[w[:-1]]
@@ -232,14 +247,15 @@ def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
                 return None
             family = model.classes[k] if p[k] >= CONFIDENT else "unknown"
             words = np.unique(own)
-            share = max(((x / len(t), x / len(words), x) for x, t in ((len(np.intersect1d(words, t)), t) for n, t in templates if n == family)), default=(0.0, 0.0, 0))
-            return {"words": w, "common": share[2], "family": family, "probability": round(float(p[k]), 6), "confirmed": bool(share[0] >= CONFIRM), "template_share": round(float(share[1]), 6)}
+            near = [(x / len(t), x / len(words), x, all(2 * np.isin(r, words).sum() >= len(r) for r in only)) for x, t, only in ((len(np.intersect1d(words, t)), t, only) for n, t, only in templates if n == family)]
+            share = max((x for x in near if x[3]), default=(0.0, max((x[1] for x in near), default=0.0), 0, False))
+            return {"words": w, "common": share[2], "family": family, "probability": round(float(p[k]), 6), "confirmed": bool(share[3] and share[0] >= CONFIRM), "template_share": round(float(share[1]), 6)}
 
         for batch in batches:
             ids, found = batch.column(0).to_pylist(), []
             offsets, data = text_buffers(batch.column(1))
             for i, at, starts, ends, one, two in _features(batch.column(1)):
-                hit = np.flatnonzero((number[one] >= 0) & hinted[number[one]])
+                hit = np.flatnonzero(((number[one] >= 0) & hinted[number[one]]) | ((number[two] >= 0) & hinted[number[two]]))
                 if not len(hit):
                     continue
                 rows = np.searchsorted(at, hit, "right") - 1
