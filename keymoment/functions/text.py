@@ -15,16 +15,49 @@ from pyspark.sql import types as T
 #: A word of lower-case Latin letters with their marks, or digits.
 WORD = "[0-9a-zà-ỹ]+"
 
-#: Words that carry no topic, in the languages of queries.
-STOP_WORDS = ("a", "an", "the", "of", "in", "on", "and", "or", "to", "is", "are", "with", "và", "là", "của", "có", "cho", "các", "những", "một", "được", "trong", "ở", "với", "này", "đó")
+#: Words of speech and its openings that carry no topic.
+STOP_WORDS = (
+    "và", "của", "có", "là", "được", "cho", "với", "các", "những", "này", "đó",
+    "một", "trong", "khi", "đã", "sẽ", "cũng", "như", "để", "từ", "tại", "về",
+    "người", "nhiều", "rất", "thì", "mà", "nên", "vì", "nếu", "hay", "hoặc",
+    "chương", "trình", "quý", "vị", "kính", "chào", "xin", "mời", "theo", "dõi",
+    "hôm", "nay", "ngày", "tháng", "năm", "sau", "đây", "tin", "tức", "thông",
+    "the", "and", "for", "with", "that", "this", "you", "are", "was",
+)
+
+#: Words of titles, keywords and descriptions that carry no topic.
+METADATA_STOP_WORDS = (
+    "và", "của", "các", "những", "cho", "với", "trong", "tại", "được", "là", "có", "đã", "sẽ",
+    "một", "này", "đó", "khi", "như", "ra", "vào", "lại", "về", "đến", "từ", "tìm", "thấy", "cảnh", "video",
+    "màu", "đỏ", "vàng", "xanh", "trắng", "đen", "hồng", "cam", "tím", "nâu", "xám",
+    "xe", "người", "con", "cái", "chiếc", "ảnh", "hình", "đang", "nhiều", "hai", "ba", "bốn",
+    "red", "yellow", "blue", "green", "white", "black", "pink", "orange", "purple", "brown", "gray",
+    "car", "cat", "dog", "person", "woman", "man", "and", "the", "with", "from", "for", "photo", "image", "clip", "full", "tap", "tập", "hd",
+)
+
+#: Names of events and places that count as one word in metadata.
+METADATA_PHRASES = (
+    "đua xe đạp", "cúp truyền hình", "truyền hình tp hcm", "chợ bến thành", "cầu rồng", "vịnh hạ long",
+    "ngoại hạng anh", "bản tin thời sự", "thời sự", "vòng chung kết", "thành phố hồ chí minh",
+    "hà nội", "đà nẵng", "sầm sơn", "tam kỳ", "huế", "đà lạt", "quảng trường thống nhất",
+    "lan tỏa năng lượng tích cực", "món ngon mỗi ngày", "thế giới động vật", "phim hoạt hình",
+    "múa lân", "lễ hội", "ca nhạc", "trao giải", "hội nghị",
+)
+
+#: Characters outside the blocks in which NFC changes nothing: Latin letters with their marks made one, common punctuation, Han.
+MAY_CHANGE = r"[^\u0000-\u02ff\u1e00-\u1eff\u2002-\u2125\u4e00-\u9fff]"
 
 
 @F.pandas_udf(T.StringType())
-def nfc(x: pd.Series) -> pd.Series:
-    """Unicode NFC; Spark has no function for it."""
+def _normal_form(x: pd.Series) -> pd.Series:
     return x.map(lambda s: unicodedata.normalize("NFC", s), na_action="ignore")
 
 
+def nfc(x: Column) -> Column:
+    """Unicode NFC. Spark has no function for it; only texts with a character that it may change are sent to Python."""
+    return F.coalesce(_normal_form(F.when(x.rlike(MAY_CHANGE), x)), x)
+
+
 def folded(x: Column) -> Column:
     """NFC, then lower case: a letter and its mark must be one before words are cut."""
     return F.lower(nfc(x))
@@ -50,28 +83,28 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def tokens(x: Column) -> Column:
-    """Words longer than a letter that aren't stop words, then pairs a_b of neighbours unless both are stop words."""
+    """Of the folded text's words of two letters or more: those that aren't stop words, then pairs a_b of neighbours unless both are."""
 
     def of(w: Column) -> Column:
-        one = F.filter(w, lambda t: ~is_stop(t) & (F.length(t) > 1))
         n = F.greatest(F.size(w) - 1, F.lit(0))
         pairs = F.zip_with(F.slice(w, 1, n), F.slice(w, 2, n), lambda a, b: F.when(~(is_stop(a) & is_stop(b)), F.concat_ws("_", a, b)))
-        return F.concat(one, F.array_compact(pairs))
+        return F.concat(F.filter(w, lambda t: ~is_stop(t)), F.array_compact(pairs))
 
-    return let(words(x), of)
+    return let(F.regexp_extract_all(folded(x), F.lit(f"{WORD[:-1]}{{2,}}"), F.lit(0)), of)
 
 
-def metadata_tokens(x: Column, compounds: tuple[str, ...] = ()) -> Column:
-    """Distinct words of three letters or more that aren't stop words, in order, then the compounds the text has."""
-    one = F.filter(words(x), lambda t: ~is_stop(t) & (F.length(t) >= 3))
-    return F.array_distinct(F.concat(one, compound_phrases(x, compounds)))
+def metadata_tokens(x: Column, compounds: tuple[str, ...] = METADATA_PHRASES) -> Column:
+    """Distinct words of three letters or more that aren't stop words of metadata, in order, then the compounds the text has."""
+    low = folded(x)
+    one = F.filter(F.regexp_extract_all(low, F.lit(f"{WORD[:-1]}{{3,}}"), F.lit(0)), lambda t: ~t.isin(*METADATA_STOP_WORDS))
+    return F.array_distinct(F.concat(one, compound_phrases(low, compounds)))
 
 
 def compound_phrases(x: Column, phrases: tuple[str, ...]) -> Column:
-    if not phrases:
-        return F.array().cast("array<string>")
+    """Those of the phrases that stand in the text, each as one word, in the order given."""
     low = F.lower(x)
-    return F.transform(F.filter(F.array(*map(F.lit, phrases)), lambda p: F.position(p, low) > 0), lambda p: F.replace(p, F.lit(" "), F.lit("_")))
+    found = [F.when(F.contains(low, F.lit(p)), p.replace(" ", "_")) for p in phrases]
+    return F.array_compact(F.array(*found)) if found else F.array().cast("array<string>")
 
 
 def any_prefix(x: Column, prefixes: str) -> Column:

@@ -5,15 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .vector import dot, vector_sum
+from .vector import vector_sum
 
 #: Weights of the visual, text and speech channels by mode.
 MODES = {"visual": (1.0, 0.0, 0.0), "balanced": (0.70, 0.15, 0.15), "text_heavy": (0.40, 0.40, 0.20), "speech": (0.50, 0.10, 0.40)}
 
 
+def with_stats(df: DataFrame, keys: list[str], **stats: Column) -> DataFrame:
+    """df with aggregates of its groups as columns. The aggregates are combined in map tasks and joined back as a small table, so a group
+    of any size (all scores of a query) is never gathered, as a window over it would be."""
+    return df.join(df.groupBy(*keys).agg(*(c.alias(n) for n, c in stats.items())), keys)
+
+
+def row_zscores(df: DataFrame, keys: list[str], columns: dict[str, str], digits: int = 6) -> DataFrame:
+    """For each out: x of columns the z-score of x in its row as `out`, and whether x varies there as `out`_active; one aggregation for all."""
+    stats = {f"_{k}_{out}": f(x) for out, x in columns.items() for k, f in (("m", F.avg), ("s", F.stddev_pop))}
+    d = with_stats(df, keys, **stats)
+    z = [F.round((F.col(x) - F.col(f"_m_{out}")) / (F.col(f"_s_{out}") + 1e-6), digits).alias(out) for out, x in columns.items()]
+    return d.select(*df.columns, *z, *((F.col(f"_s_{out}") > 1e-6).alias(f"{out}_active") for out in columns))
+
+
 def row_zscore(df: DataFrame, keys: list[str], x: str, out: str, digits: int = 6) -> DataFrame:
-    w = Window.partitionBy(*keys)
-    return df.withColumn(out, F.round((F.col(x) - F.avg(x).over(w)) / (F.stddev_pop(x).over(w) + 1e-6), digits))
+    return row_zscores(df, keys, {out: x}, digits).drop(f"{out}_active")
 
 
 def minmax(x: Column, w: Window, alone: float = 0.0) -> Column:
@@ -29,33 +42,47 @@ def margin(hits: DataFrame) -> DataFrame:
     return top.join(other, "query_id").select("query_id", F.round(gap / (F.col("sd") + 1e-6), 5).alias("margin"), F.round(gap / F.greatest(F.abs("s1"), F.lit(1e-6)), 5).alias("relative"))
 
 
-def hub_corrected(scores: DataFrame, k: float) -> DataFrame:
-    """Ranks plus k times the z-score of an item's mean score over all queries: hubs go down."""
+def hub_corrected(scores: DataFrame, k: float, head: int = 400) -> DataFrame:
+    """The first `head` items of each query by rank plus k times the z-score of an item's mean score over all queries: hubs go down.
+
+    An item of old rank r has a key of r + k * (least z) or more, and `head` items have head + k * (largest z) or less, so only the first
+    head + k * (largest z - least z) of each query by score can be among the result and are ranked anew.
+    """
+    from .topk import top_per_group
+
     bias = scores.groupBy("gid").agg(F.avg("score").alias("_b"))
-    m = bias.agg(F.avg("_b").alias("_m"), F.stddev_pop("_b").alias("_s"))
-    bias = bias.join(F.broadcast(m)).select("gid", ((F.col("_b") - F.col("_m")) / (F.col("_s") + 1e-6)).alias("_z"))  # m is one row
-    w = Window.partitionBy("query_id")
-    r = scores.withColumn("old_rank", F.row_number().over(w.orderBy(F.desc("score"), "gid"))).join(bias, "gid")
-    return r.withColumn("new_rank", F.row_number().over(w.orderBy(F.round(F.col("old_rank") + k * F.col("_z"), 4), "old_rank")))
-
-
-def rocchio(scores: DataFrame, items: DataFrame, m: int, weight: float, skip: int = 2) -> DataFrame:
-    """score + weight * (centre . v), centre the mean of a query's best m items outside the video of its best one."""
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "gid")
-    r = scores.where(F.col("n") > skip).withColumn("_r", F.row_number().over(w))
-    first = r.where("_r = 1").select("query_id", F.col("video_id").alias("_v"))
-    fed = r.join(first, "query_id").where(F.col("video_id") != F.col("_v")).withColumn("_m", F.row_number().over(Window.partitionBy("query_id").orderBy("_r"))).where(F.col("_m") <= m)
+    m = bias.agg(F.avg("_b").alias("_m"), F.stddev_pop("_b").alias("_s"), F.min("_b").alias("_lo"), F.max("_b").alias("_hi")).first()
+    if m["_m"] is None:
+        return scores.withColumn("old_rank", F.lit(None).cast("long")).withColumn("new_rank", F.lit(None).cast("long"))
+    deviation = m["_s"] + 1e-6
+    reach = head + int(abs(k) * (m["_hi"] - m["_lo"]) / deviation) + 1
+    r = top_per_group(scores, ["query_id"], [F.desc("score"), F.asc("gid")], reach, "old_rank").join(bias, "gid")
+    key = F.round(F.col("old_rank") + k * (F.col("_b") - m["_m"]) / deviation, 4)
+    return top_per_group(r.withColumn("_key", key), ["query_id"], [F.asc("_key"), F.asc("old_rank")], head, "new_rank").drop("_b", "_key")
+
+
+def rocchio(items: DataFrame, queries: DataFrame, m: int, weight: float, skip: int = 2) -> DataFrame:
+    """(query_id, gid, score): score + weight * (centre . v) of every item(gid, video_id, n, v) for queries(query_id, qv), centre the mean of
+    a query's best m items outside the video of its best one and outside the videos' openings."""
+    from .topk import top_per_group
+    from .vector import products, similarities
+
+    flat = items.select("gid", "video_id", "n", "v")
+    s = similarities(flat.where(F.col("n") > skip), queries, "v", "qv").select("query_id", "gid", "video_id", "score")
+    order = [F.desc("score"), F.asc("gid")]
+    first = top_per_group(s, ["query_id"], order, 1).select("query_id", F.col("video_id").alias("_v"))
+    fed = top_per_group(s.join(first, "query_id").where(F.col("video_id") != F.col("_v")), ["query_id"], order, m, "_r").select("query_id", "gid")
     n = fed.groupBy("query_id").agg(F.count("*").alias("_n"))
     c = vector_sum(fed.join(n, "query_id").join(items.select("gid", "v"), "gid"), ["query_id"], "v", 1 / F.col("_n"), "_c")
-    return scores.join(c, "query_id").join(items.select("gid", "v"), "gid").select("query_id", "gid", F.round(F.col("score") + weight * dot(F.col("_c"), F.col("v")), 5).alias("score"))
+    both = products(flat, queries.select("query_id", "qv").join(c, "query_id"), "v", {"_s": "qv", "_f": "_c"}, digits=None)
+    return both.select("query_id", "gid", F.round(F.round("_s", 6) + weight * F.col("_f"), 5).alias("score"))
 
 
 def cap_sparse(df: DataFrame, keys: list[str], x: str, share: float = 0.01, peak: float = 6.0) -> DataFrame:
     """A row of z-scores with fewer than `share` of non-zero raw values is scaled so that it peaks at `peak`, if it peaks higher. Needs raw."""
-    w = Window.partitionBy(*keys)
-    some = F.sum(F.when(F.col("raw") != 0, 1.0).otherwise(0.0)).over(w) / F.count("*").over(w)
-    top = F.max(x).over(w)
-    return df.withColumn(x, F.when((some < share) & (top > peak), F.col(x) * peak / top).otherwise(F.col(x))).withColumn("active", F.stddev_pop("raw").over(w) > 1e-6)
+    d = with_stats(df, keys, _some=F.avg(F.when(F.col("raw") != 0, 1.0).otherwise(0.0)), _top=F.max(x), _sd=F.stddev_pop("raw"))
+    capped = F.when((F.col("_some") < share) & (F.col("_top") > peak), F.col(x) * peak / F.col("_top")).otherwise(F.col(x))
+    return d.withColumn(x, capped).withColumn("active", F.col("_sd") > 1e-6).drop("_some", "_top", "_sd")
 
 
 def fuse(df: DataFrame, channels: list[str], weights: list[float], event_weight: Column | None = None) -> Column:
@@ -107,9 +134,9 @@ def pair_score(df: DataFrame, keys: list[str], order: str, a: str, b: str, width
 
 def rescale(df: DataFrame, keys: list[str], new: str, old: str, blend: float) -> DataFrame:
     """New scores brought to the mean and deviation of the old ones and blended with them."""
-    w = Window.partitionBy(*keys)
-    z = (F.col(new) - F.avg(new).over(w)) / (F.stddev_pop(new).over(w) + 1e-6) * F.stddev_pop(old).over(w) + F.avg(old).over(w)
-    return df.withColumn("rescaled", F.round((1 - blend) * F.col(old) + blend * z, 5))
+    d = with_stats(df, keys, _mn=F.avg(new), _sn=F.stddev_pop(new), _mo=F.avg(old), _so=F.stddev_pop(old))
+    z = (F.col(new) - F.col("_mn")) / (F.col("_sn") + 1e-6) * F.col("_so") + F.col("_mo")
+    return d.withColumn("rescaled", F.round((1 - blend) * F.col(old) + blend * z, 5)).drop("_mn", "_sn", "_mo", "_so")
 
 
 def insert_guaranteed(ranked: DataFrame, extra: DataFrame, keys: list[str], item: str, at: int = 18, most: int = 3) -> DataFrame:

@@ -2,26 +2,40 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def nearest(left: DataFrame, right: DataFrame, keys: list[str], a: str, b: str, left_id: list[str], take: list[str]) -> DataFrame:
+def nearest(left: DataFrame, right: DataFrame, keys: list[str], a: str, b: str, left_id: list[str], take: list[str], width: float | None = None) -> DataFrame:
     """For each left row the right row of its keys whose b is nearest to a; ties: the smaller b, then the smaller taken values.
     Rows without a right row of their keys go.
 
     Both sides are put in one order by key and value, and the last right row is carried along upwards and downwards: work grows
-    with rows and not with pairs."""
-    from pyspark.sql import Window
-
+    with rows and not with pairs. With a width, a key's values are dealt to ranges of it that are ordered each on their own, and what
+    lies before and after a range comes from a table of the ranges' first and last right rows: a hot key is many tasks.
+    """
     r = right.select(*keys, F.col(b).cast("double").alias("_x"), F.lit(0).alias("_side"), F.struct(F.col(b).alias("b"), *[F.col(c).alias(c) for c in take]).alias("_r"))
     l = left.select(*keys, F.col(a).cast("double").alias("_x"), F.lit(1).alias("_side"), F.col(a).alias("_a"), *[F.col(c) for c in left_id])
     both = l.unionByName(r, allowMissingColumns=True)
-    w = Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, 0)
+    parts = list(keys)
+    if width is not None:
+        both, parts = both.withColumn("_k", F.floor(F.col("_x") / width)), [*keys, "_k"]
+    w = Window.partitionBy(*parts).rowsBetween(Window.unboundedPreceding, 0)
     under = F.last("_r", ignorenulls=True).over(w.orderBy("_x", "_side", F.desc("_r")))
     over = F.last("_r", ignorenulls=True).over(w.orderBy(F.desc("_x"), "_side", F.desc("_r")))
     near = both.withColumn("_u", under).withColumn("_o", over).where("_side = 1")
-    found = [F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col("_a") - F.col(f"{c}.b")).alias("d"), F.col(c).alias("r"))) for c in ("_u", "_o")]
+    found = ["_u", "_o"]
+    if width is not None:
+        ends = both.groupBy(*parts).agg(
+            F.min(F.when(F.col("_side") == 0, F.struct((-F.col("_x")).alias("x"), F.col("_r").alias("r")))).alias("_last"),
+            F.min(F.when(F.col("_side") == 0, F.struct(F.col("_x").alias("x"), F.col("_r").alias("r")))).alias("_first"),
+        )
+        along = Window.partitionBy(*keys).orderBy("_k")
+        before = F.last("_last", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, -1))
+        after = F.first("_first", ignorenulls=True).over(along.rowsBetween(1, Window.unboundedFollowing))
+        near = near.join(ends.select(*parts, before["r"].alias("_b"), after["r"].alias("_f")), parts)
+        found += ["_b", "_f"]
+    found = [F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col("_a") - F.col(f"{c}.b")).alias("d"), F.col(c).alias("r"))) for c in found]
     best = near.select(*left_id, F.array_min(F.array_compact(F.array(*found))).alias("_m")).where("_m is not null")
     return best.select(*left_id, F.col("_m.d").alias("distance"), *[F.col(f"_m.r.{c}").alias(c) for c in take])
 
@@ -54,8 +68,6 @@ def outer_ranks(a: DataFrame, b: DataFrame, keys: list[str], missing: int = 1_00
 
 def union_first(frames: list[DataFrame], keys: list[str], pos: str = "pos") -> DataFrame:
     """Rows of frames end to end, each key once, at its first place; frames are in order of their own pos column."""
-    from pyspark.sql import Window
-
     parts = [f.withColumn("_s", F.lit(i)) for i, f in enumerate(frames)]
     all_rows = parts[0]
     for p in parts[1:]:
@@ -66,6 +78,4 @@ def union_first(frames: list[DataFrame], keys: list[str], pos: str = "pos") -> D
 
 def priority_rows(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """One row for each key, the first in order: the earlier of several sources wins."""
-    from pyspark.sql import Window
-
     return df.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_r = 1").drop("_r")

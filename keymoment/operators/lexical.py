@@ -48,11 +48,19 @@ def bm25(post: DataFrame, key: str, terms: DataFrame, k1: float = 1.2, b: float
 
 
 def bm25_documents(docs: DataFrame, key: str, tokens: Column, terms: DataFrame, k1: float = 1.2, b: float = 0.75, idf_over: float | None = None, least_terms: int = 1) -> DataFrame:
-    """bm25() straight from documents, for when postings aren't kept: a document's length is the size of its token array, and tokens
-    that no query has go before anything is shuffled."""
-    t = docs.select(key, tokens.alias("_t")).withColumn("dl", F.size("_t")).where("dl > 0")
-    stats = F.broadcast(collection(t))  # one row
-    hit = t.select(key, "dl", F.explode("_t").alias("term")).join(terms.select("term").distinct(), "term", "left_semi").groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    """bm25() straight from documents, for when postings aren't kept.
+
+    Documents are read and cut into words once: each gives its query terms, other words go before anything is shuffled, and an empty
+    term that carries its length to the collection's statistics. Both come from one exchange, as the condition that tells them apart is on
+    an aggregate.
+    """
+    t = docs.select(key, F.concat(F.array(F.lit("")), tokens).alias("_t")).withColumn("dl", F.size("_t") - 1).where("dl > 0")
+    wanted = terms.select("term").distinct()
+    wanted = wanted.unionAll(wanted.sparkSession.createDataFrame([("",)], "term string"))
+    own = F.sum(F.when(F.col("term") == "", 0).otherwise(1))
+    rows = t.select(key, "dl", F.explode("_t").alias("term")).join(wanted, "term", "left_semi").groupBy(key, "term").agg(own.alias("tf"), F.first("dl").alias("dl"))
+    hit = rows.where("tf > 0")
+    stats = F.broadcast(rows.where("tf = 0").agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avg_dl")))  # one row
     idf = frequencies(hit).join(stats).withColumn("idf", bm25_idf(F.col("n_docs"), F.col("df"))).select("term", "idf", "avg_dl")
     if idf_over is not None:
         idf = idf.where(F.col("idf") > idf_over)
@@ -80,16 +88,49 @@ def best_passage(cues: DataFrame, terms: DataFrame, idf: DataFrame, tokens: Colu
 
 
 def phrase_search(texts: DataFrame, queries: DataFrame, weight: float = 10.0) -> DataFrame:
-    """score: weight if the whole phrase is in a text, plus 1 for each of its terms in it. queries(query_id, phrase) is
-    broadcast after a check of its number."""
-    from .vector import bounded
-
-    q = bounded(queries)
-    low = F.lower("text")
-    terms = F.filter(F.split(F.lower("phrase"), r"\s+"), lambda t: t != "")
-    n = F.aggregate(terms, F.lit(0.0), lambda s, t: s + F.when(F.contains(low, t), 1.0).otherwise(0.0))
-    x = texts.join(q).withColumn("score", n + F.when(F.contains(low, F.lower("phrase")), weight).otherwise(0.0))
-    return x.where("score > 0")
+    """score: weight if the whole phrase is in a text, plus 1 for each of its terms in it. queries(query_id, phrase) go with the tasks
+    in blocks of a counted size."""
+    from .vector import query_blocks
+
+    low = texts.withColumn("_low", F.lower("text"))
+    terms = F.filter(F.split("_phrase", r"\s+"), lambda t: t != "")
+    n = F.aggregate(terms, F.lit(0.0), lambda s, t: s + F.when(F.contains("_low", t), 1.0).otherwise(0.0))
+    found = None
+    for q in query_blocks(queries.withColumn("_phrase", F.lower("phrase")), "query_id"):
+        x = low.join(F.broadcast(q)).withColumn("score", n + F.when(F.contains("_low", "_phrase"), weight).otherwise(0.0)).where("score > 0").drop("_low", "_phrase")
+        found = x if found is None else found.unionAll(x)
+    return found
+
+
+def contained(texts: DataFrame, key: str, text: str, phrases: DataFrame, most: int = 100_000) -> DataFrame:
+    """(key, phrase) of the phrases (a table with that column, no nulls) that stand anywhere in a text. Phrases go with the tasks in blocks
+    of `most`, as counted; a text is read once for a block, by an automaton of all its phrases. A null text holds none."""
+    import ahocorasick
+    import pyarrow as pa
+
+    from .vector import query_blocks
+
+    schema = texts.select(key).schema.add("phrase", "string")
+    found = None
+    for block in query_blocks(phrases.select("phrase").where("phrase <> ''").distinct(), "phrase", most):
+        held = [r[0] for r in block.collect()]
+
+        def run(batches, held: list[str] = held):
+            find = ahocorasick.Automaton()
+            for p in held:
+                find.add_word(p, p)
+            find.make_automaton()
+            for batch in batches:
+                at, out = [], []
+                for i, t in enumerate(batch.column(1).to_pylist() if held else ()):
+                    own = {p for _, p in find.iter(t)} if t else ()
+                    at += [i] * len(own)
+                    out += own
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(out, pa.string())], names=[key, "phrase"])
+
+        x = texts.select(key, text).mapInArrow(run, schema)
+        found = x if found is None else found.unionAll(x)
+    return found
 
 
 def idf_sum(post: DataFrame, key: str, terms: DataFrame, scale: float = 0.15) -> DataFrame:
@@ -103,5 +144,5 @@ def speech_decay(hits: DataFrame, cues: DataFrame, halflife: float, weight: floa
     """bonus of hits(video, at) from the nearest cue (video, start, s): weight * s * exp(-distance / halflife)."""
     from .joins import nearest
 
-    n = nearest(hits, cues, ["video"], "at", "start", ["hit"], ["s"])
+    n = nearest(hits, cues, ["video"], "at", "start", ["hit"], ["s"], 64 * halflife)
     return n.select("hit", F.round(weight * F.col("s") * F.exp(-F.col("distance") / halflife), 6).alias("bonus"))

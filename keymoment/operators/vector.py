@@ -1,24 +1,45 @@
-"""Vector similarity with array expressions, so that scans stay in the JVM and the corpus side is never collected.
+"""Vector similarity: element-wise expressions for single vectors, products of blocks of vectors for queries against a corpus.
 
-Queries are a small side of a known size: callers pass at most a few thousand rows, which MOST_QUERIES checks before they
-are broadcast; more are joined in blocks.
+Queries are the small side of a search. They travel with the tasks in blocks of at most MOST_QUERIES rows, whose sizes are counted
+before they are built; more queries are more blocks, each with its own pass over the corpus, whose rows are never shuffled or collected.
+Counting the queries and fetching their blocks are small jobs that run while the plan is built.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MOST_QUERIES = 4096
 
 
 def bounded(df: DataFrame, most: int = MOST_QUERIES) -> DataFrame:
-    """df with a broadcast hint, after its rows were counted up to `most`; more are refused, as the caller should give them in blocks."""
+    """df with a broadcast hint, after its rows were counted up to `most`; more are refused."""
     if df.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} rows on the side that is broadcast; give them in blocks")
+        raise ValueError(f"more than {most} rows on the side that is broadcast")
     return F.broadcast(df)
 
 
+def query_blocks(queries: DataFrame, key: str, most: int = MOST_QUERIES) -> Iterator[DataFrame]:
+    """queries dealt by their key to parts of at most `most` rows each, as counted. A key's rows stay together and must be `most` at most."""
+    n = queries.count()
+    parts = -(-n // most)
+    while parts > 1:
+        part = F.pmod(F.xxhash64(key), F.lit(parts))
+        if queries.groupBy(part.alias("part")).count().agg(F.max("count")).first()[0] <= most:
+            yield from (queries.where(part == i) for i in range(parts))
+            return
+        parts *= 2
+        if parts > 64 * n:
+            raise ValueError(f"more than {most} rows of one {key}")
+    yield queries
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
@@ -46,9 +67,48 @@ def ensemble(df: DataFrame, keys: list[str], v: str, weight: str, out: str) -> D
     return vector_sum(df, keys, v, F.col(weight), out).withColumn(out, unit(F.col(out), 1e-6))
 
 
-def similarities(corpus: DataFrame, queries: DataFrame, v: str, q: str, digits: int = 6) -> DataFrame:
-    """Every query with every item and their product as score. queries must have MOST_QUERIES rows at most."""
-    return corpus.join(bounded(queries)).withColumn("score", F.round(dot(F.col(v), F.col(q)), digits))
+def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """Vectors of equal length as rows; a null among them is an error of the caller's."""
+    if column.null_count:
+        raise ValueError("null vectors have no products")
+    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+
+def products(corpus: DataFrame, queries: DataFrame, v: str, out: dict[str, str], key: str = "query_id", digits: int | None = 6) -> DataFrame:
+    """Every query with every item: all columns of both sides but the vectors, and for each name of `out` the product of v with that
+    query vector. A row with a null vector has no products and goes. The corpus is read once for each block of queries; nothing is shuffled."""
+    mine = [c for c in corpus.columns if c != v]
+    theirs = [c for c in queries.columns if c not in out.values()]
+    schema = T.StructType([*(corpus.schema[c] for c in mine), *(queries.schema[c] for c in theirs), *(T.StructField(c, T.DoubleType()) for c in out)])
+    items = corpus.select(*mine, F.col(v).alias("_v")).where("_v is not null")
+    parts = []
+    for block in query_blocks(queries.where(" and ".join(f"`{q}` is not null" for q in out.values())), key):
+        t = block.toArrow()
+        vectors = [_matrix(t.column(q)).T if t.num_rows else None for q in out.values()]
+        fixed = [t.column(c).combine_chunks() for c in theirs]
+
+        def run(batches: Iterator[pa.RecordBatch], vectors: list = vectors, fixed: list = fixed, n: int = t.num_rows) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if not batch.num_rows or not n:
+                    continue
+                x = _matrix(batch.column(batch.num_columns - 1))
+                s = [x @ m if digits is None else np.round(x @ m, digits) + 0.0 for m in vectors]
+                own = batch.columns[:-1]
+                for j in range(n):
+                    given = [pa.repeat(c[j], batch.num_rows) for c in fixed]
+                    yield pa.RecordBatch.from_arrays([*own, *given, *(pa.array(np.ascontiguousarray(y[:, j])) for y in s)], names=schema.names)
+
+        parts.append(items.mapInArrow(run, schema))
+    whole = parts[0]
+    for p in parts[1:]:
+        whole = whole.unionAll(p)
+    return whole
+
+
+def similarities(corpus: DataFrame, queries: DataFrame, v: str, q: str, digits: int = 6, key: str = "query_id") -> DataFrame:
+    """products() with one query vector, as score."""
+    return products(corpus, queries, v, {"score": q}, key, digits)
 
 
 def combine_chunks(scored: DataFrame, keys: list[str], how: str = "mean") -> DataFrame:
@@ -70,37 +130,34 @@ def adjacent_cosine(items: DataFrame, group: str, order: str, v: str, lag: int =
 
 
 def top_similar(corpus: DataFrame, queries: DataFrame, v: str, q: str, k: int, digits: int = 6) -> DataFrame:
-    """(query_id, gid, score, rnk): the k best items of each query by products of blocks of vectors with all queries.
+    """(query_id, gid, score, rnk): the k best items of each query, ties to the smaller gid.
 
-    For wide vectors, where element-wise expressions are slow. Queries (query_id, q) are checked to be MOST_QUERIES at most and go
-    along with the task; a block gives k rows for each query at most, so the shuffle holds candidates and not all pairs.
+    A task keeps the k best rows of each batch for each query, so the shuffle holds candidates and not all pairs.
     """
-    import numpy as np
-    import pyarrow as pa
-
     from .topk import top_per_group
 
-    rows = queries.select("query_id", q).limit(MOST_QUERIES + 1).collect()
-    if len(rows) > MOST_QUERIES:
-        raise ValueError(f"more than {MOST_QUERIES} queries; give them in blocks")
     schema = "query_id long, gid long, score double"
-    if not rows:
-        return corpus.sparkSession.createDataFrame([], schema + ", rnk long")
-    ids, m = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], np.float64).T
-
-    def run(batches):
-        for batch in batches:
-            gid = batch.column(0).to_numpy()
-            if not len(gid):
-                continue
-            x = batch.column(1).flatten().to_numpy().astype(np.float64).reshape(len(gid), -1)
-            s = np.round(x @ m, digits)
-            n = min(k, len(gid))
-            for j in range(s.shape[1]):
-                cut = np.partition(s[:, j], len(gid) - n)[len(gid) - n]
-                at = np.flatnonzero(s[:, j] >= cut)  # ties stay, the order below decides
-                at = at[np.lexsort((gid[at], -s[at, j]))][:n]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), ids[j]), pa.int64()), pa.array(gid[at], pa.int64()), pa.array(s[at, j])], names=["query_id", "gid", "score"])
-
-    found = corpus.select(F.col("gid").cast("long"), F.col(v).alias("_v")).mapInArrow(run, schema)
+    items = corpus.select(F.col("gid").cast("long"), F.col(v).alias("_v")).where("_v is not null")
+    parts = []
+    for block in query_blocks(queries.select("query_id", q).where(F.col(q).isNotNull()), "query_id"):
+        t = block.toArrow()
+        ids, m = t.column("query_id").to_numpy(), _matrix(t.column(q)).T if t.num_rows else None
+
+        def run(batches: Iterator[pa.RecordBatch], ids: np.ndarray = ids, m: np.ndarray | None = m) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                gid = batch.column(0).to_numpy()
+                if not len(gid) or m is None:
+                    continue
+                s = np.round(_matrix(batch.column(1)) @ m, digits) + 0.0
+                n = min(k, len(gid))
+                cut = np.partition(s, len(gid) - n, axis=0)[len(gid) - n]
+                for j in range(s.shape[1]):
+                    at = np.flatnonzero(s[:, j] >= cut[j])  # ties stay, the order below decides
+                    at = at[np.lexsort((gid[at], -s[at, j]))][:n]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), ids[j]), pa.int64()), pa.array(gid[at], pa.int64()), pa.array(s[at, j])], names=["query_id", "gid", "score"])
+
+        parts.append(items.mapInArrow(run, schema))
+    found = parts[0]
+    for p in parts[1:]:
+        found = found.unionAll(p)
     return top_per_group(found, ["query_id"], [F.desc("score"), F.asc("gid")], k)

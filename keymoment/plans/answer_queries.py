@@ -5,18 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from keymoment.operators import align, allocate, evaluate, topk
+from keymoment.operators import align, allocate, evaluate, topk, vector
 
 from .corpus import H, K, S, hits, keyframes, query_vectors, scores, table
 from .registry import query
 
-#: Sequence queries: four of four events each; event i of query q is retrieval query 4 q + i.
-EV = f"""{S}, ev AS (SELECT query_id // 4 AS query_id, query_id % 4 AS event_idx, video_id, gid, n, frame_idx, n - 1 AS t, CASE WHEN n > 2 THEN score ELSE -1e9 END AS score FROM s)"""
+#: Sequence queries of four events each: event i of query q is retrieval query 4 q + i. A last one with fewer events is left out.
+EV = f"""{S}, ev AS (SELECT query_id // 4 AS query_id, query_id % 4 AS event_idx, video_id, gid, n, frame_idx, n - 1 AS t, CASE WHEN n > 2 THEN score ELSE -1e9 END AS score FROM s WHERE query_id // 4 < (SELECT count(*) // 4 FROM qv))"""
+EVENTS = 4
 
 
 def events(spark, d):
-    s = scores(spark, d)
-    return s.select(F.floor(F.col("query_id") / 4).alias("query_id"), (F.col("query_id") % 4).cast("int").alias("event_idx"), "video_id", "gid", "n", "frame_idx", (F.col("n") - 1).alias("t"), F.when(F.col("n") > 2, F.col("score")).otherwise(align.NEG).alias("score"))
+    q = F.floor(F.col("query_id") / EVENTS)
+    whole = query_vectors(spark, d).withColumn("_c", F.count("*").over(Window.partitionBy(q))).where(F.col("_c") == EVENTS).drop("_c")
+    s = vector.similarities(keyframes(spark, d), whole, "v", "qv")
+    return s.select(q.alias("query_id"), (F.col("query_id") % EVENTS).cast("int").alias("event_idx"), "video_id", "gid", "n", "frame_idx", (F.col("n") - 1).alias("t"), F.when(F.col("n") > 2, F.col("score")).otherwise(align.NEG).alias("score"))
 
 
 @query("l1_alignment")
@@ -76,9 +79,9 @@ def adaptive_lambda(spark, d):
     return scales(spark, d).select("query_id", F.round(lam * F.col("scale"), 8).alias("lambda"))
 
 
-@query("l6_anchors", f"WITH {EV} SELECT query_id, event_idx, gid, CASE WHEN event_idx <> 1 THEN score WHEN n = 9 THEN 10 ELSE -1e9 END AS score FROM ev WHERE video_id = 'V001'")
+@query("l6_anchors", f"WITH {EV} SELECT query_id, event_idx, gid, CASE WHEN event_idx <> 1 THEN score WHEN n = 9 THEN 10 ELSE -1e9 END AS score FROM ev")
 def anchors(spark, d):
-    return events(spark, d).where("video_id = 'V001'").select("query_id", "event_idx", "gid", F.when(F.col("event_idx") != 1, F.col("score")).when(F.col("n") == 9, 10.0).otherwise(align.NEG).alias("score"))
+    return events(spark, d).select("query_id", "event_idx", "gid", F.when(F.col("event_idx") != 1, F.col("score")).when(F.col("n") == 9, 10.0).otherwise(align.NEG).alias("score"))
 
 
 for _name, _kernel, _options in (("l7_windowed", "windowed", {"width": 12, "lam": 0.01, "gap": 1}), ("l8_unordered", "unordered", {"mu": 0.05, "span": 20}), ("l9_soft_order", "soft", {"lam": 0.01, "gap": 2}), ("l14_entropy_paths", "entropy", {})):
@@ -102,7 +105,7 @@ def prefilter(spark, d):
     return topk.top_per_group(b, ["query_id"], [F.desc("best"), F.asc("video_id")], 4).select("query_id", "video_id")
 
 
-@query("l12_forced_videos", f"WITH {_PRE} SELECT query_id, video_id FROM r WHERE rnk <= 4 UNION SELECT query_id, 'V00' || query_id FROM r")
+@query("l12_forced_videos", f"WITH {_PRE} SELECT query_id, video_id FROM r WHERE rnk <= 4 UNION SELECT query_id, 'V' || lpad(CAST(query_id AS VARCHAR), 3, '0') FROM r")
 def forced_videos(spark, d):
     q = query_vectors(spark, d).select(F.floor(F.col("query_id") / 4).alias("query_id")).distinct()
     return prefilter(spark, d).union(q.select("query_id", F.format_string("V%03d", F.col("query_id")).alias("video_id"))).distinct()
@@ -198,12 +201,13 @@ def hybrid(spark, d):
 
 def _extras(spark, d):
     k = keyframes(spark, d).where("n in (5, 7)")
-    q = query_vectors(spark, d).select("query_id").where("query_id < 8")
-    x = k.join(F.broadcast(q)).where(F.col("gid") % 8 <= F.col("query_id"))
+    q = query_vectors(spark, d).select("query_id", (F.col("query_id") % 8).alias("most"))
+    r = F.explode(F.sequence(F.col("gid") % 8, F.lit(7).cast("long"))).alias("most")  # a remainder of the item or more, so that the sides meet by equality
+    x = k.select("gid", "video_id", "frame_idx", r).join(q, "most")
     return x.select("query_id", "video_id", F.col("frame_idx").alias("frame"), F.row_number().over(Window.partitionBy("query_id").orderBy("gid")).alias("rank"))
 
 
-@query("m4_reserved_tail", f"""WITH {CAND}, {HYBRID}, b AS (SELECT * FROM hr WHERE rank <= 100), x AS (SELECT query_id, video_id, frame_idx AS frame, row_number() OVER (PARTITION BY query_id ORDER BY gid) AS rank FROM k, (SELECT unnest(range(0, 8)) AS query_id) WHERE n IN (5, 7) AND gid % 8 <= query_id),
+@query("m4_reserved_tail", f"""WITH {CAND}, {HYBRID}, b AS (SELECT * FROM hr WHERE rank <= 100), x AS (SELECT query_id, video_id, frame_idx AS frame, row_number() OVER (PARTITION BY query_id ORDER BY gid) AS rank FROM k, (SELECT query_id FROM qv) WHERE n IN (5, 7) AND gid % 8 <= query_id % 8),
 f AS (SELECT query_id, video_id, frame, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS e FROM x WHERE (query_id, video_id, frame) NOT IN (SELECT query_id, video_id, frame FROM b)), n AS (SELECT query_id, count(*) AS n FROM f GROUP BY query_id),
 u AS (SELECT b.query_id, video_id, frame, 0 AS p, rank AS o FROM b LEFT JOIN n USING (query_id) WHERE rank <= 100 - least(coalesce(n, 0), 100) UNION ALL SELECT query_id, video_id, frame, 1, e FROM f WHERE e <= 100) SELECT query_id, video_id, frame, row_number() OVER (PARTITION BY query_id ORDER BY p, o) AS rank FROM u""")
 def reserved_tail(spark, d):
@@ -273,12 +277,12 @@ def injected(spark, d):
 # --- evaluation
 
 #: The truth of query q is the item n = 6 of the video of its first example, with its cell as span.
-TRUTH = f"""{K.replace('k AS', 'k0 AS')}, tr AS (SELECT l.query_id, k0.video_id AS truth, frame_idx - 27 AS lo, frame_idx + 27 AS hi FROM (SELECT vec_id // 4 AS query_id, 'V' || lpad(CAST(label AS VARCHAR), 3, '0') AS video_id FROM embeddings WHERE vec_id < 64 AND vec_id % 4 = 0) l JOIN k0 USING (video_id) WHERE n = 6)"""
+TRUTH = f"""{K.replace('k AS', 'k0 AS')}, tr AS (SELECT l.query_id, k0.video_id AS truth, frame_idx - 27 AS lo, frame_idx + 27 AS hi FROM (SELECT vec_id // 50 AS query_id, 'V' || lpad(CAST(label AS VARCHAR), 3, '0') AS video_id FROM embeddings WHERE vec_id % 50 = 0) l JOIN k0 USING (video_id) WHERE n = 6)"""
 SC = f"{CAND}, {HYBRID}, {TRUTH}, an AS (SELECT query_id, rank, CASE WHEN video_id = truth AND frame BETWEEN lo AND hi THEN 1.0::DOUBLE ELSE 0 END AS r, video_id, frame, truth, lo, hi FROM hr JOIN tr USING (query_id) WHERE rank <= 100)"
 
 
 def truth(spark, d):
-    lab = table(spark, d, "embeddings").where("vec_id < 64 and vec_id % 4 = 0").select(F.floor(F.col("vec_id") / 4).alias("query_id"), F.format_string("V%03d", "label").alias("video_id"))
+    lab = table(spark, d, "embeddings").where("vec_id % 50 = 0").select(F.floor(F.col("vec_id") / 50).alias("query_id"), F.format_string("V%03d", "label").alias("video_id"))
     k = keyframes(spark, d).where("n = 6").select("video_id", "frame_idx")
     return lab.join(k, "video_id").select("query_id", F.col("video_id").alias("truth"), (F.col("frame_idx") - 27).alias("lo"), (F.col("frame_idx") + 27).alias("hi"))
 
@@ -387,7 +391,7 @@ def duels(spark, d):
     return t.groupBy("rnk").agg(F.round(F.avg(F.when(F.col("s") > F.col("score"), 1.0).when(F.col("s") == F.col("score"), 0.5).otherwise(0.0)), 6).alias("win_rate"))
 
 
-@query("n14_sequence_levels", f"WITH {_CHAIN}, r AS (SELECT query_id, video_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, video_id) AS r FROM best) SELECT query_id, CASE WHEN r = 1 THEN 1.0::DOUBLE ELSE 0 END AS base, 1.0::DOUBLE AS oracle_video FROM r WHERE video_id = 'V00' || query_id")
+@query("n14_sequence_levels", f"WITH {_CHAIN}, r AS (SELECT query_id, video_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, video_id) AS r FROM best) SELECT query_id, CASE WHEN r = 1 THEN 1.0::DOUBLE ELSE 0 END AS base, 1.0::DOUBLE AS oracle_video FROM r WHERE video_id = 'V' || lpad(CAST(query_id AS VARCHAR), 3, '0')")
 def sequence_levels(spark, d):
     r = align.search(events(spark, d).where("n > 2"), 1000, lam=0.01, gap=2)
     return r.where(F.col("video_id") == F.format_string("V%03d", F.col("query_id"))).select("query_id", F.when(F.col("rnk") == 1, 1.0).otherwise(0.0).alias("base"), F.lit(1.0).alias("oracle_video"))

@@ -18,14 +18,14 @@ _STOP = ", ".join(f"'{w}'" for w in text.STOP_WORDS)
 
 def _tok(col: str) -> str:
     """The tokenizer in DuckDB's SQL, as a list expression over a column."""
-    w = f"regexp_extract_all(lower({col}), '[0-9a-zà-ỹ]+')"
-    return f"list_concat(list_filter({w}, lambda t: t NOT IN ({_STOP}) AND length(t) > 1), list_transform(list_filter(list_zip({w}[:-2], {w}[2:]), lambda p: NOT (p[1] IN ({_STOP}) AND p[2] IN ({_STOP}))), lambda p: p[1] || '_' || p[2]))"
+    w = f"list_filter(regexp_extract_all(lower(nfc_normalize({col})), '[0-9a-zà-ỹ]+'), lambda t: length(t) > 1)"
+    return f"list_concat(list_filter({w}, lambda t: t NOT IN ({_STOP})), list_transform(list_filter(list_zip({w}[:-2], {w}[2:]), lambda p: NOT (p[1] IN ({_STOP}) AND p[2] IN ({_STOP}))), lambda p: p[1] || '_' || p[2]))"
 
 
-#: Documents: their first 60 letters are a title that counts three times. Queries: the first eight items of the benchmark.
+#: Documents have no title column: their first 60 letters stand in for one and count three times more, beside the whole text. Queries: every item of the benchmark.
 POST = f"""dt AS (SELECT doc_id, unnest({_tok("substr(text, 1, 60) || ' . ' || substr(text, 1, 60) || ' . ' || substr(text, 1, 60) || ' . ' || text")}) AS term FROM documents),
 post AS (SELECT doc_id, term, count(*) AS tf FROM dt GROUP BY ALL), dl AS (SELECT doc_id, sum(tf) AS dl FROM post GROUP BY doc_id), fr AS (SELECT term, count(*) AS df FROM post GROUP BY term),
-st AS (SELECT count(*) AS n_docs, avg(dl) AS avg_dl FROM dl), qt AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT item_id AS query_id, unnest({_tok("text")}) AS term FROM benchmark WHERE item_id < 8) GROUP BY ALL)"""
+st AS (SELECT count(*) AS n_docs, avg(dl) AS avg_dl FROM dl), qt AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT item_id AS query_id, unnest({_tok("text")}) AS term FROM benchmark) GROUP BY ALL)"""
 BM = """bm AS (SELECT query_id, doc_id, sum(qtf * ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * (K1 + 1) / (tf + K1 * (0.25 + 0.75 * dl / avg_dl))) AS score, count(*) AS matched FROM post JOIN qt USING (term) JOIN fr USING (term) JOIN dl USING (doc_id), st WHERE IDFGATE GROUP BY ALL)"""
 
 
@@ -40,13 +40,13 @@ def doc_postings(spark, d):
 
 
 def bench_terms(spark, d):
-    q = table(spark, d, "benchmark").where("item_id < 8").select(F.col("item_id").alias("query_id"), "text")
+    q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     return lexical.query_terms(q, text.tokens(F.col("text")))
 
 
-@query("g3_term_statistics", f"WITH {POST} SELECT term, df FROM fr WHERE df >= 20")
+@query("g3_term_statistics", f"WITH {POST} SELECT term, df FROM fr")
 def term_statistics(spark, d):
-    return lexical.frequencies(doc_postings(spark, d)).where("df >= 20")
+    return lexical.frequencies(doc_postings(spark, d))
 
 
 @query("g3_document_lengths", f"WITH {POST} SELECT doc_id, CAST(dl AS BIGINT) AS dl, round(avg_dl, 4) AS avg_dl FROM dl, st")
@@ -84,7 +84,7 @@ def idf_sum(spark, d):
 
 
 @query("j2_best_passage", f"""WITH {_SEG}, u AS (SELECT video, turn, min(start) AS start, min(text) AS text FROM seg GROUP BY video, turn), t AS (SELECT video, turn, start, unnest({_tok('text')}) AS term FROM u), cd AS (SELECT term, count(DISTINCT video) AS df FROM t GROUP BY term), cn AS (SELECT count(DISTINCT video) AS n FROM t),
-ci AS (SELECT term, ln(1 + (n - df + 0.5) / (df + 0.5)) AS idf FROM cd, cn), qt AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT item_id AS query_id, unnest({_tok('text')}) AS term FROM benchmark WHERE item_id < 8) GROUP BY ALL),
+ci AS (SELECT term, ln(1 + (n - df + 0.5) / (df + 0.5)) AS idf FROM cd, cn), qt AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT item_id AS query_id, unnest({_tok('text')}) AS term FROM benchmark) GROUP BY ALL),
 hit AS (SELECT video, turn, start, term, count(*) AS tf FROM t GROUP BY ALL), w AS (SELECT query_id, video, first, term, sum(tf) AS tf, max(qtf) AS qtf, max(idf) AS idf, min(start) AS start FROM (SELECT *, unnest(range(greatest(turn - 4, 0), turn + 1)) AS first FROM hit JOIN qt USING (term) JOIN ci USING (term)) GROUP BY ALL),
 v AS (SELECT query_id, video, first, round(sum(idf * least(tf, 3) * qtf), 6) AS value, min(start) AS start FROM w GROUP BY ALL)
 SELECT query_id, video, first, start, value FROM (SELECT *, row_number() OVER (PARTITION BY query_id, video ORDER BY value DESC, first) AS r FROM v) WHERE r = 1""")
@@ -96,20 +96,21 @@ def best_passage(spark, d):
     return lexical.best_passage(s, bench_terms(spark, d), idf, text.tokens(F.col("text")))
 
 
-@query("j5_ngram_boost", f"""WITH w AS (SELECT item_id AS query_id, regexp_extract_all(lower(text), '[a-z]+')[1:12] AS w FROM benchmark WHERE item_id < 8),
+@query("j5_ngram_boost", f"""WITH w AS (SELECT item_id AS query_id, regexp_extract_all(lower(text), '[a-z]+') AS w FROM benchmark),
 g AS (SELECT DISTINCT query_id, unnest(list_concat(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]), list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS g FROM w)
 SELECT query_id, doc_id, round(tanh(CAST(0.02 AS DOUBLE) * sum(CASE WHEN len(string_split(g, ' ')) = 3 THEN CAST(4.0 AS DOUBLE) ELSE CAST(2.0 AS DOUBLE) END)) * CAST(0.035 AS DOUBLE), 8) AS boost FROM g, documents WHERE contains(lower(text), g) GROUP BY ALL""")
 def ngram_boost(spark, d):
-    q = table(spark, d, "benchmark").where("item_id < 8").select(F.col("item_id").alias("query_id"), F.slice(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)), 1, 12).alias("w"))
+    q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)).alias("w"))
     n = F.size("w")
-    two = F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.concat_ws(" ", F.element_at("w", i), F.element_at("w", i + 1)))
-    three = F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.concat_ws(" ", F.element_at("w", i), F.element_at("w", i + 1), F.element_at("w", i + 2)))
-    g = q.select("query_id", F.explode(F.concat(two, three)).alias("g")).distinct()  # at most 21 for each of eight queries
-    x = table(spark, d, "documents").select("doc_id", F.lower("text").alias("t")).join(F.broadcast(g)).where(F.contains("t", "g"))
-    return x.groupBy("query_id", "doc_id").agg(F.round(F.tanh(0.02 * F.sum(F.when(F.size(F.split("g", " ")) == 3, 4.0).otherwise(2.0))) * 0.035, 8).alias("boost"))
+    grams = lambda k: F.when(n >= k, F.transform(F.sequence(F.lit(0), n - k), lambda i: F.array_join(F.slice("w", i + 1, k), " "))).otherwise(F.array())
+    g = q.select("query_id", F.explode(F.concat(grams(2), grams(3))).alias("phrase")).distinct()
+    low = table(spark, d, "documents").select("doc_id", F.lower("text").alias("low"))
+    x = lexical.contained(low, "doc_id", "low", g).join(g, "phrase")
+    weight = F.when(F.size(F.split("phrase", " ")) == 3, 4.0).otherwise(2.0)
+    return x.groupBy("query_id", "doc_id").agg(F.round(F.tanh(0.02 * F.sum(weight)) * 0.035, 8).alias("boost"))
 
 
-@query("j6_title_channel", f"WITH t AS (SELECT doc_id, unnest({_tok('substr(text, 1, 60)')}) AS term FROM documents), p AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL), qt AS (SELECT DISTINCT item_id AS query_id, unnest({_tok('text')}) AS term FROM benchmark WHERE item_id < 8) SELECT query_id, doc_id, count(*) AS matched FROM p JOIN qt USING (term) GROUP BY ALL")
+@query("j6_title_channel", f"WITH t AS (SELECT doc_id, unnest({_tok('substr(text, 1, 60)')}) AS term FROM documents), p AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL), qt AS (SELECT DISTINCT item_id AS query_id, unnest({_tok('text')}) AS term FROM benchmark) SELECT query_id, doc_id, count(*) AS matched FROM p JOIN qt USING (term) GROUP BY ALL")
 def title_channel(spark, d):
     p = lexical.postings(table(spark, d, "documents").withColumn("title", F.substring("text", 1, 60)), "doc_id", text.tokens(F.col("title")))
     return p.join(bench_terms(spark, d).select("query_id", "term"), "term").groupBy("query_id", "doc_id").agg(F.count("*").alias("matched"))
@@ -122,20 +123,20 @@ def joined_channels(spark, d):
     return lexical.postings(x, "doc_id", text.tokens(F.col("body"))).groupBy("doc_id").agg(F.sum("tf").alias("dl"), F.count("*").alias("terms"))
 
 
-_PH = "ph AS (SELECT item_id AS query_id, string_split(lower(text), ' ')[1] || ' ' || string_split(lower(text), ' ')[2] || ' ' || string_split(lower(text), ' ')[3] AS phrase FROM benchmark WHERE item_id < 6)"
+_PH = "ph AS (SELECT item_id AS query_id, string_split(lower(text), ' ')[1] || ' ' || string_split(lower(text), ' ')[2] || ' ' || string_split(lower(text), ' ')[3] AS phrase FROM benchmark)"
 
 
 @query("j8_phrase_search", f"WITH {_PH}, x AS (SELECT query_id, doc_id, CAST(list_sum(list_transform(list_filter(regexp_split_to_array(phrase, '\\s+'), lambda t: t <> ''), lambda t: CASE WHEN contains(lower(text), t) THEN 1.0::DOUBLE ELSE 0 END)) AS DOUBLE) + CASE WHEN contains(lower(text), phrase) THEN 10 ELSE 0 END AS score FROM documents, ph) SELECT * FROM x WHERE score > 0")
 def phrase_search(spark, d):
     w = F.split(F.lower("text"), " ")
-    q = table(spark, d, "benchmark").where("item_id < 6").select(F.col("item_id").alias("query_id"), F.concat_ws(" ", w[0], w[1], w[2]).alias("phrase"))
+    q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.concat_ws(" ", w[0], w[1], w[2]).alias("phrase"))
     return lexical.phrase_search(table(spark, d, "documents").select("doc_id", "text"), q).select("query_id", "doc_id", "score")
 
 
-@query("j9_term_find", "SELECT doc_id, CAST(len(list_filter(string_split('the erer anth in of tion', ' '), lambda t: length(t) > 2 AND contains(lower(text), t))) AS BIGINT) AS found FROM documents WHERE source = 'src3'")
+@query("j9_term_find", "SELECT doc_id, CAST(len(list_filter(string_split('the erer anth in of tion', ' '), lambda t: length(t) > 2 AND contains(lower(text), t))) AS BIGINT) AS found FROM documents")
 def term_find(spark, d):
     terms = F.filter(F.split(F.lit("the erer anth in of tion"), " "), lambda t: F.length(t) > 2)
-    return table(spark, d, "documents").where("source = 'src3'").select("doc_id", F.size(F.filter(terms, lambda t: F.contains(F.lower("text"), t))).alias("found"))
+    return table(spark, d, "documents").select("doc_id", F.size(F.filter(terms, lambda t: F.contains(F.lower("text"), t))).alias("found"))
 
 
 @query("j10_passage_search")
@@ -172,11 +173,16 @@ def spread_gate(spark, d):
     return t.select("query_id", x.alias("spread"), (x >= 0.1).alias("open"))
 
 
-@query("j14_said_evidence", f"WITH {_SEG}, q AS (SELECT list_distinct({_tok('text')}) AS q FROM benchmark WHERE item_id = 0), m AS (SELECT video, turn, CAST(len(list_intersect(list_distinct({_tok('text')}), q)) AS BIGINT) AS matched FROM seg, q) SELECT video, turn, matched FROM m WHERE matched >= 2")
+@query("j14_said_evidence", f"WITH {_SEG}, q AS (SELECT item_id AS query_id, list_distinct({_tok('text')}) AS q FROM benchmark), u AS (SELECT video, turn, list_distinct({_tok('min(text)')}) AS t FROM seg GROUP BY video, turn), m AS (SELECT query_id, video, turn, CAST(len(list_intersect(t, q)) AS BIGINT) AS matched FROM u, q) SELECT query_id, video, turn, matched FROM m WHERE matched >= 2")
 def said_evidence(spark, d):
-    q = F.broadcast(table(spark, d, "benchmark").where("item_id = 0").select(F.array_distinct(text.tokens(F.col("text"))).alias("q")))
-    m = segments(spark, d).join(q).select("video", "turn", F.size(F.array_intersect(F.array_distinct(text.tokens(F.col("text"))), "q")).alias("matched"))
-    return m.where("matched >= 2")
+    return _common_terms(spark, d, "matched").where("matched >= 2")
+
+
+def _common_terms(spark, d, name):
+    """(query_id, video, turn, name): how many distinct terms a cue shares with a query, where it shares any."""
+    s = segments(spark, d).groupBy("video", "turn").agg(F.min("text").alias("text"))
+    hit = s.select("video", "turn", F.explode(F.array_distinct(text.tokens(F.col("text")))).alias("term")).join(bench_terms(spark, d).select("query_id", "term"), "term")
+    return hit.groupBy("query_id", "video", "turn").agg(F.count("*").alias(name))
 
 
 @query("j15_speech_extras", f"""WITH {H}, sp AS (SELECT 'V' || lpad(CAST(conv_id % 10 AS VARCHAR), 3, '0') AS video_id, sum(length(text)) AS s FROM conversations GROUP BY 1), q AS (SELECT DISTINCT query_id FROM h), seen AS (SELECT DISTINCT query_id, video_id FROM h WHERE rnk <= 5),
@@ -200,12 +206,9 @@ def answer_in_text(spark, d):
     return s.withColumn("t", t).select("video", "turn", has("that the").alias("phrase"), (has("that") & has("the") & has("was")).alias("words"))
 
 
-@query("j17_cue_overlap", f"WITH {_SEG}, q AS (SELECT item_id AS query_id, list_distinct({_tok('text')}) AS q FROM benchmark WHERE item_id < 4), m AS (SELECT query_id, video, turn, CAST(len(list_intersect(list_distinct({_tok('text')}), q)) AS BIGINT) AS common FROM (SELECT video, turn, min(text) AS text FROM seg GROUP BY video, turn), q) SELECT query_id, video, turn, common FROM (SELECT *, row_number() OVER (PARTITION BY query_id, video ORDER BY common DESC, turn) AS r FROM m WHERE common > 0) WHERE r <= 2")
+@query("j17_cue_overlap", f"WITH {_SEG}, q AS (SELECT item_id AS query_id, list_distinct({_tok('text')}) AS q FROM benchmark), m AS (SELECT query_id, video, turn, CAST(len(list_intersect(list_distinct({_tok('text')}), q)) AS BIGINT) AS common FROM (SELECT video, turn, min(text) AS text FROM seg GROUP BY video, turn), q) SELECT query_id, video, turn, common FROM (SELECT *, row_number() OVER (PARTITION BY query_id, video ORDER BY common DESC, turn) AS r FROM m WHERE common > 0) WHERE r <= 2")
 def cue_overlap(spark, d):
-    s = segments(spark, d).groupBy("video", "turn").agg(F.min("text").alias("text"))
-    hit = s.select("video", "turn", F.explode(F.array_distinct(text.tokens(F.col("text")))).alias("term")).join(bench_terms(spark, d).where("query_id < 4").select("query_id", "term"), "term")
-    c = hit.groupBy("query_id", "video", "turn").agg(F.count("*").alias("common"))
-    return topk.top_per_group(c, ["query_id", "video"], [F.desc("common"), F.asc("turn")], 2, "r").select("query_id", "video", "turn", "common")
+    return topk.top_per_group(_common_terms(spark, d, "common"), ["query_id", "video"], [F.desc("common"), F.asc("turn")], 2, "r").select("query_id", "video", "turn", "common")
 
 
 @query("j18_new_words", f"WITH t AS (SELECT item_id, list_distinct({_tok('text')}) AS t FROM benchmark) SELECT a.item_id, round(1 - len(list_intersect(a.t, b.t)) / CAST(len(b.t) AS DOUBLE), 6) AS fresh FROM t a JOIN t b ON b.item_id = a.item_id + 1")
@@ -252,10 +255,7 @@ for _mode, _w in fusion.MODES.items():
 
     @query(f"k4_fuse_{_mode}", f"WITH {CH}, x AS (SELECT query_id, gid, ({_n}) / ({_d}) AS x FROM z) SELECT query_id, gid, round(least(1.2, 1) * x + greatest(CAST(1.2 AS DOUBLE) - 1, 0) * greatest(x, 0), 4) AS fused FROM x")
     def fuse(spark, d, weights=_w):
-        c = channels(spark, d)
-        w = Window.partitionBy("query_id")
-        for name, x in (("zs", "score"), ("zt", "t"), ("zp", "p")):
-            c = fusion.row_zscore(c, ["query_id"], x, name, 12).withColumn(f"{name}_active", F.stddev_pop(x).over(w) > 1e-6)
+        c = fusion.row_zscores(channels(spark, d), ["query_id"], {"zs": "score", "zt": "t", "zp": "p"}, 12)
         return c.select("query_id", "gid", F.round(fusion.fuse(c, ["zs", "zt", "zp"], list(weights), F.lit(1.2)), 4).alias("fused"))
 
 
@@ -274,7 +274,9 @@ def object_modes(spark, d):
     return x.select("query_id", "gid", add(kinds).alias("by_match"), add(n).alias("by_count"), add(kinds + n).alias("by_both"), (kinds > 0).alias("passes"))
 
 
-@query("k6_margin", None)
+@query("k6_margin", f"""WITH {H}, t AS (SELECT query_id, max(score) AS s1, stddev_pop(score) AS sd FROM h GROUP BY query_id), f AS (SELECT query_id, arg_min(video_id, rnk) AS v FROM h GROUP BY query_id),
+o AS (SELECT h.query_id, max(score) AS s2 FROM h JOIN f ON h.query_id = f.query_id AND h.video_id <> f.v GROUP BY h.query_id)
+SELECT query_id, round((s1 - s2) / (sd + 1e-6), 5) AS margin, round((s1 - s2) / greatest(abs(s1), 1e-6), 5) AS relative FROM t JOIN o USING (query_id)""")
 def margins(spark, d):
     return fusion.margin(hits(spark, d))
 
@@ -285,12 +287,12 @@ def verdict_bonus(spark, d):
     return fusion.video_bonus(hits(spark, d).join(v, "gid", "left"), ["query_id", "video_id"], "conf", 0.02).select("query_id", "gid", "boosted")
 
 
-_HEAD = f"""{H}, c AS (SELECT query_id, gid, rnk, score, (gid * 37 % 101) / CAST(100 AS DOUBLE) AS conf FROM h WHERE rnk <= 30),
+_HEAD = f"""{H}, c AS (SELECT query_id, gid, rnk, score, (gid * 37 % 101) / CAST(100 AS DOUBLE) AS conf FROM h),
 mm AS (SELECT *, CASE WHEN max(score) OVER w - min(score) OVER w > 1e-12 THEN (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) ELSE 1 END AS norm FROM c WHERE rnk <= HEAD WINDOW w AS (PARTITION BY query_id))"""
 
 
 def _head(spark, d, head):
-    c = hits(spark, d, 30).withColumn("conf", (F.col("gid") * 37 % 101) / 100.0)
+    c = hits(spark, d).withColumn("conf", (F.col("gid") * 37 % 101) / 100.0)
     w = Window.partitionBy("query_id", F.col("rnk") <= head)
     return c.withColumn("norm", fusion.minmax(F.col("score"), w, 1.0))
 
@@ -370,9 +372,9 @@ def scene_permutation(spark, d):
     return fusion.permute_scores(j, keys, F.col("key")).select("query_id", "gid", "key", "permuted")
 
 
-@query("k17_permutation", f"WITH {H}, r AS (SELECT query_id, gid, score, row_number() OVER (PARTITION BY query_id, video_id ORDER BY {_B} DESC, rnk) AS kr, row_number() OVER (PARTITION BY query_id, video_id ORDER BY score DESC, rnk) AS sr, video_id FROM h WHERE rnk <= 60) SELECT a.query_id, a.gid, b.score AS permuted FROM r a JOIN r b ON a.query_id = b.query_id AND a.video_id = b.video_id AND a.kr = b.sr")
+@query("k17_permutation", f"WITH {H}, r AS (SELECT query_id, gid, score, row_number() OVER (PARTITION BY query_id, video_id ORDER BY {_B} DESC, rnk) AS kr, row_number() OVER (PARTITION BY query_id, video_id ORDER BY score DESC, rnk) AS sr, video_id FROM h) SELECT a.query_id, a.gid, b.score AS permuted FROM r a JOIN r b ON a.query_id = b.query_id AND a.video_id = b.video_id AND a.kr = b.sr")
 def permutation(spark, d):
-    return fusion.permute_scores(hits(spark, d, 60), ["query_id", "video_id"], F.col("gid") * 53 % 97 / 96.0).select("query_id", "gid", "permuted")
+    return fusion.permute_scores(hits(spark, d), ["query_id", "video_id"], F.col("gid") * 53 % 97 / 96.0).select("query_id", "gid", "permuted")
 
 
 @query("k18_scene_candidates", f"WITH {H}, base AS (SELECT query_id, gid, rnk AS pos FROM h WHERE rnk <= 50), b AS (SELECT query_id - 1 AS query_id, gid, rnk FROM h WHERE rnk <= 100 AND query_id > 0), f AS (SELECT b.* FROM b LEFT JOIN base USING (query_id, gid) WHERE pos IS NULL AND b.query_id IN (SELECT query_id FROM base)) SELECT * FROM base UNION ALL SELECT query_id, gid, 50 + row_number() OVER (PARTITION BY query_id ORDER BY rnk) FROM f")
@@ -392,11 +394,11 @@ def guaranteed(spark, d):
     return fusion.insert_guaranteed(h.where("rnk <= 60").select("query_id", "gid", "rnk"), e, ["query_id"], "gid")
 
 
-@query("k22_scopes", f"""WITH {H}, x AS (SELECT query_id, gid, video_id, rnk, round(score + {_B} / 10, 6) AS s, min(rnk) OVER (PARTITION BY query_id, video_id) AS vf FROM h WHERE rnk <= 60)
+@query("k22_scopes", f"""WITH {H}, x AS (SELECT query_id, gid, video_id, rnk, round(score + {_B} / 10, 6) AS s, min(rnk) OVER (PARTITION BY query_id, video_id) AS vf FROM h)
 SELECT query_id, gid, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, rnk) AS all_rank, row_number() OVER (PARTITION BY query_id ORDER BY vf, s DESC, rnk) AS block_rank FROM x""")
 def scopes(spark, d):
     w = Window.partitionBy("query_id")
-    x = hits(spark, d, 60).withColumn("s", F.round(F.col("score") + F.col("gid") * 53 % 97 / 96.0 / 10, 6)).withColumn("vf", F.min("rnk").over(Window.partitionBy("query_id", "video_id")))
+    x = hits(spark, d).withColumn("s", F.round(F.col("score") + F.col("gid") * 53 % 97 / 96.0 / 10, 6)).withColumn("vf", F.min("rnk").over(Window.partitionBy("query_id", "video_id")))
     return x.select("query_id", "gid", F.row_number().over(w.orderBy(F.desc("s"), "rnk")).alias("all_rank"), F.row_number().over(w.orderBy("vf", F.desc("s"), "rnk")).alias("block_rank"))
 
 

@@ -153,12 +153,12 @@ def range_join(spark, d):
 m AS (SELECT event_id, min({{'d': abs(f - frame_idx), 'b': frame_idx, 'g': gid}}) AS m FROM p JOIN k USING (video_id) GROUP BY event_id) SELECT event_id, m.d AS distance, m.g AS gid FROM m""")
 def nearest(spark, d):
     p = table(spark, d, "events").select("event_id", F.format_string("V%03d", F.col("user_id") % 10).alias("video_id"), (F.col("event_id") % 2750).alias("f"))
-    return joins.nearest(p, keyframes(spark, d), ["video_id"], "f", "frame_idx", ["event_id"], ["gid"])
+    return joins.nearest(p, keyframes(spark, d), ["video_id"], "f", "frame_idx", ["event_id"], ["gid"], 1100)
 
 
-@query("f6_interval", f"WITH {H}, t AS (SELECT gid AS truth, video_id, frame_idx - 100 AS lo, frame_idx + 100 AS hi FROM k WHERE n % 10 = 0) SELECT query_id, h.gid, truth FROM h JOIN t ON h.video_id = t.video_id AND frame_idx BETWEEN lo AND hi WHERE rnk <= 50")
+@query("f6_interval", f"WITH {H}, t AS (SELECT gid AS truth, video_id, frame_idx - 100 AS lo, frame_idx + 100 AS hi FROM k) SELECT query_id, h.gid, truth FROM h JOIN t ON h.video_id = t.video_id AND frame_idx BETWEEN lo AND hi WHERE rnk <= 50")
 def interval(spark, d):
-    t = keyframes(spark, d).where("n % 10 = 0").select(F.col("gid").alias("truth"), "video_id", (F.col("frame_idx") - 100).alias("lo"), (F.col("frame_idx") + 100).alias("hi"))
+    t = keyframes(spark, d).select(F.col("gid").alias("truth"), "video_id", (F.col("frame_idx") - 100).alias("lo"), (F.col("frame_idx") + 100).alias("hi"))
     return joins.within(hits(spark, d, 50), t, ["video_id"], "frame_idx", "lo", "hi").select("query_id", "gid", "truth")
 
 
@@ -170,10 +170,10 @@ def segments(spark, d):
     return table(spark, d, "conversations").select(F.col("conv_id").alias("video"), "turn", (F.col("turn") * 3.0).alias("start"), "text")
 
 
-@query("f7_band", f"WITH {_SEG} SELECT a.video, a.turn, substr(string_agg(b.text, ' ' ORDER BY b.start, b.turn, b.text), 1, 1500) AS around FROM (SELECT DISTINCT video, turn, start FROM seg WHERE turn % 2 = 0) a JOIN seg b ON a.video = b.video AND abs(a.start - b.start) <= 6 GROUP BY ALL")
+@query("f7_band", f"WITH {_SEG} SELECT a.video, a.turn, substr(string_agg(b.text, ' ' ORDER BY b.start, b.turn, b.text), 1, 1500) AS around FROM (SELECT DISTINCT video, turn, start FROM seg) a JOIN seg b ON a.video = b.video AND abs(a.start - b.start) <= 6 GROUP BY ALL")
 def band(spark, d):
     s = segments(spark, d)
-    a = s.where("turn % 2 = 0").select("video", "turn", F.col("start").alias("at")).distinct()
+    a = s.select("video", "turn", F.col("start").alias("at")).distinct()
     pairs = joins.band(a, s.select("video", "start", "text", F.col("turn").alias("t2")), ["video"], "at", "start", 6.0)
     text = F.transform(F.sort_array(F.collect_list(F.struct("start", "t2", "text"))), lambda x: x["text"])
     return pairs.groupBy("video", "turn").agg(F.substring(F.array_join(text, " "), 1, 1500).alias("around"))

@@ -82,10 +82,10 @@ def query_files(spark, d):
     return table(spark, d, "pages").where(u.rlike("^https://") & ~u.rlike("[.](en|vi)[.]txt$") & ~u.rlike("/fr/")).select("url")
 
 
-@query("a20_frame_window", f"WITH {K}, o AS (SELECT unnest(range(-2, 3)) AS o) SELECT gid, o, frame_idx + o * 10 AS frame FROM k, o WHERE frame_idx + o * 10 >= 0 AND frame_idx + o * 10 < 2000")
+@query("a20_frame_window", f"WITH {K}, o AS (SELECT unnest(range(-2, 3)) AS o), l AS (SELECT *, max(frame_idx) OVER (PARTITION BY video_id) AS last FROM k) SELECT gid, o, frame_idx + o * 10 AS frame FROM l, o WHERE frame_idx + o * 10 BETWEEN 0 AND last")
 def frame_window(spark, d):
-    k = keyframes(spark, d).withColumn("o", F.explode(F.sequence(F.lit(-2), F.lit(2))))
-    return k.withColumn("frame", F.col("frame_idx") + F.col("o") * 10).where("frame >= 0 and frame < 2000").select("gid", "o", "frame")
+    k = keyframes(spark, d).withColumn("last", F.max("frame_idx").over(Window.partitionBy("video_id"))).withColumn("o", F.explode(F.sequence(F.lit(-2), F.lit(2))))
+    return k.withColumn("frame", F.col("frame_idx") + F.col("o") * 10).where("frame >= 0 and frame <= last").select("gid", "o", "frame")
 
 
 @query("a21_picks", "SELECT c_custkey AS id, split_part(p, '=', 1) AS query, split_part(split_part(p, '=', 2), ':', 1) AS video, CAST(split_part(split_part(p, '=', 2), ':', 2) AS BIGINT) AS frame FROM (SELECT c_custkey, unnest(string_split(regexp_replace('q' || c_custkey || '=V' || c_nationkey || ':' || c_custkey * 3 || ';q' || c_custkey || 'b=V1:7 # note; x=1', '#.*$', ''), ';')) AS p FROM customer)")
@@ -207,7 +207,7 @@ def prompt_ensemble(spark, d):
     return query_vectors(spark, d).select("query_id", F.round(q[0], 6).alias("first"), F.round(q[63], 6).alias("last"), F.round(vector.dot(q, q), 6).alias("length"))
 
 
-@query("d4_two_prompts", "SELECT a.vec_id // 4 AS query_id, round(0.8 * list_inner_product(x, x) + 0.2 * list_inner_product(x, y), 6) AS blend FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings WHERE vec_id < 64 AND vec_id % 4 = 0) a JOIN (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS y FROM embeddings WHERE vec_id < 64 AND vec_id % 4 = 1) b ON b.vec_id = a.vec_id + 1")
+@query("d4_two_prompts", "SELECT a.vec_id // 50 AS query_id, round(0.8 * list_inner_product(x, x) + 0.2 * list_inner_product(x, y), 6) AS blend FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings WHERE vec_id % 50 = 0) a JOIN (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS y FROM embeddings WHERE vec_id % 50 = 1) b ON b.vec_id = a.vec_id + 1")
 def two_prompts(spark, d):
     p = corpus.prompts(spark, d)
     x = p.where("prompt_no = 0").select("query_id", F.col("v").alias("x"))
@@ -223,7 +223,7 @@ for _how, _f in (("mean", "avg"), ("max", "max")):
         return vector.combine_chunks(scores(spark, d).withColumn("query_id", F.floor(F.col("query_id") / 4)), ["query_id", "gid"], how)
 
 
-@query("d6_exemplars", f"""WITH {QV}, i AS (SELECT vec_id // 4 AS query_id, unnest(CAST(embedding AS DOUBLE[])) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings WHERE vec_id < 64),
+@query("d6_exemplars", f"""WITH {QV}, i AS (SELECT vec_id // 50 AS query_id, unnest(CAST(embedding AS DOUBLE[])) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings WHERE vec_id % 50 < 4),
 m AS (SELECT query_id, list(x ORDER BY i) AS m FROM (SELECT query_id, i, avg(x) AS x FROM i GROUP BY ALL) GROUP BY query_id),
 u AS (SELECT query_id, list_transform(m, lambda x: x / greatest(sqrt(list_inner_product(m, m)), 1e-6)) AS m FROM m),
 b AS (SELECT query_id, list_transform(list_zip(qv, m), lambda p: 0.6 * p[1] + 0.4 * p[2]) AS b FROM u JOIN qv USING (query_id))
@@ -235,12 +235,13 @@ def exemplars(spark, d):
     return b.select("query_id", F.round(vector.unit(F.col("b"), 1e-6)[0], 6).alias("first"), F.round(vector.dot(F.col("b"), F.col("b")), 6).alias("raw"))
 
 
-@query("d7_late_interaction", f"""WITH {K}, t AS (SELECT vec_id // 4 AS query_id, vec_id AS token, CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id < 16),
-p AS (SELECT query_id, token, video_id, max(list_inner_product(v, q)) AS m FROM t, k WHERE n <= 8 GROUP BY ALL) SELECT query_id, video_id, round(avg(m), 6) AS score FROM p GROUP BY ALL""")
+@query("d7_late_interaction", f"""WITH {K}, t AS (SELECT vec_id // 50 AS query_id, vec_id AS token, CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id % 50 < 4),
+p AS (SELECT query_id, token, video_id, max(round(list_inner_product(v, q), 8)) AS m FROM t, k GROUP BY ALL) SELECT query_id, video_id, round(avg(m), 6) AS score FROM p GROUP BY ALL""")
 def late_interaction(spark, d):
-    t = corpus.prompts(spark, d).where("query_id < 4").select("query_id", (F.col("query_id") * 4 + F.col("prompt_no")).alias("token"), F.col("v").alias("q"))
-    pairs = keyframes(spark, d).where("n <= 8").join(F.broadcast(t))
-    return vector.max_sim(pairs, ["query_id", "video_id"], "token", vector.dot(F.col("v"), F.col("q")))
+    """Tokens of a query are its prompts, patches of a video its items, all of them."""
+    t = corpus.prompts(spark, d).select("query_id", (F.col("query_id") * corpus.EVERY + F.col("prompt_no")).alias("token"), F.col("v").alias("q"))
+    pairs = vector.similarities(keyframes(spark, d), t, "v", "q", digits=8)
+    return vector.max_sim(pairs, ["query_id", "video_id"], "token", F.col("score"))
 
 
 @query("d9_cut_scores", f"""WITH {K}, c AS (SELECT gid, video_id, n, coalesce(1 - list_inner_product(v, p) / (sqrt(list_inner_product(v, v)) * sqrt(list_inner_product(p, p))), 0) AS cut FROM (SELECT *, lag(v) OVER (PARTITION BY video_id ORDER BY n) AS p FROM k))
@@ -252,25 +253,25 @@ def cut_scores(spark, d):
     return c.select("gid", "cut", F.round(place / F.greatest(F.count("*").over(w) - 1, F.lit(1)), 6).alias("percentile"))
 
 
-@query("d11_hubness", f"""WITH {S}, b AS (SELECT gid, avg(score) AS bias FROM s GROUP BY gid), z AS (SELECT gid, (bias - avg(bias) OVER ()) / (stddev_pop(bias) OVER () + 1e-6) AS z FROM b),
-r AS (SELECT query_id, gid, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, gid) AS r FROM s)
-SELECT query_id, gid, r AS old_rank, row_number() OVER (PARTITION BY query_id ORDER BY round(r + 5 * z, 4), r) AS new_rank FROM r JOIN z USING (gid)""")
+@query("d11_hubness", f"""WITH {S.replace("s AS (", "s AS MATERIALIZED (")}, b AS (SELECT gid, avg(score) AS bias FROM s GROUP BY gid), z AS (SELECT gid, (bias - avg(bias) OVER ()) / (stddev_pop(bias) OVER () + 1e-6) AS z FROM b),
+r AS (SELECT query_id, gid, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, gid) AS r FROM s),
+n AS (SELECT query_id, gid, r AS old_rank, row_number() OVER (PARTITION BY query_id ORDER BY round(r + 5 * z, 4), r) AS new_rank FROM r JOIN z USING (gid)) SELECT * FROM n WHERE new_rank <= 400""")
 def hubness(spark, d):
     from keymoment.operators.fusion import hub_corrected
 
     return hub_corrected(scores(spark, d), 5.0).select("query_id", "gid", "old_rank", "new_rank")
 
 
-@query("d10_rocchio", f"""WITH {S}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, gid) AS rk FROM s WHERE n > 2),
+@query("d10_rocchio", f"""WITH {S.replace("s AS (", "s AS MATERIALIZED (").replace("k AS (", "k AS MATERIALIZED (", 1)}, r AS MATERIALIZED (SELECT query_id, gid, video_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, gid) AS rk FROM s WHERE n > 2),
 t AS (SELECT query_id, video_id AS top_video FROM r WHERE rk = 1),
-f AS (SELECT * FROM (SELECT r.query_id, r.gid, row_number() OVER (PARTITION BY r.query_id ORDER BY rk) AS m FROM r JOIN t ON r.query_id = t.query_id AND r.video_id <> t.top_video) WHERE m <= 5),
+f AS MATERIALIZED (SELECT * FROM (SELECT r.query_id, r.gid, row_number() OVER (PARTITION BY r.query_id ORDER BY rk) AS m FROM r JOIN t ON r.query_id = t.query_id AND r.video_id <> t.top_video) WHERE m <= 5),
 c AS (SELECT query_id, i, avg(x) AS x FROM (SELECT query_id, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM f JOIN k USING (gid)) GROUP BY ALL),
-cv AS (SELECT query_id, list(x ORDER BY i) AS c FROM c GROUP BY query_id)
-SELECT s.query_id, s.gid, round(score + 0.3 * list_inner_product(c, v), 5) AS score FROM s JOIN cv USING (query_id) JOIN k USING (gid)""")
+cv AS MATERIALIZED (SELECT query_id, list(x ORDER BY i) AS c FROM c GROUP BY query_id)
+SELECT s.query_id, s.gid, round(score + CAST(0.3 AS DOUBLE) * list_inner_product(c, v), 5) AS score FROM s JOIN cv USING (query_id) JOIN k USING (gid)""")
 def rocchio(spark, d):
     from keymoment.operators.fusion import rocchio as apply
 
-    return apply(scores(spark, d), keyframes(spark, d), 5, 0.3)
+    return apply(keyframes(spark, d), query_vectors(spark, d), 5, 0.3)
 
 
 @query("d12_profiles", f"""WITH {K}, {QV}, x AS (SELECT video_id, i, avg(x) AS x FROM (SELECT video_id, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM k) GROUP BY ALL),
@@ -280,7 +281,7 @@ def profiles(spark, d):
     k = keyframes(spark, d)
     n = k.groupBy("video_id").agg(F.count("*").alias("n_all"))
     p = vector.vector_sum(k.join(n, "video_id"), ["video_id"], "v", 1 / F.col("n_all"), "p").withColumn("p", vector.unit(F.col("p"), 1e-6))
-    return vector.similarities(p, query_vectors(spark, d), "p", "qv").select("query_id", "video_id", "score")
+    return vector.similarities(p.select("video_id", "p"), query_vectors(spark, d), "p", "qv").select("query_id", "video_id", "score")
 
 
 @query("d13_ensemble_models", f"WITH {S} SELECT query_id, gid, round(0.5 * score + 0.5 / (1 + exp(-least(greatest(10 * score - 5, -50), 50))), 6) AS score FROM s")
@@ -302,7 +303,7 @@ def suppress_similar(spark, d):
     return topk.suppress_similar(h, ["query_id"], "v").select("query_id", "gid", "score")
 
 
-for _lag in (1, 2, 5, 10):
+for _lag in (1, 2, 5, 10, 20, 50):
 
     @query(f"d17_lag_{_lag}", f"""WITH {K}, c AS (SELECT video_id, list_inner_product(v, p) / (sqrt(list_inner_product(v, v)) * sqrt(list_inner_product(p, p))) AS c FROM (SELECT *, lag(v, {_lag}) OVER (PARTITION BY video_id ORDER BY n) AS p FROM k))
 SELECT video_id, count(c) AS pairs, round(avg(c), 6) AS mean, round(quantile_cont(c, 0.5), 6) AS median, count(c) FILTER (round(c, 9) < 0.5) AS low FROM c GROUP BY video_id""")
@@ -311,12 +312,12 @@ SELECT video_id, count(c) AS pairs, round(avg(c), 6) AS mean, round(quantile_con
         return c.groupBy("video_id").agg(F.count("cosine").alias("pairs"), F.round(F.avg("cosine"), 6).alias("mean"), F.round(F.percentile("cosine", 0.5), 6).alias("median"), F.count_if(F.round("cosine", 9) < 0.5).alias("low"))
 
 
-@query("d18_separation", f"""WITH {S}, b AS (SELECT query_id, video_id, max(score) AS s FROM s GROUP BY ALL), l AS (SELECT vec_id // 4 AS query_id, 'V' || lpad(CAST(label AS VARCHAR), 3, '0') AS right_video FROM embeddings WHERE vec_id < 64 AND vec_id % 4 = 0),
+@query("d18_separation", f"""WITH {S}, b AS (SELECT query_id, video_id, max(score) AS s FROM s GROUP BY ALL), l AS (SELECT vec_id // 50 AS query_id, 'V' || lpad(CAST(label AS VARCHAR), 3, '0') AS right_video FROM embeddings WHERE vec_id % 50 = 0),
 p AS (SELECT b.query_id, s AS good FROM b JOIN l ON b.query_id = l.query_id AND video_id = right_video), r AS (SELECT b.query_id, s AS bad FROM b JOIN l ON b.query_id = l.query_id AND video_id <> right_video)
 SELECT p.query_id, round(avg(CASE WHEN good > bad THEN 1.0::DOUBLE WHEN good = bad THEN 0.5 ELSE 0 END), 6) AS auc, 1 + count(*) FILTER (bad > good) AS rank FROM p JOIN r USING (query_id) GROUP BY p.query_id""")
 def separation(spark, d):
     from keymoment.operators.evaluate import separation_auc
 
     best = scores(spark, d).groupBy("query_id", "video_id").agg(F.max("score").alias("s"))
-    right = table(spark, d, "embeddings").where("vec_id < 64 and vec_id % 4 = 0").select(F.floor(F.col("vec_id") / 4).alias("query_id"), F.format_string("V%03d", "label").alias("right_video"))
+    right = table(spark, d, "embeddings").where("vec_id % 50 = 0").select(F.floor(F.col("vec_id") / 50).alias("query_id"), F.format_string("V%03d", "label").alias("right_video"))
     return separation_auc(best, right)

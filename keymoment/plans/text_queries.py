@@ -12,7 +12,7 @@ from keymoment.streaming import flows
 
 from .answer_queries import CAND, HYBRID, candidates
 from .corpus import H, S, hits, keyframes, scores, table
-from .lexical_queries import _STOP, _tok
+from .lexical_queries import _tok
 from .registry import query
 from .relational_queries import segments
 
@@ -94,14 +94,14 @@ def stamped(spark, d):
 # --- scalar functions
 
 
-@query("o1_folded", "SELECT doc_id, lower(nfc_normalize(substr(text, 1, 200))) AS folded FROM documents")
+@query("o1_folded", "SELECT doc_id, lower(nfc_normalize(text)) AS folded FROM documents")
 def folded(spark, d):
-    return table(spark, d, "documents").select("doc_id", text.folded(F.substring("text", 1, 200)).alias("folded"))
+    return table(spark, d, "documents").select("doc_id", text.folded(F.col("text")).alias("folded"))
 
 
-@query("o2_without_marks", "SELECT doc_id, strip_accents(substr(text, 1, 200)) AS plain FROM documents")
+@query("o2_without_marks", "SELECT doc_id, strip_accents(text) AS plain FROM documents")
 def without_marks(spark, d):
-    return table(spark, d, "documents").select("doc_id", text.without_marks(F.substring("text", 1, 200)).alias("plain"))
+    return table(spark, d, "documents").select("doc_id", text.without_marks(F.col("text")).alias("plain"))
 
 
 @query("o3_tokens", f"SELECT item_id, {_tok('text')} AS tokens FROM benchmark")
@@ -109,10 +109,11 @@ def tokens(spark, d):
     return table(spark, d, "benchmark").select("item_id", text.tokens(F.col("text")).alias("tokens"))
 
 
+_META = ", ".join(f"'{w}'" for w in text.METADATA_STOP_WORDS)
 _COMP = ("of the", "in the", "to the", "it is")
 
 
-@query("o4_metadata_tokens", f"WITH w AS (SELECT item_id, regexp_extract_all(lower(text), '[0-9a-zà-ỹ]+') AS w, lower(text) AS t FROM benchmark), l AS (SELECT item_id, list_concat(list_filter(w, lambda x: x NOT IN ({_STOP}) AND length(x) >= 3), list_transform(list_filter({list(_COMP)}, lambda p: contains(t, p)), lambda p: replace(p, ' ', '_'))) AS l FROM w) SELECT item_id, list_sort(list_distinct(l)) AS tokens FROM l")
+@query("o4_metadata_tokens", f"WITH w AS (SELECT item_id, regexp_extract_all(lower(nfc_normalize(text)), '[0-9a-zà-ỹ]+') AS w, lower(nfc_normalize(text)) AS t FROM benchmark), l AS (SELECT item_id, list_concat(list_filter(w, lambda x: x NOT IN ({_META}) AND length(x) >= 3), list_transform(list_filter({list(_COMP)}, lambda p: contains(t, p)), lambda p: replace(p, ' ', '_'))) AS l FROM w) SELECT item_id, list_sort(list_distinct(l)) AS tokens FROM l")
 def metadata_tokens(spark, d):
     return table(spark, d, "benchmark").select("item_id", F.sort_array(text.metadata_tokens(F.col("text"), _COMP)).alias("tokens"))
 
@@ -140,7 +141,8 @@ def events(spark, d):
 
 @query("o9_decomposed")
 def decomposed(spark, d):
-    x = F.concat(F.lit("E1: "), F.substring("text", 1, 30), F.lit(" E2: "), F.substring("text", 31, 30))
+    half = F.floor(F.length("text") / 2).cast("int")
+    x = F.concat(F.lit("E1: "), F.substring(F.col("text"), F.lit(1), half), F.lit(" E2: "), F.substring(F.col("text"), half + 1, F.length("text")))
     return table(spark, d, "benchmark").select("item_id", text.events_of(x).alias("events"))
 
 
@@ -149,9 +151,9 @@ def first_time(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", "role", text.first_time(F.col("text")).alias("first"))
 
 
-@query("o11_questions", "SELECT doc_id, trim(regexp_extract(substr(text, 1, 300) || '? no', '([^.!?]*[?])[^?]*$', 1)) AS question FROM documents")
+@query("o11_questions", "SELECT doc_id, trim(regexp_extract(text || '? no', '([^.!?]*[?])[^?]*$', 1)) AS question FROM documents")
 def questions(spark, d):
-    return table(spark, d, "documents").select("doc_id", text.question_of(F.concat(F.substring("text", 1, 300), F.lit("? no"))).alias("question"))
+    return table(spark, d, "documents").select("doc_id", text.question_of(F.concat("text", F.lit("? no"))).alias("question"))
 
 
 @query("o12_tasks", "SELECT page_id, CASE WHEN contains(lower(url), 'trake') THEN 'trake' WHEN regexp_matches(lower(url), 'qa|q&a|vqa') THEN 'qa' ELSE 'kis' END AS task FROM pages")
