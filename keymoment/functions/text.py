@@ -45,7 +45,7 @@ METADATA_PHRASES = (
 )
 
 #: Characters outside the blocks in which NFC changes nothing: Latin letters with their marks made one, common punctuation, Han.
-MAY_CHANGE = r"[^\u0000-\u02ff\u1e00-\u1eff\u2002-\u2125\u4e00-\u9fff]"
+MAY_CHANGE = r"[^\u0000-\u02ff\u1e00-\u1eff\u2002-\u20cf\u4e00-\u9fff]"
 
 
 @F.pandas_udf(T.StringType())

@@ -11,8 +11,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .joins import gathered
+
 BUDGET, STEP, DEPTH = 100, 10, 24
 BREADTH_COST, DEPTH_COST, FLAT = 1.0, 0.5, 30
+#: What fills up a coverage answer: flat candidates and depth cost of the plain plan.
+TAIL_FLAT, PLAIN_DEPTH_COST = 20, 0.75
 
 
 def ladder_offset(d: Column, step: int = STEP) -> Column:
@@ -52,11 +56,12 @@ def moment_rows(c: DataFrame, budget: int = BUDGET, **plan: float) -> DataFrame:
     return _first_places(cost_slots(c, **plan), ["cost", "pos", "depth"], budget).select("query_id", "rank", "video_id", "frame")
 
 
-def hybrid_rows(c: DataFrame, budget: int = BUDGET, flat: int = FLAT, **plan: float) -> DataFrame:
-    """The first `flat` candidates' own frames, then cost slots (of three budgets) that aren't among them."""
+def hybrid_rows(c: DataFrame, budget: int = BUDGET, flat: int | Column = FLAT, **plan: float) -> DataFrame:
+    """The first `flat` candidates' own frames, then cost slots (of three budgets) that aren't among them. flat is a number or, where it
+    differs by query, a column of c."""
     head = c.where(F.col("pos") < flat).select("query_id", "video_id", F.col("frame_idx").alias("frame"), F.lit(0).alias("phase"), F.col("pos").cast("long").alias("place"))
     tail = moment_rows(c, 3 * budget, **plan).select("query_id", "video_id", "frame", F.lit(1).alias("phase"), F.col("rank").cast("long").alias("place"))
-    return _first_places(head.unionByName(tail), ["phase", "place"], budget).select("query_id", "rank", "video_id", "frame")
+    return _first_places(gathered([head, tail], ["query_id"]), ["phase", "place"], budget).select("query_id", "rank", "video_id", "frame")
 
 
 def video_rows(c: DataFrame, budget: int = BUDGET, by_video: float = 1.0, by_item: float = 0.5, by_depth: float = 0.5, step: int = STEP, most: int = DEPTH) -> DataFrame:
@@ -74,16 +79,29 @@ def reserve_tail(rows: DataFrame, extra: DataFrame, budget: int = BUDGET) -> Dat
     fresh = extra.join(rows.select(*key), key, "left_anti").withColumn("_e", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")))
     n = fresh.groupBy("query_id").agg(F.count("*").alias("_n"))
     head = rows.join(n, "query_id", "left").where(F.col("rank") <= budget - F.least(F.coalesce("_n", F.lit(0)), F.lit(budget)))
-    both = head.select(*key, F.lit(0).alias("_p"), F.col("rank").cast("long").alias("_o")).unionByName(fresh.where(F.col("_e") <= budget).select(*key, F.lit(1).alias("_p"), F.col("_e").cast("long").alias("_o")))
+    fresh = fresh.where(F.col("_e") <= budget).select(*key, F.lit(1).alias("_p"), F.col("_e").cast("long").alias("_o"))
+    both = gathered([head.select(*key, F.lit(0).alias("_p"), F.col("rank").cast("long").alias("_o")), fresh], ["query_id"])
     return both.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("_p", "_o"))).drop("_p", "_o")
 
 
-def pinned_rows(c: DataFrame, pin: DataFrame, budget: int = BUDGET, share: int = 50) -> DataFrame:
-    """Ladder rows around the pinned frame of each query first (share of them), then hybrid rows of the others."""
-    p = pin.select("query_id", F.lit(0).alias("pos"), "video_id", "frame_idx", "last_frame")
-    head = moment_rows(p, share, most=share).withColumn("_p", F.lit(0))
-    rest = hybrid_rows(c, budget).withColumn("_p", F.lit(1))
-    return _first_places(head.unionByName(rest).withColumnRenamed("rank", "_o"), ["_p", "_o"], budget).select("query_id", "rank", "video_id", "frame")
+def pinned_rows(c: DataFrame, pin: DataFrame, budget: int = BUDGET, share: int = 50, how: str = "coverage") -> DataFrame:
+    """Answers whose video a person has confirmed: `share` rows of it first, then rows of the other videos.
+
+    pin(query_id, video_id, frames, last_frame) has the confirmed frames in order, or none. With one frame it leads and all else of its
+    share is the ladder around it and around the video's candidates; with several each leads flat; without one the video's candidates
+    are allocated as any others, by `how`, as are the other videos' candidates.
+    """
+    pin = pin.select("query_id", F.col("video_id").alias("_v"), F.array_distinct(F.coalesce("frames", F.array().cast("array<long>"))).alias("_f"), F.col("last_frame").alias("_l"))
+    x = c.join(pin, "query_id")
+    lead = pin.select("query_id", "_f", F.posexplode("_f").alias("_i", "frame_idx"), F.col("_v").alias("video_id"), F.col("_l").alias("last_frame"), F.lit(0).alias("_g"), F.lit(1e9).alias("score"))
+    own = x.where((F.col("video_id") == F.col("_v")) & ~F.array_contains("_f", F.col("frame_idx"))).select("query_id", "_f", F.col("pos").alias("_i"), "frame_idx", "video_id", "last_frame", F.lit(1).alias("_g"), "score")
+    order = Window.partitionBy("query_id").orderBy("_g", "_i")
+    both = gathered([lead, own], ["query_id"]).withColumn("pos", F.row_number().over(order) - 1)
+    named = F.size("_f") > 0
+    first = [hybrid_rows(both.where(named), share, F.size("_f")), allocate(both.where(~named), how, share)]
+    others = x.where(F.col("video_id") != F.col("_v")).withColumn("pos", F.row_number().over(Window.partitionBy("query_id").orderBy("pos")) - 1)
+    rows = gathered([*(f.withColumn("_p", F.lit(0)) for f in first), allocate(others, how, budget).withColumn("_p", F.lit(1))], ["query_id"]).withColumnRenamed("rank", "_o")
+    return _first_places(rows, ["_p", "_o"], budget).select("query_id", "rank", "video_id", "frame")
 
 
 def coverage(frames: list[int], scores: list[float], videos: list[str], last: list[int | None], budget: int = BUDGET, heat: float = 0.02, sigma: float = 30.0, grid: int = 5, half: int = 6) -> list[tuple[str, int]]:
@@ -91,8 +109,8 @@ def coverage(frames: list[int], scores: list[float], videos: list[str], last: li
     grid; the next row is the cell whose window holds most mass, first of equals, and empties its window."""
     if not frames:
         return []
-    x = np.array([round(s, 4) for s in scores]) / heat
-    prior = np.exp(x - x.max())
+    x = np.array([round(s, 4) for s in scores])
+    prior = np.exp((x - x.max()) / heat)
     prior /= prior.sum()
     order: list[str] = list(dict.fromkeys(videos))
     cells = max(1, half // grid)
@@ -102,8 +120,10 @@ def coverage(frames: list[int], scores: list[float], videos: list[str], last: li
         f = np.array([frames[i] for i in at], float)
         lo = max(0, math.floor(f.min() - 4 * sigma))
         hi = math.floor(f.max() + 4 * sigma)
-        end = last[at[0]]
-        hi = max(lo, hi if end is None else min(end, hi))
+        ends = [last[i] for i in at]
+        if None not in ends:  # with a candidate whose video's end isn't known the grid is open
+            hi = min(max(ends), hi)
+        hi = max(lo, hi)
         g = np.arange(lo, hi + 1, grid)
         m = (prior[at][:, None] * np.exp(-0.5 * ((g[None] - f[:, None]) / sigma) ** 2)).sum(0)
         own[v] = g, np.floor(m / 1e-9 + 0.5) * 1e-9
@@ -135,8 +155,8 @@ def coverage(frames: list[int], scores: list[float], videos: list[str], last: li
 
 
 def coverage_rows(c: DataFrame, budget: int = BUDGET, **plan: float) -> DataFrame:
-    """coverage() for each query of candidates (query_id, pos, video_id, frame_idx, score, last_frame), filled up with hybrid rows. A group is
-    a query's candidates, some hundreds by contract."""
+    """coverage() for each query of candidates (query_id, pos, video_id, frame_idx, score, last_frame), filled up with hybrid rows of the
+    plain plan. A group is a query's candidates, some hundreds by contract."""
     schema = T.StructType([c.schema["query_id"], T.StructField("rank", T.LongType()), c.schema["video_id"], T.StructField("frame", T.LongType())])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -146,8 +166,8 @@ def coverage_rows(c: DataFrame, budget: int = BUDGET, **plan: float) -> DataFram
         return pd.DataFrame([(pdf["query_id"].iloc[0], i + 1, v, f) for i, (v, f) in enumerate(got)], columns=["query_id", "rank", "video_id", "frame"])
 
     head = c.groupBy("query_id").applyInPandas(run, schema).withColumn("_p", F.lit(0)).withColumnRenamed("rank", "_o")
-    tail = hybrid_rows(c, 2 * budget).withColumn("_p", F.lit(1)).withColumnRenamed("rank", "_o").withColumn("_o", F.col("_o").cast("long"))
-    return _first_places(head.unionByName(tail), ["_p", "_o"], budget).select("query_id", "rank", "video_id", "frame")
+    tail = hybrid_rows(c, budget, TAIL_FLAT, depth=PLAIN_DEPTH_COST).withColumn("_p", F.lit(1)).withColumnRenamed("rank", "_o").withColumn("_o", F.col("_o").cast("long"))
+    return _first_places(gathered([head, tail], ["query_id"]), ["_p", "_o"], budget).select("query_id", "rank", "video_id", "frame")
 
 
 def allocate(c: DataFrame, how: str = "coverage", budget: int = BUDGET) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .joins import gathered
 from .vector import vector_sum
 
 #: Weights of the visual, text and speech channels by mode.
@@ -147,7 +148,8 @@ def insert_guaranteed(ranked: DataFrame, extra: DataFrame, keys: list[str], item
     w = Window.partitionBy(*keys)
     fresh = fresh.withColumn("_e", F.row_number().over(w.orderBy("rnk", item))).where(F.col("_e") <= most)
     rest = ranked.join(fresh.select(*keys, item), [*keys, item], "left_anti")
-    rows = rest.select(*keys, item, F.when(F.col("rnk") < at, 0).otherwise(2).alias("_p"), F.col("rnk").alias("_o")).unionByName(fresh.select(*keys, item, F.lit(1).alias("_p"), F.col("_e").cast("long").alias("_o")))
+    rest = rest.select(*keys, item, F.when(F.col("rnk") < at, 0).otherwise(2).alias("_p"), F.col("rnk").alias("_o"))
+    rows = gathered([rest, fresh.select(*keys, item, F.lit(1).alias("_p"), F.col("_e").cast("long").alias("_o"))], keys)
     return rows.withColumn("new_rank", F.row_number().over(w.orderBy("_p", "_o"))).drop("_p", "_o")
 
 

@@ -6,6 +6,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def gathered(frames: list[DataFrame], keys: list[str]) -> DataFrame:
+    """Rows of frames with the same columns, dealt by keys anew.
+
+    A keyed step after a union must not count on the partitioning of the union's parts: adaptive execution may coalesce their shuffles
+    differently, and Spark 4.1 then leaves out an exchange that is needed (a key's rows stay in several tasks). Its setting for this is
+    turned off for the session; the exchange asked for here is the one that the keyed step needs.
+    """
+    frames[0].sparkSession.conf.set("spark.sql.unionOutputPartitioning", False)
+    whole = frames[0]
+    for f in frames[1:]:
+        whole = whole.unionByName(f, allowMissingColumns=True)
+    return whole.repartition(*keys)
+
+
 def nearest(left: DataFrame, right: DataFrame, keys: list[str], a: str, b: str, left_id: list[str], take: list[str], width: float | None = None) -> DataFrame:
     """For each left row the right row of its keys whose b is nearest to a; ties: the smaller b, then the smaller taken values.
     Rows without a right row of their keys go.
@@ -16,10 +30,10 @@ def nearest(left: DataFrame, right: DataFrame, keys: list[str], a: str, b: str,
     """
     r = right.select(*keys, F.col(b).cast("double").alias("_x"), F.lit(0).alias("_side"), F.struct(F.col(b).alias("b"), *[F.col(c).alias(c) for c in take]).alias("_r"))
     l = left.select(*keys, F.col(a).cast("double").alias("_x"), F.lit(1).alias("_side"), F.col(a).alias("_a"), *[F.col(c) for c in left_id])
-    both = l.unionByName(r, allowMissingColumns=True)
     parts = list(keys)
     if width is not None:
-        both, parts = both.withColumn("_k", F.floor(F.col("_x") / width)), [*keys, "_k"]
+        l, r, parts = *(x.withColumn("_k", F.floor(F.col("_x") / width)) for x in (l, r)), [*keys, "_k"]
+    both = gathered([l, r], parts)
     w = Window.partitionBy(*parts).rowsBetween(Window.unboundedPreceding, 0)
     under = F.last("_r", ignorenulls=True).over(w.orderBy("_x", "_side", F.desc("_r")))
     over = F.last("_r", ignorenulls=True).over(w.orderBy(F.desc("_x"), "_side", F.desc("_r")))
@@ -68,10 +82,7 @@ def outer_ranks(a: DataFrame, b: DataFrame, keys: list[str], missing: int = 1_00
 
 def union_first(frames: list[DataFrame], keys: list[str], pos: str = "pos") -> DataFrame:
     """Rows of frames end to end, each key once, at its first place; frames are in order of their own pos column."""
-    parts = [f.withColumn("_s", F.lit(i)) for i, f in enumerate(frames)]
-    all_rows = parts[0]
-    for p in parts[1:]:
-        all_rows = all_rows.unionByName(p)
+    all_rows = gathered([f.withColumn("_s", F.lit(i)) for i, f in enumerate(frames)], keys)
     w = Window.partitionBy(*keys).orderBy("_s", pos)
     return all_rows.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r").withColumnRenamed("_s", "source")
 

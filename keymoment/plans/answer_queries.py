@@ -22,9 +22,23 @@ def events(spark, d):
     return s.select(q.alias("query_id"), (F.col("query_id") % EVENTS).cast("int").alias("event_idx"), "video_id", "gid", "n", "frame_idx", (F.col("n") - 1).alias("t"), F.when(F.col("n") > 2, F.col("score")).otherwise(align.NEG).alias("score"))
 
 
-@query("l1_alignment")
+def _choices(span: int | None, gap: int, penalties: bool = False) -> str:
+    """Every increasing choice of four items a video in DuckDB's SQL, by joins: cb(query_id, video_id, score, ts, gids), o the order of its events."""
+    orders = {"[0, 1, 2, 3]": 0.0} | ({"[1, 0, 2, 3]": 0.5, "[0, 2, 1, 3]": 0.5, "[0, 1, 3, 2]": 0.5} if penalties else {})
+    o = " UNION ALL ".join(f"SELECT {k} AS o, CAST({v} AS DOUBLE) AS fee" for k, v in orders.items())
+    join = lambda x, y, i: f"JOIN e0 {x} ON {x}.query_id = a.query_id AND {x}.video_id = a.video_id AND {x}.event_idx = o[{i}] AND {x}.t >= {y}.t + {gap}"
+    return f"""{EV}, e0 AS MATERIALIZED (SELECT query_id, video_id, event_idx, t, gid, score FROM ev WHERE n > 2), od AS ({o}),
+cb AS (SELECT a.query_id, a.video_id, round(a.score + b.score + c.score + d.score - CAST(0.01 AS DOUBLE) * (d.t - a.t) - fee, 6) AS score, [a.gid, b.gid, c.gid, d.gid] AS gids, {{'f': -fee, 'd': -d.t, 'c': -c.t, 'b': -b.t, 'a': -a.t}} AS tie
+ FROM od JOIN e0 a ON a.event_idx = o[1] {join('b', 'a', 2)} {join('c', 'b', 3)} {join('d', 'c', 4)} {f'WHERE d.t - a.t <= {span}' if span else ''})"""
+
+
+_BEST = "SELECT query_id, video_id, max(score) AS score, arg_max(gids, {'s': score, 'tie': tie}) AS gids FROM cb GROUP BY query_id, video_id"
+
+
+@query("l1_alignment", f"WITH {_choices(None, 2)} {_BEST}")
 def alignment(spark, d):
-    return align.align(events(spark, d), "monotone", lam=0.01, gap=2)
+    """Windows alone; the SQL tries every choice of items."""
+    return align.chain(events(spark, d), EVENTS, 0.01, 2)
 
 
 _CHAIN = f"""{EV}, w AS (SELECT query_id, video_id, t, max(score) FILTER (event_idx = 0) AS s0, max(score) FILTER (event_idx = 1) AS s1, max(score) FILTER (event_idx = 2) AS s2, max(score) FILTER (event_idx = 3) AS s3 FROM ev WHERE n > 2 GROUP BY ALL),
@@ -36,7 +50,7 @@ best AS (SELECT query_id, video_id, round(max(d3), 6) AS score FROM d3 GROUP BY
 
 @query("l1_alignment_windows", f"WITH {_CHAIN} SELECT query_id, video_id, score FROM best")
 def alignment_windows(spark, d):
-    return align.prefix_max_chain(events(spark, d).where("n > 2"), 4, 0.01, 2)
+    return align.prefix_max_chain(events(spark, d), EVENTS, 0.01, 2)
 
 
 @query("l1_alignment_score", f"WITH {_CHAIN} SELECT query_id, video_id, score FROM best")
@@ -84,16 +98,36 @@ def anchors(spark, d):
     return events(spark, d).select("query_id", "event_idx", "gid", F.when(F.col("event_idx") != 1, F.col("score")).when(F.col("n") == 9, 10.0).otherwise(align.NEG).alias("score"))
 
 
-for _name, _kernel, _options in (("l7_windowed", "windowed", {"width": 12, "lam": 0.01, "gap": 1}), ("l8_unordered", "unordered", {"mu": 0.05, "span": 20}), ("l9_soft_order", "soft", {"lam": 0.01, "gap": 2}), ("l14_entropy_paths", "entropy", {})):
+@query("l7_windowed", f"WITH {_choices(12, 1)} {_BEST}")
+def windowed(spark, d):
+    return align.align(events(spark, d), "windowed", width=12, lam=0.01, gap=1)
+
+
+#: Every choice of four distinct items in any order within 20 places, with the prior on later places.
+_ANY = f"""{EV}, sz AS (SELECT video_id, greatest(count(*) - 1, 1) AS m FROM k GROUP BY video_id), e0 AS MATERIALIZED (SELECT query_id, video_id, event_idx, t, gid, score - CAST(0.05 AS DOUBLE) / 4 * t / m AS score FROM ev JOIN sz USING (video_id) WHERE n > 2),
+ab AS (SELECT a.query_id, a.video_id, a.t AS ta, b.t AS tb, least(a.t, b.t) AS lo, greatest(a.t, b.t) AS hi, a.score + b.score AS s, a.gid AS ga, b.gid AS gb FROM e0 a JOIN e0 b ON a.event_idx = 0 AND b.event_idx = 1 AND a.query_id = b.query_id AND a.video_id = b.video_id AND b.t <> a.t AND abs(a.t - b.t) <= 20),
+abc AS (SELECT ab.* EXCLUDE (lo, hi, s), c.t AS tc, c.gid AS gc, least(lo, c.t) AS lo, greatest(hi, c.t) AS hi, s + c.score AS s FROM ab JOIN e0 c ON c.event_idx = 2 AND c.query_id = ab.query_id AND c.video_id = ab.video_id AND c.t <> ta AND c.t <> tb AND greatest(hi, c.t) - least(lo, c.t) <= 20),
+cb AS (SELECT abc.query_id, abc.video_id, s + d.score AS score, [ga, gb, gc, d.gid] AS gids FROM abc JOIN e0 d ON d.event_idx = 3 AND d.query_id = abc.query_id AND d.video_id = abc.video_id AND d.t <> ta AND d.t <> tb AND d.t <> tc AND greatest(hi, d.t) - least(lo, d.t) <= 20)"""
+
 
-    @query(_name)
-    def kernel(spark, d, kernel=_kernel, options=_options):
-        return align.align(events(spark, d), kernel, **options)
+@query("l8_unordered", f"WITH {_ANY} SELECT query_id, video_id, round(max(score), 6) AS score, arg_max(gids, score) AS gids FROM cb GROUP BY query_id, video_id")
+def unordered(spark, d):
+    return align.align(events(spark, d), "unordered", mu=0.05, span=20)
+
+
+@query("l9_soft_order", f"WITH {_choices(None, 2, True)} {_BEST}")
+def soft_order(spark, d):
+    return align.align(events(spark, d), "soft", lam=0.01, gap=2)
+
+
+@query("l14_entropy_paths")
+def entropy_paths(spark, d):
+    return align.align(events(spark, d), "entropy")
 
 
 @query("l10_search", f"WITH {_CHAIN} SELECT query_id, video_id, score, r AS rnk FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, video_id) AS r FROM best) WHERE r <= 5")
 def search(spark, d):
-    return align.search(events(spark, d).where("n > 2"), 5, lam=0.01, gap=2).select("query_id", "video_id", "score", "rnk")
+    return align.best_videos(align.chain(events(spark, d), EVENTS, 0.01, 2), 5).select("query_id", "video_id", "score", "rnk")
 
 
 _PRE = f"{S}, b AS (SELECT query_id // 4 AS query_id, video_id, max(score) AS best FROM s WHERE query_id % 4 = 0 GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY best DESC, video_id) AS rnk FROM b)"
@@ -111,7 +145,7 @@ def forced_videos(spark, d):
     return prefilter(spark, d).union(q.select("query_id", F.format_string("V%03d", F.col("query_id")).alias("video_id"))).distinct()
 
 
-@query("l13_assembly")
+@query("l13_assembly", f"WITH {_choices(None, 2, True)}, b AS ({_BEST}) SELECT query_id, video_id, score, gids, list_sort(gids) AS chronological, video_id || ',' || array_to_string(list_sort(gids), ',') AS line FROM b")
 def assembly(spark, d):
     a = align.align(events(spark, d), "soft", lam=0.01, gap=2)
     return a.select("query_id", "video_id", "score", "gids", F.sort_array("gids").alias("chronological"), F.concat_ws(",", "video_id", F.array_join(F.transform(F.sort_array("gids"), lambda x: x.cast("string")), ",")).alias("line"))
@@ -145,19 +179,26 @@ def problems(spark, d):
     return range_problems(ranges(k), k.count())
 
 
-@query("l17_hedge")
+#: Frames of the two best alignments of each query, and their answer rows by offsets of up to two steps an event.
+_FR = f"""{_choices(None, 2)}, bs AS ({_BEST}), tp AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, video_id) AS r FROM bs QUALIFY r <= 2),
+fr AS (SELECT tp.query_id, tp.video_id, r, list(frame_idx ORDER BY i) AS f, any_value(last) AS last FROM (SELECT *, unnest(gids) AS g, generate_subscripts(gids, 1) AS i FROM tp) tp JOIN k ON k.gid = g JOIN (SELECT video_id, max(frame_idx) AS last FROM k GROUP BY video_id) l ON l.video_id = tp.video_id GROUP BY ALL),
+of AS (SELECT unnest(range(-2, 3)) AS o), mv AS (SELECT query_id, video_id, r, abs(x.o) + abs(y.o) + abs(z.o) + abs(w.o) AS cost, [x.o, y.o, z.o, w.o] AS o, list_transform(list_zip(f, [x.o, y.o, z.o, w.o]), lambda p: greatest(0, least(p[1] + p[2] * 10, last))) AS frames FROM fr, of x, of y, of z, of w),
+ft AS (SELECT *, row_number() OVER (PARTITION BY query_id, video_id, frames ORDER BY cost, o) AS again FROM mv QUALIFY again = 1),
+la AS (SELECT query_id, video_id, r, row_number() OVER (PARTITION BY query_id, video_id ORDER BY cost, o) AS rank, frames FROM ft QUALIFY rank <= 100)"""
+
+
+@query("l17_hedge", f"WITH {_FR}, sh AS (SELECT * FROM la WHERE rank <= CASE WHEN r = 1 THEN 60 ELSE 40 END) SELECT query_id, video_id, row_number() OVER (PARTITION BY query_id ORDER BY r, rank) AS rank, frames FROM sh")
 def hedge(spark, d):
-    top = align.search(events(spark, d), 2, lam=0.01, gap=2)
-    a = top.join(_frames(spark, d), ["query_id", "video_id"]).withColumn("share", F.when(F.col("rnk") == 1, 60).otherwise(40))
+    a = _frames(spark, d).withColumn("share", F.when(F.col("rnk") == 1, 60).otherwise(40))
     rows = allocate.sequence_rows(a).join(a.select("query_id", "video_id", "share", "rnk"), ["query_id", "video_id"]).where(F.col("rank") <= F.col("share"))
     return rows.select("query_id", "video_id", F.row_number().over(Window.partitionBy("query_id").orderBy("rnk", "rank")).alias("rank"), "frames")
 
 
 def _frames(spark, d):
-    """query_id, video_id, frames, last_frame of the best alignments."""
-    a = align.search(events(spark, d), 2, lam=0.01, gap=2).select("query_id", "video_id", F.posexplode("gids").alias("i", "gid"))
+    """query_id, video_id, rnk, frames, last_frame of the best alignments."""
+    a = align.best_videos(align.chain(events(spark, d), EVENTS, 0.01, 2), 2).select("query_id", "video_id", "rnk", F.posexplode("gids").alias("i", "gid"))
     k = keyframes(spark, d)
-    f = a.join(k.select("gid", "frame_idx"), "gid").groupBy("query_id", "video_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "frame_idx"))), lambda x: x["frame_idx"]).alias("frames"))
+    f = a.join(k.select("gid", "frame_idx"), "gid").groupBy("query_id", "video_id", "rnk").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "frame_idx"))), lambda x: x["frame_idx"]).alias("frames"))
     return f.join(k.groupBy("video_id").agg(F.max("frame_idx").alias("last_frame")), "video_id")
 
 
@@ -167,15 +208,21 @@ CAND = f"{H}, lf AS (SELECT video_id, max(frame_idx) AS last_frame FROM k GROUP
 _OFF = "(CASE WHEN d % 2 = 1 THEN -ceil(d / 2.0) ELSE ceil(d / 2.0) END) * 10"
 
 
-def _slots(cost: str, depth: int = 24) -> str:
-    return f"""lad AS (SELECT query_id, pos, video_id, CAST(frame_idx + {_OFF} AS BIGINT) AS frame, d FROM cand, (SELECT unnest(range(0, 193)) AS d) WHERE frame_idx + {_OFF} >= 0 AND frame_idx + {_OFF} <= last_frame),
-sl AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, pos ORDER BY d) - 1 AS depth FROM lad) WHERE depth < {depth}),
-co AS (SELECT *, {cost} AS cost FROM sl), one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, video_id, frame ORDER BY cost, pos, depth) AS r FROM co) WHERE r = 1), ro AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY cost, pos, depth) AS rank, video_id, frame FROM one)"""
+def _slots(cost: str, depth: int = 24, p: str = "", cand: str = "cand") -> str:
+    """Cost slots of a candidate table in SQL, as {p}ro(query_id, rank, video_id, frame)."""
+    return f"""{p}lad AS (SELECT query_id, pos, video_id, CAST(frame_idx + {_OFF} AS BIGINT) AS frame, d FROM {cand}, (SELECT unnest(range(0, 193)) AS d) WHERE frame_idx + {_OFF} >= 0 AND frame_idx + {_OFF} <= last_frame),
+{p}sl AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, pos ORDER BY d) - 1 AS depth FROM {p}lad) WHERE depth < {depth}),
+{p}co AS (SELECT *, {cost} AS cost FROM {p}sl), {p}one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, video_id, frame ORDER BY cost, pos, depth) AS r FROM {p}co) WHERE r = 1), {p}ro AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY cost, pos, depth) AS rank, video_id, frame FROM {p}one)"""
+
+
+def _hybrid(flat: str = "30", tail: int = 300, p: str = "", cand: str = "cand") -> str:
+    """Flat candidates and then slots in SQL, as {p}hr(query_id, rank, video_id, frame), not cut to the budget."""
+    return f"""{_slots("pos + CAST(0.5 AS DOUBLE) * depth", p=p, cand=cand)}, {p}hy AS (SELECT query_id, video_id, frame_idx AS frame, 0 AS phase, pos AS place FROM {cand} WHERE pos < {flat} UNION ALL SELECT query_id, video_id, frame, 1, rank FROM {p}ro WHERE rank <= {tail}),
+{p}h1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, video_id, frame ORDER BY phase, place) AS r FROM {p}hy) WHERE r = 1), {p}hr AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY phase, place) AS rank, video_id, frame FROM {p}h1)"""
 
 
 SLOTS = _slots("pos + CAST(0.5 AS DOUBLE) * depth")
-HYBRID = f"""{SLOTS}, hy AS (SELECT query_id, video_id, frame_idx AS frame, 0 AS phase, pos AS place FROM cand WHERE pos < 30 UNION ALL SELECT query_id, video_id, frame, 1, rank FROM ro WHERE rank <= 300),
-h1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, video_id, frame ORDER BY phase, place) AS r FROM hy) WHERE r = 1), hr AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY phase, place) AS rank, video_id, frame FROM h1)"""
+HYBRID = _hybrid()
 
 
 def candidates(spark, d, n=60):
@@ -219,12 +266,18 @@ def coverage(spark, d):
     return allocate.coverage_rows(candidates(spark, d, 400))
 
 
-@query("m6_dispatch", f"WITH {CAND}, {HYBRID} SELECT * FROM hr WHERE rank <= 100")
-def dispatch(spark, d):
+@query("m6_dispatch_hybrid", f"WITH {CAND}, {HYBRID} SELECT * FROM hr WHERE rank <= 100")
+def dispatch_hybrid(spark, d):
     return allocate.allocate(candidates(spark, d), "hybrid")
 
 
-@query("m7_lattice")
+@query("m6_dispatch")
+def dispatch(spark, d):
+    """The default, coverage."""
+    return allocate.allocate(candidates(spark, d, 400))
+
+
+@query("m7_lattice", f"WITH {_FR} SELECT query_id, video_id, rank, frames FROM la")
 def lattice(spark, d):
     return allocate.sequence_rows(_frames(spark, d))
 
@@ -246,11 +299,19 @@ def by_video(spark, d):
     return allocate.video_rows(candidates(spark, d))
 
 
-@query("m10_pinned")
+_PIN = f"""{CAND}, pn AS (SELECT query_id, video_id AS v, CASE query_id % 3 WHEN 0 THEN [frame_idx] WHEN 1 THEN [frame_idx, frame_idx + 110, frame_idx] ELSE [] END AS f, last_frame AS l FROM cand WHERE pos = 4), pu AS (SELECT query_id, v, l, list_distinct(f) AS d, f FROM pn),
+le AS (SELECT query_id, len(d) AS flat, 0 AS g, i - 1 AS i, f[i] AS frame_idx, v AS video_id, l AS last_frame FROM (SELECT *, unnest(range(1, len(d) + 1)) AS i FROM pu)), ow AS (SELECT cand.query_id, len(d) AS flat, 1 AS g, pos AS i, frame_idx, video_id, last_frame FROM cand JOIN pu USING (query_id) WHERE video_id = v AND NOT list_contains(d, frame_idx)),
+pc AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY g, i) - 1 AS pos FROM (SELECT * FROM le UNION ALL SELECT * FROM ow)), oc AS (SELECT cand.query_id, row_number() OVER (PARTITION BY cand.query_id ORDER BY pos) - 1 AS pos, video_id, frame_idx, last_frame FROM cand JOIN pu USING (query_id) WHERE video_id <> v)"""
+
+
+@query("m10_pinned", f"""WITH {_PIN}, {_hybrid("CASE WHEN flat > 0 THEN flat ELSE 30 END", 150, "p", "pc")}, {_hybrid("30", 300, "o", "oc")}, u AS (SELECT query_id, video_id, frame, 0 AS p, rank FROM phr WHERE rank <= 50 UNION ALL SELECT query_id, video_id, frame, 1, rank FROM ohr WHERE rank <= 100),
+u1 AS (SELECT *, row_number() OVER (PARTITION BY query_id, video_id, frame ORDER BY p, rank) AS r FROM u QUALIFY r = 1) SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY p, rank) AS rank, video_id, frame FROM u1 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY p, rank) <= 100""".replace("row_number() OVER (PARTITION BY query_id ORDER BY p, rank) AS rank, video_id", "row_number() OVER (PARTITION BY query_id ORDER BY p, u1.rank) AS rank, video_id").replace("ORDER BY p, rank) <= 100", "ORDER BY p, u1.rank) <= 100"))
 def pinned(spark, d):
+    """The three cases by query: one confirmed frame, two, none."""
     c = candidates(spark, d)
-    pin = c.where("pos = 4").select("query_id", "video_id", "frame_idx", "last_frame")
-    return allocate.pinned_rows(c, pin)
+    f, case = F.col("frame_idx"), F.col("query_id") % 3
+    frames = F.when(case == 0, F.array(f)).when(case == 1, F.array(f, f + 110, f))
+    return allocate.pinned_rows(c, c.where("pos = 4").select("query_id", "video_id", frames.alias("frames"), "last_frame"), how="hybrid")
 
 
 @query("m11_respent_tail")
@@ -348,7 +409,21 @@ def first_hit_score(spark, d):
     return f.select("query_id", evaluate.bucket_score(F.col("first")).alias("score"))
 
 
-@query("n7_bootstrap")
+def _poisson_steps(n: int = 8) -> list[float]:
+    """The distribution function of a Poisson draw of mean 1 at 0 to n - 1."""
+    p, c, out = 0.36787944117144233, 0.0, []
+    for i in range(n):
+        c += p
+        out.append(c)
+        p /= i + 1
+    return out
+
+
+_WEIGHT = " + ".join(f"CASE WHEN u >= CAST({c!r} AS DOUBLE) THEN 1 ELSE 0 END" for c in _poisson_steps())
+
+
+@query("n7_bootstrap", f"""WITH {FINAL}, dr AS (SELECT final_score AS x, b, {_DRAW.format(seed=11, key="query_id || chr(58) || b")} AS u FROM fs, (SELECT unnest(range(1, 1001)) AS b)), w AS (SELECT x, b, {_WEIGHT} AS w FROM dr), m AS (SELECT sum(w * x) / nullif(sum(w), 0) AS m FROM w GROUP BY b)
+SELECT round(avg(m), 6) AS mean, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high, round(avg(CASE WHEN m <= 0 THEN 1.0::DOUBLE ELSE 0 END), 6) AS p_not_positive FROM m""")
 def bootstrap(spark, d):
     return evaluate.bootstrap(evaluate.final_score(scored(spark, d), ["query_id"], "r", "rank"), "query_id", "final_score", 1000, 11)
 

@@ -139,7 +139,8 @@ def events(spark, d):
     return table(spark, d, "benchmark").select("item_id", text.events_of("text").alias("events"))
 
 
-@query("o9_decomposed")
+@query("o9_decomposed", """WITH h AS (SELECT item_id, regexp_replace(text, '\\s+', ' ', 'g') AS t, length(text) // 2 AS n, text FROM benchmark), p AS (SELECT item_id, unnest([substr(text, 1, n), substr(text, n + 1)]) AS part, unnest([1, 2]) AS i FROM h), c AS (SELECT item_id, i, trim(regexp_replace(part, '\\s+', ' ', 'g'), ' ,;.') AS e FROM p)
+SELECT item_id, list(e ORDER BY i) AS events FROM c WHERE e <> '' GROUP BY item_id""")
 def decomposed(spark, d):
     half = F.floor(F.length("text") / 2).cast("int")
     x = F.concat(F.lit("E1: "), F.substring(F.col("text"), F.lit(1), half), F.lit(" E2: "), F.substring(F.col("text"), half + 1, F.length("text")))
@@ -183,7 +184,7 @@ def counted_terms(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", "role", text.term_count(t, "car").alias("cars"))
 
 
-@query("o16_tolerant_json")
+@query("o16_tolerant_json", "SELECT item_id, '{\"a\": ' || item_id || '}' AS object FROM benchmark")
 def tolerant_json(spark, d):
     x = F.concat(F.lit("Sure: ```json\n{\"a\": "), F.col("item_id").cast("string"), F.lit(", }\n``` done"))
     return table(spark, d, "benchmark").select("item_id", text.json_object(x).alias("object"))
