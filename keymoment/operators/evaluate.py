@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,8 +33,9 @@ def moment_score(video: Column, frame: Column, truth: Column, s: Column, e: Colu
     return F.when((video == truth) & frame.between(s, e), 1.0).otherwise(0.0)
 
 
-def answer_score(moment: Column, answer: Column, truth: Column) -> Column:
-    return moment * F.when(answers_match(answer, truth), 1.0).otherwise(0.0)
+def answer_score(moment: Column, answer: Column, truth: Column, matcher: Callable[[Column, Column], Column] | None = None) -> Column:
+    """The moment's score where the answers match, by any matcher of two columns; answers_match() without one."""
+    return moment * F.when((matcher or answers_match)(answer, truth), 1.0).otherwise(0.0)
 
 
 def sequence_score(video: Column, frames: Column, truth: Column, spans: Column, strict: bool = False) -> Column:

@@ -42,18 +42,51 @@ def _npz(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "gid long, video_id string, frame_idx long, ts_ms long, shot_id long, pos_in_shot double")
 
 
-def read_npy(spark: SparkSession, path: str) -> DataFrame:
-    """(gid, v): rows of .npy matrices as arrays of float, row numbers as gid."""
-    import numpy as np
+#: Bytes of a matrix that one task reads at a time.
+NPY_RANGE = 64 << 20
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for raw in f["content"]:
-                m = np.load(io.BytesIO(raw), allow_pickle=False)
-                for a in range(0, len(m), 4096):
-                    yield pd.DataFrame({"gid": range(a, a + len(m[a : a + 4096])), "v": list(m[a : a + 4096].astype("float32"))})
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "gid long, v array<float>")
+def read_npy(spark: SparkSession, path: str, piece: int = NPY_RANGE) -> DataFrame:
+    """(file, gid, v): rows of two-dimensional .npy matrices as arrays of float, row numbers of a file as gid.
+
+    Files are cut into ranges of whole rows by their headers, and a task reads its ranges only, so a matrix larger than memory is
+    many tasks. Matrices in Fortran order aren't read.
+    """
+    import numpy as np
+
+    from .files import open_folder
+
+    def header(store, name: str) -> tuple[int, np.dtype, int, int]:
+        with store.open_input_file(name) as f:
+            version = np.lib.format.read_magic(f)
+            shape, fortran, kind = (np.lib.format.read_array_header_1_0 if version == (1, 0) else np.lib.format.read_array_header_2_0)(f)
+            if fortran or len(shape) != 2:
+                raise ValueError(f"{name} isn't a matrix in C order")
+            return f.tell(), kind, *shape
+
+    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for uri in frame["path"]:
+                store, name = open_folder(uri)
+                _, kind, n, d = header(store, name)
+                step = max(1, piece // max(1, kind.itemsize * d))
+                yield pd.DataFrame({"path": uri, "first": range(0, n, step), "rows": [min(step, n - i) for i in range(0, n, step)]})
+
+    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for uri, first, rows in zip(frame["path"], frame["first"], frame["rows"], strict=True):
+                store, name = open_folder(uri)
+                start, kind, _, d = header(store, name)
+                with store.open_input_file(name) as f:
+                    f.seek(start + first * d * kind.itemsize)
+                    m = np.frombuffer(f.read(rows * d * kind.itemsize), kind).reshape(rows, d)
+                for a in range(0, rows, 4096):
+                    part = m[a : a + 4096]
+                    yield pd.DataFrame({"file": name.rpartition("/")[2], "gid": range(first + a, first + a + len(part)), "v": list(part.astype("float32"))})
+
+    files = spark.read.format("binaryFile").load(path).select("path")
+    ranges = files.mapInPandas(cut, "path string, first long, rows long").repartition("path", "first")
+    return ranges.mapInPandas(read, "file string, gid long, v array<float>")
 
 
 def with_vectors(items: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -168,13 +201,45 @@ def read_media_info(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInPandas(run, f"video_id string, {MEDIA_INFO}").select("video_id", "title", "description", "keywords", "author", "publish_date", "watch_url")
 
 
+_CACHE = "map<string,array<array<string>>>"
+
+
 def read_text_cache(spark: SparkSession, path: str, least: float = 0.35) -> DataFrame:
     """(video_id, frame_idx, text, confidence) of caches, one JSON object a video: frame -> [[text, confidence], ...]."""
-    raw = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), "([^/]+)[.]json$", 1).alias("video_id"), F.from_json("value", "map<string,array<array<string>>>").alias("m"))
+    raw = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), "([^/]+)[.]json$", 1).alias("video_id"), F.from_json("value", _CACHE).alias("m"))
     rows = raw.select("video_id", F.explode("m").alias("frame_idx", "found")).select("video_id", F.col("frame_idx").cast("long"), F.explode("found").alias("x"))
     return rows.select("video_id", "frame_idx", F.col("x")[0].alias("text"), F.col("x")[1].cast("double").alias("confidence")).where(F.col("confidence") >= least)
 
 
+def extend_text_cache(fresh: DataFrame, folder: str, known: str | None = None) -> DataFrame:
+    """Writes caches of fresh(video_id, frame_idx, found: array of (text, confidence)) to a folder and gives the list of files written.
+
+    Frames that the cache at `known` holds stay as they are there, frames of fresh that it doesn't are added, a frame that was looked at
+    and had no text is an empty list, so it isn't looked at again. Only videos with a new frame are written.
+    """
+    from .files import write_files
+
+    spark = fresh.sparkSession
+    pairs = F.transform("found", lambda x: F.array(x["text"], F.round(x["confidence"], 3).cast("string")))
+    new = fresh.select("video_id", F.col("frame_idx").cast("string").alias("frame"), pairs.alias("found"), F.lit(1).alias("turn"))
+    if known is not None:
+        raw = spark.read.text(known, wholetext=True).select(F.regexp_extract(F.input_file_name(), "([^/]+)[.]json$", 1).alias("video_id"), F.from_json("value", _CACHE).alias("m"))
+        new = new.unionByName(raw.select("video_id", F.explode("m").alias("frame", "found"), F.lit(0).alias("turn")))
+    first = new.groupBy("video_id", "frame").agg(F.min(F.struct("turn", "found")).alias("x"))
+    video = first.groupBy("video_id").agg(F.max("x.turn").alias("turn"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("frame", "x.found")))).alias("m")).where("turn = 1")
+    return write_files(video.select(F.concat("video_id", F.lit(".json")).alias("name"), F.to_json("m").alias("content")), folder)
+
+
+def caption_cues(files: DataFrame) -> DataFrame:
+    """(video_id, pos, start, text) of caption files(video_id, content) of timed events: the segments of an event joined, its start in
+    seconds at two places; events without text go."""
+    x = F.from_json("content", "events array<struct<tStartMs:double,segs:array<struct<utf8:string>>>>")
+    e = files.select("video_id", F.posexplode(x["events"]).alias("pos", "e"))
+    text = F.trim(F.regexp_replace(F.array_join(F.transform("e.segs", lambda s: F.coalesce(s["utf8"], F.lit(""))), ""), "^\\s+|\\s+$", ""))
+    out = e.select("video_id", F.col("pos").cast("long"), F.round(F.coalesce("e.tStartMs", F.lit(0.0)) / 1000, 2).alias("start"), text.alias("text"))
+    return out.where("text <> ''")
+
+
 def read_transcripts(spark: SparkSession, paths: list[str]) -> DataFrame:
     """(video_id, title, segments) of transcript files of either shape ({segments, title} or [[start, text], ...]); of several folders
     the first that has a video wins, broken files are left out."""

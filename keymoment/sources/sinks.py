@@ -85,6 +85,17 @@ def package(files: dict[str, str], folder: str = "submission") -> bytes:
     return out.getvalue()
 
 
+def packages(files: DataFrame, size: int = 1000) -> DataFrame:
+    """(name, content) of ZIPs of files(pos, name, content), `size` files by pos to each, made by tasks."""
+    import pandas as pd
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        raw = package(dict(zip(pdf["name"], pdf["content"], strict=True)))
+        return pd.DataFrame({"name": [f"submission-{pdf['block'].iloc[0]:05d}.zip"], "content": [raw]})
+
+    return files.withColumn("block", F.floor(F.col("pos") / size)).groupBy("block").applyInPandas(run, "name string, content binary")
+
+
 def zip_lines(df: DataFrame) -> DataFrame:
     """(file, pos, line) of the members of ZIPs given as binaryFile rows (content)."""
     import pandas as pd
