@@ -13,9 +13,12 @@ other one's signatures suffice.
 Shingles found often in a sample (repeated passages, degenerate repeats) are left out of the signed domain: any
 choice of them keeps the argument, as leaving elements out shrinks differences, so the sample steers cost only.
 
-Signatures with two sets or more become edges of candidate blocks; blocks hold each set once. A block is joined in
-one task by rarest-first prefixes over the block's own frequencies, and a block above BLOCK shingles is cut into
-chunks whose pairs are joined in tasks of bounded size.
+Signatures with two sets or more become edges of candidate blocks; blocks hold each set once. A block is cut into chunks
+of about CHUNK shingles, and a chunk is joined in one task by rarest-first prefixes over its own frequencies. A block of one
+chunk, the usual case, is done then. Of a larger one the leaders of the chunks' largest components are joined in the same
+way, so a group of near copies of any size becomes one component at the cost of one pass over it. What stays outside the
+block's largest component then is compared with it and with itself, in pairs of chunks of BLOCK shingles at most, which
+skip pairs known to be connected: every pair of a block is in one component or was compared.
 
 Defined cases: null text, empty text and text of white space have the empty set and link with nothing; a null
 doc_id has a null component; rows that repeat a doc_id, null ones too, count as one document (the one with the larger set
@@ -28,7 +31,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .buckets import Packer, bucket_count, by_bucket, runs, unpack
@@ -37,8 +40,8 @@ from .lean import lean
 from .store import drop, fresh, written
 from .words import SHINGLE, mix, set_digest, shingles, signed, text_buffers, words_of
 
-#: Shingles in a task's block, or in each of the two chunks of a pair of chunks.
-BLOCK = 2_000_000
+#: Shingles in a chunk of a block, and at most in each of the two chunks of a pair.
+CHUNK, BLOCK = 30_000, 2_000_000
 #: The sample that finds frequent shingles takes about this many documents; a shingle is frequent with so many in it.
 SAMPLE_DOCS, SAMPLE_FREQUENT, FREQUENT_MOST = 20_000, 4, 200_000
 
@@ -171,8 +174,9 @@ def similar(common: int, a: int, b: int) -> bool:
     return 100 * common >= 80 * (a + b - common)
 
 
-def join_block(sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Links that connect the components of sets: every pair that links is connected by what is returned.
+def join_block(sets: list[np.ndarray], known: list[int] | None = None) -> list[tuple[int, int]]:
+    """Links that connect the components of sets: every pair that links is connected by what is returned and by known, which has a
+    label of each set that those of a component share.
 
     Sets are taken by size. One meets those before it that share one of its rarest elements (rarity within the
     block); of each component it first meets the oldest member, others only if that one isn't similar.
@@ -191,6 +195,10 @@ def join_block(sets: list[np.ndarray]) -> list[tuple[int, int]]:
     else:
         own, once = sets, 0
     forest, links = Forest(n), []
+    if known is not None:
+        first: dict[int, int] = {}
+        for i, label in enumerate(known):
+            forest.union(first.setdefault(label, i), i)
     postings: dict[int, dict[int, list[int]]] = {}
     for x in order:
         s = own[x]
@@ -228,28 +236,24 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum())
 
 
-def linked(reps: DataFrame, attach: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(node, component) of the ids of reps(id, component, size) that link within their block, a component of candidates.
-
-    attach gives members(id, blocks) their sets as (id, held, block), one row for each of a member's blocks.
-    """
-    sizes = reps.groupBy("component").agg(F.sum("size").alias("total"))
-    reps = written(reps.join(sizes, "component").withColumn("chunks", F.ceil(F.col("total") / BLOCK).cast("int")), "blocks")
-    chunk = F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda k: F.concat_ws(":", F.hex("component"), F.least(k, chunk).cast("string"), F.greatest(k, chunk).cast("string")))
+def _links(members: DataFrame, attach: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(u, v), a written table: links within each block of members(id, blocks), a block's name being followed by `|` and a label where
+    members of one label are connected already."""
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         u: list[int] = []
         v: list[int] = []
         for _, rows in runs(batches, "block"):
             ids: dict[int, np.ndarray] = {}
+            labels: dict[int, int] = {}
             for r in rows:
-                for d, x in zip(_ids(r, "id"), r.column(r.schema.get_field_index("held")), strict=True):
+                for d, x, label in zip(_ids(r, "id"), r.column(r.schema.get_field_index("held")), _ids(r, "label"), strict=True):
                     s = np.frombuffer(x.as_buffer(), "<u8")
+                    labels[d] = d if label is None else label
                     if len(s) >= len(ids.get(d, ())):
                         ids[d] = s
             names = sorted(ids)
-            for x, y in join_block([ids[d] for d in names]):
+            for x, y in join_block([ids[d] for d in names], [labels[d] for d in names]):
                 u.append(names[x])
                 v.append(names[y])
             if len(u) > 100_000:
@@ -257,10 +261,63 @@ def linked(reps: DataFrame, attach: Callable[[DataFrame], DataFrame]) -> DataFra
                 u, v = [], []
         yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
-    held = attach(reps.select("id", pairs.alias("blocks"))).select("id", "held", "block")
-    links = held.repartition(bucket_count(held), "block").sortWithinPartitions("block").mapInArrow(lean(link), "u long, v long")
-    found = components(links)
-    drop(reps)
+    parts = F.split("block", "[|]")
+    held = attach(members).select("id", "held", parts[0].alias("block"), F.get(parts, F.lit(1)).cast("long").alias("label"))
+    return written(held.repartition(bucket_count(held), "block").sortWithinPartitions("block").mapInArrow(lean(link), "u long, v long"), "links")
+
+
+def _name(*parts) -> Column:
+    return F.concat_ws(":", *(p if isinstance(p, Column) else F.lit(p) for p in parts))
+
+
+def linked(reps: DataFrame, attach: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(node, component) of the ids of reps(id, component, size) that link within their block, a component of candidates.
+
+    attach gives members(id, blocks) their sets as (id, held, block), one row for each of a member's blocks. See the module for the steps.
+    """
+    sizes = reps.groupBy("component").agg(F.ceil(F.sum("size") / CHUNK).cast("int").alias("chunks"))
+    chunk = F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")
+    reps = written(reps.join(sizes, "component").select("id", F.col("component").alias("block"), "size", "chunks", chunk.alias("chunk")), "blocks")
+    one = F.hex("block")
+    links = _links(reps.select("id", F.array(_name(one, F.col("chunk").cast("string"))).alias("blocks")), attach)
+    if not reps.where("chunks > 1").limit(1).count():
+        found = components(links)
+        drop(links)
+        drop(reps)
+        return found
+
+    def labelled(found: DataFrame) -> DataFrame:
+        of = found.select(F.col("node").alias("id"), F.col("component").alias("label"))
+        return reps.where("chunks > 1").join(of, "id", "left").withColumn("label", F.coalesce("label", "id"))
+
+    # the leaders of the chunks' largest components
+    own = components(links)
+    per = labelled(own).groupBy("block", "chunk", "label").agg(F.count("*").alias("n"), F.min_by("size", "id").alias("size"))
+    lead = per.groupBy("block", "chunk").agg(F.max(F.struct("n", (-F.col("label")).alias("o"), "size")).alias("x")).where("x.n > 1")
+    leaders = written(lead.select((-F.col("x.o")).alias("id"), F.col("block").alias("component"), "x.size"), "leaders")
+    across = linked(leaders, attach)
+    both = written(own.select(F.col("node").alias("u"), F.col("component").alias("v")).unionAll(across.select("node", "component")).where("u <> v"), "links")
+    for x in (links, own, leaders, across):
+        drop(x)
+
+    # what is outside a block's largest component, with it and with itself
+    own = components(both)
+    marked = written(labelled(own), "labels")
+    sums = marked.groupBy("block", "label").agg(F.count("*").alias("n"), F.sum("size").alias("s"))
+    main = sums.groupBy("block").agg(F.max(F.struct("n", (-F.col("label")).alias("o"), "s")).alias("x"), F.sum("s").alias("s")).select("block", (-F.col("x.o")).alias("main"), F.col("x.s").alias("in_main"), (F.col("s") - F.col("x.s")).alias("rest"))
+    some = main.where("rest > 0").withColumn("r", F.ceil(F.col("rest") / BLOCK).cast("int")).withColumn("m", F.ceil(F.col("in_main") / F.least(F.lit(BLOCK), F.greatest(F.lit(CHUNK), "rest"))).cast("int"))
+    x = marked.join(some, "block")
+    text = lambda c: c.cast("string")
+    at_r, at_m = F.pmod(F.xxhash64("id"), F.col("r")).cast("int"), F.pmod(F.xxhash64("id"), F.col("m")).cast("int")
+    rs, ms = F.sequence(F.lit(0), F.col("r") - 1), F.sequence(F.lit(0), F.col("m") - 1)
+    with_rest = F.transform(rs, lambda k: _name(one, "r", text(F.least(k, at_r)), text(F.greatest(k, at_r))))
+    with_main = F.transform(ms, lambda k: _name(one, "m", text(k), text(at_r)))
+    of_main = F.transform(rs, lambda k: _name(one, "m", text(at_m), text(k)))
+    blocks = F.when(F.col("label") == F.col("main"), of_main).otherwise(F.concat(with_rest, with_main))
+    rest = _links(x.select("id", F.transform(blocks, lambda b: F.concat_ws("|", b, F.col("label").cast("string"))).alias("blocks")), attach)
+    found = components(rest.unionAll(own.select("node", "component")))
+    for x in (rest, own, both, marked, reps):
+        drop(x)
     return found
 
 

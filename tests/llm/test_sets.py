@@ -95,9 +95,16 @@ def test_jaccard_odd_rows(spark):
     assert sorted([r["doc_id"] for r in kept.collect()], key=repr) == sorted([1, 1, None, 3], key=repr)
 
 
-def test_blocks_cut_into_chunks(spark, monkeypatch):
-    texts = corpus(9, 48)
-    monkeypatch.setattr(jaccard_join, "BLOCK", 300)
+@pytest.mark.parametrize("seed, chunk, block", [(9, 100, 400), (10, 300, 600), (11, 1000, 1000)])
+def test_blocks_cut_into_chunks(spark, monkeypatch, seed, chunk, block):
+    """Blocks of many chunks: a group of near copies, drifting families on both sides of 0.8, and what candidates chain to them."""
+    rng = random.Random(seed)
+    base, texts = prose(120, rng), corpus(seed, 24)
+    for i in range(40):
+        near = edited(base, 0.01, rng) if i % 2 else edited(texts[-1][1] if i > 4 else base, rng.choice([0.01, 0.03, 0.04]), rng)
+        texts.append((1000 + i, near))
+    monkeypatch.setattr(jaccard_join, "CHUNK", chunk)
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_components(frame(spark, texts)).collect()}
     assert got == brute_components(texts)
 
