@@ -46,6 +46,15 @@ _WORDS = re.compile("[a-zªµºß-öø-ÿ]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^\\t-\\
 _ODD = re.compile(r"[^\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-\xff]|<\|")
 
 
+def _room(a: np.ndarray, n: int) -> np.ndarray:
+    """a, or a copy with room for n values; room doubles, so growing by small steps copies each value a few times only."""
+    if n <= len(a):
+        return a
+    out = np.zeros(max(n, 2 * len(a)), a.dtype)
+    out[: len(a)] = a
+    return out
+
+
 class WordEncoder:
     """The library's ids of texts, with the ids of words kept between texts."""
 
@@ -63,7 +72,8 @@ class WordEncoder:
 
     def _forget(self) -> None:
         self.index: dict[str, int] = {}
-        self.size, self.ids = np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.start, self.size, self.ids = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), np.zeros(1 << 14, np.uint32)
+        self.n_words = self.n_ids = 0
 
     def _learn(self, words: list[str]) -> None:
         """Adds the ids of words: the library gets them as one text, in which each ends with an id that ends a word."""
@@ -74,8 +84,12 @@ class WordEncoder:
             found = [self.tokenizer.encode(w, add_special_tokens=False).ids for w in words]
             ids = np.array([i for x in found for i in x], np.uint32)
             ends = np.cumsum([len(x) for x in found])
-        self.size = np.concatenate([self.size, np.diff(ends, prepend=0)])
-        self.ids = np.concatenate([self.ids, ids])
+        n, m = self.n_words + len(ends), self.n_ids + len(ids)
+        self.start, self.size, self.ids = _room(self.start, n), _room(self.size, n), _room(self.ids, m)
+        self.size[self.n_words : n] = np.diff(ends, prepend=0)
+        self.start[self.n_words : n] = self.n_ids + ends - self.size[self.n_words : n]
+        self.ids[self.n_ids : m] = ids
+        self.n_words, self.n_ids = n, m
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(numbers of ids, ids end to end)."""
@@ -100,11 +114,10 @@ class WordEncoder:
             own.append(np.array(at, np.int64))
         if new:
             self._learn(new)
-        start = np.cumsum(self.size) - self.size
         flat = np.concatenate(own) if own else np.zeros(0, np.int64)
         n = self.size[flat]
         ends = np.cumsum(n)
-        at = np.repeat(start[flat] - (ends - n), n)
+        at = np.repeat(self.start[flat] - (ends - n), n)
         at += np.arange(len(at))
         ids = self.ids[at]
         counts = np.diff(np.concatenate([[0], ends])[np.cumsum([0, *map(len, own)])])

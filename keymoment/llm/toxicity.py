@@ -62,16 +62,21 @@ def _bags(docs: DataFrame) -> DataFrame:
     return docs.select("text", F.col("y").cast("int")).mapInArrow(lean(run), "y int, sentences binary, features binary")
 
 
+def gradient(y: np.ndarray, f: np.ndarray, s: np.ndarray, bag: np.ndarray, w: np.ndarray, b: float) -> tuple[np.ndarray, float]:
+    """(by weight, by bias) of the mean log loss of bags under noisy-or: a bag is toxic with 1 - product of (1 - p of its sentences)."""
+    z = np.bincount(s, w[f], minlength=len(bag)) + b
+    p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    none = np.exp(np.bincount(bag, np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=len(y)))
+    some = np.maximum(1 - none, 1e-9)
+    g = np.where(y == 1, -none / some, 1.0)[bag] * p / len(y)  # by sentence
+    return np.bincount(f, g[s], minlength=len(w)), float(g.sum())
+
+
 def _adam(y: np.ndarray, f: np.ndarray, s: np.ndarray, bag: np.ndarray, w: np.ndarray, b: float, epochs: int, shrink: float) -> tuple[np.ndarray, float]:
     """(weights, bias) after so many full steps; f and s are the features and sentences of the entries, bag of each sentence."""
     m, v, mb, vb, rate = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0, 0.15
     for t in range(1, epochs + 1):
-        z = np.bincount(s, w[f], minlength=len(bag)) + b
-        p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        none = np.exp(np.bincount(bag, np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=len(y)))
-        some = np.maximum(1 - none, 1e-9)
-        g = np.where(y == 1, -none / some, 1.0)[bag] * p / len(y)  # of the log loss, by sentence
-        gw, gb = np.bincount(f, g[s], minlength=len(w)), g.sum()
+        gw, gb = gradient(y, f, s, bag, w, b)
         m, v = 0.9 * m + 0.1 * gw, 0.999 * v + 0.001 * gw**2
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb**2
         a, c = 1 - 0.9**t, 1 - 0.999**t

@@ -87,6 +87,19 @@ def test_token_files_hold_the_library_s_ids(spark, docs, odd):
     assert token_files.read_token_files(token_files.write_token_files(docs.limit(0), path)).count() == 0
 
 
+def test_kept_words_are_the_library_s(monkeypatch):
+    """Random texts of all of Latin-1 with controls, apostrophes, digits and marks of special tokens, in small groups, so kept words grow and are forgotten."""
+    t, rng = tokenizer("word_bpe_49k.json"), random.Random(3)
+    monkeypatch.setattr(token_files, "WORDS_KEPT", 300)
+    e = token_files.WordEncoder(P.path("word_bpe_49k.json"))
+    pieces = [chr(c) for c in range(256)] + ["'s", "'ll", "don't", "<|", "<|endoftext|>", "12", " \n\t ", "the", "of", "éa", "ÀÉ", "x1y2", "''", "</w>"]
+    for _ in range(60):
+        texts = ["".join(rng.choice(pieces if rng.random() < 0.4 else pieces[32:127] + pieces[256:]) for _ in range(rng.randint(0, 60))) for _ in range(rng.randint(1, 12))]
+        n, ids = e.encode(texts)
+        want = [t.encode(x, add_special_tokens=False).ids for x in texts]
+        assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == want
+
+
 def test_blocks_round_trip():
     rng = np.random.default_rng(0)
     for v in (np.array([5]), np.array([2**32 - 1, 0]), np.arange(3000), np.full(1025, 7), rng.integers(0, 50_000, 5000), np.where(rng.random(4096) < 0.02, 2**31, rng.integers(0, 9, 4096)), np.zeros(0)):
@@ -239,6 +252,59 @@ def test_toxicity_small(spark, odd):
     assert toxicity.predict_toxicity(docs.limit(0), labels).count() == 0
 
 
+def test_noisy_or_loss_and_gradient():
+    """The gradient against differences of the loss in plain Python, bag by bag, with bags of one and of no toxic sentence."""
+    rng = np.random.default_rng(2)
+    bag = np.repeat(np.arange(50), rng.integers(1, 6, 50))
+    f = rng.integers(0, 12, 4 * len(bag))
+    s = np.repeat(np.arange(len(bag)), 4)
+    y = rng.integers(0, 2, 50).astype(float)
+    w, b = rng.normal(0, 0.5, 12), -1.0
+
+    def loss(w, b):
+        total = 0.0
+        for k in range(50):
+            none = 1.0
+            for j in np.flatnonzero(bag == k):
+                z = b + sum(w[f[e]] for e in np.flatnonzero(s == j))
+                none *= 1 - 1 / (1 + np.exp(-z))
+            total -= np.log(1 - none) if y[k] else np.log(none)
+        return total / 50
+
+    gw, gb = toxicity.gradient(y, f, s, bag, w, b)
+    step = 1e-5
+    for i in range(12):
+        d = np.zeros(12)
+        d[i] = step
+        assert gw[i] == pytest.approx((loss(w + d, b) - loss(w - d, b)) / (2 * step), abs=1e-6)
+    assert gb == pytest.approx((loss(w, b + step) - loss(w, b - step)) / (2 * step), abs=1e-6)
+
+
+def test_odd_rows_of_every_operator(spark, docs):
+    """Null ids, repeated rows, null and empty texts and a text of 3 MB: each row in, a row out, equal rows alike."""
+    long = " ".join(["you awful thing. one more word 12345"] * 80_000)
+    rows = [(None, "a b", "en", "s", 3), (None, "a b", "en", "s", 3), (5, "same text of some words", "en", "s", 9), (5, "same text of some words", "en", "s", 9), (6, None, None, None, None), (7, "", "en", "s", 0), (8, long, "en", "s", len(long))]
+    frame = spark.createDataFrame(rows, SCHEMA).withColumn("digest", F.lit(1)).withColumn("payload", F.lit("x")).withColumn("_id", F.lit(2))
+    labels = spark.read.parquet(f"{DATA}/labels.parquet")
+    t = tokenizer("byte_bpe_50k.json")
+    for name, out in (
+        ("op3", bpe.round_trip(frame, P.path("byte_bpe_50k.json"))),
+        ("op7", media.media_columns(frame)),
+        ("op8", toxicity.predict_toxicity(frame, labels)),
+        ("op2", quality.quality(frame, labels, F.col("source"), F.col("lang"))),
+    ):
+        got = out.collect()
+        assert sorted((str(r["doc_id"]) for r in got)) == sorted(str(r[0]) for r in rows), name
+        for same in (None, 5):
+            a = [[v for k, v in r.asDict().items()] for r in got if r["doc_id"] == same]
+            assert len(a) == 2 and a[0] == a[1], name
+        if name == "op3":
+            n = {r["doc_id"]: r["n_tokens"] for r in got}
+            assert n[8] == len(t.encode(long, add_special_tokens=False).ids) and n[6] == n[7] == 0
+    found = licenses.scan(frame).collect()
+    assert all(r["doc_id"] in (None, 5, 8) for r in found)
+
+
 def test_quality_held_out(spark):
     big, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     got = quality.quality(big, labels, F.col("source"), F.col("lang")).toPandas()
@@ -247,6 +313,57 @@ def test_quality_held_out(spark):
     assert (held.keep == (held.quality == 1)).mean() > 0.97
 
 
+def _strength(groups, most):
+    """groups: (k, n, mean) of each; the moment estimate in plain Python."""
+    n = sum(g[1] for g in groups)
+    within = sum(g[1] * g[2] * (1 - g[2]) for g in groups) / n
+    between = max(sum(g[1] * (g[0] / g[1] - g[2]) ** 2 for g in groups) / n - within * len(groups) / n, within / most, 1e-12)
+    return min(max(within / between - 1, 1.0), most)
+
+
+def test_quality_posteriors_in_plain_python(spark, docs):
+    """Every row's host and path rates and its score from the document probabilities, by loops; null and repeated ids and clashing columns among them."""
+    rows = [(r["doc_id"], r["text"], r["source"], r["lang"]) for r in docs.collect()]
+    rows += [(None, "a text", "src1", "en"), (rows[0][0], rows[0][1], rows[0][2], rows[0][3]), (9001, None, None, None), (9002, "", "only", "en")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").withColumn("host", F.lit("clash")).withColumn("p", F.lit(0)).withColumn("k1", F.lit(1))
+    labels = spark.read.parquet(f"{DATA}/labels.parquet")
+    labels = labels.unionAll(labels.limit(3))
+    y = {}
+    for r in labels.collect():
+        if zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2 and r["quality"] is not None:
+            y[r["doc_id"]] = min(r["quality"], y.get(r["doc_id"], 1))
+    got = quality.quality(frame, labels, F.col("source"), F.col("lang"))
+    p = {}
+    for r in got.collect():
+        p.setdefault(r["doc_id"], []).append(r)
+    assert sorted(map(str, (r[0] for r in rows))) == sorted(str(k) for k, v in p.items() for _ in v)
+    site = {}
+    own = []
+    for i, _, host, path in rows:
+        g = p[i][0]
+        n1, k1 = (1.0, float(y[i])) if i in y else (quality.SOFT, g["p_document"] * quality.SOFT)
+        own.append((i, host, path, k1, n1, g))
+        for key in ((host,), (host, path)):
+            a = site.setdefault(key, [0.0, 0.0])
+            a[0] += k1
+            a[1] += n1
+    hosts = [v for k, v in site.items() if len(k) == 1]
+    mean = sum(h[0] for h in hosts) / sum(h[1] for h in hosts)
+    s1 = _strength([(*h, mean) for h in hosts], quality._MOST_STRENGTH)
+    paths = [(*v, (site[k[:1]][0] + s1 * mean) / (site[k[:1]][1] + s1)) for k, v in site.items() if len(k) == 2]
+    s2 = _strength(paths, quality._MOST_STRENGTH)
+    logit = lambda q: np.log(q / (1 - q))
+    for _, host, path, k1, n1, g in own:
+        hk, hn = site[(host,)]
+        k, n = site[(host, path)]
+        host_rate = (hk - k1 + s1 * mean) / (hn - n1 + s1)
+        path_rate = (k - k1 + s2 * host_rate) / (n - n1 + s2)
+        q = min(max(g["p_document"], 1e-6), 1 - 1e-6)
+        score = 1 / (1 + np.exp(-(logit(q) + logit(path_rate) - logit(mean))))
+        assert g["host_rate"] == pytest.approx(host_rate, abs=2e-5) and g["path_rate"] == pytest.approx(path_rate, abs=2e-4)
+        assert g["score"] == pytest.approx(score, abs=2e-3) and g["keep"] == (g["score"] >= quality.KEEP)
+
+
 def test_quality_shrinks_sparse_sites(spark):
     rows = [(i, "same words in each text of these", f"h{i % 3}", "p") for i in range(300)] + [(900, "same words in each text of these", "h9", "p")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
@@ -343,6 +460,21 @@ def test_pipeline_stages(spark, docs):
     assert corpus_pipeline.run(spark, DATA).count() == len(final)
 
 
+def test_pipeline_odd_rows(spark, tmp_path):
+    """Null and repeated ids, null and empty texts, no language known, clashing columns: the defined cases of the pipeline's statement."""
+    text = "some words of a text that is long enough to be told from the others and has more than twenty of them in its only line here"
+    rows = [(None, "one text without an id", None), (3, text, None), (3, text, None), (4, text + " and", None), (5, None, None), (6, "", None), (7, "12 34 --", None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for c in ("source", "component_id", "cuts", "cut_id", "gone", "_cuts", "ids"):
+        frame = frame.withColumn(c, F.lit("x"))
+    frame.withColumn("n_chars", F.length("text").cast("long")).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.read.parquet(f"{DATA}/benchmark.parquet").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted(str(r["doc_id"]) for r in got) == ["3", "3", "None"]
+    t = tokenizer("byte_bpe_50k.json")
+    assert {r["doc_id"]: r["n_tokens"] for r in got} == {None: len(t.encode(rows[0][1]).ids), 3: len(t.encode(text).ids)}
+
+
 def test_pipeline_on_nothing(spark, docs, tmp_path):
     docs.limit(0).write.parquet(str(tmp_path / "documents.parquet"))
     spark.read.parquet(f"{DATA}/benchmark.parquet").write.parquet(str(tmp_path / "benchmark.parquet"))
