@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 from .store import drop, written
 
 
-#: A hub has more than HUB ends and more than one in HUBS of all, so there are fewer than HUBS of them; its rows are dealt to SALTS places.
-HUB, HUBS, SALTS = 1000, 500, 64
+#: A hub has more than HUB ends and more than one in HUBS of all, so there are fewer than HUBS of them.
+HUB, HUBS = 1000, 500
 
 
 def _with_lowest(e: DataFrame, ends: int, itself: bool, hub: int) -> DataFrame:
-    """e(u, v), a written table of so many rows, with m, the smallest v of each u (or u, with itself)."""
+    """e(u, v), of so many rows at most, with m, the smallest v of each u (or u, with itself). The rows of hubs get theirs from a map of
+    under HUBS entries where they are, the others by a join."""
     low = e.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
     if itself:
         low = low.withColumn("m", F.least("m", "u"))
@@ -23,16 +24,15 @@ def _with_lowest(e: DataFrame, ends: int, itself: bool, hub: int) -> DataFrame:
     if not hubs:
         return e.join(low.select("u", "m"), "u")
     known = F.create_map(*(F.lit(x) for pair in hubs.items() for x in pair))
-    salt = F.when(F.col("u").isin(list(hubs)), F.pmod(F.hash("v"), F.lit(SALTS)) + 1).otherwise(0)
-    rows = e.withColumn("salt", salt).join(low.where(F.col("n") <= most).select("u", F.lit(0).alias("salt"), "m"), ["u", "salt"], "left")
-    return rows.select("u", "v", F.coalesce("m", known[F.col("u")]).alias("m"))
+    of_hub = F.col("u").isin(list(hubs))
+    return e.where(~of_hub).join(low.where(F.col("n") <= most).select("u", "m"), "u").select("u", "v", "m").unionAll(e.where(of_hub).select("u", "v", known[F.col("u")].alias("m")))
 
 
 def components(edges: DataFrame, hub: int = HUB) -> DataFrame:
     """(node, component) for the nodes of edges (u, v), both long; component is the smallest reachable node.
 
     Each step is a grouped minimum, which map tasks combine, and an equi-join with it; the rows of hubs get theirs from a
-    map of under HUBS entries and are dealt apart, so no task gets a hub's edges. Rounds grow with the logarithm of the
+    map of under HUBS entries without a shuffle, so no task gets a hub's edges. Rounds grow with the logarithm of the
     longest path; each ends in a written table. The result reads one such table, which drop() deletes.
     An empty edge table gives an empty result; null ends and loops are ignored.
     """
