@@ -14,8 +14,8 @@ Shingles found often in a sample (repeated passages, degenerate repeats) are lef
 choice of them keeps the argument, as leaving elements out shrinks differences, so the sample steers cost only.
 
 Signatures with two sets or more become edges of candidate blocks; blocks hold each set once. A block is cut into chunks
-of about CHUNK shingles, and a chunk is joined in one task by rarest-first prefixes over its own frequencies. A block of one
-chunk, the usual case, is done then. Of a larger one the leaders of the chunks' largest components are joined in the same
+of about CHUNK shingles, and a chunk is joined in one task by rarest-first prefixes over its own frequencies, which gives its
+components. A block of one chunk, the usual case, is done then. Of a larger one the leaders of the chunks' largest components are joined in the same
 way, so a group of near copies of any size becomes one component at the cost of one pass over it. What stays outside the
 block's largest component then is compared with it and with itself, in pairs of chunks of BLOCK shingles at most, which
 skip pairs known to be connected: every pair of a block is in one component or was compared.
@@ -236,13 +236,34 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum())
 
 
-def _links(members: DataFrame, attach: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(u, v), a written table: links within each block of members(id, blocks), a block's name being followed by `|` and a label where
-    members of one label are connected already."""
+def _stars(entities: list[int], links: list[tuple[int, int]]) -> Iterator[tuple[int, int, int]]:
+    """(entity, least entity of its component, sets in it) of sets that each belong to an entity, for components of two entities or more."""
+    forest, first = Forest(len(entities)), {}
+    for i, e in enumerate(entities):
+        forest.union(first.setdefault(e, i), i)
+    for x, y in links:
+        forest.union(x, y)
+    groups: dict[int, list[int]] = {}
+    for i in range(len(entities)):
+        groups.setdefault(forest.find(i), []).append(i)
+    for members in groups.values():
+        own = {entities[i] for i in members}
+        if len(own) > 1:
+            least = min(own)
+            yield from ((e, least, len(members)) for e in own)
+
+
+def _solved(members: DataFrame, attach: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+    """(id, label, n), a written table: the components of each block of members(id, blocks), found by the task that has the block; label is
+    the least id of a component, n its number of sets, and components of one aren't there. Where a block's name is followed by `|` and a
+    label, members of one label are connected already, and labels stand for ids in the result."""
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple[int, int, int]] = []
+
+        def batch() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(3)], names=["id", "label", "n"])
 
-    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        u: list[int] = []
-        v: list[int] = []
         for _, rows in runs(batches, "block"):
             ids: dict[int, np.ndarray] = {}
             labels: dict[int, int] = {}
@@ -253,72 +274,79 @@ def _links(members: DataFrame, attach: Callable[[DataFrame], DataFrame]) -> Data
                     if len(s) >= len(ids.get(d, ())):
                         ids[d] = s
             names = sorted(ids)
-            for x, y in join_block([ids[d] for d in names], [labels[d] for d in names]):
-                u.append(names[x])
-                v.append(names[y])
-            if len(u) > 100_000:
-                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
-                u, v = [], []
-        yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+            entities = [labels[d] for d in names]
+            out += _stars(entities, join_block([ids[d] for d in names], entities))
+            if len(out) > 100_000:
+                yield batch()
+                out = []
+        yield batch()
 
     parts = F.split("block", "[|]")
     held = attach(members).select("id", "held", parts[0].alias("block"), F.get(parts, F.lit(1)).cast("long").alias("label"))
-    return written(held.repartition(bucket_count(held), "block").sortWithinPartitions("block").mapInArrow(lean(link), "u long, v long"), "links")
+    return written(held.repartition(bucket_count(held), "block").sortWithinPartitions("block").mapInArrow(lean(solve), "id long, label long, n long"), name)
 
 
-def _name(*parts) -> Column:
+def _name(*parts: Column | str) -> Column:
     return F.concat_ws(":", *(p if isinstance(p, Column) else F.lit(p) for p in parts))
 
 
 def linked(reps: DataFrame, attach: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(node, component) of the ids of reps(id, component, size) that link within their block, a component of candidates.
+    """(node, component), a written table, of the ids of reps(id, component, size) that link within their block, a component of candidates.
 
     attach gives members(id, blocks) their sets as (id, held, block), one row for each of a member's blocks. See the module for the steps.
     """
     sizes = reps.groupBy("component").agg(F.ceil(F.sum("size") / CHUNK).cast("int").alias("chunks"))
     chunk = F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")
     reps = written(reps.join(sizes, "component").select("id", F.col("component").alias("block"), "size", "chunks", chunk.alias("chunk")), "blocks")
-    one = F.hex("block")
-    links = _links(reps.select("id", F.array(_name(one, F.col("chunk").cast("string"))).alias("blocks")), attach)
-    if not reps.where("chunks > 1").limit(1).count():
-        found = components(links)
-        drop(links)
+    one, text = F.hex("block"), (lambda c: c.cast("string"))
+    solved = _solved(reps.select("id", F.array(_name(one, text(F.col("chunk")))).alias("blocks")), attach, "linked")
+    many = reps.where("chunks > 1")
+    if not many.limit(1).count():
         drop(reps)
-        return found
-
-    def labelled(found: DataFrame) -> DataFrame:
-        of = found.select(F.col("node").alias("id"), F.col("component").alias("label"))
-        return reps.where("chunks > 1").join(of, "id", "left").withColumn("label", F.coalesce("label", "id"))
+        return _as_components(solved)
 
     # the leaders of the chunks' largest components
-    own = components(links)
-    per = labelled(own).groupBy("block", "chunk", "label").agg(F.count("*").alias("n"), F.min_by("size", "id").alias("size"))
-    lead = per.groupBy("block", "chunk").agg(F.max(F.struct("n", (-F.col("label")).alias("o"), "size")).alias("x")).where("x.n > 1")
+    lead = solved.where("id = label").join(many, "id").groupBy("block", "chunk").agg(F.max(F.struct("n", (-F.col("id")).alias("o"), "size")).alias("x"))
     leaders = written(lead.select((-F.col("x.o")).alias("id"), F.col("block").alias("component"), "x.size"), "leaders")
-    across = linked(leaders, attach)
-    both = written(own.select(F.col("node").alias("u"), F.col("component").alias("v")).unionAll(across.select("node", "component")).where("u <> v"), "links")
-    for x in (links, own, leaders, across):
-        drop(x)
+    if leaders.groupBy("component").agg(F.sum("size").alias("s")).where(F.col("s") > BLOCK).limit(1).count():
+        across = linked(leaders, attach)
+    else:
+        across = _as_components(_solved(leaders.select("id", F.array(F.hex("component")).alias("blocks")), attach, "linked"))
+    own = many.join(solved.select("id", "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+    marked = written(own.join(across.withColumnRenamed("node", "label"), "label", "left").withColumn("label", F.coalesce("component", "label")).drop("component"), "labels")
+    drop(leaders)
+    drop(across)
 
     # what is outside a block's largest component, with it and with itself
-    own = components(both)
-    marked = written(labelled(own), "labels")
     sums = marked.groupBy("block", "label").agg(F.count("*").alias("n"), F.sum("size").alias("s"))
     main = sums.groupBy("block").agg(F.max(F.struct("n", (-F.col("label")).alias("o"), "s")).alias("x"), F.sum("s").alias("s")).select("block", (-F.col("x.o")).alias("main"), F.col("x.s").alias("in_main"), (F.col("s") - F.col("x.s")).alias("rest"))
     some = main.where("rest > 0").withColumn("r", F.ceil(F.col("rest") / BLOCK).cast("int")).withColumn("m", F.ceil(F.col("in_main") / F.least(F.lit(BLOCK), F.greatest(F.lit(CHUNK), "rest"))).cast("int"))
-    x = marked.join(some, "block")
-    text = lambda c: c.cast("string")
-    at_r, at_m = F.pmod(F.xxhash64("id"), F.col("r")).cast("int"), F.pmod(F.xxhash64("id"), F.col("m")).cast("int")
-    rs, ms = F.sequence(F.lit(0), F.col("r") - 1), F.sequence(F.lit(0), F.col("m") - 1)
-    with_rest = F.transform(rs, lambda k: _name(one, "r", text(F.least(k, at_r)), text(F.greatest(k, at_r))))
-    with_main = F.transform(ms, lambda k: _name(one, "m", text(k), text(at_r)))
-    of_main = F.transform(rs, lambda k: _name(one, "m", text(at_m), text(k)))
-    blocks = F.when(F.col("label") == F.col("main"), of_main).otherwise(F.concat(with_rest, with_main))
-    rest = _links(x.select("id", F.transform(blocks, lambda b: F.concat_ws("|", b, F.col("label").cast("string"))).alias("blocks")), attach)
-    found = components(rest.unionAll(own.select("node", "component")))
-    for x in (rest, own, both, marked, reps):
-        drop(x)
-    return found
+    some = written(some, "rests")
+    final = marked
+    if some.limit(1).count():
+        x = marked.join(some, "block")
+        at_r, at_m = F.pmod(F.xxhash64("id"), F.col("r")).cast("int"), F.pmod(F.xxhash64("id"), F.col("m")).cast("int")
+        rs, ms = F.sequence(F.lit(0), F.col("r") - 1), F.sequence(F.lit(0), F.col("m") - 1)
+        with_rest = F.transform(rs, lambda k: _name(one, "r", text(F.least(k, at_r)), text(F.greatest(k, at_r))))
+        with_main = F.transform(ms, lambda k: _name(one, "m", text(k), text(at_r)))
+        of_main = F.transform(rs, lambda k: _name(one, "m", text(at_m), text(k)))
+        blocks = F.when(F.col("label") == F.col("main"), of_main).otherwise(F.concat(with_rest, with_main))
+        late = _solved(x.select("id", F.transform(blocks, lambda b: F.concat_ws("|", b, text(F.col("label")))).alias("blocks")), attach, "linked")
+        if late.limit(1).count():
+            joined = components(late.select(F.col("id").alias("u"), F.col("label").alias("v")))
+            final = marked.join(joined.withColumnRenamed("node", "label"), "label", "left").withColumn("label", F.coalesce("component", "label"))
+        drop(late)
+    rest = solved.join(many.select("id"), "id", "left_anti").select("id", "label").unionAll(final.select("id", "label"))
+    out = _as_components(written(rest, "linked"))
+    for t in (solved, marked, some, reps):
+        drop(t)
+    return out
+
+
+def _as_components(solved: DataFrame) -> DataFrame:
+    out = solved.select(F.col("id").alias("node"), F.col("label").alias("component"))
+    out._keymoment_path = solved._keymoment_path
+    return out
 
 
 def jaccard_components(docs: DataFrame, n: int = SHINGLE) -> DataFrame:

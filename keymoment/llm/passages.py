@@ -275,7 +275,7 @@ def similar_lines(docs: DataFrame) -> DataFrame:
     found = written(docs.join(wanted.hint("merge"), docs["doc_id"] == wanted["doc"]).select("doc_id", "text", "names").mapInArrow(lean(find), "id long, doc_id long, place long, start long, size long, words long, held binary"), "lines")
     reps = found.where("octet_length(held) > 0").join(blocks, F.col("id") == F.col("node")).select("id", "component", (F.octet_length("held") / 8).cast("int").alias("size"))
     sets = found.where("octet_length(held) > 0").select("id", "held")
-    clusters = written(linked(reps, lambda members: sets.join(members, "id").select("id", "held", F.explode("blocks").alias("block"))), "clusters")
+    clusters = linked(reps, lambda members: sets.join(members, "id").select("id", "held", F.explode("blocks").alias("block")))
     drop(edges)
     drop(blocks)
     of = found.join(clusters, F.col("id") == F.col("node")).select("doc_id", "place", "start", "size", "words", "component")
