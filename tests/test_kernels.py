@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import itertools
+import re
+import unicodedata
 
 import numpy as np
 import pandas as pd
@@ -11,8 +13,8 @@ from pyspark.sql import functions as F
 
 import __spark_entry__  # noqa: F401  registers the queries
 from keymoment.functions import text
-from keymoment.operators import align, allocate, evaluate, topk
-from keymoment.plans import corpus
+from keymoment.operators import align, allocate, evaluate, topk, vector
+from keymoment.plans import answer_queries, corpus
 from keymoment.plans.registry import ORACLE, QUERIES
 from keymoment.sources import items, sinks
 
@@ -82,13 +84,165 @@ def test_anchor_scale_lambda():
     assert [b[1] for b in align.entropy_paths(np.eye(3), 1)] == [[0, 1, 2]]
 
 
+def check_greedy(got, frames, scores, videos, last, budget):
+    """Cell by cell: at each step the row taken covers as much as any cell of any video does, up to the last bits of sums."""
+    rounded = [round(x, 4) for x in scores]
+    weight = [np.exp((x - max(rounded)) / 0.02) for x in rounded]
+    mass = {}
+    for v in dict.fromkeys(videos):
+        own = [i for i, y in enumerate(videos) if y == v]
+        end = max(2**31 if last[i] is None else last[i] for i in own)
+        lo = max(0, min(frames[i] for i in own) - 120)
+        hi = max(lo, min(end, max(frames[i] for i in own) + 120))
+        for c in range(lo, hi + 1, 5):
+            m = sum(weight[i] / sum(weight) * np.exp(-0.5 * ((c - frames[i]) / 30.0) ** 2) for i in own)
+            mass[v, c] = np.floor(m / 1e-9 + 0.5) * 1e-9
+    gain = lambda v, c: sum(mass.get((v, c + d), 0.0) for d in (-5, 0, 5))
+    for v, c in got:
+        assert (v, c) in mass and gain(v, c) >= max(gain(*k) for k in mass) - 1e-8
+        for d in (-5, 0, 5):
+            if (v, c + d) in mass:
+                mass[v, c + d] = 0.0
+    assert len(got) == budget or max(gain(*k) for k in mass) <= 1e-8
+
+
 def test_coverage_contract():
     assert allocate.coverage([], [], [], []) == []
-    got = allocate.coverage([100, 130, 900], [0.5, 0.49, 0.48], ["a", "a", "b"], [200, 200, None], 30)
-    assert len(got) == len(set(got)) == 30
-    assert got[0][0] == "a" and all(0 <= f <= 200 for v, f in got if v == "a")
-    naive = allocate.coverage([100, 130, 900], [0.5, 0.49, 0.48], ["a", "a", "b"], [200, 200, None], 30)
-    assert got == naive
+    for frames, scores, videos, last in (
+        ([100, 130, 900], [0.5, 0.49, 0.48], ["a", "a", "b"], [200, 200, None]),
+        ([100, 400], [0.5, 0.5], ["a", "a"], [150, 420]),  # a video's end is the largest its candidates name
+        ([30, 300, 1000], [0.3, 0.31, 0.2], ["x", "y", "x"], [None, 310, 1010]),
+    ):
+        got = allocate.coverage(frames, scores, videos, last, 30)
+        check_greedy(got, frames, scores, videos, last, 30)
+        assert len(got) == len(set(got))
+
+
+def test_coverage_query_and_its_tail(spark):
+    """Every query's rows: the greedy plan, then the plain hybrid plan of 20 flat candidates and a depth cost of 0.75, by loops."""
+    c = answer_queries.candidates(spark, DATA, 400).toPandas()
+    rows = QUERIES["m5_coverage"](spark, DATA).toPandas()
+    few = spark.createDataFrame([("q", i, "v", 40 * i, 0.5 - i / 100, 90) for i in range(3)], "query_id string, pos long, video_id string, frame_idx long, score double, last_frame long")
+    cases = [(g.sort_values("pos"), rows[rows.query_id == q].sort_values("rank")) for q, g in c.groupby("query_id")]
+    cases.append((few.toPandas(), allocate.coverage_rows(few).toPandas().sort_values("rank")))
+    for g, r in cases:
+        last = [None if pd.isna(x) else int(x) for x in g["last_frame"]]
+        own = list(zip(g["video_id"], g["frame_idx"].astype(int), strict=True))
+        want = allocate.coverage([f for _, f in own], g["score"].tolist(), [v for v, _ in own], last)
+        slots = []
+        for i, ((v, f), e) in enumerate(zip(own, last, strict=True)):
+            ladder = [f] + [x for k in range(1, 97) for x in (f - 10 * k, f + 10 * k)]
+            slots += [(i + 0.75 * d, i, d, (v, x)) for d, x in enumerate([x for x in ladder if x >= 0 and (e is None or x <= e)][:24])]
+        tail = list(dict.fromkeys(own[:20]))
+        tail += [x for x in dict.fromkeys(s[3] for s in sorted(slots))][:300]
+        for x in list(dict.fromkeys(tail))[:100]:
+            if len(want) < 100 and x not in want:
+                want.append(x)
+        assert list(zip(r["video_id"], r["frame"].astype(int), strict=True)) == want[:100]
+
+
+def test_greedy_queries_against_loops(spark):
+    h = corpus.hits(spark, DATA).toPandas().sort_values(["query_id", "rnk"])
+    v = {r["gid"]: np.array(r["v"]) for r in corpus.keyframes(spark, DATA).select("gid", "v").collect()}
+    take = lambda name, *c: {tuple(r) for r in QUERIES[name](spark, DATA).toPandas()[list(c)].itertuples(index=False)}
+    near, spread, apart = set(), set(), set()
+    for q, g in h.groupby("query_id"):
+        kept = {}
+        for r in g.itertuples():
+            own = kept.setdefault(r.video_id, [])
+            if len(own) < 3 and all(abs(r.n - n) > 2 and abs(r.pts_time - t) > 10 for n, t in own):
+                own.append((r.n, r.pts_time))
+                near.add((q, r.gid))
+        first, later, last = [], [], []
+        for r in g[g.rnk <= 100].itertuples():
+            ok = all(x.video_id != r.video_id or abs(x.frame_idx - r.frame_idx) >= 110 for x in first)
+            (first if ok else later).append(r)
+            if len(last) < 50 and all(v[x] @ v[r.gid] / np.sqrt((v[x] @ v[x]) * (v[r.gid] @ v[r.gid])) < 0.9 for x in last[-200:]):
+                last.append(r.gid)
+        spread |= {(q, r.gid, i + 1) for i, r in enumerate(first + later)}
+        apart |= {(q, x) for x in last}
+    assert take("e6_nms", "query_id", "gid") == near
+    assert take("e7_spread", "query_id", "gid", "pos") == spread
+    assert take("d15_suppress_similar", "query_id", "gid") == apart
+
+
+def plain_tokens(x):
+    w = [t for t in re.findall("[0-9a-zà-ỹ]+", unicodedata.normalize("NFC", x).lower()) if len(t) > 1]
+    return [t for t in w if t not in text.STOP_WORDS] + [f"{a}_{b}" for a, b in itertools.pairwise(w) if not (a in text.STOP_WORDS and b in text.STOP_WORDS)]
+
+
+def test_tokens_and_passages_against_loops(spark):
+    odd = ["a b cat", "x the y", "Ca\u0300 phe\u0302 5 và của", "một hai 3 ba", "", "ÀÉ I do", "the and cat"]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(odd)] + [(99, None)], "i int, x string").select("i", text.tokens(F.col("x")).alias("t"))
+    assert {r["i"]: r["t"] for r in df.collect() if r["i"] != 99} == {i: plain_tokens(x) for i, x in enumerate(odd)}
+    cues = {}
+    for r in spark.read.parquet(f"{DATA}/conversations.parquet").collect():
+        key = r["conv_id"], r["turn"]
+        cues[key] = min(r["text"], cues.get(key, r["text"]))
+    items_ = {r["item_id"]: set(plain_tokens(r["text"])) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()}
+    want = set()
+    for q, terms in items_.items():
+        for video in {v for v, _ in cues}:
+            hit = {}
+            for (w, turn), x in cues.items():
+                if w == video:
+                    for t in terms & set(plain_tokens(x)):
+                        for n in range(max(0, turn - 4), turn + 1):
+                            hit.setdefault(n, set()).add(t)
+            kept = []
+            for n, t in sorted(hit.items(), key=lambda p: (-len(p[1]), p[0])):
+                if all(abs(n - k) > 8 for k in kept):
+                    kept.append(n)
+                    want.add((q, video, n, float(len(t))))
+    assert {tuple(r) for r in QUERIES["j10_passage_search"](spark, DATA).toPandas()[["query_id", "video", "turn", "score"]].itertuples(index=False)} == want
+
+
+def test_beam_and_tail_against_loops(spark):
+    """l14: all increasing choices, priced, where the beam is wide enough to hold them; m11: the tail by its definition over the query's rows."""
+    rng = np.random.default_rng(1)
+    for _ in range(10):
+        s = rng.random((3, 6))
+        lam = []
+        for row in s:
+            p = np.exp(50 * (row - row.max()))
+            p /= p.sum()
+            lam.append(0.01 * max(0.1, 1 + (p[p > 0] * np.log(p[p > 0])).sum() / np.log(6)))
+        best = max((s[0, a] + s[1, b] - lam[1] * (b - a) + s[2, c] - lam[2] * (c - b), (a, b, c)) for a, b, c in itertools.combinations(range(6), 3))
+        got = align.entropy_paths(s, keep=64)[0]
+        assert got[0] == pytest.approx(best[0]) and tuple(got[1]) == best[1]
+    c = answer_queries.candidates(spark, DATA, 200).toPandas().sort_values(["query_id", "pos"])
+    old = allocate.hybrid_rows(answer_queries.candidates(spark, DATA, 200)).toPandas().sort_values(["query_id", "rank"])
+    new = QUERIES["m11_respent_tail"](spark, DATA).toPandas().sort_values(["query_id", "rank"])
+    for q, g in old.groupby("query_id"):
+        rows = list(zip(g["video_id"], g["frame"], strict=True))
+        out = rows[:50]
+        for r in c[c.query_id == q].itertuples():
+            if len(out) < 100 and r.video_id in {v for v, _ in rows[:50]} and not [1 for v, f in out if v == r.video_id and abs(f - r.frame_idx) <= 20]:
+                out.append((r.video_id, r.frame_idx))
+        out += [x for x in rows[50:] if x not in out][: 100 - len(out)]
+        n = new[new.query_id == q]
+        assert list(zip(n["video_id"], n["frame"], strict=True)) == out
+
+
+def test_alignment_by_windows_is_the_kernel(spark):
+    e = answer_queries.events(spark, DATA)
+    a = {(r["query_id"], r["video_id"]): (r["score"], r["gids"]) for r in align.align(e, "monotone", lam=0.01, gap=2).collect()}
+    assert a == {(r["query_id"], r["video_id"]): (r["score"], r["gids"]) for r in align.chain(e, 4, 0.01, 2).collect()} and a
+    assert a == {(r["query_id"], r["video_id"]): (r["score"], r["gids"]) for r in align.chain(e, 6, 0.01, 2).collect()}  # room for more events than there are
+
+
+def test_queries_beyond_one_block(spark, monkeypatch):
+    rng = np.random.default_rng(0)
+    v = spark.createDataFrame([(i, [float(x) for x in rng.integers(-9, 9, 4)]) for i in range(40)], "gid long, v array<double>")
+    q = v.select(F.col("gid").alias("query_id"), F.col("v").alias("q"))
+    one = {tuple(r) for r in vector.top_similar(v, q, "v", "q", 3).collect()}
+    every = {tuple(r) for r in vector.similarities(v, q, "v", "q").collect()}
+    assert len(every) == 1600 and len(one) == 120
+    blocks = vector.query_blocks
+    monkeypatch.setattr(vector, "query_blocks", lambda x, key: blocks(x, key, 7))
+    assert len(list(vector.query_blocks(q, "query_id"))) > 5
+    assert {tuple(r) for r in vector.top_similar(v, q, "v", "q", 3).collect()} == one
+    assert {tuple(r) for r in vector.similarities(v, q, "v", "q").collect()} == every
 
 
 @pytest.mark.parametrize("n", [1, 2, 3])
