@@ -10,6 +10,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Terms of queries that are sent to the tasks; more are joined by a shuffle.
+MOST_TERMS = 1_000_000
+
+
 def postings(docs: DataFrame, key: str, tokens: Column) -> DataFrame:
     """(key, term, tf) of documents."""
     return docs.select(key, F.explode(tokens).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
@@ -54,13 +58,15 @@ def bm25_documents(docs: DataFrame, key: str, tokens: Column, terms: DataFrame,
     term that carries its length to the collection's statistics. Both come from one exchange, as the condition that tells them apart is on
     an aggregate.
     """
-    t = docs.select(key, F.concat(F.array(F.lit("")), tokens).alias("_t")).withColumn("dl", F.size("_t") - 1).where("dl > 0")
+    from .vector import broadcast_if_small
+
+    t = docs.select(key, F.concat(F.array(F.lit("")), tokens).alias("_t")).withColumn("dl", F.size("_t") - 1)
     wanted = terms.select("term").distinct()
-    wanted = wanted.unionAll(wanted.sparkSession.createDataFrame([("",)], "term string"))
+    wanted = broadcast_if_small(wanted.unionAll(wanted.sparkSession.createDataFrame([("",)], "term string")), MOST_TERMS)
     own = F.sum(F.when(F.col("term") == "", 0).otherwise(1))
     rows = t.select(key, "dl", F.explode("_t").alias("term")).join(wanted, "term", "left_semi").groupBy(key, "term").agg(own.alias("tf"), F.first("dl").alias("dl"))
     hit = rows.where("tf > 0")
-    stats = F.broadcast(rows.where("tf = 0").agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avg_dl")))  # one row
+    stats = F.broadcast(rows.where("tf = 0 and dl > 0").agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avg_dl")))  # one row
     idf = frequencies(hit).join(stats).withColumn("idf", bm25_idf(F.col("n_docs"), F.col("df"))).select("term", "idf", "avg_dl")
     if idf_over is not None:
         idf = idf.where(F.col("idf") > idf_over)

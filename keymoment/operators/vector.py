@@ -25,6 +25,11 @@ def bounded(df: DataFrame, most: int = MOST_QUERIES) -> DataFrame:
     return F.broadcast(df)
 
 
+def broadcast_if_small(df: DataFrame, most: int) -> DataFrame:
+    """df with a broadcast hint if it has `most` rows at most, as counted; without one beyond, so Spark joins it by a shuffle."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def query_blocks(queries: DataFrame, key: str, most: int = MOST_QUERIES) -> Iterator[DataFrame]:
     """queries dealt by their key to parts of at most `most` rows each, as counted. A key's rows stay together and must be `most` at most."""
     n = queries.count()
