@@ -67,7 +67,8 @@ def bm25_documents(docs: DataFrame, key: str, tokens: Column, terms: DataFrame,
     rows = t.select(key, "dl", F.explode("_t").alias("term")).join(wanted, "term", "left_semi").groupBy(key, "term").agg(own.alias("tf"), F.first("dl").alias("dl"))
     hit = rows.where("tf > 0")
     stats = F.broadcast(rows.where("tf = 0 and dl > 0").agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avg_dl")))  # one row
-    idf = frequencies(hit).join(stats).withColumn("idf", bm25_idf(F.col("n_docs"), F.col("df"))).select("term", "idf", "avg_dl")
+    df = hit.groupBy("term").agg(F.count("dl").alias("df"))  # counted by dl, so this branch reads the same columns and shares the exchange
+    idf = df.join(stats).withColumn("idf", bm25_idf(F.col("n_docs"), F.col("df"))).select("term", "idf", "avg_dl")
     if idf_over is not None:
         idf = idf.where(F.col("idf") > idf_over)
     tf = F.col("tf")
