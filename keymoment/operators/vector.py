@@ -18,13 +18,6 @@ from pyspark.sql import types as T
 MOST_QUERIES = 4096
 
 
-def bounded(df: DataFrame, most: int = MOST_QUERIES) -> DataFrame:
-    """df with a broadcast hint, after its rows were counted up to `most`; more are refused."""
-    if df.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} rows on the side that is broadcast")
-    return F.broadcast(df)
-
-
 def broadcast_if_small(df: DataFrame, most: int) -> DataFrame:
     """df with a broadcast hint if it has `most` rows at most, as counted; without one beyond, so Spark joins it by a shuffle."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df

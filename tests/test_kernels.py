@@ -374,3 +374,24 @@ def test_sidecar_readers(spark, tmp_path):
             (tmp_path / folder / f"{k}.json").write_text(json.dumps(v))
     t = {r["video_id"]: (r["title"], [tuple(s) for s in r["segments"]]) for r in items.read_transcripts(spark, [str(tmp_path / "s1"), str(tmp_path / "s2")]).collect()}
     assert t == {"a": (None, [(0.0, "x"), (5.0, "y")]), "b": ("u", [(2.0, "w")])}
+
+
+def test_chunks_and_events_of_every_item(spark):
+    """o6: chunks hold all words in order, 58 at most, and none could take in the sentence that follows; o8: the parts between the marks that
+    split a text, found by plain scanning; the dispatcher's default is coverage."""
+    texts = {r["item_id"]: r["text"] for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()}
+    for r in QUERIES["o6_chunks"](spark, DATA).collect():
+        words = texts[r["item_id"]].split()
+        assert " ".join(r["chunks"]).split() == words and all(len(c.split()) <= 58 for c in r["chunks"])
+        for a, b in itertools.pairwise(r["chunks"]):
+            first = re.split(r"(?<=[.!?;])\s", b)[0]
+            assert len(a.split()) + len(first.split()) > 58
+    for r in QUERIES["o8_events"](spark, DATA).collect():
+        x = " ".join(texts[r["item_id"]].split())
+        low = re.sub(r"\b(then|after that|next|finally)\b,?", ";", x, flags=re.I)
+        head, colon, tail = x.partition(":")
+        listed = [p.strip(" .") for p in re.split("[,;]", tail) if p.strip(" .")] if colon and "," in tail else []
+        want = listed if len(listed) > 1 else [p.strip(" ,;.") for p in low.split(";") if p.strip(" ,;.")]
+        assert r["events"] == (want if len(want) > 1 else [x])
+    rows = lambda n: sorted(map(tuple, QUERIES[n](spark, DATA).toPandas().values.tolist()))
+    assert rows("m6_dispatch") == rows("m5_coverage")
