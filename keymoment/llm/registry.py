@@ -1,4 +1,4 @@
-"""The queries op1_ to op10_ of __spark_entry__.py, each over its whole table."""
+"""The queries op1_ to op13_ of __spark_entry__.py, each over its whole table."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, jaccard_join, language, licenses, media, passages, quality, token_files, toxicity
+from . import bpe, collocations, decontaminate, jaccard_join, language, licenses, manifest, media, passages, quality, secrets, token_files, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +61,19 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.repeated_passages(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_benchmark_decontamination, op2_quality, op4_license_scan, op3_bpe_round_trip, op5_language_id, op6_ngram_jaccard_join, op7_media_columns, op8_toxicity, op9_token_id_files, op10_substring_dedup)}
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources are owners, the languages within a source its repositories."""
+    return secrets.scan(_table(spark, sf_dir, "documents"), F.col("source"), F.concat_ws("/", "source", "lang"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.manifest(_table(spark, sf_dir, "documents"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_benchmark_decontamination, op2_quality, op4_license_scan, op3_bpe_round_trip, op5_language_id, op6_ngram_jaccard_join, op7_media_columns, op8_toxicity, op9_token_id_files, op10_substring_dedup, op11_secret_scan, op12_merkle_manifest, op13_collocations)}
 
 ORACLE: dict[str, str] = {}
