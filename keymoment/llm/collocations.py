@@ -6,7 +6,7 @@ one's by a merge join of its positions, moved on by its length, with the positio
 
 Level by level, blocks give (hash, frequency) of their phrases, packed; hashes that add up to LEAST over all blocks are a superset of the
 frequent phrases and go in a sieve (a file of at most MOST_BITS bits, whatever their number), and only phrases whose first and last words pass it are
-extended. So hashes and sieve save work and decide nothing: at the end blocks give the texts and exact frequencies of what passed, which Spark adds up by text.
+extended. So hashes and sieve save work and decide nothing: at the end blocks give the texts and exact frequencies of what passed, packed by bucket too, which are added up by text.
 Scores join phrases with their parts, two shorter phrases each; single words enter with the pairs only.
 
 Memory: a task holds a block's lists, about 40 bytes a word, and the sieves; a text longer than a block is cut where a piece ends, so only a
@@ -52,7 +52,8 @@ _LOWER[65:91] += 32
 def slices(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The bytes data[start : start + size] of all rows, one after another."""
     ends = np.cumsum(sizes)
-    return data[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)]
+    kind = np.int32 if len(data) < 1 << 31 and (not len(ends) or ends[-1] < 1 << 31) else np.int64
+    return data[np.arange(ends[-1] if len(ends) else 0, dtype=kind) + np.repeat((starts - (ends - sizes)).astype(kind), sizes)]
 
 
 def _equal(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, a: np.ndarray, b: np.ndarray) -> bool:
@@ -188,8 +189,8 @@ class Lists:
         keep = held[self.at + 1] if self.length > 2 else slice(None)  # the word after the first begins a phrase of the length before
         self.at, self.phrase = self.at[keep], self.phrase[keep]
 
-    def groups(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(places of first words, frequency) of each distinct phrase: lists' first entries and lengths."""
+    def groups(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(places of first words, frequencies, hashes in order) of distinct phrases: their lists' first entries and lengths."""
         order = np.argsort(self.phrase, kind="stable")
         own, at = self.phrase[order], self.at[order]
         new = np.r_[True, own[1:] != own[:-1]][: len(own)]
@@ -198,10 +199,10 @@ class Lists:
             first = e[np.flatnonzero(new)][np.cumsum(new) - 1]
             if (e != first).any():
                 rows = np.stack([self.entry[at + x] for x in range(self.length)], axis=1)
-                _, one, n = np.unique(rows, axis=0, return_index=True, return_counts=True)
-                return at[one], n
+                _, one, n = np.unique(np.column_stack([np.cumsum(new), rows]), axis=0, return_index=True, return_counts=True)
+                return at[one], n, own[one]
         cuts = np.flatnonzero(new)
-        return at[cuts], np.diff(np.r_[cuts, len(own)])
+        return at[cuts], np.diff(np.r_[cuts, len(own)]), own[cuts]
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, pa.Scalar]]:
@@ -252,24 +253,43 @@ def frequent_hashes(lists: DataFrame, sieves: list[tuple[str, int]], length: int
     return packed.repartition(buckets, F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(lean(add), "h long")
 
 
-def _texts(lists: DataFrame, sieves: list[tuple[str, int]]) -> DataFrame:
-    """(lang, phrase, size, a) of the phrases of each block that pass their sieve."""
+def _texts(lists: DataFrame, sieves: list[tuple[str, int]], buckets: int) -> DataFrame:
+    """(lang, phrase, a) of the phrases that have LEAST occurrences in all blocks; blocks' texts and counts are packed by bucket."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = [Sieve.of(*s) for s in sieves]
         for row in _blocks(batches):
             words = row["words"].values
-            lists_ = Lists(row, own[0])
+            grown = Lists(row, own[0])
             for k in range(2, LONGEST + 1):
-                lists_.join_ends()
-                lists_.prune(own[k - 1])
-                at, n = lists_.groups()
-                if not len(at):
-                    break
-                phrase = pc.binary_join_element_wise(*(words.take(pa.array(lists_.entry[at + i])) for i in range(k)), " ")
-                yield pa.RecordBatch.from_arrays([pa.array([row["lang"].as_py()]).take(pa.array(np.zeros(len(at), np.int32))), phrase, pa.array(np.full(len(at), k, np.int32)), pa.array(n.astype(np.int64))], names=["lang", "phrase", "size", "a"])
+                grown.join_ends()
+                grown.prune(own[k - 1])
+                at, n, h = grown.groups()
+                bucket = ((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+                ends = np.searchsorted(bucket, np.arange(buckets + 1))
+                for i in np.flatnonzero(np.diff(ends)).tolist():
+                    part = slice(int(ends[i]), int(ends[i + 1]))
+                    phrases = pc.binary_join_element_wise(*(words.take(pa.array(grown.entry[at[part] + j])) for j in range(k)), " ")
+                    offsets, data = text_buffers(phrases)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([i], pa.int32()), pa.array([row["lang"].as_py()]), pa.array([data[offsets[0] : offsets[-1]].tobytes()], pa.binary()), pa.array([np.diff(offsets).astype("<u4").tobytes()], pa.binary()), pa.array([n[part].astype("<u4").tobytes()], pa.binary())],
+                        names=["bucket", "lang", "data", "sizes", "n"],
+                    )
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in runs(batches, "bucket"):
+            for lang in dict.fromkeys(x for r in rows for x in r.column(1).to_pylist()):
+                own = [r.filter(pc.equal(r.column(1), lang)) for r in rows]
+                data, sizes, n = unpack(own, "data", "u1"), unpack(own, "sizes", "<u4"), unpack(own, "n", "<u4")
+                offsets = np.r_[0, np.cumsum(sizes, dtype=np.int64)]
+                phrases = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())])
+                table = pa.table({"phrase": phrases, "a": n.astype(np.int64)}).group_by("phrase").aggregate([("a", "sum")])
+                table = table.filter(pc.greater_equal(table["a_sum"], LEAST)).combine_chunks()
+                for batch in table.to_batches():
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * batch.num_rows, pa.string()), batch.column("phrase").cast(pa.binary()).cast(pa.string()), batch.column("a_sum")], names=["lang", "phrase", "a"])
 
-    return lists.mapInArrow(lean(run), "lang string, phrase string, size int, a long")
+    packed = lists.mapInArrow(lean(count), "bucket int, lang string, data binary, sizes binary, n binary")
+    return packed.repartition(buckets, F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(lean(add), "lang string, phrase string, a long")
 
 
 def frequent_phrases(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -285,7 +305,8 @@ def frequent_phrases(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         hashes = written(frequent_hashes(keyed, sieves, length, buckets), "hashes")
         sieves.append(sieve_of(hashes, hashes.count()))
         drop(hashes)
-    phrases = written(_texts(keyed, sieves).groupBy("lang", "phrase", "size").agg(F.sum("a").alias("a")).where(F.col("a") >= LEAST), "phrases")
+    size = F.length("phrase") - F.length(F.replace("phrase", F.lit(" "), F.lit(""))) + 1
+    phrases = written(_texts(keyed, sieves, buckets).select("lang", "phrase", size.alias("size"), "a"), "phrases")
     for path, _ in sieves:
         drop_path(blocks.sparkSession, path)
     drop(blocks)
