@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, collocations, decontaminate, jaccard_join, language, licenses, manifest, media, passages, quality, secrets, token_files, toxicity
+from .oracle import ORACLE  # noqa: F401  the entry module reads it here
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,5 +76,3 @@ def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_benchmark_decontamination, op2_quality, op4_license_scan, op3_bpe_round_trip, op5_language_id, op6_ngram_jaccard_join, op7_media_columns, op8_toxicity, op9_token_id_files, op10_substring_dedup, op11_secret_scan, op12_merkle_manifest, op13_collocations)}
-
-ORACLE: dict[str, str] = {}
