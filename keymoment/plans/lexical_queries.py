@@ -6,7 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from keymoment.functions import arrays, text
-from keymoment.operators import fusion, lexical, topk
+from keymoment.operators import fusion, lexical, postings, topk
+from keymoment.sources.files import shared_folder
 
 from .corpus import H, K, S, hits, keyframes, scores, table
 from .registry import query
@@ -83,6 +84,43 @@ def idf_sum(spark, d):
     return lexical.idf_sum(doc_postings(spark, d), "doc_id", bench_terms(spark, d))
 
 
+#: Stored indexes by (application, tables, kind): built at first use, read by all later searches of the session.
+_INDEXES: dict[tuple[str, str, str], postings.Index] = {}
+
+
+def text_index(spark, d, kind):
+    """kind: words (frequencies count), gated (a word counts once) or sums (a word counts once, whatever the length)."""
+    at = (spark.sparkContext.applicationId, d, kind)
+    if at not in _INDEXES:
+        tokens, k1 = text.tokens(F.col("body")), {"words": 1.2, "gated": 1.5, "sums": 0.0}[kind]
+        _INDEXES[at] = postings.build(documents(spark, d), "doc_id", tokens if kind == "words" else F.array_distinct(tokens), shared_folder(spark, "text-index"), ["lang"], k1)
+    return _INDEXES[at]
+
+
+def _best(score: str, rows: str) -> str:
+    return f"SELECT query_id, doc_id, score, rnk FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rnk FROM (SELECT query_id, doc_id, round({score}, 5) AS score FROM {rows})) WHERE rnk <= 100"
+
+
+_P2 = "p2 AS (SELECT doc_id, term, 1 AS tf FROM post)"
+
+
+@query("j1_top", f"WITH {POST}, {BM.replace('K1', '1.2').replace('IDFGATE', 'true')} {_best('score', 'bm')}")
+def bm25_top(spark, d):
+    return postings.search(spark, text_index(spark, d, "words"), bench_terms(spark, d)).top.withColumnRenamed("doc", "doc_id")
+
+
+@query("j3_top", f"WITH {POST}, {_P2}, {BM.replace('K1', '1.5').replace('IDFGATE', 'ln(1 + (n_docs - df + 0.5) / (df + 0.5)) > 1').replace('FROM post', 'FROM p2')}, g AS (SELECT * FROM bm WHERE matched >= 2) {_best('score', 'g')}".replace("dl AS (SELECT doc_id, sum(tf) AS dl FROM post", "dl AS (SELECT doc_id, count(*) AS dl FROM post"))
+def metadata_top(spark, d):
+    return postings.search(spark, text_index(spark, d, "gated"), bench_terms(spark, d), idf_over=1.0, least_terms=2).top.withColumnRenamed("doc", "doc_id")
+
+
+@query("j4_top", f"WITH {POST}, g AS (SELECT query_id, doc_id, sum(ln(1 + CAST(n_docs AS DOUBLE) / (1 + df))) AS total FROM post JOIN qt USING (term) JOIN fr USING (term), st GROUP BY ALL), b AS ({_best('total', 'g')}) SELECT query_id, doc_id, round(tanh(CAST(0.15 AS DOUBLE) * score), 6) AS score, rnk FROM b")
+def idf_sum_top(spark, d):
+    idf = lambda n, df: F.log(1 + n / (1 + df))
+    terms = bench_terms(spark, d).withColumn("qtf", F.lit(1))
+    return postings.search(spark, text_index(spark, d, "sums"), terms, idf=idf).top.select("query_id", F.col("doc").alias("doc_id"), F.round(F.tanh(0.15 * F.col("score")), 6).alias("score"), "rnk")
+
+
 @query("j2_best_passage", f"""WITH {_SEG}, u AS (SELECT video, turn, min(start) AS start, min(text) AS text FROM seg GROUP BY video, turn), t AS (SELECT video, turn, start, unnest({_tok('text')}) AS term FROM u), cd AS (SELECT term, count(DISTINCT video) AS df FROM t GROUP BY term), cn AS (SELECT count(DISTINCT video) AS n FROM t),
 ci AS (SELECT term, ln(1 + (n - df + 0.5) / (df + 0.5)) AS idf FROM cd, cn), qt AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT item_id AS query_id, unnest({_tok('text')}) AS term FROM benchmark) GROUP BY ALL),
 hit AS (SELECT video, turn, start, term, count(*) AS tf FROM t GROUP BY ALL), w AS (SELECT query_id, video, first, term, sum(tf) AS tf, max(qtf) AS qtf, max(idf) AS idf, min(start) AS start FROM (SELECT *, unnest(range(greatest(turn - 4, 0), turn + 1)) AS first FROM hit JOIN qt USING (term) JOIN ci USING (term)) GROUP BY ALL),
