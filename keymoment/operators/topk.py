@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def top_per_group(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str = "rnk") -> DataFrame:
@@ -31,63 +29,49 @@ def density_bonus(hits: DataFrame, keys: list[str], share: float = 0.91, most: i
     return near.select(*keys, "near", F.round(F.when(F.col("_n") >= 2, F.log2(1 + F.least("near", F.lit(most))) * scale).otherwise(0.0), 6).alias("bonus"))
 
 
+def _in_order(hits: DataFrame, keys: list[str]) -> DataFrame:
+    """A row for each group with its rows as an array (_g), in order of score, ties to the smaller gid; _i is a row's place."""
+    row = F.struct((-F.col("score")).alias("_s"), F.col("gid").alias("_o"), *hits.columns)
+    g = hits.groupBy(*keys).agg(F.sort_array(F.collect_list(row)).alias("_g"))
+    return g.select(F.transform("_g", lambda x, i: x.withField("_i", i)).alias("_g"))
+
+
+def _greedy(rows: Column, keep: Callable[[Column, Column], Column]) -> Column:
+    """The rows that keep(kept so far, row) holds for, one after another; the kept ones are the state of one fold."""
+    return F.aggregate(rows, F.filter(rows, lambda x: F.lit(False)), lambda kept, x: F.when(keep(kept, x), F.array_append(kept, x)).otherwise(kept))
+
+
 def nms(hits: DataFrame, keys: list[str], gap: int, cap: int | None = None, seconds: bool = True) -> DataFrame:
     """Greedy suppression in score order within a group: a row goes if a kept one is within gap in n, or max(2 * gap, 10) in
     pts_time where seconds holds; cap bounds the kept ones. Groups are one query's rows of one video, bounded by its length."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["score", "gid"], ascending=[False, True], kind="stable")
-        kept: list[tuple[int, float]] = []
-        rows = []
-        for i, (n, t) in enumerate(zip(pdf["n"], pdf["pts_time"], strict=True)):
-            if cap is not None and len(kept) >= cap:
-                break
-            if all(abs(n - a) > gap and not (seconds and abs(t - b) <= max(2 * gap, 10)) for a, b in kept):
-                kept.append((n, t))
-                rows.append(i)
-        return pdf.iloc[rows]
+    def near(x: Column, y: Column) -> Column:
+        by_place = F.abs(x["n"] - y["n"]) <= gap
+        return by_place | (F.abs(x["pts_time"] - y["pts_time"]) <= max(2 * gap, 10)) if seconds else by_place
 
-    return hits.groupBy(*keys).applyInPandas(run, hits.schema)
+    def keep(kept: Column, x: Column) -> Column:
+        free = ~F.exists(kept, lambda y: near(x, y))
+        return free if cap is None else (F.size(kept) < cap) & free
+
+    return _in_order(hits, keys).select(F.explode(_greedy(F.col("_g"), keep)).alias("x")).select(*(F.col(f"x.{c}") for c in hits.columns))
 
 
 def spread(hits: DataFrame, keys: list[str], min_gap: int) -> DataFrame:
     """Rows in score order; those within min_gap frames of a kept row of their video come after all kept ones. Adds pos."""
-    schema = T.StructType([*hits.schema, T.StructField("pos", T.LongType())])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["score", "gid"], ascending=[False, True], kind="stable")
-        kept: dict[str, list[int]] = {}
-        first, rest = [], []
-        for i, (v, f) in enumerate(zip(pdf["video_id"], pdf["frame_idx"], strict=True)):
-            own = kept.setdefault(v, [])
-            if all(abs(f - x) >= min_gap for x in own):
-                own.append(f)
-                first.append(i)
-            else:
-                rest.append(i)
-        return pdf.iloc[first + rest].assign(pos=range(1, len(pdf) + 1))
-
-    return hits.groupBy(*keys).applyInPandas(run, schema)
+    apart = lambda kept, x: ~F.exists(kept, lambda y: (y["video_id"] == x["video_id"]) & (F.abs(x["frame_idx"] - y["frame_idx"]) < min_gap))
+    g = _in_order(hits, keys).withColumn("_k", _greedy(F.col("_g"), apart)).withColumn("_p", F.transform("_k", lambda y: y["_i"]))
+    later = F.filter("_g", lambda x: ~F.array_contains("_p", x["_i"]))
+    return g.select(F.posexplode(F.concat("_k", later)).alias("p", "x")).select(*(F.col(f"x.{c}") for c in hits.columns), (F.col("p") + 1).cast("long").alias("pos"))
 
 
 def suppress_similar(hits: DataFrame, keys: list[str], v: str, most: float = 0.90, memory: int = 200, top: int = 50) -> DataFrame:
     """Rows in score order without those whose cosine with one of the last `memory` kept ones reaches `most`; at most `top`."""
-    import numpy as np
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["score", "gid"], ascending=[False, True], kind="stable")
-        x = np.array(pdf[v].tolist())
-        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-        kept: list[int] = []
-        for i in range(len(x)):
-            if len(kept) == top:
-                break
-            last = kept[-memory:]
-            if not last or (x[last] @ x[i]).max() < most:
-                kept.append(i)
-        return pdf.iloc[kept]
-
-    return hits.groupBy(*keys).applyInPandas(run, hits.schema)
+    from .vector import dot, unit
+
+    last = lambda kept: F.slice(kept, F.greatest(F.size(kept) - memory + 1, F.lit(1)), memory)
+    keep = lambda kept, x: (F.size(kept) < top) & ~F.exists(last(kept), lambda y: dot(y["_u"], x["_u"]) >= most)
+    rows = _in_order(hits.withColumn("_u", unit(F.col(v), 1e-12)), keys)
+    return rows.select(F.explode(_greedy(F.col("_g"), keep)).alias("x")).select(*(F.col(f"x.{c}") for c in hits.columns))
 
 
 def expand_neighbours(hits: DataFrame, items: DataFrame, v: str, seeds: int = 10, seed_score: float = 0.16, reach: int = 4, least: float = 0.14, cosine: float = 0.55, per_seed: int = 2) -> DataFrame:

@@ -48,17 +48,29 @@ def video_cap(spark, d):
     return topk.top_per_group(hits(spark, d), ["query_id", "video_id"], [F.desc("score"), F.asc("gid")], 2, "r").select("query_id", "gid", "r")
 
 
-@query("e6_nms")
+def _greedy_sql(rows: str, keep: str, out: str, groups: str = "query_id, video_id") -> str:
+    """A fold over a group's rows in order of score; a are the kept ones, x is the row, y one of a."""
+    return f"""WITH {H}, g AS (SELECT query_id, list(struct_pack(gid := gid, video_id := video_id, n := n, frame_idx := frame_idx, pts_time := pts_time, score := score) ORDER BY score DESC, gid) AS g FROM {rows} GROUP BY {groups}),
+    f AS (SELECT query_id, g, list_reduce(g, lambda a, x: CASE WHEN {keep} THEN list_append(a, x) ELSE a END, g[1:0]) AS kept FROM g) {out}"""
+
+
+_KEPT = "SELECT query_id, u.gid, u.score FROM (SELECT query_id, unnest(kept) AS u FROM f)"
+
+
+@query("e6_nms", _greedy_sql("h", "len(a) < 3 AND len(list_filter(a, lambda y: abs(x.n - y.n) <= 2 OR abs(x.pts_time - y.pts_time) <= 10)) = 0", _KEPT))
 def nms(spark, d):
     return topk.nms(hits(spark, d), ["query_id", "video_id"], 2, 3).select("query_id", "gid", "score")
 
 
-@query("e6_nms_ordinal")
+@query("e6_nms_ordinal", _greedy_sql("h", "len(list_filter(a, lambda y: abs(x.n - y.n) <= 3)) = 0", _KEPT))
 def nms_ordinal(spark, d):
     return topk.nms(hits(spark, d), ["query_id", "video_id"], 3, None, seconds=False).select("query_id", "gid", "score")
 
 
-@query("e7_spread")
+@query("e7_spread", _greedy_sql(
+    "h WHERE rnk <= 100", "len(list_filter(a, lambda y: y.video_id = x.video_id AND abs(x.frame_idx - y.frame_idx) < 110)) = 0",
+    "SELECT query_id, u.gid, pos FROM (SELECT query_id, unnest(o) AS u, generate_subscripts(o, 1) AS pos FROM (SELECT query_id, list_concat(kept, list_filter(g, lambda x: NOT list_contains(list_transform(kept, lambda y: y.gid), x.gid))) AS o FROM f))", "query_id",
+))
 def spread(spark, d):
     return topk.spread(hits(spark, d, 100), ["query_id"], 110).select("query_id", "gid", "pos")
 

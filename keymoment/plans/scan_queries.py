@@ -297,7 +297,10 @@ def norm_check(spark, d):
     return keyframes(spark, d).select(length.alias("l")).agg(F.count("*").alias("items"), F.round(F.min("l"), 5).alias("low"), F.round(F.max("l"), 5).alias("high"), F.bool_and(F.abs(F.col("l") - 1) <= 0.05).alias("normal"))
 
 
-@query("d15_suppress_similar")
+@query("d15_suppress_similar", f"""WITH {H}, hv AS (SELECT h.query_id, h.gid, h.score, list_transform(v, lambda c: c / greatest(sqrt(list_inner_product(v, v)), 1e-12)) AS u FROM h JOIN (SELECT gid, v FROM k) k USING (gid) WHERE rnk <= 100),
+g AS (SELECT query_id, list(struct_pack(gid := gid, score := score, u := u) ORDER BY score DESC, gid) AS g FROM hv GROUP BY query_id),
+f AS (SELECT query_id, list_reduce(g, lambda a, x: CASE WHEN len(a) < 50 AND len(list_filter(a[greatest(len(a) - 199, 1):], lambda y: list_inner_product(y.u, x.u) >= 0.9)) = 0 THEN list_append(a, x) ELSE a END, g[1:0]) AS kept FROM g)
+SELECT query_id, u.gid, u.score FROM (SELECT query_id, unnest(kept) AS u FROM f)""")
 def suppress_similar(spark, d):
     h = hits(spark, d, 100).join(keyframes(spark, d).select("gid", "v"), "gid")
     return topk.suppress_similar(h, ["query_id"], "v").select("query_id", "gid", "score")
