@@ -127,6 +127,18 @@ def adjacent_cosine(items: DataFrame, group: str, order: str, v: str, lag: int =
     return items.withColumn("_p", F.lag(v, lag).over(w)).withColumn("cosine", dot(F.col(v), F.col("_p")) / (norm(F.col(v)) * norm(F.col("_p")))).drop("_p")
 
 
+def drawn_pairs(items: DataFrame, key: str, group: str, v: str, partners: int, seed: int) -> DataFrame:
+    """(key, other, cosine) of items with `partners` drawn items each, those of other groups only: an equi-join on the drawn item's number, no cross join."""
+    from .evaluate import draw
+    from .resampling import numbered
+
+    rows = numbered(items.select(key, group, v), key)
+    n = rows.count()
+    drawn = rows.withColumn("slot", F.explode(F.sequence(F.lit(1), F.lit(partners)))).select(F.col(key), F.col(group).alias("_g"), F.col(v).alias("_v"), F.floor(draw(seed, key, "slot") * n).alias("idx"))
+    pairs = drawn.join(rows.select("idx", F.col(key).alias("other"), group, v), "idx").where(F.col("_g") != F.col(group))
+    return pairs.select(key, "other", (dot(F.col("_v"), F.col(v)) / (norm(F.col("_v")) * norm(F.col(v)))).alias("cosine"))
+
+
 def top_similar(corpus: DataFrame, queries: DataFrame, v: str, q: str, k: int, digits: int = 6) -> DataFrame:
     """(query_id, gid, score, rnk): the k best items of each query, ties to the smaller gid.
 

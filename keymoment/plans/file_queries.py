@@ -60,7 +60,11 @@ def media_info(spark, d):
 _READ = "rd AS (SELECT 'V' || video % 10 AS video_id, frame, cls, conf, event_id FROM d)"
 
 
-@query("a13_text_cache", f"WITH {_DET}, {_READ}, o AS (SELECT video_id, frame, cls || ' 1' AS text, round(conf, 3) AS confidence FROM rd WHERE event_id % 3 = 0), t AS (SELECT video_id, frame, cls || ' 2' AS text, round(conf, 3) AS confidence FROM rd WHERE event_id % 3 <> 2 AND (video_id, frame) NOT IN (SELECT video_id, frame FROM o)) SELECT video_id, frame AS frame_idx, text, confidence FROM (SELECT * FROM o UNION ALL SELECT * FROM t) WHERE confidence >= 0.35")
+#: A number at three places by its exact binary value, halves to the even digit.
+_THREE = "(SELECT (k + CASE WHEN e > 0 THEN 1 WHEN e < 0 THEN 0 ELSE k % 2 END) / 1000 FROM (SELECT k, (hi * 1000 - (k + 0.5::DOUBLE)) + (x - hi) * 1000 AS e FROM (SELECT floor(conf * 1000) AS k, CAST(CAST(conf AS FLOAT) AS DOUBLE) AS hi, conf AS x)))"
+
+
+@query("a13_text_cache", f"WITH {_DET}, {_READ}, o AS (SELECT video_id, frame, cls || ' 1' AS text, {_THREE} AS confidence FROM rd WHERE event_id % 3 = 0), t AS (SELECT video_id, frame, cls || ' 2' AS text, {_THREE} AS confidence FROM rd WHERE event_id % 3 <> 2 AND (video_id, frame) NOT IN (SELECT video_id, frame FROM o)) SELECT video_id, frame AS frame_idx, text, confidence FROM (SELECT * FROM o UNION ALL SELECT * FROM t) WHERE confidence >= 0.35")
 def text_cache(spark, d):
     """A first reading writes caches, a second adds the frames they miss; frames read twice keep the first reading."""
     e = detections(spark, d).withColumn("video_id", F.concat(F.lit("V"), (F.col("video") % 10).cast("string")))

@@ -2,25 +2,24 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from keymoment.operators import evaluate, resampling
+from keymoment.functions import arrays
+from keymoment.operators import evaluate, resampling, vector
 
 from .answer_queries import _DRAW, FINAL, scored
-from .corpus import table
+from .corpus import K, keyframes, table
 from .registry import query
 
-_RANKED = "f1 AS (SELECT query_id, min(CASE WHEN r = 1 THEN rank END) AS first FROM an GROUP BY query_id), fi AS (SELECT query_id, CASE WHEN first <= 1 THEN 1.0::DOUBLE WHEN first <= 5 THEN 0.8 WHEN first <= 20 THEN 0.6 WHEN first <= 50 THEN 0.4 WHEN first <= 100 THEN 0.2 ELSE 0 END AS score FROM f1)"
-
-
 def _final(spark, d):
     return evaluate.final_score(scored(spark, d), ["query_id"], "r", "rank")
 
 
 _N7 = f"""WITH {FINAL}, nu AS (SELECT query_id, final_score AS x, row_number() OVER (ORDER BY substr(md5(query_id::VARCHAR), 1, 2), query_id) - 1 AS idx, count(*) OVER () AS n FROM fs),
-sl AS (SELECT b AS resample, n, unnest(range(n)) AS slot FROM (SELECT unnest(range(4000)) AS b), (SELECT count(*) AS n FROM fs)),
-dr AS (SELECT resample, CAST(floor({_DRAW.format(seed=13, key="resample || chr(58) || slot")} * n) AS BIGINT) AS idx FROM sl), m AS (SELECT round(sum(x) / max(n), 9) AS m FROM dr JOIN nu USING (idx) GROUP BY resample)
-SELECT round(avg(m), 6) AS mean, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high, round(avg(CASE WHEN m <= 0 THEN 1.0::DOUBLE ELSE 0 END), 6) AS p_not_positive FROM m"""
+sn AS (SELECT b AS resample, n, unnest(range(n)) AS slot FROM (SELECT unnest(range(4000)) AS b), (SELECT count(*) AS n FROM fs)),
+dn AS (SELECT resample, CAST(floor({_DRAW.format(seed=13, key="resample || chr(58) || slot")} * n) AS BIGINT) AS idx FROM sn), mn AS (SELECT round(sum(x) / max(n), 9) AS m FROM dn JOIN nu USING (idx) GROUP BY resample)
+SELECT round(avg(m), 6) AS mean, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high, round(avg(CASE WHEN m <= 0 THEN 1.0::DOUBLE ELSE 0 END), 6) AS p_not_positive FROM mn"""
 
 
 @query("n7_resampled", _N7)
@@ -80,3 +79,38 @@ def post_stratified(spark, d):
     """How much of the gap in length between two halves of the documents their languages explain."""
     part = evaluate.stratified_split(table(spark, d, "documents").select("doc_id", "source", "lang", "n_chars"), ["source"], "doc_id", 3)
     return resampling.post_stratified(part, "lang", "part", "n_chars")
+
+
+_GREY = "list_transform(range(1, 65), lambda i: least(255, greatest(0, round(128 + 100 * CAST(embedding[i] AS DOUBLE)))))"
+
+
+@query("c10_picture_gates", f"""WITH p AS (SELECT vec_id, {_GREY} AS g FROM embeddings), l AS (SELECT vec_id, list_stddev_pop(g) AS sd, list_var_pop(list_transform(list_filter(range(9, 57), lambda i: (i - 1) % 8 > 0 AND (i - 1) % 8 < 7), lambda i: abs(g[i - 8] + g[i + 8] + g[i - 1] + g[i + 1] - 4 * g[i]))) AS sharp FROM p)
+SELECT vec_id, round(sd, 6) AS sd, round(sharp, 4) AS sharpness, round(sd, 6) >= 12 AND round(sharp, 4) >= 20 AS kept FROM l""")
+def picture_gates(spark, d):
+    """A vector's first 64 numbers as an 8 x 8 picture of greys: flat ones and blurred ones go."""
+    grey = F.transform(F.slice("embedding", 1, 64), lambda x: F.least(F.lit(255.0), F.greatest(F.lit(0.0), F.round(128 + 100 * x.cast("double")))))
+    e = table(spark, d, "embeddings").select("vec_id", grey.alias("g"))
+    e = e.select("vec_id", F.round(arrays.deviation(F.col("g")), 6).alias("sd"), F.round(arrays.sharpness(F.col("g"), 8), 4).alias("sharpness"))
+    return e.withColumn("kept", (F.col("sd") >= 12) & (F.col("sharpness") >= 20))
+
+
+@query("d17_cross_video", f"""WITH {K}, nu AS (SELECT gid, video_id, v, row_number() OVER (ORDER BY substr(md5(gid::VARCHAR), 1, 2), gid) - 1 AS idx, count(*) OVER () AS n FROM k),
+dr AS (SELECT gid, video_id, v, CAST(floor({_DRAW.format(seed=23, key="gid || chr(58) || slot")} * n) AS BIGINT) AS other FROM nu, (SELECT unnest(range(1, 5)) AS slot)),
+c AS (SELECT round(list_inner_product(a.v, b.v) / (sqrt(list_inner_product(a.v, a.v)) * sqrt(list_inner_product(b.v, b.v))), 9) AS c FROM dr a JOIN nu b ON a.other = b.idx WHERE a.video_id <> b.video_id)
+SELECT count(*) AS pairs, round(quantile_cont(c, 0.5), 6) AS median, round(quantile_cont(c, 0.05), 6) AS p5, round(quantile_cont(c, 0.95), 6) AS p95, round(avg(CASE WHEN c < 0.5 THEN 1.0::DOUBLE ELSE 0 END), 6) AS low FROM c""")
+def cross_video(spark, d):
+    """The cosines of pairs of different videos, against which those within a video are to be read: four drawn partners of every item."""
+    c = vector.drawn_pairs(keyframes(spark, d), "gid", "video_id", "v", 4, 23)
+    c = c.select(F.round("cosine", 9).alias("c"))
+    q = lambda p: F.round(F.percentile("c", p), 6)
+    return c.agg(F.count("*").alias("pairs"), q(0.5).alias("median"), q(0.05).alias("p5"), q(0.95).alias("p95"), F.round(F.avg(F.when(F.col("c") < 0.5, 1.0).otherwise(0.0)), 6).alias("low"))
+
+
+@query("d17_step_percentile", f"""WITH {K}, c AS (SELECT gid, video_id, round(list_inner_product(v, p) / (sqrt(list_inner_product(v, v)) * sqrt(list_inner_product(p, p))), 9) AS c FROM (SELECT *, lag(v) OVER (PARTITION BY video_id ORDER BY n) AS p, count(*) OVER (PARTITION BY video_id) AS many FROM k) WHERE p IS NOT NULL AND many >= 4)
+SELECT gid, video_id, round((rank() OVER (PARTITION BY video_id ORDER BY c) - 1) / count(*) OVER (PARTITION BY video_id), 6) AS percentile, c < 0.5 AS low FROM c""")
+def step_percentile(spark, d):
+    """Where an item's cosine with the one before stands among those of its video (of four items or more): the share below it."""
+    c = vector.adjacent_cosine(keyframes(spark, d), "video_id", "n", "v", 1).withColumn("c", F.round("cosine", 9))
+    w = Window.partitionBy("video_id")
+    c = c.withColumn("many", F.count("*").over(w)).where("c is not null and many >= 4")
+    return c.select("gid", "video_id", F.round((F.rank().over(w.orderBy("c")) - 1) / F.count("*").over(w), 6).alias("percentile"), (F.col("c") < 0.5).alias("low"))

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from keymoment.functions.arrays import round_binary
+
 ITEM_SCHEMA = "video_id string, n int, frame_filename string, frame_idx long, pts_time double, fps double, rel_path string, abs_path string"
 
 
@@ -214,13 +216,13 @@ def read_text_cache(spark: SparkSession, path: str, least: float = 0.35) -> Data
 def extend_text_cache(fresh: DataFrame, folder: str, known: str | None = None) -> DataFrame:
     """Writes caches of fresh(video_id, frame_idx, found: array of (text, confidence)) to a folder and gives the list of files written.
 
-    Frames that the cache at `known` holds stay as they are there, frames of fresh that it doesn't are added, a frame that was looked at
+    Confidences are kept at three places, rounded by their binary value. Frames that the cache at `known` holds stay as they are there, frames of fresh that it doesn't are added, a frame that was looked at
     and had no text is an empty list, so it isn't looked at again. Only videos with a new frame are written.
     """
     from .files import write_files
 
     spark = fresh.sparkSession
-    pairs = F.transform("found", lambda x: F.array(x["text"], F.round(x["confidence"], 3).cast("string")))
+    pairs = F.transform("found", lambda x: F.array(x["text"], round_binary(x["confidence"], 3).cast("string")))
     new = fresh.select("video_id", F.col("frame_idx").cast("string").alias("frame"), pairs.alias("found"), F.lit(1).alias("turn"))
     if known is not None:
         raw = spark.read.text(known, wholetext=True).select(F.regexp_extract(F.input_file_name(), "([^/]+)[.]json$", 1).alias("video_id"), F.from_json("value", _CACHE).alias("m"))
