@@ -65,17 +65,24 @@ def hub_corrected(scores: DataFrame, k: float, head: int = 400) -> DataFrame:
 def rocchio(items: DataFrame, queries: DataFrame, m: int, weight: float, skip: int = 2) -> DataFrame:
     """(query_id, gid, score): score + weight * (centre . v) of every item(gid, video_id, n, v) for queries(query_id, qv), centre the mean of
     a query's best m items outside the video of its best one and outside the videos' openings."""
-    from .topk import top_per_group
-    from .vector import products, similarities
+    from keymoment.sources.files import shared_folder
+
+    from .vector import products, top_similar
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        """Written once, as each search below fetches its queries; the caller's cluster clears the folder."""
+        path = shared_folder(df.sparkSession, name)
+        df.write.parquet(path)
+        return df.sparkSession.read.parquet(path)
 
     flat = items.select("gid", "video_id", "n", "v")
-    s = similarities(flat.where(F.col("n") > skip), queries, "v", "qv").select("query_id", "gid", "video_id", "score")
-    order = [F.desc("score"), F.asc("gid")]
-    first = top_per_group(s, ["query_id"], order, 1).select("query_id", F.col("video_id").alias("_v"))
-    fed = top_per_group(s.join(first, "query_id").where(F.col("video_id") != F.col("_v")), ["query_id"], order, m, "_r").select("query_id", "gid")
+    shown = flat.where(F.col("n") > skip)
+    queries = kept(queries.select("query_id", "qv"), "queries")
+    first = top_similar(shown, queries, "v", "qv", 1).join(flat.select("gid", "video_id"), "gid").select("query_id", F.col("video_id").alias("_out"))
+    fed = top_similar(shown, kept(queries.join(first, "query_id"), "best"), "v", "qv", m, group="video_id", without="_out").select("query_id", "gid")
     n = fed.groupBy("query_id").agg(F.count("*").alias("_n"))
-    c = vector_sum(fed.join(n, "query_id").join(items.select("gid", "v"), "gid"), ["query_id"], "v", 1 / F.col("_n"), "_c")
-    both = products(flat, queries.select("query_id", "qv").join(c, "query_id"), "v", {"_s": "qv", "_f": "_c"}, digits=None)
+    c = kept(vector_sum(fed.join(n, "query_id").join(items.select("gid", "v"), "gid"), ["query_id"], "v", 1 / F.col("_n"), "_c"), "centres")
+    both = products(flat, queries.join(c, "query_id"), "v", {"_s": "qv", "_f": "_c"}, digits=None)
     return both.select("query_id", "gid", F.round(F.round("_s", 6) + weight * F.col("_f"), 5).alias("score"))
 
 

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -139,30 +140,34 @@ def drawn_pairs(items: DataFrame, key: str, group: str, v: str, partners: int, s
     return pairs.select(key, "other", (dot(F.col("_v"), F.col(v)) / (norm(F.col("_v")) * norm(F.col(v)))).alias("cosine"))
 
 
-def top_similar(corpus: DataFrame, queries: DataFrame, v: str, q: str, k: int, digits: int = 6) -> DataFrame:
-    """(query_id, gid, score, rnk): the k best items of each query, ties to the smaller gid.
+def top_similar(corpus: DataFrame, queries: DataFrame, v: str, q: str, k: int, digits: int = 6, group: str | None = None, without: str | None = None) -> DataFrame:
+    """(query_id, gid, score, rnk): the k best items of each query, ties to the smaller gid; with group and without, items
+    whose text in group is the query's in without are left out.
 
     A task keeps the k best rows of each batch for each query, so the shuffle holds candidates and not all pairs.
     """
     from .topk import top_per_group
 
     schema = "query_id long, gid long, score double"
-    items = corpus.select(F.col("gid").cast("long"), F.col(v).alias("_v")).where("_v is not null")
+    items = corpus.select(F.col("gid").cast("long"), F.col(v).alias("_v"), *([F.col(group).alias("_g")] if group else [])).where("_v is not null")
     parts = []
-    for block in query_blocks(queries.select("query_id", q).where(F.col(q).isNotNull()), "query_id"):
+    for block in query_blocks(queries.select("query_id", q, *([without] if without else [])).where(F.col(q).isNotNull()), "query_id"):
         t = block.toArrow()
         ids, m = t.column("query_id").to_numpy(), _matrix(t.column(q)).T if t.num_rows else None
+        barred = t.column(without).to_pylist() if without else []
 
-        def run(batches: Iterator[pa.RecordBatch], ids: np.ndarray = ids, m: np.ndarray | None = m) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], ids: np.ndarray = ids, m: np.ndarray | None = m, barred: list[str] = barred) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 gid = batch.column(0).to_numpy()
                 if not len(gid) or m is None:
                     continue
                 s = np.round(_matrix(batch.column(1)) @ m, digits) + 0.0
+                for j, g in enumerate(barred):
+                    s[pc.equal(batch.column(2), g).fill_null(False).to_numpy(zero_copy_only=False), j] = -np.inf
                 n = min(k, len(gid))
                 cut = np.partition(s, len(gid) - n, axis=0)[len(gid) - n]
                 for j in range(s.shape[1]):
-                    at = np.flatnonzero(s[:, j] >= cut[j])  # ties stay, the order below decides
+                    at = np.flatnonzero((s[:, j] >= cut[j]) & (s[:, j] > -np.inf))  # ties stay, the order below decides
                     at = at[np.lexsort((gid[at], -s[at, j]))][:n]
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), ids[j]), pa.int64()), pa.array(gid[at], pa.int64()), pa.array(s[at, j])], names=["query_id", "gid", "score"])
 
