@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from keymoment import engine
 from keymoment.operators import allocate, evaluate
-from keymoment.sources import items, sinks
+from keymoment.sources import data_sources, items, sinks
 from keymoment.sources.files import shared_folder, write_files
 from keymoment.streaming import flows
 
@@ -26,9 +26,11 @@ def json_items(spark, d):
     return items.read_items(spark, f"{folder}/*.json").select("video_id", "gid", "n", "frame_idx", "pts_time")
 
 
-@query("a2_npy_rows", f"WITH {K} SELECT video_id || '.npy' AS file, n - 1 AS gid, round(v[1], 6) AS first, round(v[64], 6) AS last FROM k")
-def npy_rows(spark, d):
-    """A matrix for each video, read back in ranges of a few rows."""
+_MATRIX_SQL = f"WITH {K} SELECT video_id || '.npy' AS file, n - 1 AS gid, round(v[1], 6) AS first, round(v[64], 6) AS last FROM k"
+
+
+def _matrices(spark, d):
+    """The folder of a matrix for each video, written here."""
     import io
 
     import numpy as np
@@ -40,10 +42,24 @@ def npy_rows(spark, d):
 
     folder = shared_folder(spark, "matrices")
     write_files(keyframes(spark, d).select("video_id", "n", "v").groupBy("video_id").applyInPandas(save, "name string, content binary"), folder)
-    m = items.read_npy(spark, f"{folder}/*.npy", 4096)
+    return folder
+
+
+@query("a2_npy_rows", _MATRIX_SQL)
+def npy_rows(spark, d):
+    """A matrix for each video, read back in ranges of a few rows."""
+    m = items.read_npy(spark, f"{_matrices(spark, d)}/*.npy", 4096)
     return m.select("file", "gid", F.round(F.col("v")[0].cast("double"), 6).alias("first"), F.round(F.col("v")[63].cast("double"), 6).alias("last"))
 
 
+@query("a2_npy_source", f"{_MATRIX_SQL} WHERE n > 11 AND n <= 40")
+def npy_source(spark, d):
+    """The same matrices by spark.read; the filter reaches the reader, which reads the matching rows' bytes only."""
+    data_sources.register(spark)
+    m = spark.read.format("npy").option("rows", 16).option("pushdown", True).load(_matrices(spark, d)).where("gid >= 11 and gid < 40")
+    return m.select("file", "gid", F.round(F.col("v")[0], 6).alias("first"), F.round(F.col("v")[63], 6).alias("last"))
+
+
 @query("a10_media_info", "SELECT 'N' || n_nationkey AS video_id, n_name AS title, 'Region ' || r_name AS description, [n_name, r_name] AS keywords FROM nation JOIN region ON n_regionkey = r_regionkey")
 def media_info(spark, d):
     """Even nations as loose files with keywords as a list, odd ones in ZIPs with keywords as text."""
@@ -127,6 +143,16 @@ def packages(spark, d):
     return sinks.zip_lines(spark.read.format("binaryFile").load(f"{folder}/*.zip"))
 
 
+@query("b4_zip_source", f"WITH {CAND}, {HYBRID} SELECT 'submission/query-' || query_id || '.csv' AS name, count(*) AS lines, min(video_id || ',' || frame) AS least FROM hr WHERE rank <= 100 GROUP BY query_id")
+def zip_source(spark, d):
+    """Answer files in one archive a task, committed together, and read back as members."""
+    data_sources.register(spark)
+    folder = shared_folder(spark, "archives")
+    _answer_files(spark, d).select("name", "content").repartition(4, "name").write.format("zip_files").option("prefix", "submission/").mode("append").save(folder)
+    lines = F.filter(F.split(F.col("content").cast("string"), "\n"), lambda x: x != "")
+    return spark.read.format("zip_files").load(folder).select("name", F.size(lines).alias("lines"), F.array_min(lines).alias("least"))
+
+
 @query("p2_cache_upsert", "WITH a AS (SELECT event_id, user_id, 1 AS run FROM events WHERE event_id % 4 < 2), b AS (SELECT event_id, user_id, 2 AS run FROM events WHERE event_id % 4 > 0) SELECT event_id, user_id, CAST(run AS BIGINT) AS run FROM (SELECT * FROM a UNION ALL SELECT * FROM b WHERE event_id NOT IN (SELECT event_id FROM a))")
 def cache_upsert(spark, d):
     """Two runs whose rows overlap: the second adds what the first didn't leave."""
