@@ -6,10 +6,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from keymoment.functions import arrays
-from keymoment.operators import evaluate, resampling, vector
+from keymoment.operators import allocate, evaluate, resampling, vector
+from keymoment.operators import evidence as shown
 
-from .answer_queries import _DRAW, FINAL, scored
-from .corpus import K, keyframes, table
+from .answer_queries import _DRAW, _FR, _frames, FINAL, scored
+from .corpus import H, K, hits, keyframes, table
 from .registry import query
 
 def _final(spark, d):
@@ -114,3 +115,52 @@ def step_percentile(spark, d):
     w = Window.partitionBy("video_id")
     c = c.withColumn("many", F.count("*").over(w)).where("c is not null and many >= 4")
     return c.select("gid", "video_id", F.round((F.rank().over(w.orderBy("c")) - 1) / F.count("*").over(w), 6).alias("percentile"), (F.col("c") < 0.5).alias("low"))
+
+
+_SAID = "vn AS (SELECT count(DISTINCT label) AS videos FROM embeddings), sp AS (SELECT 'V' || lpad(CAST(conv_id % videos AS VARCHAR), 3, '0') AS video_id, turn * CAST(3.0 AS DOUBLE) AS start, conv_id AS no, text FROM conversations, vn)"
+
+
+@query("q8_evidence_parts", f"""WITH {H}, {_SAID}, a AS (SELECT query_id, video_id, n, pts_time FROM h WHERE rnk = 1),
+st AS (SELECT unnest([0, -1, 1, -2, 2]) AS step, unnest(range(5)) AS pos), fp AS (SELECT query_id, 1 AS part, pos, k.video_id, k.gid, NULL::VARCHAR AS text FROM a, st JOIN k ON k.video_id = a.video_id AND k.n = a.n + step),
+o AS (SELECT h.query_id, h.video_id, h.gid, h.rnk FROM h JOIN a ON h.query_id = a.query_id AND h.video_id <> a.video_id WHERE rnk <= 24 QUALIFY row_number() OVER (PARTITION BY h.query_id, h.video_id ORDER BY rnk) = 1),
+op AS (SELECT query_id, 2 AS part, row_number() OVER (PARTITION BY query_id ORDER BY rnk) - 1 AS pos, video_id, gid, NULL::VARCHAR AS text FROM o QUALIFY pos < 2),
+tp AS (SELECT query_id, 3 AS part, 0 AS pos, a.video_id, NULL::BIGINT AS gid, string_agg(text, ' ' ORDER BY start, no, text) AS text FROM a JOIN sp ON sp.video_id = a.video_id AND abs(a.pts_time - start) <= 30 GROUP BY query_id, a.video_id)
+SELECT query_id, CAST(part AS BIGINT) AS part, CAST(pos AS BIGINT) AS pos, video_id, gid, text FROM (SELECT * FROM fp UNION ALL SELECT * FROM op UNION ALL SELECT * FROM tp)""")
+def evidence_parts(spark, d):
+    """Conversations are the videos' speech, dealt to them by the remainder of their number."""
+    videos = table(spark, d, "embeddings").agg(F.countDistinct("label").alias("videos"))
+    said = table(spark, d, "conversations").join(F.broadcast(videos))  # one row
+    said = said.select(F.format_string("V%03d", F.col("conv_id") % F.col("videos")).alias("video_id"), (F.col("turn") * 3.0).alias("start"), F.col("conv_id").alias("no"), "text")
+    return shown.evidence(hits(spark, d, 24), keyframes(spark, d), said)
+
+
+_LEVELS = (
+    _FR.split(",\nof AS (")[0]
+    + """, tv AS (SELECT vec_id // 200 AS query_id, 'V' || lpad(CAST(label AS VARCHAR), 3, '0') AS truth FROM embeddings WHERE vec_id % 200 = 0),
+tf AS (SELECT query_id, truth, list(frame_idx ORDER BY n) AS moments FROM tv JOIN k ON video_id = truth AND n IN (4, 7, 10, 13) GROUP BY ALL), lv AS (SELECT video_id, max(frame_idx) AS last FROM k GROUP BY video_id),
+l0 AS (SELECT fr.query_id, 1 AS r, fr.video_id, f FROM fr WHERE r = 1 UNION ALL SELECT fr.query_id, 2, fr.video_id, moments FROM fr JOIN tf USING (query_id) WHERE r = 1 UNION ALL SELECT tf.query_id, 3, truth, moments FROM tf JOIN fr USING (query_id) WHERE r = 1),
+ll AS (SELECT l0.*, last FROM l0 JOIN lv USING (video_id)), of AS ("""
+    + _FR.split(",\nof AS (")[1].replace("last))) AS frames FROM fr,", "last))) AS frames FROM ll,").replace("PARTITION BY query_id, video_id", "PARTITION BY query_id, r, video_id")
+)
+
+
+@query("n14_levels", f"""WITH {_LEVELS}, sc AS (SELECT la.query_id, r, w, rank, CASE WHEN video_id = truth THEN len(list_filter(list_zip(frames, moments), lambda p: abs(p[1] - p[2]) <= w)) / 4::DOUBLE ELSE 0 END AS s FROM la JOIN tf USING (query_id), (SELECT unnest([6, 10, 20]) AS w)),
+fl AS (SELECT query_id, r, w, round((coalesce(max(s) FILTER (rank <= 1), 0) + coalesce(max(s) FILTER (rank <= 5), 0) + coalesce(max(s) FILTER (rank <= 20), 0) + coalesce(max(s) FILTER (rank <= 50), 0) + coalesce(max(s) FILTER (rank <= 100), 0)) / 5, 6) AS s FROM sc GROUP BY ALL)
+SELECT query_id, CASE r WHEN 1 THEN 'base' WHEN 2 THEN 'true moments' ELSE 'true video' END AS level, round(avg(s), 6) AS score FROM fl GROUP BY query_id, r""")
+def levels(spark, d):
+    """What is lost to placing the events and what to choosing the video: the rows of a query's best alignment, of the true moments in its video, and of
+    those in the true one, each scored with windows of 6, 10 and 20 frames in one pass."""
+    best = _frames(spark, d).where("rnk = 1").select("query_id", "video_id", "frames")
+    k = keyframes(spark, d)
+    own = table(spark, d, "embeddings").where("vec_id % 200 = 0").select(F.floor(F.col("vec_id") / 200).alias("query_id"), F.format_string("V%03d", "label").alias("truth"))
+    moments = F.transform(F.sort_array(F.collect_list(F.struct("n", "frame_idx"))), lambda x: x["frame_idx"])
+    true = own.join(k.where("n in (4, 7, 10, 13)").select(F.col("video_id").alias("truth"), "n", "frame_idx"), "truth").groupBy("query_id", "truth").agg(moments.alias("moments"))
+    level = lambda no, video, frames: F.struct(F.lit(no).alias("level"), F.col(video).alias("video_id"), F.col(frames).alias("frames"))
+    each = F.explode(F.array(level(1, "video_id", "frames"), level(2, "video_id", "moments"), level(3, "truth", "moments"))).alias("x")
+    both = best.join(true, "query_id").select("query_id", each).select((F.col("query_id") * 4 + F.col("x.level")).alias("query_id"), "x.video_id", "x.frames")
+    rows = allocate.sequence_rows(both.join(k.groupBy("video_id").agg(F.max("frame_idx").alias("last_frame")), "video_id"))
+    rows = rows.withColumn("level", F.col("query_id") % 4).withColumn("query_id", F.floor(F.col("query_id") / 4)).join(true, "query_id").withColumn("w", F.explode(F.array(F.lit(6), F.lit(10), F.lit(20))))
+    spans = F.transform("moments", lambda m: F.array(m - F.col("w"), m + F.col("w")))
+    s = rows.withColumn("s", evaluate.sequence_score(F.col("video_id"), F.col("frames"), F.col("truth"), spans))
+    name = F.element_at(F.array(*map(F.lit, ("base", "true moments", "true video"))), F.col("level").cast("int"))
+    return evaluate.final_score(s, ["query_id", "level", "w"], "s", "rank").groupBy("query_id", name.alias("level")).agg(F.round(F.avg("final_score"), 6).alias("score"))
