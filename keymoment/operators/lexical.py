@@ -94,19 +94,16 @@ def best_passage(cues: DataFrame, terms: DataFrame, idf: DataFrame, tokens: Colu
     return value.withColumn("_r", F.row_number().over(w)).where("_r = 1").select("query_id", "video", "first", "start", "value")
 
 
-def phrase_search(texts: DataFrame, queries: DataFrame, weight: float = 10.0) -> DataFrame:
-    """score: weight if the whole phrase is in a text, plus 1 for each of its terms in it. queries(query_id, phrase) go with the tasks
-    in blocks of a counted size."""
-    from .vector import query_blocks
+def phrase_search(texts: DataFrame, key: str, queries: DataFrame, weight: float = 10.0) -> DataFrame:
+    """(query_id, key, score): weight if the whole phrase of queries(query_id, phrase) is in a text, plus 1 for each of its terms in it, above 0.
 
-    low = texts.withColumn("_low", F.lower("text"))
-    terms = F.filter(F.split("_phrase", r"\s+"), lambda t: t != "")
-    n = F.aggregate(terms, F.lit(0.0), lambda s, t: s + F.when(F.contains("_low", t), 1.0).otherwise(0.0))
-    found = None
-    for q in query_blocks(queries.withColumn("_phrase", F.lower("phrase")), "query_id"):
-        x = low.join(F.broadcast(q)).withColumn("score", n + F.when(F.contains("_low", "_phrase"), weight).otherwise(0.0)).where("score > 0").drop("_low", "_phrase")
-        found = x if found is None else found.unionAll(x)
-    return found
+    Phrases and terms are found by contained(), each text read once; an empty phrase is in no text.
+    """
+    q = queries.select("query_id", F.lower("phrase").alias("phrase")).where("phrase <> ''")
+    terms = q.select("query_id", F.explode(F.filter(F.split("phrase", r"\s+"), lambda t: t != "")).alias("phrase"), F.lit(1.0).alias("_w"))
+    weights = terms.unionAll(q.withColumn("_w", F.lit(weight))).groupBy("query_id", "phrase").agg(F.sum("_w").alias("_w"))
+    found = contained(texts.withColumn("_low", F.lower("text")), key, "_low", weights)
+    return found.join(weights, "phrase").groupBy("query_id", key).agg(F.sum("_w").alias("score"))
 
 
 def contained(texts: DataFrame, key: str, text: str, phrases: DataFrame, most: int = 100_000) -> DataFrame:

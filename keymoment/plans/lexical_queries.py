@@ -168,7 +168,7 @@ _PH = "ph AS (SELECT item_id AS query_id, string_split(lower(text), ' ')[1] || '
 def phrase_search(spark, d):
     w = F.split(F.lower("text"), " ")
     q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.concat_ws(" ", w[0], w[1], w[2]).alias("phrase"))
-    return lexical.phrase_search(table(spark, d, "documents").select("doc_id", "text"), q).select("query_id", "doc_id", "score")
+    return lexical.phrase_search(table(spark, d, "documents").select("doc_id", "text"), "doc_id", q)
 
 
 @query("j9_term_find", "SELECT doc_id, CAST(len(list_filter(string_split('the erer anth in of tion', ' '), lambda t: length(t) > 2 AND contains(lower(text), t))) AS BIGINT) AS found FROM documents")
