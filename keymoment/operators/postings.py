@@ -33,6 +33,7 @@ class Index(NamedTuple):
 
     path: str
     key: str
+    kind: str  # of the key, as in DDL
     n_docs: int
     mean_length: float
     shards: int
@@ -40,11 +41,11 @@ class Index(NamedTuple):
 
     def blocks(self, spark: SparkSession) -> DataFrame:
         """(term, shard, n, most, docs, parts)."""
-        return spark.read.parquet(f"{self.path}/blocks")
+        return spark.read.schema(f"term string, shard long, n long, most double, docs array<{self.kind}>, parts array<double>, bucket int").parquet(f"{self.path}/blocks")
 
     def terms(self, spark: SparkSession) -> DataFrame:
         """(term, df)."""
-        return spark.read.parquet(f"{self.path}/terms")
+        return spark.read.schema("term string, df long, bucket int").parquet(f"{self.path}/terms")
 
 
 def _bucket(term: str | Column, buckets: int) -> Column:
@@ -79,9 +80,11 @@ def build(docs: DataFrame, key: str, tokens: Column, path: str, cluster: list[st
     # A bucket's rows are spread over shards of files too, so a common term's bucket is no single task.
     dealt = block.repartitionByRange(parts, "bucket", "term", "shard").sortWithinPartitions("bucket", "term", "shard")
     dealt.write.partitionBy("bucket").parquet(f"{path}/blocks")
-    spark.read.parquet(f"{path}/blocks").groupBy("bucket", "term").agg(F.sum("n").alias("df")).write.partitionBy("bucket").parquet(f"{path}/terms")
+    kind = docs.schema[key].dataType.simpleString()
+    written = Index(path, key, kind, n_docs, mean, 0, buckets).blocks(spark)
+    written.groupBy("bucket", "term").agg(F.sum("n").alias("df")).write.partitionBy("bucket").parquet(f"{path}/terms")
     _remove(f"{path}/counts")
-    out = Index(path, key, n_docs, mean, places.select("shard").distinct().count(), buckets)
+    out = Index(path, key, kind, n_docs, mean, places.select("shard").distinct().count(), buckets)
     fs, where = open_folder(path)
     with fs.open_output_stream(f"{where}/index.json") as f:  # last, so a folder without it is no index
         f.write(json.dumps(out._asdict()).encode())
