@@ -32,6 +32,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: How many items and queries there are, in SQL.
+N_ITEMS, N_QUERIES = "(SELECT count(*) FROM embeddings)", "(SELECT count(*) FROM embeddings WHERE vec_id % 50 = 0)"
+
+
+def dealt(df: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """df with the numbers of items and queries (_items, _queries), by whose remainders rows of other tables are dealt to them."""
+    e = table(spark, sf_dir, "embeddings").agg(F.count("*").alias("_items"), F.count_if(F.col("vec_id") % EVERY == 0).alias("_queries"))
+    return df.join(F.broadcast(e))  # one row
+
+
 def keyframes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """gid, video_id, n, frame_idx, pts_time, v of every item."""
     e = table(spark, sf_dir, "embeddings")

@@ -12,7 +12,7 @@ from keymoment.sources.files import shared_folder, write_files
 from keymoment.streaming import flows
 
 from .answer_queries import CAND, FINAL, HYBRID, candidates, truth
-from .corpus import H, K, keyframes, query_vectors, table
+from .corpus import H, K, N_ITEMS, dealt, keyframes, query_vectors, table
 from .registry import query
 from .scan_queries import _DET, detections
 
@@ -178,7 +178,7 @@ def encoder(spark, d):
     return e.search(q).select("query_id", "gid", "score", "rnk")
 
 
-_FOUND = "pf AS (SELECT query_id, event_id % 500 AS gid, max(value) AS s FROM qv JOIN events ON user_id % 10 = query_id % 10 AND event_type = 'purchase' GROUP BY ALL)"
+_FOUND = f"pf AS (SELECT query_id, event_id % {N_ITEMS} AS gid, max(value) AS s FROM qv JOIN events ON user_id % 10 = query_id % 10 AND event_type = 'purchase' GROUP BY ALL)"
 
 
 @query("q2_hit_provider", f"WITH {H}, {_FOUND}, pz AS (SELECT query_id, gid, round((s - avg(s) OVER w) / (stddev_pop(s) OVER w + 1e-6), 6) AS z FROM pf WINDOW w AS (PARTITION BY query_id)), f AS (SELECT query_id, gid, round(score + CAST(0.1 AS DOUBLE) * coalesce(z, 0), 8) AS score FROM h LEFT JOIN pz USING (query_id, gid)) SELECT query_id, gid, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, gid) AS rnk FROM f")
@@ -186,7 +186,7 @@ def hit_provider(spark, d):
     """A provider of scores by event, beside the vectors."""
 
     def found(queries):
-        e = table(spark, d, "events").where("event_type = 'purchase'").select((F.col("user_id") % 10).alias("m"), (F.col("event_id") % 500).alias("gid"), F.col("value").alias("score"))
+        e = dealt(table(spark, d, "events"), spark, d).where("event_type = 'purchase'").select((F.col("user_id") % 10).alias("m"), (F.col("event_id") % F.col("_items")).alias("gid"), F.col("value").alias("score"))
         return queries.withColumn("m", F.col("query_id") % 10).join(e, "m").select("query_id", "gid", "score")
 
     e, q = _engine(spark, d, [(0.1, found)])

@@ -9,7 +9,7 @@ from keymoment.functions import arrays, text
 from keymoment.operators import fusion, lexical, postings, topk
 from keymoment.sources.files import shared_folder
 
-from .corpus import H, K, S, hits, keyframes, scores, table
+from .corpus import H, K, N_ITEMS, N_QUERIES, S, dealt, hits, keyframes, scores, table
 from .registry import query
 from .relational_queries import _SEG, segments
 from .scan_queries import _DET, detections
@@ -264,15 +264,15 @@ def zscore(spark, d):
     return fusion.row_zscore(scores(spark, d), ["query_id"], "score", "z", 5).select("query_id", "gid", "z")
 
 
-CH = f"""{S}, tx AS (SELECT user_id % 16 AS query_id, event_id % 500 AS gid, max(value) AS t FROM events WHERE event_type = 'purchase' GROUP BY ALL), sp AS (SELECT conv_id % 16 AS query_id, turn * 7 AS gid, max(length(text)) AS p FROM conversations GROUP BY ALL),
+CH = f"""{S}, tx AS (SELECT user_id % {N_QUERIES} AS query_id, event_id % {N_ITEMS} AS gid, max(value) AS t FROM events WHERE event_type = 'purchase' GROUP BY ALL), sp AS (SELECT conv_id % {N_QUERIES} AS query_id, turn * 7 AS gid, max(length(text)) AS p FROM conversations GROUP BY ALL),
 c AS (SELECT query_id, gid, score, coalesce(t, 0) AS t, CAST(coalesce(p, 0) AS DOUBLE) AS p FROM s LEFT JOIN tx USING (query_id, gid) LEFT JOIN sp USING (query_id, gid)),
 z AS (SELECT query_id, gid, (score - avg(score) OVER w) / (stddev_pop(score) OVER w + 1e-6) AS zs, (t - avg(t) OVER w) / (stddev_pop(t) OVER w + 1e-6) AS zt, (p - avg(p) OVER w) / (stddev_pop(p) OVER w + 1e-6) AS zp, stddev_pop(score) OVER w > 1e-6 AS sa, stddev_pop(t) OVER w > 1e-6 AS ta, stddev_pop(p) OVER w > 1e-6 AS pa, p, t FROM c WINDOW w AS (PARTITION BY query_id))"""
 
 
 def channels(spark, d):
     """score, t, p of all pairs: a dense visual channel and two sparse ones."""
-    tx = table(spark, d, "events").where("event_type = 'purchase'").groupBy((F.col("user_id") % 16).alias("query_id"), (F.col("event_id") % 500).alias("gid")).agg(F.max("value").alias("t"))
-    sp = table(spark, d, "conversations").groupBy((F.col("conv_id") % 16).alias("query_id"), (F.col("turn") * 7).alias("gid")).agg(F.max(F.length("text")).alias("p"))
+    tx = dealt(table(spark, d, "events"), spark, d).where("event_type = 'purchase'").groupBy((F.col("user_id") % F.col("_queries")).alias("query_id"), (F.col("event_id") % F.col("_items")).alias("gid")).agg(F.max("value").alias("t"))
+    sp = dealt(table(spark, d, "conversations"), spark, d).groupBy((F.col("conv_id") % F.col("_queries")).alias("query_id"), (F.col("turn") * 7).alias("gid")).agg(F.max(F.length("text")).alias("p"))
     return scores(spark, d).join(tx, ["query_id", "gid"], "left").join(sp, ["query_id", "gid"], "left").withColumn("t", F.coalesce("t", F.lit(0.0))).withColumn("p", F.coalesce(F.col("p").cast("double"), F.lit(0.0)))
 
 
@@ -319,9 +319,9 @@ def margins(spark, d):
     return fusion.margin(hits(spark, d))
 
 
-@query("k7_verdict_bonus", f"WITH {H}, v AS (SELECT event_id % 500 AS gid, max(value) / 100 AS conf FROM events WHERE event_type = 'signup' GROUP BY 1) SELECT query_id, gid, round(score + CAST(0.02 AS DOUBLE) * coalesce(max(conf) OVER (PARTITION BY query_id, video_id), 0), 6) AS boosted FROM h LEFT JOIN v USING (gid)")
+@query("k7_verdict_bonus", f"WITH {H}, v AS (SELECT event_id % {N_ITEMS} AS gid, max(value) / 100 AS conf FROM events WHERE event_type = 'signup' GROUP BY 1) SELECT query_id, gid, round(score + CAST(0.02 AS DOUBLE) * coalesce(max(conf) OVER (PARTITION BY query_id, video_id), 0), 6) AS boosted FROM h LEFT JOIN v USING (gid)")
 def verdict_bonus(spark, d):
-    v = table(spark, d, "events").where("event_type = 'signup'").groupBy((F.col("event_id") % 500).alias("gid")).agg((F.max("value") / 100).alias("conf"))
+    v = dealt(table(spark, d, "events"), spark, d).where("event_type = 'signup'").groupBy((F.col("event_id") % F.col("_items")).alias("gid")).agg((F.max("value") / 100).alias("conf"))
     return fusion.video_bonus(hits(spark, d).join(v, "gid", "left"), ["query_id", "video_id"], "conf", 0.02).select("query_id", "gid", "boosted")
 
 

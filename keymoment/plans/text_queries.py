@@ -11,7 +11,7 @@ from keymoment.sources import sinks
 from keymoment.streaming import flows
 
 from .answer_queries import CAND, HYBRID, candidates
-from .corpus import H, S, hits, keyframes, scores, table
+from .corpus import H, N_QUERIES, S, dealt, hits, keyframes, scores, table
 from .lexical_queries import _tok
 from .registry import query
 from .relational_queries import segments
@@ -85,9 +85,9 @@ def batches(spark, d):
     return sinks.ndjson_batches(hits(spark, d, 30).select("query_id", "gid", "rnk"), ["query_id"], "rnk", 8)
 
 
-@query("b10_stamped", f"WITH {H}, an AS (SELECT item_id % 16 AS query_id, item_id AS pos, CASE WHEN item_id < 20 THEN ' ' ELSE text END AS answer FROM benchmark), f AS (SELECT query_id, arg_min(answer, pos) AS answer FROM an WHERE trim(answer) <> '' GROUP BY query_id) SELECT h.query_id, gid, answer FROM h LEFT JOIN f USING (query_id) WHERE rnk <= 20")
+@query("b10_stamped", f"WITH {H}, an AS (SELECT item_id % {N_QUERIES} AS query_id, item_id AS pos, CASE WHEN item_id < 20 THEN ' ' ELSE text END AS answer FROM benchmark), f AS (SELECT query_id, arg_min(answer, pos) AS answer FROM an WHERE trim(answer) <> '' GROUP BY query_id) SELECT h.query_id, gid, answer FROM h LEFT JOIN f USING (query_id) WHERE rnk <= 20")
 def stamped(spark, d):
-    a = table(spark, d, "benchmark").select((F.col("item_id") % 16).alias("query_id"), F.col("item_id").alias("pos"), F.when(F.col("item_id") < 20, F.lit(" ")).otherwise(F.col("text")).alias("answer"))
+    a = dealt(table(spark, d, "benchmark"), spark, d).select((F.col("item_id") % F.col("_queries")).alias("query_id"), F.col("item_id").alias("pos"), F.when(F.col("item_id") < 20, F.lit(" ")).otherwise(F.col("text")).alias("answer"))
     return sinks.stamped_answers(hits(spark, d, 20).select("query_id", "gid"), a)
 
 
