@@ -81,6 +81,24 @@ def compare_runs(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     return x.groupBy(F.when(F.col("_b") > F.col("_a"), "better").when(F.col("_b") < F.col("_a"), "worse").otherwise("same").alias("verdict")).agg(F.count("*").alias("n"))
 
 
+def strict_ranks(scores: DataFrame, truth: DataFrame) -> DataFrame:
+    """(query_id, rank): one more than the items that score above the best one in truth(query_id, truth, lo, hi); queries without such an item have no row."""
+    own = scores.join(truth, "query_id").where("video_id = truth and frame_idx between lo and hi").groupBy("query_id").agg(F.max("score").alias("_a"))
+    return scores.join(own, "query_id").groupBy("query_id").agg((F.count_if(F.col("score") > F.col("_a")) + 1).alias("rank"))
+
+
+def rank_table(ranks: DataFrame, keys: list[str]) -> DataFrame:
+    """By keys: how many queries, their median rank, and how many have their answer first and among the first five."""
+    return ranks.groupBy(*keys).agg(F.count("*").alias("n"), F.percentile("rank", 0.5).alias("median"), F.count_if(F.col("rank") == 1).alias("first"), F.count_if(F.col("rank") <= 5).alias("top5"))
+
+
+def first_rows(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(query_id, video_changed, row_changed) of the first rows of two runs of (query_id, rank, video_id, frame)."""
+    x = a.where("rank = 1").select("query_id", F.col("video_id").alias("_v"), F.col("frame").alias("_f")).join(b.where("rank = 1"), "query_id")
+    other = F.col("_v") != F.col("video_id")
+    return x.select("query_id", other.alias("video_changed"), (other | (F.col("_f") != F.col("frame"))).alias("row_changed"))
+
+
 def missing_extra(wanted: DataFrame, got: DataFrame, key: str) -> DataFrame:
     a = wanted.join(got, key, "left_anti").select(key, F.lit("missing").alias("kind")).distinct()
     return a.unionAll(got.join(wanted, key, "left_anti").select(key, F.lit("extra").alias("kind")).distinct())

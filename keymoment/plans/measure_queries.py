@@ -6,12 +6,13 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from keymoment.functions import arrays
-from keymoment.operators import allocate, evaluate, resampling, vector
+from keymoment.operators import allocate, evaluate, fusion, resampling, vector
 from keymoment.operators import evidence as shown
 
-from .answer_queries import _DRAW, _FR, _frames, FINAL, scored
-from .corpus import H, K, hits, keyframes, table
-from .registry import query
+from . import scan_queries  # noqa: F401  its SQL of d10_rocchio is used below
+from .answer_queries import _DRAW, _FR, CAND, FINAL, HYBRID, TRUTH, _frames, candidates, scored, truth
+from .corpus import H, K, hits, keyframes, query_vectors, scores, table
+from .registry import ORACLE, query
 
 def _final(spark, d):
     return evaluate.final_score(scored(spark, d), ["query_id"], "r", "rank")
@@ -164,3 +165,40 @@ def levels(spark, d):
     s = rows.withColumn("s", evaluate.sequence_score(F.col("video_id"), F.col("frames"), F.col("truth"), spans))
     name = F.element_at(F.array(*map(F.lit, ("base", "true moments", "true video"))), F.col("level").cast("int"))
     return evaluate.final_score(s, ["query_id", "level", "w"], "s", "rank").groupBy("query_id", name.alias("level")).agg(F.round(F.avg("final_score"), 6).alias("score"))
+
+
+#: Ranks of the answers before and after feedback from the best items.
+_BOTH = ORACLE["d10_rocchio"].rpartition("\nSELECT ")
+_BOTH = f"""{_BOTH[0]}, fb AS (SELECT {_BOTH[2]}), {TRUTH}, own AS (SELECT s.query_id, max(s.score) AS a, max(fb.score) AS b FROM s JOIN fb USING (query_id, gid) JOIN tr ON s.query_id = tr.query_id AND s.video_id = truth AND s.frame_idx BETWEEN lo AND hi GROUP BY s.query_id),
+rk AS (SELECT own.query_id, 1 + count(*) FILTER (s.score > a) AS direct, 1 + count(*) FILTER (fb.score > b) AS fed FROM s JOIN fb USING (query_id, gid) JOIN own ON own.query_id = s.query_id GROUP BY own.query_id)"""
+
+
+def _ranks(spark, d):
+    """query_id, direct, fed: the answer's strict rank by the vectors alone, and with feedback."""
+    fed = fusion.rocchio(keyframes(spark, d), query_vectors(spark, d), 5, 0.3).join(keyframes(spark, d).select("gid", "video_id", "frame_idx"), "gid")
+    a, b = (evaluate.strict_ranks(x, truth(spark, d)) for x in (scores(spark, d), fed))
+    return a.withColumnRenamed("rank", "direct").join(b.withColumnRenamed("rank", "fed"), "query_id")
+
+
+@query("n22_rank_table", f"{_BOTH}, u AS (SELECT 'direct' AS scoring, direct AS rank FROM rk UNION ALL SELECT 'feedback', fed FROM rk) SELECT scoring, count(*) AS n, quantile_cont(rank, 0.5) AS median, count(*) FILTER (rank = 1) AS first, count(*) FILTER (rank <= 5) AS top5 FROM u GROUP BY scoring")
+def rank_table(spark, d):
+    each = F.explode(F.array(F.struct(F.lit("direct").alias("scoring"), F.col("direct").alias("rank")), F.struct(F.lit("feedback").alias("scoring"), F.col("fed").alias("rank")))).alias("x")
+    return evaluate.rank_table(_ranks(spark, d).select(each).select("x.*"), ["scoring"])
+
+
+@query("n22_paired", f"""{_BOTH}, nu AS (SELECT direct - fed AS x, row_number() OVER (ORDER BY substr(md5(query_id::VARCHAR), 1, 2), query_id) - 1 AS idx FROM rk), nn AS (SELECT count(*) AS n FROM rk),
+dn AS (SELECT resample, n, CAST(floor({_DRAW.format(seed=29, key="resample || chr(58) || slot")} * n) AS BIGINT) AS idx FROM (SELECT b AS resample, n, unnest(range(n)) AS slot FROM (SELECT unnest(range(4000)) AS b), nn)), mn AS (SELECT round(sum(x) / max(n), 9) AS m FROM dn JOIN nu USING (idx) GROUP BY resample),
+wl AS (SELECT count(*) FILTER (fed < direct) AS win, count(*) FILTER (fed > direct) AS lose, count(*) FILTER (fed = direct) AS tie FROM rk)
+SELECT win, lose, tie, round(avg(m), 6) AS mean, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high, round(avg(CASE WHEN m <= 0 THEN 1.0::DOUBLE ELSE 0 END), 6) AS p_not_positive FROM mn, wl GROUP BY ALL""")
+def paired_ranks(spark, d):
+    """Wins, losses and ties of feedback against the vectors alone, and the places gained, resampled by query 4,000 times."""
+    x = _ranks(spark, d).withColumn("gain", (F.col("direct") - F.col("fed")).cast("double"))
+    verdicts = x.agg(F.count_if(F.col("gain") > 0).alias("win"), F.count_if(F.col("gain") < 0).alias("lose"), F.count_if(F.col("gain") == 0).alias("tie"))
+    return verdicts.join(F.broadcast(resampling.interval(resampling.resampled_means(x, "query_id", "gain", 4000, 29))))  # one row each
+
+
+@query("n24_first_rows", f"WITH {CAND}, {HYBRID}, a AS (SELECT * FROM ro WHERE rank = 1), b AS (SELECT * FROM hr WHERE rank = 1) SELECT query_id, a.video_id <> b.video_id AS video_changed, a.video_id <> b.video_id OR a.frame <> b.frame AS row_changed FROM a JOIN b USING (query_id)")
+def first_rows(spark, d):
+    """Whether the first row, and its video, differ between the allocation by cost alone and the hybrid one."""
+    c = candidates(spark, d)
+    return evaluate.first_rows(allocate.moment_rows(c), allocate.hybrid_rows(c))
