@@ -125,6 +125,12 @@ def permute_scores(df: DataFrame, keys: list[str], key: Column, score: str = "sc
     return ranked.join(given, [*keys, "_k"]).drop("_k", "_s")
 
 
+def permute_judged(df: DataFrame, keys: list[str], key: Column, score: str = "score", pos: str = "rnk") -> DataFrame:
+    """permuted: permute_scores among the rows of a group that have a key; rows without one keep their score."""
+    x = permute_scores(df.withColumn("_judged", key.isNotNull()).withColumn("_key", F.coalesce(key, F.col(score))), [*keys, "_judged"], F.col("_key"), score, pos)
+    return x.drop("_judged", "_key")
+
+
 def video_bonus(df: DataFrame, keys: list[str], bonus: str, weight: float, out: str = "boosted") -> DataFrame:
     """The largest bonus of a query's items of a video, added to all of them."""
     w = Window.partitionBy(*keys)

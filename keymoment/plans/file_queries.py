@@ -6,13 +6,13 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from keymoment import engine
-from keymoment.operators import allocate, evaluate
-from keymoment.sources import data_sources, items, sinks
+from keymoment.operators import allocate, evaluate, vector
+from keymoment.sources import data_sources, items, pictures, sinks
 from keymoment.sources.files import shared_folder, write_files
 from keymoment.streaming import flows
 
 from .answer_queries import CAND, FINAL, HYBRID, candidates, truth
-from .corpus import H, K, N_ITEMS, dealt, keyframes, query_vectors, table
+from .corpus import H, K, N_ITEMS, SKIP, dealt, keyframes, prompts, query_vectors, table
 from .registry import query
 from .scan_queries import _DET, detections
 
@@ -73,6 +73,64 @@ def media_info(spark, d):
     return items.read_media_info(spark, folder).select("video_id", "title", "description", "keywords")
 
 
+_PICTURE = """CASE WHEN n % 5 = 0 THEN 'cover' || n ELSE lpad(CAST(n AS VARCHAR), 4, '0') END || CASE n % 3 WHEN 0 THEN '.png' WHEN 1 THEN '.PNG' ELSE '.Jpeg' END"""
+
+
+def _png(grey) -> bytes:
+    """An 8 x 8 picture of greys as PNG."""
+    import struct
+    import zlib
+
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    lines = b"".join(b"\0" + bytes(int(x) for x in grey[i : i + 8]) for i in range(0, 64, 8))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 8, 8, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(lines)) + chunk(b"IEND", b"")
+
+
+def _greys(contents: list[bytes]):
+    """The greys of pictures by _png, NaN for other contents: what stands in for an encoder."""
+    import zlib
+
+    import numpy as np
+
+    def read(c: bytes):
+        if not c.startswith(b"\x89PNG"):
+            return np.full(64, np.nan)
+        size = int.from_bytes(c[33:37], "big")
+        return np.frombuffer(zlib.decompress(c[41 : 41 + size]), np.uint8).reshape(8, 9)[:, 1:].ravel()
+
+    return np.array([read(c) for c in contents], np.float64)
+
+
+def _picture_folder(spark, d):
+    """A folder for each video: an item's first 64 numbers as a picture, every seventh a file that is none, and a note beside them."""
+
+    def draw(batches):
+        for x in batches:
+            yield pd.DataFrame({"name": x["name"], "content": [b"no picture" if n % 7 == 0 else _png(g) for n, g in zip(x["n"], x["g"], strict=True)]})
+
+    grey = F.transform(F.slice("v", 1, 64), lambda x: F.least(F.lit(255), F.greatest(F.lit(0), F.round(128 + 100 * x).cast("int"))))
+    stem = F.when(F.col("n") % 5 == 0, F.concat(F.lit("cover"), F.col("n").cast("string"))).otherwise(F.lpad(F.col("n").cast("string"), 4, "0"))
+    end = F.element_at(F.array(F.lit(".png"), F.lit(".PNG"), F.lit(".Jpeg")), (F.col("n") % 3 + 1).cast("int"))
+    k = keyframes(spark, d).select("n", "video_id", F.concat("video_id", F.lit("/"), stem, end).alias("name"), grey.alias("g"))
+    folder = shared_folder(spark, "pictures")
+    notes = k.select(F.concat("video_id", F.lit("/notes.txt")).alias("name"), F.lit("n").cast("binary").alias("content")).distinct()
+    write_files(k.select("n", "name", "g").mapInPandas(draw, "name string, content binary").unionByName(notes), folder)
+    return folder
+
+
+@query("a7_picture_scan", f"WITH {K}, p AS (SELECT video_id, {_PICTURE} AS frame_filename, CASE WHEN n % 5 = 0 THEN 0 ELSE n END AS frame_idx FROM k) SELECT video_id, frame_filename, frame_idx, video_id || '/' || frame_filename AS rel_path, row_number() OVER (PARTITION BY video_id ORDER BY frame_filename) AS n FROM p")
+def picture_scan(spark, d):
+    return pictures.scan_pictures(spark, _picture_folder(spark, d)).select("video_id", "frame_filename", "frame_idx", "rel_path", "n")
+
+
+@query("a7_picture_vectors", f"""WITH {K}, g AS (SELECT video_id || '/' || {_PICTURE} AS rel_path, n, list_transform(v[1:64], lambda x: least(255, greatest(0, round(128 + 100 * x)))) AS g FROM k), m AS (SELECT *, sqrt(list_inner_product(g, g)) AS norm FROM g)
+SELECT rel_path, CASE WHEN n % 7 > 0 THEN round(CAST(CAST(g[1] / norm AS FLOAT) AS DOUBLE), 6) END AS first, CASE WHEN n % 7 > 0 THEN round(CAST(CAST(g[64] / norm AS FLOAT) AS DOUBLE), 6) END AS last FROM m""")
+def picture_vectors(spark, d):
+    """Pictures read with their contents and encoded, 64 at a time; a file that is no picture has no vector."""
+    v = pictures.encode_pictures(pictures.scan_pictures(spark, _picture_folder(spark, d), content=True), _greys)
+    return v.select("rel_path", F.round(F.col("v")[0].cast("double"), 6).alias("first"), F.round(F.col("v")[63].cast("double"), 6).alias("last"))
+
+
 _READ = "rd AS (SELECT 'V' || video % 10 AS video_id, frame, cls, conf, event_id FROM d)"
 
 
@@ -155,12 +213,43 @@ def zip_source(spark, d):
 
 @query("p2_cache_upsert", "WITH a AS (SELECT event_id, user_id, 1 AS run FROM events WHERE event_id % 4 < 2), b AS (SELECT event_id, user_id, 2 AS run FROM events WHERE event_id % 4 > 0) SELECT event_id, user_id, CAST(run AS BIGINT) AS run FROM (SELECT * FROM a UNION ALL SELECT * FROM b WHERE event_id NOT IN (SELECT event_id FROM a))")
 def cache_upsert(spark, d):
-    """Two runs whose rows overlap: the second adds what the first didn't leave."""
+    """Two runs whose rows overlap: the second adds what the first didn't leave. The second is run twice, as after a lost commit."""
     e = table(spark, d, "events").select("event_id", "user_id")
     folder = shared_folder(spark, "cache")
-    flows.upsert_missing(spark, e.where("event_id % 4 < 2").withColumn("run", F.lit(1)), folder, ["event_id"])
-    flows.upsert_missing(spark, e.where("event_id % 4 > 0").withColumn("run", F.lit(2)), folder, ["event_id"])
-    return spark.read.parquet(folder)
+    sink = flows.batch_sink(folder, ["event_id"])
+    first, second = e.where("event_id % 4 < 2").withColumn("run", F.lit(1)), e.where("event_id % 4 > 0").withColumn("run", F.lit(2))
+    for no, rows in ((0, first), (1, second), (1, second)):
+        sink(rows, no)
+    return flows.read_batches(spark, folder)
+
+
+_LATE = H.replace("vec_id % 50 < 4", "vec_id % 50 < 4 AND NOT (vec_id % 50 = 3 AND vec_id // 50 % 3 = 0)")
+
+
+@query("p1_query_stream", f"""WITH {_LATE}, pn AS (SELECT query_id, count(DISTINCT w0) AS prompts FROM (SELECT vec_id // 50 AS query_id, vec_id AS w0 FROM embeddings WHERE vec_id % 50 < 4 AND NOT (vec_id % 50 = 3 AND vec_id // 50 % 3 = 0)) GROUP BY ALL)
+SELECT query_id, prompts, prompts = 4 AS complete, gid, score, rnk FROM h JOIN pn USING (query_id) WHERE rnk <= 10""")
+def query_stream(spark, d):
+    """Files of prompts as a stream: a query is searched when its four prompts are there, or without those that haven't come when the round's end passes its
+    timer; the last prompt of every third query comes after that and changes nothing. Each of the three arrivals is a run that goes on where the one before ended."""
+    p = prompts(spark, d).withColumn("at", F.timestamp_seconds(1704067200 + F.col("prompt_no")))
+    late = (F.col("prompt_no") == 3) & (F.col("query_id") % 3 == 0)
+    end = spark.range(1).select(F.lit(-1).cast("long").alias("query_id"), F.lit(None).cast("long").alias("prompt_no"), F.lit(None).cast("double").alias("weight"), F.array().cast("array<double>").alias("v"), F.timestamp_seconds(F.lit(1704067200 + 86400)).alias("at"))
+    folder, found, checkpoint = (shared_folder(spark, x) for x in ("prompts", "found", "prompt-stream"))
+    k = keyframes(spark, d).where(F.col("n") > SKIP).select("gid", "v")
+
+    def search(gathered):
+        q = gathered.select("query_id", "prompts", "complete", F.explode("items").alias("x")).select("query_id", "prompts", "complete", "x.weight", "x.v")
+        qv = vector.ensemble(q.select("query_id", "weight", "v"), ["query_id"], "v", "weight", "qv")
+        return vector.top_similar(k, qv, "v", "qv", 10).join(gathered.select("query_id", "prompts", "complete"), "query_id").select("query_id", "prompts", "complete", "gid", "score", "rnk")
+
+    sink = flows.batch_sink(found, ["query_id"], search)
+    for i, rows in enumerate((p.where(~late), end, p.where(late))):
+        name = F.concat(F.floor(F.col("query_id") / 16).cast("string"), F.lit(".jsonl")).alias("name")
+        line = F.to_json(F.struct("query_id", "prompt_no", "weight", "v", "at"))
+        write_files(rows.groupBy(name).agg(F.array_join(F.collect_list(line), "\n").alias("content")), f"{folder}/run-{i}")
+        stream = spark.readStream.schema(p.select("query_id", "prompt_no", "weight", "v", "at").schema).option("maxFilesPerTrigger", 16).json(f"{folder}/run-?")
+        flows.run_available(flows.gather_prompts(stream, 4, "1 hour"), sink, checkpoint)
+    return flows.read_batches(spark, found)
 
 
 # --- plugged-in parts

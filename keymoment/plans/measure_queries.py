@@ -6,11 +6,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from keymoment.functions import arrays
-from keymoment.operators import allocate, evaluate, fusion, resampling, vector
+from keymoment.operators import allocate, ceilings, evaluate, fusion, resampling, vector
 from keymoment.operators import evidence as shown
 
 from . import scan_queries  # noqa: F401  its SQL of d10_rocchio is used below
-from .answer_queries import _DRAW, _FR, CAND, FINAL, HYBRID, TRUTH, _frames, candidates, scored, truth
+from .answer_queries import _DRAW, _FR, CAND, FINAL, HYBRID, TRUTH, _frames, _hybrid, candidates, scored, truth
 from .corpus import H, K, hits, keyframes, query_vectors, scores, table
 from .registry import ORACLE, query
 
@@ -202,3 +202,31 @@ def first_rows(spark, d):
     """Whether the first row, and its video, differ between the allocation by cost alone and the hybrid one."""
     c = candidates(spark, d)
     return evaluate.first_rows(allocate.moment_rows(c), allocate.hybrid_rows(c))
+
+
+_BUDGETS = ", ".join(f"({i}, '{name}', {v}, {f})" for i, (name, (v, f)) in enumerate(zip(ceilings.levels(), ((0, 0), (9999, 9999), (9999, 9999), *ceilings.BUDGETS), strict=True)))
+_JUDGED = f"""{CAND}, {TRUTH}, lv AS (SELECT * FROM (VALUES {_BUDGETS}) AS t(no, level, v, f)), jf AS (SELECT *, min(pos) OVER (PARTITION BY query_id, video_id) AS first, row_number() OVER (PARTITION BY query_id, video_id ORDER BY score DESC, pos) AS fr FROM cand),
+jv AS (SELECT *, dense_rank() OVER (PARTITION BY query_id ORDER BY first) AS vr FROM jf), jl AS (SELECT jv.*, no, vr <= v AND fr <= f AS shown, CASE WHEN no = 1 THEN score WHEN vr <= v AND fr <= f AND video_id = truth THEN -abs(frame_idx - (lo + hi) // 2) END AS key FROM jv JOIN tr USING (query_id), lv),
+jr AS (SELECT *, key IS NULL AS fixed, row_number() OVER (PARTITION BY query_id, no, video_id, key IS NULL ORDER BY key DESC, pos) AS kr, row_number() OVER (PARTITION BY query_id, no, video_id, key IS NULL ORDER BY score DESC, pos) AS sr FROM jl),
+jp AS (SELECT a.*, CASE WHEN a.fixed THEN a.score ELSE b.score END AS permuted FROM jr a LEFT JOIN jr b ON a.query_id = b.query_id AND a.no = b.no AND a.video_id = b.video_id AND a.fixed = b.fixed AND a.kr = b.sr),
+jc AS (SELECT query_id * 64 + no AS query_id, row_number() OVER (PARTITION BY query_id, no ORDER BY permuted DESC, pos) - 1 AS pos, video_id, frame_idx, last_frame, shown, permuted FROM jp)"""
+
+
+@query("n25_judged", f"WITH {_JUDGED} SELECT query_id // 64 AS query_id, query_id % 64 AS level, pos, video_id, frame_idx, permuted AS score, shown FROM jc")
+def judged(spark, d):
+    """Candidates by level: as they are, permuted by their own scores, by the truth, and by the truth within what a judge sees."""
+    return ceilings.judged(candidates(spark, d), truth(spark, d)).drop("last_frame")
+
+
+@query("n25_ceilings", f"""WITH {_JUDGED}, {_hybrid(p="c_", cand="jc")}, sc AS (SELECT h.query_id // 64 AS query_id, h.query_id % 64 AS no, rank, CASE WHEN video_id = truth AND frame BETWEEN lo AND hi THEN 1.0::DOUBLE ELSE 0 END AS r FROM c_hr h JOIN tr ON h.query_id // 64 = tr.query_id WHERE rank <= 100),
+fs AS (SELECT query_id, no, round((coalesce(max(r) FILTER (rank <= 1), 0) + coalesce(max(r) FILTER (rank <= 5), 0) + coalesce(max(r) FILTER (rank <= 20), 0) + coalesce(max(r) FILTER (rank <= 50), 0) + coalesce(max(r) FILTER (rank <= 100), 0)) / 5, 6) AS s FROM sc GROUP BY ALL),
+ls AS (SELECT no, count(*) AS queries, round(avg(s), 6) AS score FROM fs GROUP BY no), sn AS (SELECT query_id % 64 AS no, count(*) FILTER (shown) AS pictures FROM jc GROUP BY ALL), en AS (SELECT max(score) FILTER (no = 0) AS b, max(score) FILTER (no = 2) AS o FROM ls)
+SELECT level, queries, pictures, CAST(ceil(pictures / 8) AS BIGINT) AS batches, score, CASE WHEN b > 0 THEN round(100 * (score - b) / b, 4) END AS gain, CASE WHEN o > b THEN round(100 * (score - b) / (o - b), 4) ELSE 0 END AS reach FROM ls JOIN sn USING (no) JOIN lv USING (no), en""")
+def hybrid_ceilings(spark, d):
+    return ceilings.ceilings(candidates(spark, d), truth(spark, d), allocate.hybrid_rows)
+
+
+@query("n25_coverage_ceilings")
+def coverage_ceilings(spark, d):
+    """The same by the coverage allocation, whose prior is the scores; of the candidates that it gets in an answer."""
+    return ceilings.ceilings(candidates(spark, d, 400), truth(spark, d), allocate.coverage_rows)

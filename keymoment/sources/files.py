@@ -38,7 +38,7 @@ def open_folder(uri: str):
 
 
 def write_files(df: DataFrame, folder: str) -> DataFrame:
-    """Writes each row of df(name, content) as a file of its own and gives (name, bytes).
+    """Writes each row of df(name, content) as a file of its own and gives (name, bytes). A name may have folders.
 
     A file is written under a temporary name and then moved, so a task that is run again leaves whole files only. This runs while the plan
     is built; what is returned reads the list of what was written.
@@ -46,11 +46,15 @@ def write_files(df: DataFrame, folder: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = open_folder(folder)
-        store.create_dir(base, recursive=True)
+        made: set[str] = set()
         for batch in batches:
             names, sizes = batch.column(0).to_pylist(), []
             for name, content in zip(names, batch.column(1).to_pylist(), strict=True):
-                part = f"{base}/.{name}-{uuid.uuid4().hex}.part"
+                parent, _, leaf = f"{base}/{name}".rpartition("/")
+                if parent not in made:
+                    store.create_dir(parent, recursive=True)
+                    made.add(parent)
+                part = f"{parent}/.{leaf}-{uuid.uuid4().hex}.part"
                 with store.open_output_stream(part) as out:
                     out.write(content)
                 store.move(part, f"{base}/{name}")

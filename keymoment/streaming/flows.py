@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupStateTimeout
 from pyspark.sql.streaming import StreamingQuery
 
 
@@ -32,12 +34,80 @@ def run_available(stream: DataFrame, sink: Callable[[DataFrame, int], None], che
     return q
 
 
-def upsert_missing(spark: SparkSession, fresh: DataFrame, path: str, keys: list[str]) -> None:
-    """Appends the rows of fresh whose keys a cache at path doesn't hold; the cache is a folder of Parquet."""
-    try:
-        known = spark.read.parquet(path).select(*keys).distinct()
-        fresh = fresh.join(known, keys, "left_anti")
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-    fresh.dropDuplicates(keys).write.mode("append").parquet(path)
+def batch_sink(path: str, keys: list[str], transform: Callable[[DataFrame], DataFrame] | None = None) -> Callable[[DataFrame, int], None]:
+    """A sink of run_available() that adds what a cache at path doesn't hold: one row for each new value of keys, by `transform` if given, which
+    keeps the keys and may give several rows or none for one.
+
+    A batch has its own folder, `batch=<id>`, and counts when Spark has marked that folder as whole. A batch that is run again compares itself
+    with earlier batches only and takes its own folder's place, so a run that was killed anywhere leaves the rows of one that wasn't. Of rows
+    of a batch with equal keys any one stays; keys may be null, and null is a value like others.
+    """
+
+    def sink(df: DataFrame, no: int) -> None:
+        spark = df.sparkSession
+        fresh = df.dropDuplicates(keys)
+        known = read_batches(spark, path, before=no)
+        if known is not None:
+            k = known.select(*[F.col(c).alias(f"_k_{c}") for c in keys]).distinct()
+            same = [fresh[c].eqNullSafe(k[f"_k_{c}"]) for c in keys]
+            fresh = fresh.join(k, same, "left_anti")
+        (transform(fresh) if transform else fresh).write.mode("overwrite").parquet(f"{path}/batch={no:09d}")
+
+    return sink
+
+
+def read_batches(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
+    """The rows of the whole batches at path, of those before a batch if it is given; None if there is none."""
+    from pyarrow import fs
+
+    from keymoment.sources.files import open_folder
+
+    store, base = open_folder(path)
+    found = store.get_file_info(fs.FileSelector(base, allow_not_found=True))
+    names = sorted(f.base_name for f in found if f.type == fs.FileType.Directory and f.base_name.startswith("batch="))
+    whole = store.get_file_info([f"{base}/{n}/_SUCCESS" for n in names])
+    names = [n for n, w in zip(names, whole, strict=True) if w.type == fs.FileType.File and (before is None or int(n.removeprefix("batch=")) < before)]
+    return spark.read.parquet(*[f"{path}/{n}" for n in names]) if names else None
+
+
+def gather_prompts(stream: DataFrame, need: int, late: str) -> DataFrame:
+    """(query_id, prompts, complete, items) of a stream of prompts (query_id, prompt_no, weight, v, at), once for each query: when `need` prompts
+    of it are there, or else when the watermark (the latest `at` less `late`) has passed its last prompt by `late`.
+
+    items holds prompt_no, weight and v by prompt_no; of prompts with one number the first stays. Rows older than the watermark (which begins
+    at 1970) are dropped, as are rows without a number, which only carry the time on (a mark of a round's end). A query that was given out and of which more comes
+    within that time is given out anew: the sink knows its key.
+    """
+    item = "struct<prompt_no: long, weight: double, v: array<double>>"
+    # one flat array of all vectors is kept: prompts have vectors of one length
+    kept = "nos array<long>, weights array<double>, flat array<double>, due long"
+    wait = _millis(late)
+
+    def step(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        nos, weights, flat, due = (list(x) if isinstance(x, (list, tuple)) else x for x in state.get) if state.exists else ([], [], [], 0)
+        over = state.hasTimedOut
+        for pdf in pdfs if not over else ():
+            for no, weight, v, at in zip(pdf["prompt_no"], pdf["weight"], pdf["v"], pdf["ms"], strict=True):
+                if not pd.isna(no) and int(no) not in nos:
+                    nos.append(int(no))
+                    weights.append(float(weight))
+                    flat.extend(float(x) for x in v)
+                    due = max(due, int(at) + wait)
+        if nos and (over or len(nos) >= need):
+            state.remove()
+            n = len(flat) // len(nos)
+            rows = sorted(zip(nos, weights, (flat[i * n : i * n + n] for i in range(len(nos))), strict=True))
+            yield pd.DataFrame({"query_id": [key[0]], "prompts": [len(nos)], "complete": [len(nos) >= need], "items": [[dict(zip(("prompt_no", "weight", "v"), r, strict=True)) for r in rows]]})
+        elif nos:
+            state.update((nos, weights, flat, due))
+            state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
+        elif state.exists:
+            state.remove()
+
+    s = stream.select("query_id", "prompt_no", "weight", "v", "at", F.unix_millis("at").alias("ms")).withWatermark("at", late)
+    return s.groupBy("query_id").applyInPandasWithState(step, f"query_id long, prompts long, complete boolean, items array<{item}>", kept, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def _millis(duration: str) -> int:
+    """A length of time such as '1 hour' in milliseconds."""
+    return int(pd.Timedelta(duration).total_seconds() * 1000)
