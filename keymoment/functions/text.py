@@ -35,6 +35,18 @@ METADATA_STOP_WORDS = (
     "car", "cat", "dog", "person", "woman", "man", "and", "the", "with", "from", "for", "photo", "image", "clip", "full", "tap", "tập", "hd",
 )
 
+#: Words of a query that are left out before its phrases are made, and words of fields that have no frequency of their own.
+FIELD_QUERY_STOP_WORDS = (
+    "và", "là", "có", "trong", "đang", "của", "cho", "với", "những", "các", "trên", "tại", "một", "ở", "ra", "vào",
+    "được", "bị", "khi", "để", "màu", "cảnh", "video",
+)
+FIELD_STOP_WORDS = (
+    "và", "của", "các", "những", "cho", "với", "trong", "tại", "được", "là", "có", "đã", "sẽ",
+    "một", "này", "đó", "khi", "như", "ra", "vào", "lại", "về", "đến", "từ", "tìm", "thấy", "cảnh", "video",
+    "màu", "đang", "nhiều", "hai", "ba", "bốn", "gì", "ở", "bên", "trên", "dưới", "giữa", "theo", "sau", "trước",
+    "a", "an", "the", "in", "on", "at", "to", "for", "with", "from", "of", "and",
+)
+
 #: Names of events and places that count as one word in metadata.
 METADATA_PHRASES = (
     "đua xe đạp", "cúp truyền hình", "truyền hình tp hcm", "chợ bến thành", "cầu rồng", "vịnh hạ long",
@@ -73,6 +85,16 @@ def words(x: Column) -> Column:
     return F.regexp_extract_all(F.lower(x), F.lit(WORD), F.lit(0))
 
 
+def plain_words(x: Column) -> Column:
+    """The folded text's words with one blank between."""
+    return F.array_join(F.regexp_extract_all(folded(x), F.lit(WORD), F.lit(0)), " ")
+
+
+def field_query_words(x: Column) -> Column:
+    """A query's words of two letters or more, commas, full stops and semicolons taken out, without FIELD_QUERY_STOP_WORDS."""
+    return F.filter(F.split(F.translate(F.lower(x), ",.;", "   "), r"\s+"), lambda w: (F.length(w) >= 2) & ~w.isin(*FIELD_QUERY_STOP_WORDS))
+
+
 def is_stop(w: Column) -> Column:
     return w.isin(*STOP_WORDS)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -119,6 +120,21 @@ def moment_cells(items: DataFrame, edge: int = 30) -> DataFrame:
     return items.select("gid", "video_id", lo.alias("lo"), hi.alias("hi"))
 
 
+def drawn_frames(lo: Column, hi: Column, at: Column, u: Column, v: Column, spread: float = 12.0) -> dict[str, Column]:
+    """A moment's frame in its item's cell [lo, hi) by four assumptions, from uniform draws u and v in [0, 1): anywhere in the cell, near its
+    item's frame `at` (a triangle with its top there), normally around it, or from it on. All stay in the cell, which has one frame at least."""
+    hi = F.greatest(lo + 1, hi)
+    top = F.least(F.greatest(at, lo), hi - 1)
+    inside = lambda x: F.least(F.greatest(x.cast("long"), lo), hi - 1)
+    rising = lo + F.sqrt(u * (hi - lo) * (top - lo))
+    falling = hi - F.sqrt((1 - u) * (hi - lo) * (hi - top))
+    normal = F.sqrt(-2 * F.log(F.greatest(u, F.lit(1e-12)))) * F.cos(2 * F.lit(math.pi) * v)
+    return {
+        "uniform": lo + F.floor(u * (hi - lo)), "triangular": inside(F.when(u * (hi - lo) < top - lo, rising).otherwise(falling)),
+        "normal": inside(at + spread * normal), "after": top + F.floor(u * (hi - top)),
+    }
+
+
 def stratified_split(df: DataFrame, stratum: list[str], key: str, seed: int, share: float = 0.5) -> DataFrame:
     """tune for the first `share` of each stratum in hashed order, else test."""
     w = Window.partitionBy(*stratum)

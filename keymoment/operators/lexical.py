@@ -137,6 +137,45 @@ def contained(texts: DataFrame, key: str, text: str, phrases: DataFrame, most: i
     return found
 
 
+#: The weights of three, two and one word in a title, in tags and in a description, and the description's factor.
+FIELD_WEIGHTS = {3: (4.0, 2.5, 1.0), 2: (2.0, 1.2, 0.5), 1: (0.5, 0.25, 0.15)}
+FIELDS, DESCRIPTION_FACTOR = ("title", "tags", "description"), 3.0
+
+
+def word_runs(words: Column, n: int) -> Column:
+    """The runs of n words of an array, with a blank between, repeats included; fewer words have none. A null array has none."""
+    size = F.size(words)
+    return F.when(size >= n, F.transform(F.sequence(F.lit(0), size - n), lambda i: F.array_join(F.slice(words, i + 1, n), " "))).otherwise(F.array().cast("array<string>"))
+
+
+def field_boost(docs: DataFrame, key: str, queries: DataFrame, stop: tuple[str, ...] = (), scale: float = 0.02, top: float = 0.035) -> DataFrame:
+    """(query_id, key, boost): tanh(scale * x) * top, above 0, where x sums over a query's runs of one to three words.
+
+    A run counts in the first of title, tags and description (columns of docs, cleaned by text.plain_words; null: empty) that holds it, with
+    the weight of its length and that field and its inverse frequency over docs; a run that is no run of whole words of any document counts as 1 there. Runs of two
+    and three words may stand anywhere in a field, within words too; single words are whole words. queries has query_id and words;
+    a run that a query repeats counts as often. `stop` are words without a frequency.
+    """
+    from keymoment.functions.text import let
+    runs = lambda words: let(words, lambda w: F.concat(*[word_runs(w, n) for n in FIELD_WEIGHTS]))
+    size = F.size(F.split("run", " ")).alias("size")
+    asked = queries.select("query_id", F.explode(runs(F.col("words"))).alias("run")).groupBy("query_id", "run").agg(F.count("*").alias("times")).withColumn("size", size)
+    asked = asked.withColumn("phrase", F.when(F.col("size") == 1, F.concat(F.lit(" "), "run", F.lit(" "))).otherwise(F.col("run")))
+    filled = docs.select(key, *[F.coalesce(f, F.lit("")).alias(f) for f in FIELDS])
+    own = runs(F.filter(F.split(F.concat_ws(" ", *FIELDS), " "), lambda w: w != ""))
+    held = filled.select(F.explode(F.array_distinct(own)).alias("run")).where(F.contains("run", F.lit(" ")) | ((F.length("run") >= 2) & ~F.col("run").isin(*stop)))
+    df = held.join(asked.select("run").distinct(), "run", "left_semi").groupBy("run").agg(F.count("*").alias("df"))
+    n = F.broadcast(docs.agg(F.count("*").alias("n")))  # one row
+    idf = df.join(n).select("run", bm25_idf(F.col("n"), F.col("df")).alias("idf"))
+    weights = F.array(*[F.array(*map(F.lit, FIELD_WEIGHTS[i])) for i in sorted(FIELD_WEIGHTS)])
+    weighted = asked.join(idf, "run", "left").select("query_id", "phrase", (F.coalesce("idf", F.lit(1.0)) * F.col("times")).alias("_w"), F.element_at(weights, F.col("size")).alias("_by"))
+    each = F.explode(F.array(*[F.struct(F.col(key).alias("key"), F.lit(i).alias("field"), F.concat(F.lit(" "), f, F.lit(" ")).alias("text")) for i, f in enumerate(FIELDS)])).alias("x")
+    texts = filled.select(each).select(F.struct("x.key", "x.field").alias("at"), F.col("x.text").alias("text"))
+    found = contained(texts, "at", "text", asked).groupBy(F.col("at.key").alias(key), "phrase").agg(F.min("at.field").alias("field"))
+    part = F.col("_w") * F.element_at("_by", F.col("field") + 1) * F.when(F.col("field") == len(FIELDS) - 1, DESCRIPTION_FACTOR).otherwise(1.0)
+    return found.join(weighted, "phrase").groupBy("query_id", key).agg(F.round(F.tanh(scale * F.sum(part)) * top, 8).alias("boost"))
+
+
 def idf_sum(post: DataFrame, key: str, terms: DataFrame, scale: float = 0.15) -> DataFrame:
     """tanh(scale * sum of idf) over a query's terms in a document, idf = ln(1 + n / (1 + df))."""
     n = F.broadcast(post.agg(F.countDistinct(key).alias("n_docs")))
@@ -150,3 +189,28 @@ def speech_decay(hits: DataFrame, cues: DataFrame, halflife: float, weight: floa
 
     n = nearest(hits, cues, ["video"], "at", "start", ["hit"], ["s"], 64 * halflife)
     return n.select("hit", F.round(weight * F.col("s") * F.exp(-F.col("distance") / halflife), 6).alias("bonus"))
+
+
+#: How a transcript raises hits: by its video's score, by whether that is over half of the best, by the distance from its passage, by the first and the third.
+TRANSCRIPT_MODES = ("video", "gate", "time", "both")
+
+
+def transcript_bonus(hits: DataFrame, videos: DataFrame, passages: DataFrame, weight: float, least_spread: float = 0.0, halflife: float = 20.0) -> DataFrame:
+    """(query_id, mode, gid, score, rnk): hits (query_id, gid, video_id, pts_time, score, rnk) raised in each of TRANSCRIPT_MODES and ranked anew, ties by rnk.
+
+    videos(query_id, video_id, s) are the transcripts' scores, taken as shares of a query's best; passages(query_id, video_id, start) say where
+    a video speaks of it. A query whose best two videos differ by less than `least_spread` of the best (one video: 0) keeps its scores, as
+    does one without transcripts.
+    """
+    best = videos.withColumn("_r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("s")))).where("_r <= 2")
+    q = best.groupBy("query_id").agg(F.max("s").alias("_top"), F.max(F.when(F.col("_r") == 2, F.col("s"))).alias("_next")).where(F.col("_top") > 0)
+    spread = F.when(F.col("_next").isNull(), 0.0).otherwise((F.col("_top") - F.col("_next")) / F.col("_top"))
+    q = q.where(F.round(spread, 6) >= least_spread)
+    share = videos.join(q, "query_id").select("query_id", "video_id", (F.col("s") / F.col("_top")).alias("_n"))
+    x = hits.join(share, ["query_id", "video_id"], "left").join(passages.select("query_id", "video_id", "start"), ["query_id", "video_id"], "left")
+    n = F.coalesce("_n", F.lit(0.0))
+    near = F.coalesce(n * F.exp(-F.abs(F.col("pts_time") - F.col("start")) / halflife), F.lit(0.0))
+    bonus = {"video": n, "gate": F.when(n > 0.5, 1.0).otherwise(0.0), "time": near, "both": n + near}
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("mode"), F.round(F.col("score") + weight * bonus[m], 6).alias("score")) for m in TRANSCRIPT_MODES])).alias("x")
+    x = x.select("query_id", "gid", F.col("rnk").alias("_o"), each).select("query_id", "x.mode", "gid", "x.score", "_o")
+    return x.withColumn("rnk", F.row_number().over(Window.partitionBy("query_id", "mode").orderBy(F.desc("score"), "_o"))).drop("_o")

@@ -203,6 +203,62 @@ def speech_decay(spark, d):
     return lexical.speech_decay(p, c, 20.0)
 
 
+_PLAIN = "array_to_string(regexp_extract_all(lower(nfc_normalize({})), '[0-9a-zà-ỹ]+'), ' ')"
+_QSTOP, _FSTOP = (", ".join(f"'{w}'" for w in x) for x in (text.FIELD_QUERY_STOP_WORDS, text.FIELD_STOP_WORDS))
+
+
+def _runs(w: str) -> str:
+    """Runs of one to three words of a list, in SQL."""
+    one = lambda n: f"list_transform(range(1, len({w}) - {n - 2}), lambda i: {{'size': {n}, 'run': array_to_string({w}[i:i + {n - 1}], ' ')}})"
+    return f"list_concat({one(1)}, {one(2)}, {one(3)})"
+
+
+_FIELD = " ".join(f"WHEN size = {n} AND contains({f}, phrase) THEN CAST({w * (3 if f == 'f2' else 1)!r} AS DOUBLE)" for n, ws in lexical.FIELD_WEIGHTS.items() for f, w in zip(("f0", "f1", "f2"), ws, strict=True))
+
+
+@query("j5_field_boost", f"""WITH pg AS (SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS t, array_to_string(regexp_extract_all(html, '<li><a href="[^"]*">([^<]*)</a>', 1), ' ') AS g, regexp_replace(regexp_extract(html, '(?s)<article>(.*)</article>', 1), '<[^>]*>', ' ', 'g') AS b FROM pages),
+fd AS (SELECT page_id, {_PLAIN.format("t")} AS t0, {_PLAIN.format("g")} AS t1, {_PLAIN.format("b")} AS t2 FROM pg), qw AS (SELECT item_id AS query_id, list_filter(regexp_extract_all(translate(lower(text), ',.;', '   '), '\\S+'), lambda w: length(w) >= 2 AND w NOT IN ({_QSTOP})) AS w FROM benchmark),
+qg AS (SELECT query_id, g.size AS size, g.run AS run, CASE WHEN g.size = 1 THEN ' ' || g.run || ' ' ELSE g.run END AS phrase, count(*) AS times FROM (SELECT query_id, unnest({_runs("w")}) AS g FROM qw) GROUP BY ALL),
+fw AS (SELECT page_id, list_filter(string_split(t0 || ' ' || t1 || ' ' || t2, ' '), lambda w: w <> '') AS w FROM fd), fg AS (SELECT DISTINCT page_id, g.size AS size, g.run AS run FROM (SELECT page_id, unnest({_runs("w")}) AS g FROM fw)),
+fi AS (SELECT size, run, ln(1 + ((SELECT count(*) FROM pages) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM fg WHERE size > 1 OR (length(run) >= 2 AND run NOT IN ({_FSTOP})) GROUP BY ALL),
+mt AS (SELECT query_id, page_id, coalesce(idf, 1) * times AS w, CASE {_FIELD} END AS part FROM (SELECT page_id, ' ' || t0 || ' ' AS f0, ' ' || t1 || ' ' AS f1, ' ' || t2 || ' ' AS f2 FROM fd), qg LEFT JOIN fi USING (size, run))
+SELECT query_id, page_id, round(tanh(CAST(0.02 AS DOUBLE) * sum(w * part)) * CAST(0.035 AS DOUBLE), 8) AS boost FROM mt WHERE part IS NOT NULL GROUP BY ALL""")
+def field_boost(spark, d):
+    """Pages by the runs of words that they share with the benchmark's items: title, links as tags, article as description."""
+    html = lambda p: F.regexp_extract("html", p, 1)
+    tags = F.array_join(F.regexp_extract_all("html", F.lit('<li><a href="[^"]*">([^<]*)</a>'), F.lit(1)), " ")
+    article = F.regexp_replace(html("(?s)<article>(.*)</article>"), "<[^>]*>", " ")
+    p = table(spark, d, "pages").select("page_id", *[text.plain_words(x).alias(n) for n, x in zip(lexical.FIELDS, (html("<title>([^<]*)</title>"), tags, article), strict=True)])
+    q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), text.field_query_words(F.col("text")).alias("words"))
+    return lexical.field_boost(p, "page_id", q, text.FIELD_STOP_WORDS)
+
+
+#: Conversations are the videos' speech, and benchmark items the queries' texts, dealt to them by the remainders of their numbers.
+_SPOKEN = f"""cu AS (SELECT 'V' || lpad(CAST(conv_id % (SELECT count(DISTINCT label) FROM embeddings) AS VARCHAR), 3, '0') AS video_id, turn, turn * CAST(3.0 AS DOUBLE) AS start, text FROM conversations), ct AS (SELECT video_id, turn, start, unnest({_tok("text")}) AS term FROM cu),
+post AS (SELECT video_id AS doc_id, term, count(*) AS tf FROM ct GROUP BY ALL), dl AS (SELECT doc_id, sum(tf) AS dl FROM post GROUP BY doc_id), fr AS (SELECT term, count(*) AS df FROM post GROUP BY term), st AS (SELECT count(*) AS n_docs, avg(dl) AS avg_dl FROM dl),
+qt AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT item_id % {N_QUERIES} AS query_id, unnest({_tok("text")}) AS term FROM benchmark) GROUP BY ALL), {BM.replace("K1", "1.2").replace("IDFGATE", "true")},
+hi AS (SELECT video_id, turn, start, term, count(*) AS tf FROM ct GROUP BY ALL), wn AS (SELECT query_id, video_id, first, term, sum(tf) AS tf, max(qtf) AS qtf, max(ln(1 + (n_docs - df + 0.5) / (df + 0.5))) AS idf, min(start) AS start FROM (SELECT *, unnest(range(greatest(turn - 4, 0), turn + 1)) AS first FROM hi JOIN qt USING (term) JOIN fr USING (term), st) GROUP BY ALL),
+vl AS (SELECT query_id, video_id, first, round(sum(idf * least(tf, 3) * qtf), 6) AS value, min(start) AS start FROM wn GROUP BY ALL), pa AS (SELECT query_id, video_id, start FROM (SELECT *, row_number() OVER (PARTITION BY query_id, video_id ORDER BY value DESC, first) AS r FROM vl) WHERE r = 1)"""
+
+
+@query("j13_transcript_bonus", f"""WITH {H}, {_SPOKEN}, sv AS (SELECT query_id, doc_id AS video_id, round(score, 6) AS s FROM bm), sr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC) AS r FROM sv),
+sp AS (SELECT query_id, max(s) AS top, coalesce(round((max(s) - max(s) FILTER (r = 2)) / max(s), 6), 0) AS spread FROM sr GROUP BY query_id), sn AS (SELECT query_id, video_id, s / top AS share FROM sv JOIN sp USING (query_id) WHERE top > 0 AND spread >= 0.02),
+hb AS (SELECT h.query_id, gid, rnk, h.score, coalesce(share, 0) AS n, coalesce(share * exp(-abs(pts_time - pa.start) / 20), 0) AS t FROM h LEFT JOIN sn USING (query_id, video_id) LEFT JOIN pa USING (query_id, video_id)),
+md AS (SELECT query_id, gid, rnk AS o, unnest(['video', 'gate', 'time', 'both']) AS mode, unnest([round(score + CAST(0.05 AS DOUBLE) * n, 6), round(score + CAST(0.05 AS DOUBLE) * CASE WHEN n > 0.5 THEN 1 ELSE 0 END, 6), round(score + CAST(0.05 AS DOUBLE) * t, 6), round(score + CAST(0.05 AS DOUBLE) * (n + t), 6)]) AS score FROM hb)
+SELECT query_id, mode, gid, score, row_number() OVER (PARTITION BY query_id, mode ORDER BY score DESC, o) AS rnk FROM md""")
+def transcript_bonus(spark, d):
+    videos = table(spark, d, "embeddings").agg(F.countDistinct("label").alias("_videos"))  # one row
+    said = table(spark, d, "conversations").join(F.broadcast(videos)).select(F.format_string("V%03d", F.col("conv_id") % F.col("_videos")).alias("video"), "turn", (F.col("turn") * 3.0).alias("start"), "text")
+    q = dealt(table(spark, d, "benchmark"), spark, d).select((F.col("item_id") % F.col("_queries")).alias("query_id"), "text")
+    terms = lexical.query_terms(q, text.tokens(F.col("text")))
+    post = said.select("video", F.explode(text.tokens(F.col("text"))).alias("term")).groupBy("video", "term").agg(F.count("*").alias("tf"))
+    s = lexical.bm25(post, "video", terms).select("query_id", F.col("video").alias("video_id"), F.round("score", 6).alias("s"))
+    n = F.broadcast(post.agg(F.countDistinct("video").alias("n")))  # one row
+    idf = lexical.frequencies(post).join(n).select("term", lexical.bm25_idf(F.col("n"), F.col("df")).alias("idf"))
+    where = lexical.best_passage(said, terms, idf, text.tokens(F.col("text"))).withColumnRenamed("video", "video_id")
+    return lexical.transcript_bonus(hits(spark, d), s, where, 0.05, 0.02)
+
+
 @query("j13_spread_gate", f"WITH {POST}, {BM.replace('K1', '1.2').replace('IDFGATE', 'true')}, r AS (SELECT *, round(score, 6) AS s, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS r FROM bm), t AS (SELECT query_id, max(CASE WHEN r = 1 THEN s END) AS s1, max(CASE WHEN r = 2 THEN s END) AS s2 FROM r GROUP BY query_id) SELECT query_id, round((s1 - s2) / s1, 5) AS spread, round((s1 - s2) / s1, 5) >= 0.1 AS open FROM t")
 def spread_gate(spark, d):
     s = lexical.bm25_documents(documents(spark, d), "doc_id", text.tokens(F.col("body")), bench_terms(spark, d)).withColumn("s", F.round("score", 6))

@@ -6,11 +6,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from keymoment.functions import arrays
-from keymoment.operators import allocate, ceilings, evaluate, fusion, resampling, vector
+from keymoment.operators import allocate, ceilings, evaluate, fusion, joins, resampling, vector
 from keymoment.operators import evidence as shown
 
 from . import scan_queries  # noqa: F401  its SQL of d10_rocchio is used below
-from .answer_queries import _DRAW, _FR, CAND, FINAL, HYBRID, TRUTH, _frames, _hybrid, candidates, scored, truth
+from .answer_queries import _CELL, _DRAW, _FR, CAND, FINAL, HYBRID, TRUTH, _frames, _hybrid, candidates, scored, truth
 from .corpus import H, K, hits, keyframes, query_vectors, scores, table
 from .registry import ORACLE, query
 
@@ -230,3 +230,115 @@ def hybrid_ceilings(spark, d):
 def coverage_ceilings(spark, d):
     """The same by the coverage allocation, whose prior is the scores; of the candidates that it gets in an answer."""
     return ceilings.ceilings(candidates(spark, d, 400), truth(spark, d), allocate.coverage_rows)
+
+
+_CAND400 = CAND.replace("WHERE rnk <= 60", "WHERE rnk <= 400")
+_RADII = "(SELECT unnest([20, 60, 120, 240]) AS w)"
+
+
+def _anchored(df, truth):
+    """df's rows of every query with a truth, with off: the distance from the truth's middle, null in another video."""
+    off = F.when(F.col("video_id") == F.col("truth"), F.abs(F.col("frame") - F.floor((F.col("lo") + F.col("hi")) / 2)))
+    return df.join(truth, "query_id").withColumn("off", off)
+
+
+@query("n19_pool_ceiling", f"""WITH {_CAND400}, {TRUTH}, b AS (SELECT query_id, w, min(pos) + 1 AS rank FROM cand JOIN tr USING (query_id), {_RADII} WHERE video_id = truth AND abs(frame_idx - (lo + hi) // 2) <= w GROUP BY ALL)
+SELECT CAST(w AS BIGINT) AS w, count(*) AS found, count(*) FILTER (rank <= 20) AS first20, count(*) FILTER (rank <= 50) AS first50, count(*) FILTER (rank <= 100) AS first100, quantile_cont(rank, 0.5) AS median_rank FROM b GROUP BY w""")
+def pool_ceiling(spark, d):
+    """What no allocation of 400 candidates can exceed: queries with a candidate of the true video within w frames, and its place."""
+    x = _anchored(candidates(spark, d, 400).withColumnRenamed("frame_idx", "frame"), truth(spark, d)).where("off is not null")
+    x = x.withColumn("w", F.explode(F.array(*map(F.lit, (20, 60, 120, 240))))).where(F.col("off") <= F.col("w"))
+    b = x.groupBy("query_id", "w").agg((F.min("pos") + 1).alias("rank"))
+    within = lambda k: F.count_if(F.col("rank") <= k)
+    return b.groupBy("w").agg(F.count("*").alias("found"), within(20).alias("first20"), within(50).alias("first50"), within(100).alias("first100"), F.percentile("rank", 0.5).alias("median_rank"))
+
+
+@query("n19_failures_by_radius", f"""WITH {_CAND400}, {HYBRID}, {TRUTH}, an AS (SELECT query_id, min(CASE WHEN video_id = truth THEN abs(frame - (lo + hi) // 2) END) AS row_off FROM hr JOIN tr USING (query_id) WHERE rank <= 100 GROUP BY query_id),
+cn AS (SELECT query_id, min(CASE WHEN video_id = truth THEN abs(frame_idx - (lo + hi) // 2) END) AS cand_off FROM cand JOIN tr USING (query_id) GROUP BY query_id),
+cl AS (SELECT w, CASE WHEN row_off <= w THEN 'hit' WHEN cand_off IS NULL OR cand_off > w THEN 'no near candidate' WHEN row_off IS NULL THEN 'wrong video' ELSE 'placement' END AS failure, row_off FROM an JOIN cn USING (query_id), {_RADII})
+SELECT CAST(w AS BIGINT) AS w, failure, count(*) AS queries, quantile_cont(row_off, 0.5) AS median_off FROM cl GROUP BY ALL""")
+def failures_by_radius(spark, d):
+    """Where a query's rows miss: a row is near, no candidate is, no row has the true video, or rows of it lie elsewhere."""
+    c, t = candidates(spark, d, 400), truth(spark, d)
+    rows = _anchored(allocate.hybrid_rows(c), t).groupBy("query_id").agg(F.min("off").alias("row_off"))
+    near = _anchored(c.withColumnRenamed("frame_idx", "frame"), t).groupBy("query_id").agg(F.min("off").alias("cand_off"))
+    x = rows.join(near, "query_id").withColumn("w", F.explode(F.array(*map(F.lit, (20, 60, 120, 240)))))
+    kind = F.when(F.col("row_off") <= F.col("w"), "hit").when(F.col("cand_off").isNull() | (F.col("cand_off") > F.col("w")), "no near candidate").when(F.col("row_off").isNull(), "wrong video").otherwise("placement")
+    return x.groupBy("w", kind.alias("failure")).agg(F.count("*").alias("queries"), F.percentile("row_off", 0.5).alias("median_off"))
+
+
+@query("n23_saturation_table", f"""WITH {_CAND400}, {TRUTH}, o AS (SELECT query_id, abs(frame_idx - (lo + hi) // 2) AS off, pos, row_number() OVER (PARTITION BY query_id ORDER BY pos) AS r FROM cand JOIN tr USING (query_id) WHERE video_id = truth),
+q AS (SELECT query_id, max(CASE WHEN r = 1 THEN off END) AS off, arg_min(r, off * 1000 + r) AS rank, count(*) AS pool FROM o GROUP BY query_id)
+SELECT count(*) AS queries, quantile_cont(pool, 0.5) AS median_pool, count(*) FILTER (off <= 6) AS within6, count(*) FILTER (off <= 10) AS within10, count(*) FILTER (off <= 20) AS within20, quantile_cont(off, 0.5) AS off_median, quantile_cont(off, 0.75) AS off_p75, quantile_cont(off, 0.9) AS off_p90,
+quantile_cont(rank, 0.5) AS rank_median, count(*) FILTER (rank <= 3) AS first3, count(*) FILTER (rank <= 10) AS first10 FROM q""")
+def saturation_table(spark, d):
+    """In the true video: how far its best candidate lies from the answer, and the rank of the candidate nearest to the answer."""
+    x = _anchored(candidates(spark, d, 400).withColumnRenamed("frame_idx", "frame"), truth(spark, d)).where("off is not null")
+    x = x.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy("pos")))
+    q = x.groupBy("query_id").agg(F.max(F.when(F.col("r") == 1, F.col("off"))).alias("off"), F.min_by("r", F.struct("off", "r")).alias("rank"), F.count("*").alias("pool"))
+    mid = lambda x, p=0.5: F.percentile(x, p)
+    return q.agg(
+        F.count("*").alias("queries"), mid("pool").alias("median_pool"), *[F.count_if(F.col("off") <= w).alias(f"within{w}") for w in (6, 10, 20)], mid("off").alias("off_median"), mid("off", 0.75).alias("off_p75"),
+        mid("off", 0.9).alias("off_p90"), mid("rank").alias("rank_median"), F.count_if(F.col("rank") <= 3).alias("first3"), F.count_if(F.col("rank") <= 10).alias("first10"),
+    )
+
+
+#: A grid of allocations: flat candidates and depth costs.
+_FLATS, _DEPTHS = (0, 15, 30, 60), (0.25, 0.5, 1.0)
+_COMBOS = ", ".join(f"({i * 8 + j}, {f}, CAST({c} AS DOUBLE))" for i, c in enumerate(_DEPTHS) for j, f in enumerate(_FLATS))
+_COST = "(CASE " + " ".join(f"WHEN query_id % 64 // 8 = {i} THEN CAST({c} AS DOUBLE)" for i, c in enumerate(_DEPTHS)) + " END)"
+
+
+@query("n15_marginals", f"""WITH {CAND}, {TRUTH}, gd AS (SELECT * FROM (VALUES {_COMBOS}) AS t(no, flat, cost)), gc AS (SELECT query_id * 64 + no AS query_id, pos, video_id, frame_idx, score, last_frame, flat FROM cand, gd), {_hybrid("flat", p="g_", cand="gc").replace("CAST(0.5 AS DOUBLE)", _COST)},
+sc AS (SELECT h.query_id // 64 AS query_id, h.query_id % 64 AS no, rank, CASE WHEN video_id = truth AND frame BETWEEN lo AND hi THEN 1.0::DOUBLE ELSE 0 END AS r FROM g_hr h JOIN tr ON h.query_id // 64 = tr.query_id WHERE rank <= 100),
+fs AS (SELECT query_id, no, round((coalesce(max(r) FILTER (rank <= 1), 0) + coalesce(max(r) FILTER (rank <= 5), 0) + coalesce(max(r) FILTER (rank <= 20), 0) + coalesce(max(r) FILTER (rank <= 50), 0) + coalesce(max(r) FILTER (rank <= 100), 0)) / 5, 6) AS s FROM sc GROUP BY ALL),
+cs AS (SELECT flat, cost, round(avg(s), 6) AS s FROM fs JOIN gd USING (no) GROUP BY ALL)
+SELECT parameter, value, count(*) AS combinations, round(avg(s), 6) AS mean, max(s) AS best FROM (SELECT 'flat' AS parameter, CAST(flat AS DOUBLE) AS value, s FROM cs UNION ALL SELECT 'depth cost', cost, s FROM cs) GROUP BY ALL""")
+def marginals(spark, d):
+    """A sweep of allocations scored by query, and for each value of a parameter the mean and the best over all combinations that have it."""
+    c = candidates(spark, d)
+    rows = []
+    for i, cost in enumerate(_DEPTHS):
+        flats = F.explode(F.array(*[F.struct(F.lit(i * 8 + j).alias("no"), F.lit(f).alias("flat")) for j, f in enumerate(_FLATS)])).alias("g")
+        x = c.select("*", flats).select((F.col("query_id") * 64 + F.col("g.no")).alias("query_id"), "pos", "video_id", "frame_idx", "score", "last_frame", "g.flat")
+        rows.append(allocate.hybrid_rows(x, flat=F.col("flat"), depth=cost))
+    rows = joins.gathered(rows, ["query_id"])
+    no = F.pmod("query_id", F.lit(64)).cast("int")
+    s = rows.select(no.alias("no"), F.floor(F.col("query_id") / 64).alias("query_id"), "rank", "video_id", "frame")
+    s = evaluate.final_score(scored(spark, d, s), ["query_id", "no"], "r", "rank").groupBy("no").agg(F.round(F.avg("final_score"), 6).alias("s"))
+    of = lambda name, values, place: F.struct(F.lit(name).alias("parameter"), F.element_at(F.array(*map(F.lit, values)), place + 1).cast("double").alias("value"))
+    each = F.explode(F.array(of("flat", _FLATS, F.col("no") % 8), of("depth cost", _DEPTHS, F.floor(F.col("no") / 8).cast("int")))).alias("x")
+    return s.select("s", each).groupBy("x.parameter", "x.value").agg(F.count("*").alias("combinations"), F.round(F.avg("s"), 6).alias("mean"), F.max("s").alias("best"))
+
+
+_TOP, _HI = "least(greatest(frame_idx, lo), greatest(lo + 1, hi) - 1)", "greatest(lo + 1, hi)"
+_IN = f"least(greatest(CAST(trunc({{}}) AS BIGINT), lo), {_HI} - 1)"
+
+
+@query("n5_draw_kinds", f"""WITH {_CELL}, cf AS (SELECT ce.*, frame_idx FROM ce JOIN k USING (gid)), du AS (SELECT *, {_DRAW.format(seed=7, key="gid || chr(58) || draw")} AS u, {_DRAW.format(seed=8, key="gid || chr(58) || draw")} AS v FROM cf, (SELECT unnest(range(1, 5)) AS draw)),
+dt AS (SELECT *, {_TOP} AS top, {_HI} AS h FROM du) SELECT gid, draw, CAST(lo + floor(u * (h - lo)) AS BIGINT) AS uniform, {_IN.format("CASE WHEN u * (h - lo) < top - lo THEN lo + sqrt(u * (h - lo) * (top - lo)) ELSE h - sqrt((1 - u) * (h - lo) * (h - top)) END")} AS triangular,
+{_IN.format("frame_idx + 12 * (sqrt(-2 * ln(greatest(u, 1e-12::DOUBLE))) * cos(2 * pi() * v))")} AS normal, CAST(top + floor(u * (h - top)) AS BIGINT) AS after FROM dt""")
+def draw_kinds(spark, d):
+    """Four draws of a moment in every item's cell, by each assumption of where in it the moment lies."""
+    k = keyframes(spark, d)
+    c = evaluate.moment_cells(k).select("gid", "lo", "hi").join(k.select("gid", "frame_idx"), "gid").withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(4))))
+    kinds = evaluate.drawn_frames(F.col("lo"), F.col("hi"), F.col("frame_idx"), evaluate.draw(7, "gid", "draw"), evaluate.draw(8, "gid", "draw"))
+    return c.select("gid", "draw", *[x.cast("long").alias(n) for n, x in kinds.items()])
+
+
+@query("d18_profile_blend", f"""{ORACLE["d12_profiles"].rpartition("SELECT query_id")[0]}, pf AS (SELECT query_id, video_id, round(list_inner_product(p, qv) / greatest(sqrt(list_inner_product(p, p)), 1e-6), 6) AS profile FROM p, qv),
+di AS (SELECT query_id, video_id, max(round(list_inner_product(v, qv), 6)) AS direct FROM k, qv GROUP BY ALL), la AS (SELECT vec_id // 50 AS query_id, 'V' || lpad(CAST(label AS VARCHAR), 3, '0') AS right_video FROM embeddings WHERE vec_id % 50 = 0),
+bl AS (SELECT query_id, video_id, c.channel, round(a * direct + b * profile, 6) AS s FROM di JOIN pf USING (query_id, video_id), (VALUES ('direct', 1, 0::DOUBLE), ('direct + 0.25 profile', 1, 0.25::DOUBLE), ('direct + 0.5 profile', 1, 0.5::DOUBLE), ('direct + profile', 1, 1::DOUBLE), ('profile', 0, 1::DOUBLE)) AS c(channel, a, b)),
+ow AS (SELECT bl.* FROM bl JOIN la ON bl.query_id = la.query_id AND video_id = right_video), rk AS (SELECT ow.query_id, channel, 1 + count(*) FILTER (bl.s > ow.s) AS rank FROM ow JOIN bl USING (query_id, channel) GROUP BY ALL)
+SELECT channel, count(*) AS queries, count(*) FILTER (rank = 1) AS first, count(*) FILTER (rank <= 5) AS top5 FROM rk GROUP BY channel""")
+def profile_blend(spark, d):
+    """How often the right video is first, and among five, by its best item, by its profile, and by both."""
+    direct = scores(spark, d).groupBy("query_id", "video_id").agg(F.max("score").alias("direct"))
+    x = direct.join(scan_queries.profiles(spark, d).withColumnRenamed("score", "profile"), ["query_id", "video_id"])
+    right = table(spark, d, "embeddings").where("vec_id % 50 = 0").select(F.floor(F.col("vec_id") / 50).alias("query_id"), F.format_string("V%03d", "label").alias("right_video"))
+    kinds = (("direct", 1.0, 0.0), ("direct + 0.25 profile", 1.0, 0.25), ("direct + 0.5 profile", 1.0, 0.5), ("direct + profile", 1.0, 1.0), ("profile", 0.0, 1.0))
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("channel"), F.round(a * F.col("direct") + b * F.col("profile"), 6).alias("s")) for n, a, b in kinds])).alias("x")
+    s = x.join(right, "query_id").select("query_id", "video_id", "right_video", each).select("query_id", "video_id", "right_video", "x.*")
+    own = F.max(F.when(F.col("video_id") == F.col("right_video"), F.col("s"))).over(Window.partitionBy("query_id", "channel"))
+    r = s.withColumn("own", own).where("own is not null").groupBy("query_id", "channel").agg((F.count_if(F.col("s") > F.col("own")) + 1).alias("rank"))
+    return r.groupBy("channel").agg(F.count("*").alias("queries"), F.count_if(F.col("rank") == 1).alias("first"), F.count_if(F.col("rank") <= 5).alias("top5"))
