@@ -100,6 +100,16 @@ def first_rows(a: DataFrame, b: DataFrame) -> DataFrame:
     return x.select("query_id", other.alias("video_changed"), (other | (F.col("_f") != F.col("frame"))).alias("row_changed"))
 
 
+def rerun_flips(a: DataFrame, b: DataFrame, key: str, sample: int = 20, seed: int = 0) -> DataFrame:
+    """(sampled_right, sampled_wrong, lost, won): of `sample` answers that run a has right and as many that it has wrong (all, if there are
+    fewer), how many another run b of the same thing turns. Runs are (key, right); an answer that b lacks is wrong there. Drawn by hashes of the key."""
+    w = Window.partitionBy("right").orderBy(draw(seed, key), key)
+    x = a.where("right is not null").withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= sample)
+    x = x.join(b.select(key, F.col("right").alias("_again")), key, "left").withColumn("_again", F.coalesce("_again", F.lit(False)))
+    right, again = F.col("right"), F.col("_again")
+    return x.agg(F.count_if(right).alias("sampled_right"), F.count_if(~right).alias("sampled_wrong"), F.count_if(right & ~again).alias("lost"), F.count_if(~right & again).alias("won"))
+
+
 def missing_extra(wanted: DataFrame, got: DataFrame, key: str) -> DataFrame:
     a = wanted.join(got, key, "left_anti").select(key, F.lit("missing").alias("kind")).distinct()
     return a.unionAll(got.join(wanted, key, "left_anti").select(key, F.lit("extra").alias("kind")).distinct())

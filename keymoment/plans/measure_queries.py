@@ -6,12 +6,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from keymoment.functions import arrays
-from keymoment.operators import allocate, ceilings, evaluate, fusion, joins, resampling, vector
+from keymoment.operators import align, allocate, ceilings, evaluate, fusion, joins, resampling, vector
 from keymoment.operators import evidence as shown
 
 from . import scan_queries  # noqa: F401  its SQL of d10_rocchio is used below
-from .answer_queries import _CELL, _DRAW, _FR, CAND, FINAL, HYBRID, TRUTH, _frames, _hybrid, candidates, scored, truth
-from .corpus import H, K, hits, keyframes, query_vectors, scores, table
+from .answer_queries import _CELL, _DRAW, _FR, CAND, EVENTS, FINAL, HYBRID, TRUTH, _frames, _hybrid, candidates, events, scored, truth
+from .corpus import N_ITEMS, N_QUERIES, H, K, S, dealt, hits, keyframes, query_vectors, scores, table
 from .registry import ORACLE, query
 
 def _final(spark, d):
@@ -269,14 +269,14 @@ def failures_by_radius(spark, d):
 
 @query("n23_saturation_table", f"""WITH {_CAND400}, {TRUTH}, o AS (SELECT query_id, abs(frame_idx - (lo + hi) // 2) AS off, pos, row_number() OVER (PARTITION BY query_id ORDER BY pos) AS r FROM cand JOIN tr USING (query_id) WHERE video_id = truth),
 q AS (SELECT query_id, max(CASE WHEN r = 1 THEN off END) AS off, arg_min(r, off * 1000 + r) AS rank, count(*) AS pool FROM o GROUP BY query_id)
-SELECT count(*) AS queries, quantile_cont(pool, 0.5) AS median_pool, count(*) FILTER (off <= 6) AS within6, count(*) FILTER (off <= 10) AS within10, count(*) FILTER (off <= 20) AS within20, quantile_cont(off, 0.5) AS off_median, quantile_cont(off, 0.75) AS off_p75, quantile_cont(off, 0.9) AS off_p90,
-quantile_cont(rank, 0.5) AS rank_median, count(*) FILTER (rank <= 3) AS first3, count(*) FILTER (rank <= 10) AS first10 FROM q""")
+SELECT count(*) AS queries, round(quantile_cont(pool, 0.5), 6) AS median_pool, count(*) FILTER (off <= 6) AS within6, count(*) FILTER (off <= 10) AS within10, count(*) FILTER (off <= 20) AS within20, round(quantile_cont(off, 0.5), 6) AS off_median, round(quantile_cont(off, 0.75), 6) AS off_p75, round(quantile_cont(off, 0.9), 6) AS off_p90,
+round(quantile_cont(rank, 0.5), 6) AS rank_median, count(*) FILTER (rank <= 3) AS first3, count(*) FILTER (rank <= 10) AS first10 FROM q""")
 def saturation_table(spark, d):
     """In the true video: how far its best candidate lies from the answer, and the rank of the candidate nearest to the answer."""
     x = _anchored(candidates(spark, d, 400).withColumnRenamed("frame_idx", "frame"), truth(spark, d)).where("off is not null")
     x = x.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy("pos")))
     q = x.groupBy("query_id").agg(F.max(F.when(F.col("r") == 1, F.col("off"))).alias("off"), F.min_by("r", F.struct("off", "r")).alias("rank"), F.count("*").alias("pool"))
-    mid = lambda x, p=0.5: F.percentile(x, p)
+    mid = lambda x, p=0.5: F.round(F.percentile(x, p), 6)
     return q.agg(
         F.count("*").alias("queries"), mid("pool").alias("median_pool"), *[F.count_if(F.col("off") <= w).alias(f"within{w}") for w in (6, 10, 20)], mid("off").alias("off_median"), mid("off", 0.75).alias("off_p75"),
         mid("off", 0.9).alias("off_p90"), mid("rank").alias("rank_median"), F.count_if(F.col("rank") <= 3).alias("first3"), F.count_if(F.col("rank") <= 10).alias("first10"),
@@ -342,3 +342,35 @@ def profile_blend(spark, d):
     own = F.max(F.when(F.col("video_id") == F.col("right_video"), F.col("s"))).over(Window.partitionBy("query_id", "channel"))
     r = s.withColumn("own", own).where("own is not null").groupBy("query_id", "channel").agg((F.count_if(F.col("s") > F.col("own")) + 1).alias("rank"))
     return r.groupBy("channel").agg(F.count("*").alias("queries"), F.count_if(F.col("rank") == 1).alias("first"), F.count_if(F.col("rank") <= 5).alias("top5"))
+
+
+_JITTER = _DRAW.format(seed=31, key="query_id || chr(58) || gid")
+
+
+@query("n26_rerun_flips", f"""WITH {S}, {TRUTH}, t1 AS (SELECT query_id, video_id FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, gid) = 1), sj AS (SELECT query_id, gid, video_id, round(score + 0.5::DOUBLE * ({_JITTER} - 0.5::DOUBLE), 6) AS score FROM s),
+t2 AS (SELECT query_id, video_id FROM sj QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, gid) = 1), x AS (SELECT query_id, t1.video_id = truth AS a, t2.video_id = truth AS b FROM t1 JOIN t2 USING (query_id) JOIN tr USING (query_id)),
+y AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY a ORDER BY {_DRAW.format(seed=17, key="query_id")}, query_id) <= 20) SELECT count(*) FILTER (a) AS sampled_right, count(*) FILTER (NOT a) AS sampled_wrong, count(*) FILTER (a AND NOT b) AS lost, count(*) FILTER (NOT a AND b) AS won FROM y""")
+def rerun_flips(spark, d):
+    """How many of 20 right and 20 wrong first videos turn when the same search is run with its scores shaken by up to a quarter."""
+    s = scores(spark, d)
+    shaken = s.withColumn("score", F.round(F.col("score") + 0.5 * (evaluate.draw(31, "query_id", "gid") - 0.5), 6))
+    first = lambda x: x.groupBy("query_id").agg(F.max_by("video_id", F.struct("score", -F.col("gid"))).alias("v")).join(truth(spark, d), "query_id").select("query_id", (F.col("v") == F.col("truth")).alias("right"))
+    return evaluate.rerun_flips(first(s), first(shaken), "query_id", 20, 17)
+
+
+@query("k8_chain_rerank", f"""WITH {_FR.partition("tp AS")[0]}ct AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, video_id) AS r FROM bs QUALIFY r <= 5), ch AS (SELECT ct.query_id, ct.video_id, r, i - 1 AS event_idx, k.n FROM (SELECT *, unnest(gids) AS g, generate_subscripts(gids, 1) AS i FROM ct) ct JOIN k ON k.gid = g),
+ve AS (SELECT user_id % greatest({N_QUERIES} // 4, 1) AS query_id, event_id // 7 % 4 AS event_idx, k.video_id, k.n, max(value) / 100 AS conf FROM events JOIN k ON k.gid = event_id % {N_ITEMS} WHERE event_type = 'signup' GROUP BY ALL),
+b AS (SELECT ch.query_id, ch.video_id, r, ch.event_idx, ch.n AS own, max({{'c': coalesce(conf, 0), 'm': -ve.n}}) AS b FROM ch LEFT JOIN ve ON ch.query_id = ve.query_id AND ch.event_idx = ve.event_idx AND ch.video_id = ve.video_id AND ve.n BETWEEN ch.n - 3 AND ch.n + 3 GROUP BY ALL),
+p AS (SELECT query_id, video_id, r, round(avg(b.c), 6) AS verdict, list(own ORDER BY event_idx) AS own, list(coalesce(-b.m, own) ORDER BY event_idx) AS picks FROM b GROUP BY ALL), q AS (SELECT *, picks[1] < picks[2] AND picks[2] < picks[3] AND picks[3] < picks[4] AS accepted FROM p)
+SELECT query_id, video_id, r AS rnk, verdict, accepted, CASE WHEN accepted THEN picks ELSE own END AS items, row_number() OVER (PARTITION BY query_id ORDER BY verdict DESC, r) AS new_rank FROM q""")
+def chain_rerank(spark, d):
+    """The five best alignments of every query by the verdicts near their items; a better item is taken over if the chain still rises."""
+    best = align.best_videos(align.chain(events(spark, d), EVENTS, 0.01, 2), 5).select("query_id", "video_id", "rnk", F.posexplode("gids").alias("event_idx", "gid"))
+    k = keyframes(spark, d).select("gid", F.col("video_id").alias("v"), "n")
+    chains = best.join(k, "gid").select("query_id", "video_id", "rnk", "event_idx", "n")
+    e = dealt(table(spark, d, "events"), spark, d).where("event_type = 'signup'").select((F.col("user_id") % F.greatest(F.floor(F.col("_queries") / EVENTS), F.lit(1))).alias("query_id"), (F.floor(F.col("event_id") / 7) % EVENTS).alias("event_idx"), (F.col("event_id") % F.col("_items")).alias("gid"), "value")
+    verdicts = e.join(k, "gid").groupBy("query_id", "event_idx", F.col("v").alias("video_id"), "n").agg((F.max("value") / 100).alias("conf"))
+    own = chains.groupBy("query_id", "video_id", "rnk").agg(F.transform(F.sort_array(F.collect_list(F.struct("event_idx", "n"))), lambda x: x["n"]).alias("own"))
+    x = fusion.chain_verdicts(chains.drop("rnk"), verdicts).join(own, ["query_id", "video_id"])
+    new = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("verdict"), "rnk"))
+    return x.select("query_id", "video_id", "rnk", "verdict", "accepted", F.when(F.col("accepted"), F.col("picks")).otherwise(F.col("own")).alias("items"), new.alias("new_rank"))
