@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +32,40 @@ def stem_of(video: Column, n: Column) -> Column:
     return F.concat_ws("/", video, F.lpad(n.cast("string"), 3, "0"))
 
 
+#: Confidences of items: of (query_id, event_idx, video_id, n, gid), the same rows or some of them with conf.
+Verifier = Callable[[DataFrame], DataFrame]
+
+
+def within(ask: Callable[[str], list[str]], seconds: float, fallback: Callable[[Column], Column]) -> Callable[[Column], Column]:
+    """A decomposer by `ask`, such as a call of a model, and by `fallback` for a text to which it gives no answer in time, fails, or answers otherwise than with
+    a list of texts that aren't blank. Each text has its own thread, so one that hangs holds up no other; it is left behind."""
+
+    def answer(x: str) -> list[str] | None:
+        import queue
+        import threading
+
+        said: queue.Queue = queue.Queue()
+
+        def call() -> None:
+            try:
+                said.put(ask(x))
+            except Exception:  # an answer that failed is none
+                said.put(None)
+
+        threading.Thread(target=call, daemon=True).start()
+        try:
+            parts = said.get(timeout=seconds)
+        except queue.Empty:
+            return None
+        return parts if isinstance(parts, list) and parts and all(isinstance(p, str) and p.strip() for p in parts) else None
+
+    @F.pandas_udf("array<string>")
+    def answers(x: pd.Series) -> pd.Series:
+        return x.map(answer, na_action="ignore")
+
+    return lambda text: F.coalesce(answers(text), fallback(text))
+
+
 @dataclass
 class Engine:
     """items: gid, video_id, n, frame_idx, v."""
@@ -41,6 +76,7 @@ class Engine:
     decompose: Callable[[Column], Column] = events_of
     matcher: Callable[[Column, Column], Column] = evaluate.answers_match
     key: Callable[[Column, Column], Column] = stem_of
+    verifier: Verifier | None = None
     skip: int = 2
     pool: int = 400
     _last: DataFrame = field(init=False, repr=False)
@@ -70,6 +106,18 @@ class Engine:
         rows = scores.select(F.col("_q").alias("query_id"), "video_id", "event_idx", "gid", F.col("n").alias("t"), "score")
         return align.best_videos(align.chain(rows, events, lam, gap), k)
 
+    def verified(self, found: DataFrame, reach: int = 3) -> DataFrame:
+        """What sequences() found, ranked anew by the verifier's verdicts on the items within `reach` of a chain's (fusion.rerank_chains). The verifier
+        is asked once for each (query, event, item); its confidences are cut to [0, 1], and what it leaves out counts 0."""
+        if self.verifier is None:
+            raise ValueError("this engine has no verifier")
+        items = self.items.select("gid", F.col("video_id").alias("_v"), "n")
+        chains = found.select("query_id", "video_id", "rnk", F.posexplode("gids").alias("event_idx", "gid")).join(items, "gid").select("query_id", "video_id", "rnk", "event_idx", "n")
+        near = F.explode(F.sequence(F.col("n") - reach, F.col("n") + reach)).alias("n")
+        asked = chains.select("query_id", "event_idx", "video_id", near).distinct().join(items.withColumnRenamed("_v", "video_id"), ["video_id", "n"])
+        v = self.verifier(asked).select("query_id", "event_idx", "video_id", "n", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("conf"))).alias("conf"))
+        return fusion.rerank_chains(chains, v, reach)
+
     def joined(self, hits: DataFrame, table: DataFrame) -> DataFrame:
         """Hits with the rows of table(key, ...) of their key."""
         return hits.withColumn("key", self.key(F.col("video_id"), F.col("n"))).join(table, "key", "left")

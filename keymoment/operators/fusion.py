@@ -176,3 +176,12 @@ def chain_verdicts(chains: DataFrame, verdicts: DataFrame, reach: int = 3) -> Da
     pick = F.coalesce(-F.col("b.m"), F.col("own"))
     out = best.groupBy("query_id", "video_id").agg(F.round(F.avg("b.c"), 6).alias("verdict"), F.transform(F.sort_array(F.collect_list(F.struct("event_idx", pick.alias("p")))), lambda x: x["p"]).alias("picks"))
     return out.withColumn("accepted", F.col("picks") == F.sort_array(F.array_distinct("picks")))
+
+
+def rerank_chains(chains: DataFrame, verdicts: DataFrame, reach: int = 3) -> DataFrame:
+    """(query_id, video_id, rnk, verdict, accepted, items, new_rank) of chains(query_id, video_id, rnk, event_idx, n) by chain_verdicts(); items are
+    the picks where they are accepted, else the chain's own. Ties of verdicts keep the order of rnk."""
+    own = chains.groupBy("query_id", "video_id", "rnk").agg(F.transform(F.sort_array(F.collect_list(F.struct("event_idx", "n"))), lambda x: x["n"]).alias("_own"))
+    x = chain_verdicts(chains.drop("rnk"), verdicts, reach).join(own, ["query_id", "video_id"])
+    new = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("verdict"), "rnk"))
+    return x.select("query_id", "video_id", "rnk", "verdict", "accepted", F.when(F.col("accepted"), F.col("picks")).otherwise(F.col("_own")).alias("items"), new.alias("new_rank"))

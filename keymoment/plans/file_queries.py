@@ -282,6 +282,19 @@ def hit_provider(spark, d):
     return e.search(q).select("query_id", "gid", "score", "rnk")
 
 
+@query("q3_plugged_decomposer", """SELECT item_id, CASE WHEN length(text) % 3 = 0 OR len(p) = 0 THEN [text] ELSE p END AS events FROM (SELECT item_id, text, list_filter(string_split(text, '. '), lambda x: x <> '') AS p FROM benchmark)""")
+def plugged_decomposer(spark, d):
+    """A decomposer of the caller's own that cuts sentences and fails on every third length: those texts stay one event."""
+
+    def ask(x: str) -> list[str]:
+        if len(x) % 3 == 0:
+            raise ValueError("no answer")
+        return [p for p in x.split(". ") if p]
+
+    b = table(spark, d, "benchmark")
+    return b.select("item_id", engine.within(ask, 2.0, lambda t: F.array(t))(F.col("text")).alias("events"))
+
+
 @query("q5_answer_matcher", "SELECT item_id, CASE WHEN length(text) = length(lower(text)) AND starts_with(lower(text), substr(lower(text), 1, 3)) THEN 1.0::DOUBLE ELSE 0 END AS r FROM benchmark")
 def answer_matcher(spark, d):
     """A matcher of the caller's own: the answer begins with the truth."""

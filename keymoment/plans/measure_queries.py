@@ -347,14 +347,19 @@ def profile_blend(spark, d):
 _JITTER = _DRAW.format(seed=31, key="query_id || chr(58) || gid")
 
 
-@query("n26_rerun_flips", f"""WITH {S}, {TRUTH}, t1 AS (SELECT query_id, video_id FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, gid) = 1), sj AS (SELECT query_id, gid, video_id, round(score + 0.5::DOUBLE * ({_JITTER} - 0.5::DOUBLE), 6) AS score FROM s),
-t2 AS (SELECT query_id, video_id FROM sj QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, gid) = 1), x AS (SELECT query_id, t1.video_id = truth AS a, t2.video_id = truth AS b FROM t1 JOIN t2 USING (query_id) JOIN tr USING (query_id)),
+@query("n26_rerun_flips", f"""WITH {S}, {TRUTH}, t1 AS (SELECT query_id, video_id, frame_idx FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, gid) = 1), sj AS (SELECT query_id, gid, video_id, frame_idx, round(score + 0.5::DOUBLE * ({_JITTER} - 0.5::DOUBLE), 6) AS score FROM s),
+t2 AS (SELECT query_id, video_id, frame_idx FROM sj QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, gid) = 1), x AS (SELECT query_id, t1.video_id = truth AND abs(t1.frame_idx - (lo + hi) // 2) <= 1100 AS a, t2.video_id = truth AND abs(t2.frame_idx - (lo + hi) // 2) <= 1100 AS b FROM t1 JOIN t2 USING (query_id) JOIN tr USING (query_id)),
 y AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY a ORDER BY {_DRAW.format(seed=17, key="query_id")}, query_id) <= 20) SELECT count(*) FILTER (a) AS sampled_right, count(*) FILTER (NOT a) AS sampled_wrong, count(*) FILTER (a AND NOT b) AS lost, count(*) FILTER (NOT a AND b) AS won FROM y""")
 def rerun_flips(spark, d):
-    """How many of 20 right and 20 wrong first videos turn when the same search is run with its scores shaken by up to a quarter."""
+    """How many of 20 right and 20 wrong first items (in the true video, within 1,100 frames) turn when the same search is run with its scores shaken by up
+    to a quarter."""
     s = scores(spark, d)
     shaken = s.withColumn("score", F.round(F.col("score") + 0.5 * (evaluate.draw(31, "query_id", "gid") - 0.5), 6))
-    first = lambda x: x.groupBy("query_id").agg(F.max_by("video_id", F.struct("score", -F.col("gid"))).alias("v")).join(truth(spark, d), "query_id").select("query_id", (F.col("v") == F.col("truth")).alias("right"))
+
+    def first(x):
+        top = x.groupBy("query_id").agg(F.max_by(F.struct("video_id", F.col("frame_idx").alias("frame")), F.struct("score", -F.col("gid"))).alias("t")).select("query_id", "t.*")
+        return _anchored(top, truth(spark, d)).select("query_id", F.coalesce(F.col("off") <= 1100, F.lit(False)).alias("right"))
+
     return evaluate.rerun_flips(first(s), first(shaken), "query_id", 20, 17)
 
 
@@ -370,7 +375,4 @@ def chain_rerank(spark, d):
     chains = best.join(k, "gid").select("query_id", "video_id", "rnk", "event_idx", "n")
     e = dealt(table(spark, d, "events"), spark, d).where("event_type = 'signup'").select((F.col("user_id") % F.greatest(F.floor(F.col("_queries") / EVENTS), F.lit(1))).alias("query_id"), (F.floor(F.col("event_id") / 7) % EVENTS).alias("event_idx"), (F.col("event_id") % F.col("_items")).alias("gid"), "value")
     verdicts = e.join(k, "gid").groupBy("query_id", "event_idx", F.col("v").alias("video_id"), "n").agg((F.max("value") / 100).alias("conf"))
-    own = chains.groupBy("query_id", "video_id", "rnk").agg(F.transform(F.sort_array(F.collect_list(F.struct("event_idx", "n"))), lambda x: x["n"]).alias("own"))
-    x = fusion.chain_verdicts(chains.drop("rnk"), verdicts).join(own, ["query_id", "video_id"])
-    new = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("verdict"), "rnk"))
-    return x.select("query_id", "video_id", "rnk", "verdict", "accepted", F.when(F.col("accepted"), F.col("picks")).otherwise(F.col("own")).alias("items"), new.alias("new_rank"))
+    return fusion.rerank_chains(chains, verdicts)

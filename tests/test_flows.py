@@ -172,3 +172,41 @@ def test_ceilings_of_the_coverage_allocation(spark):
     assert {k: r.pictures for k, r in out.items()} == dict(shown) and {r.queries for r in out.values()} == {len(c)}
     assert {k: r.score for k, r in out.items()} == pytest.approx({k: score[k] for k in names}, abs=1e-6)
     assert out["oracle"].reach == 100 and all(r.batches == -(-r.pictures // 8) for r in out.values())
+
+
+def test_decomposer_with_a_limit(spark):
+    """Answers in time, late ones, faults, answers of another kind, nulls."""
+    import time
+
+    from keymoment import engine
+
+    def ask(x):
+        if x == "hangs":
+            time.sleep(30)
+        if x == "fails":
+            raise RuntimeError(x)
+        return {"none": [], "blank": ["a", " "], "text": "a b", "numbers": [1]}.get(x, x.split())
+
+    texts = ["a b", "hangs", "fails", "none", "blank", "text", "numbers", None, "c"]
+    at = time.time()
+    got = spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1).select("t", engine.within(ask, 0.5, lambda t: F.array(F.lit("all"), t))(F.col("t")).alias("e")).collect()
+    assert time.time() - at < 25
+    assert {r.t: r.e for r in got} == {t: [t] if t == "c" else ["a", "b"] if t == "a b" else ["all", t] for t in texts}
+
+
+def test_engine_with_a_verifier(spark):
+    from keymoment import engine
+
+    items = spark.createDataFrame([(10 * v + n, f"V{v}", n, 55 * n, [1.0, 0.0]) for v in range(2) for n in range(1, 9)], "gid long, video_id string, n long, frame_idx long, v array<double>")
+    found = spark.createDataFrame([(0, "V0", 0.9, [3, 5], 1), (0, "V1", 0.8, [13, 15], 2)], "query_id long, video_id string, score double, gids array<long>, rnk int")
+    seen = []
+
+    def verifier(asked):
+        seen.extend((r.event_idx, r.gid) for r in asked.collect())
+        return asked.withColumn("conf", F.when(F.col("gid") == 14, 7.0).when(F.col("gid") == 16, 0.5).when(F.col("gid") == 3, 0.25).when(F.col("gid") == 4, -1.0)).where("conf is not null")
+
+    out = {r.video_id: (r.rnk, r.verdict, r.accepted, r["items"], r.new_rank) for r in engine.Engine(items, None, verifier=verifier).verified(found, 1).collect()}
+    assert sorted(seen) == sorted((e, b + c + i) for b in (0, 10) for e, c in ((0, 3), (1, 5)) for i in (-1, 0, 1))
+    assert out == {"V1": (2, 1.0, False, [3, 5], 1), "V0": (1, 0.125, True, [3, 4], 2)}
+    with pytest.raises(ValueError):
+        engine.Engine(items, None).verified(found)
