@@ -19,6 +19,8 @@ components. A block of one chunk, the usual case, is done then. Of a larger one
 way, so a group of near copies of any size becomes one component at the cost of one pass over it. What stays outside the
 block's largest component then is compared with it and with itself, in pairs of chunks of BLOCK shingles at most, which
 skip pairs known to be connected: every pair of a block is in one component or was compared.
+Members travel to their blocks as texts, which shuffle files compress, and the task that has a block makes its sets; texts that are no
+member's stay where they are, behind a sieve of the members' ids.
 
 Defined cases: null text, empty text and text of white space have the empty set and link with nothing; a null
 doc_id has a null component; rows that repeat a doc_id, null ones too, count as one document (the one with the larger set
@@ -37,7 +39,8 @@ from pyspark.sql import functions as F
 from .buckets import Packer, bucket_count, by_bucket, runs, unpack
 from .graph import Forest, components, spanning
 from .lean import lean
-from .store import drop, fresh, written
+from .sieve import Sieve, sieve_of
+from .store import drop, drop_path, fresh, written
 from .words import SHINGLE, mix, set_digest, shingles, signed, text_buffers, words_of
 
 #: Shingles in a chunk of a block, and at most in each of the two chunks of a pair.
@@ -253,7 +256,12 @@ def _stars(entities: list[int], links: list[tuple[int, int]]) -> Iterator[tuple[
             yield from ((e, least, len(members)) for e in own)
 
 
-def _solved(members: DataFrame, attach: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+def _held(batch: pa.RecordBatch) -> list[np.ndarray]:
+    """The set of each row of a batch, from bytes in held."""
+    return [np.frombuffer(x.as_buffer(), "<u8") for x in batch.column(batch.schema.get_field_index("held"))]
+
+
+def _solved(members: DataFrame, attach: Callable[[DataFrame], DataFrame], name: str, sets: Callable[[pa.RecordBatch], list[np.ndarray]] = _held) -> DataFrame:
     """(id, label, n), a written table: the components of each block of members(id, blocks), found by the task that has the block; label is
     the least id of a component, n its number of sets, and components of one aren't there. Where a block's name is followed by `|` and a
     label, members of one label are connected already, and labels stand for ids in the result."""
@@ -268,8 +276,7 @@ def _solved(members: DataFrame, attach: Callable[[DataFrame], DataFrame], name:
             ids: dict[int, np.ndarray] = {}
             labels: dict[int, int] = {}
             for r in rows:
-                for d, x, label in zip(_ids(r, "id"), r.column(r.schema.get_field_index("held")), _ids(r, "label"), strict=True):
-                    s = np.frombuffer(x.as_buffer(), "<u8")
+                for d, s, label in zip(_ids(r, "id"), sets(r), _ids(r, "label"), strict=True):
                     labels[d] = d if label is None else label
                     if len(s) >= len(ids.get(d, ())):
                         ids[d] = s
@@ -290,16 +297,17 @@ def _name(*parts: Column | str) -> Column:
     return F.concat_ws(":", *(p if isinstance(p, Column) else F.lit(p) for p in parts))
 
 
-def linked(reps: DataFrame, attach: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def linked(reps: DataFrame, attach: Callable[[DataFrame], DataFrame], sets: Callable[[pa.RecordBatch], list[np.ndarray]] = _held) -> DataFrame:
     """(node, component), a written table, of the ids of reps(id, component, size) that link within their block, a component of candidates.
 
-    attach gives members(id, blocks) their sets as (id, held, block), one row for each of a member's blocks. See the module for the steps.
+    attach gives members(id, blocks) what they hold as (id, held, block), one row for each of a member's blocks; sets makes the sets of a
+    batch of those rows, in the task that has the block. See the module for the steps.
     """
     sizes = reps.groupBy("component").agg(F.ceil(F.sum("size") / CHUNK).cast("int").alias("chunks"))
     chunk = F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")
     reps = written(reps.join(sizes, "component").select("id", F.col("component").alias("block"), "size", "chunks", chunk.alias("chunk")), "blocks")
     one, text = F.hex("block"), (lambda c: c.cast("string"))
-    solved = _solved(reps.select("id", F.array(_name(one, text(F.col("chunk")))).alias("blocks")), attach, "linked")
+    solved = _solved(reps.select("id", F.array(_name(one, text(F.col("chunk")))).alias("blocks")), attach, "linked", sets)
     many = reps.where("chunks > 1")
     if not many.limit(1).count():
         drop(reps)
@@ -309,9 +317,9 @@ def linked(reps: DataFrame, attach: Callable[[DataFrame], DataFrame]) -> DataFra
     lead = solved.where("id = label").join(many, "id").groupBy("block", "chunk").agg(F.max(F.struct("n", (-F.col("id")).alias("o"), "size")).alias("x"))
     leaders = written(lead.select((-F.col("x.o")).alias("id"), F.col("block").alias("component"), "x.size"), "leaders")
     if leaders.groupBy("component").agg(F.sum("size").alias("s")).where(F.col("s") > BLOCK).limit(1).count():
-        across = linked(leaders, attach)
+        across = linked(leaders, attach, sets)
     else:
-        across = _as_components(_solved(leaders.select("id", F.array(F.hex("component")).alias("blocks")), attach, "linked"))
+        across = _as_components(_solved(leaders.select("id", F.array(F.hex("component")).alias("blocks")), attach, "linked", sets))
     own = many.join(solved.select("id", "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
     marked = written(own.join(across.withColumnRenamed("node", "label"), "label", "left").withColumn("label", F.coalesce("component", "label")).drop("component"), "labels")
     drop(leaders)
@@ -331,7 +339,7 @@ def linked(reps: DataFrame, attach: Callable[[DataFrame], DataFrame]) -> DataFra
         with_main = F.transform(ms, lambda k: _name(one, "m", text(k), text(at_r)))
         of_main = F.transform(rs, lambda k: _name(one, "m", text(at_m), text(k)))
         blocks = F.when(F.col("label") == F.col("main"), of_main).otherwise(F.concat(with_rest, with_main))
-        late = _solved(x.select("id", F.transform(blocks, lambda b: F.concat_ws("|", b, text(F.col("label")))).alias("blocks")), attach, "linked")
+        late = _solved(x.select("id", F.transform(blocks, lambda b: F.concat_ws("|", b, text(F.col("label")))).alias("blocks")), attach, "linked", sets)
         if late.limit(1).count():
             joined = components(late.select(F.col("id").alias("u"), F.col("label").alias("v")))
             final = marked.join(joined.withColumnRenamed("node", "label"), "label", "left").withColumn("label", F.coalesce("component", "label"))
@@ -358,16 +366,28 @@ def jaccard_components(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
     blocks = components(candidate_edges(docs, frequent, n))
     reps = classes.join(blocks, F.col("d1") == F.col("node")).select(F.col("rep").alias("id"), "component", "size")
 
-    def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            held = [s.tobytes() for _, s in _sets(batch, n)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(held, pa.binary()), batch.column(2)], names=["id", "held", "blocks"])
+    paths = []
 
     def attach(members: DataFrame) -> DataFrame:
-        rows = docs.join(members.hint("merge"), docs["doc_id"] == members["id"]).select("id", "text", "blocks")
-        return rows.mapInArrow(lean(to_sets), "id long, held binary, blocks array<string>").select("id", "held", F.explode("blocks").alias("block"))
+        hashes = members.select(F.xxhash64("id").alias("h"))
+        own = sieve_of(hashes, hashes.count())
+        paths.append(own[0])
+
+        def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sieve = Sieve.of(*own)
+            for batch in batches:
+                yield batch.filter(pa.array(sieve.passes(batch.column(2).to_numpy().view(np.uint64)))).drop_columns("h")
+
+        some = docs.where("text is not null and doc_id is not null").select("doc_id", "text", F.xxhash64("doc_id").alias("h")).mapInArrow(lean(wanted), "doc_id long, text string")
+        return some.join(members.hint("merge"), some["doc_id"] == members["id"]).select("id", F.col("text").alias("held"), F.explode("blocks").alias("block"))
+
+    def sets(batch: pa.RecordBatch) -> list[np.ndarray]:
+        texts = pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("held"))], names=["text"])
+        return [s for _, s in _sets(texts, n)]
 
-    found = linked(reps, attach)
+    found = linked(reps, attach, sets)
+    for path in paths:
+        drop_path(docs.sparkSession, path)
     drop(blocks)
     classes = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("component_id"))
     out = meta.join(classes, ["d1", "d2"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNull(), None).when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("_k"))

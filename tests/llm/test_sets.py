@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 import re
 
 import numpy as np
@@ -10,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from keymoment.llm import decontaminate, graph, jaccard_join, passages, words
+from keymoment.llm import decontaminate, graph, jaccard_join, passages, store, words
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 RNG = random.Random(5)
@@ -391,3 +392,32 @@ def test_items_of_few_literals(spark):
         assert r["coverage"] == 1 and not r["changed"] and raw[10 + k].encode()[r["start"] : r["end"]].decode() == items[k].rstrip("?")
     assert 0.5 <= got[23, 5]["coverage"] < 1
     assert {r["doc_id"] for r in decontaminate.drop_leaks(frame(spark, texts), bench).collect()} == {14, 20, 21, 22}
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    from pathlib import Path
+
+    folders = [str(f) for f in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    held = lambda: {f.name for d in folders for f in Path(d).rglob("shuffle_*.data")}
+    before = held()
+    t = store.written(spark.range(100_000).groupBy((F.col("id") % 1000).alias("k")).count(), "swept")
+    for _ in range(100):  # files go in the background
+        if held() <= before:
+            break
+        time.sleep(0.1)
+    assert held() <= before
+    assert t.count() == 1000
+    store.drop(t)
+
+
+def test_only_members_texts_are_dealt_to_blocks(spark, monkeypatch):
+    """Of 400 texts two are alike; the others aren't shuffled with them."""
+    rng = random.Random(5)
+    base = prose(60, rng)
+    texts = [(i, prose(60, rng)) for i in range(400)] + [(1000, base), (1001, base + " end")]
+    seen = []
+    solved = jaccard_join._solved
+    monkeypatch.setattr(jaccard_join, "_solved", lambda members, attach, *a: seen.append(attach(members)._jdf.queryExecution().optimizedPlan().toString()) or solved(members, attach, *a))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_components(frame(spark, texts)).collect()}
+    assert got == brute_components(texts)
+    assert seen and all("MapInArrow task(doc_id" in plan for plan in seen)
