@@ -395,3 +395,16 @@ def test_chunks_and_events_of_every_item(spark):
         assert r["events"] == (want if len(want) > 1 else [x])
     rows = lambda n: sorted(map(tuple, QUERIES[n](spark, DATA).toPandas().values.tolist()))
     assert rows("m6_dispatch") == rows("m5_coverage")
+
+
+def test_coverage_follows_candidates_not_lengths():
+    """Two hundred candidates in a video of half a million frames: its grid isn't held."""
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    frames, scores = (rng.integers(0, 10_000, 200) * 55).tolist(), rng.normal(0.3, 0.02, 200).tolist()
+    tracemalloc.start()
+    rows = allocate.coverage(frames, scores, ["V000"] * 200, [550_000] * 200)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(rows) == 100 and peak < 20_000_000
