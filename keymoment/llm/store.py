@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import contextlib
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
+from keymoment.sources.files import swept
+
 _LOCAL: list[str] = []
 
 
@@ -37,21 +37,6 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-#: Spark's setting by which a query's shuffle files go when it has ended, and not only when the driver happens to collect its garbage.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-@contextlib.contextmanager
-def swept(spark: SparkSession) -> Iterator[None]:
-    """Queries that run within leave no shuffle files behind; one that needs them again makes them again."""
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
-    try:
-        yield
-    finally:
-        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """df written as a table in the shared folder and read back: its lineage ends there, and its shuffle files go."""
     spark = df.sparkSession

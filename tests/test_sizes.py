@@ -42,3 +42,20 @@ def test_halves_are_ranked_as_decimals(spark, tmp_path):
     x[:4, 0] = 1
     x[4:, 0] = np.arange(36) * 0.01 + 0.005
     assert same(spark, tmp_path, "e12_rank_bounds", embeddings=vectors(x)) == 38
+
+
+def test_scores_stay_where_they_are(spark):
+    """Statistics and answers of all scores come to the scores: no exchange but those of the items' numbering and of aggregates."""
+    from pyspark.sql import functions as F
+
+    from keymoment.operators import evaluate, fusion
+
+    s = spark.range(10_000).select((F.col("id") % 50).alias("query_id"), F.col("id").alias("gid"), F.lit("V000").alias("video_id"), F.col("id").alias("frame_idx"), F.rand(1).alias("score"))
+    truth = spark.range(50).select(F.col("id").alias("query_id"), F.lit("V000").alias("truth"), F.lit(0).alias("lo"), F.lit(500).alias("hi"))
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plans = [x._jdf.queryExecution().executedPlan().toString() for x in (fusion.row_zscore(s, ["query_id"], "score", "z"), evaluate.strict_ranks(s, truth))]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert all("SortMergeJoin" not in p and "BroadcastHashJoin" in p for p in plans)
