@@ -59,3 +59,16 @@ def test_scores_stay_where_they_are(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
     assert all("SortMergeJoin" not in p and "BroadcastHashJoin" in p for p in plans)
+
+
+def test_hits_of_queries_are_not_shuffled(spark):
+    """Terms of queries come to a document's postings; no exchange lies between that join and the sums by query and document."""
+    from pyspark.sql import functions as F
+
+    from keymoment.operators import lexical
+
+    docs = spark.range(500).select("id", F.array(F.lit("a"), F.concat(F.lit("w"), (F.col("id") % 7).cast("string"))).alias("t"))
+    terms = spark.range(50).select(F.col("id").alias("query_id"), F.lit("a").alias("term"), F.lit(1).alias("qtf"))
+    post = lexical.postings(docs, "id", F.col("t"), terms)
+    plan = lexical.bm25(post, "id", terms, dl=lexical.text_lengths(docs, "id", F.col("t")))._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(query_id" not in plan
