@@ -10,10 +10,12 @@ is shared: no link is lost. Empty partitions are never signed. A set with too fe
 it has, and its prefix in hash order besides; two such sets share a prefix element, and with any other set the
 other one's signatures suffice.
 
-Shingles found often in a sample (repeated passages, degenerate repeats) are left out of the signed domain: any
-choice of them keeps the argument, as leaving elements out shrinks differences, so the sample steers cost only.
+Shingles found often in a sample (repeated passages, degenerate repeats) are left out of the signed domain, behind a sieve of
+them: any choice of them keeps the argument, as leaving elements out shrinks differences, so the sample steers cost only.
 
-Signatures with two sets or more become edges of candidate blocks; blocks hold each set once. A block is cut into chunks
+Two sets of up to GROUP that share a signature become an edge of candidate blocks if their parity sketches (bit i: whether an odd number of
+elements have the hash i) differ in H bits at most. Sketches differ in no more bits than sets in elements, so no link is lost; sets that
+share passages only seldom pass, so blocks don't grow together as the corpus does. Larger groups become stars. Blocks hold each set once. A block is cut into chunks
 of about CHUNK shingles, and a chunk is joined in one task by rarest-first prefixes over its own frequencies, which gives its
 components. A block of one chunk, the usual case, is done then. Of a larger one the leaders of the chunks' largest components are joined in the same
 way, so a group of near copies of any size becomes one component at the cost of one pass over it. What stays outside the
@@ -45,8 +47,10 @@ from .words import SHINGLE, mix, set_digest, shingles, signed, text_buffers, wor
 
 #: Shingles in a chunk of a block, and at most in each of the two chunks of a pair.
 CHUNK, BLOCK = 30_000, 2_000_000
-#: The sample that finds frequent shingles takes about this many documents; a shingle is frequent with so many in it.
-SAMPLE_DOCS, SAMPLE_FREQUENT, FREQUENT_MOST = 20_000, 4, 200_000
+#: The sample that finds frequent shingles takes about this many documents, one in SAMPLE_EVERY at least; a shingle is frequent with so many in it.
+SAMPLE_DOCS, SAMPLE_EVERY, SAMPLE_FREQUENT = 20_000, 8, 4
+#: Sets of a signature whose pairs are held against each other by their sketches; more sets become a star.
+GROUP = 64
 
 
 def _sets(batch: pa.RecordBatch, n: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -63,24 +67,44 @@ def _ids(batch: pa.RecordBatch, name: str = "doc_id") -> list[int | None]:
 
 
 def document_sets(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
-    """(doc_id, n_shingles, d1, d2): set size and 128-bit digest of each row's shingle set."""
+    """(doc_id, n_shingles, d1, d2, bits): set size, 128-bit digest and sketch of each row's shingle set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            size, d1, d2 = [], [], []
+            size, d1, d2, bits = [], [], [], []
             for _, s in _sets(batch, n):
                 a, b = set_digest(s)
                 size.append(len(s))
                 d1.append(signed(a))
                 d2.append(signed(b))
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_id")).cast(pa.int64()), pa.array(size, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64())], names=["doc_id", "n_shingles", "d1", "d2"])
+                bits.append(sketch(s))
+            own = [batch.column(batch.schema.get_field_index("doc_id")).cast(pa.int64()), *(pa.array(x, pa.int64()) for x in (size, d1, d2)), pa.array(bits, pa.binary())]
+            yield pa.RecordBatch.from_arrays(own, names=["doc_id", "n_shingles", "d1", "d2", "bits"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(run), "doc_id long, n_shingles long, d1 long, d2 long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(run), "doc_id long, n_shingles long, d1 long, d2 long, bits binary")
 
 
-def frequent_shingles(docs: DataFrame, n_docs: int, n: int = SHINGLE) -> np.ndarray:
-    """Sorted hashes of shingles that SAMPLE_FREQUENT documents of the sample hold; at most FREQUENT_MOST."""
-    every = max(1, round(n_docs / SAMPLE_DOCS))
+def sketch(s: np.ndarray) -> bytes:
+    """The parities of a set's elements by their last bits, at least a bit for each element; a power of two, so halves fold."""
+    m = 1 << max(6, (len(s) - 1).bit_length())
+    odd = np.bincount((s & np.uint64(m - 1)).astype(np.int64), minlength=m) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def may_link(a: int, x: bytes, b: int, y: bytes) -> bool:
+    """Whether sets of a and b elements with sketches x and y may differ in (a + b) / 9 elements at most."""
+    p, q, m, k = int.from_bytes(x, "little"), int.from_bytes(y, "little"), 8 * len(x), 8 * len(y)
+    if m < k:
+        p, q, m, k = q, p, k, m
+    while m > k:
+        m //= 2
+        p = (p >> m) ^ (p & ((1 << m) - 1))
+    return 9 * max(abs(a - b), (p ^ q).bit_count()) <= a + b
+
+
+def frequent_shingles(docs: DataFrame, n_docs: int, n: int = SHINGLE) -> tuple[str, int]:
+    """The sieve of the hashes of shingles that SAMPLE_FREQUENT documents of the sample hold."""
+    every = max(1, min(SAMPLE_EVERY, round(n_docs / SAMPLE_DOCS)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = Packer(["s"], buckets)
@@ -92,14 +116,14 @@ def frequent_shingles(docs: DataFrame, n_docs: int, n: int = SHINGLE) -> np.ndar
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in runs(batches, "bucket"):
             v, c = np.unique(unpack(rows, "s", "<u8"), return_counts=True)
-            keep = c >= SAMPLE_FREQUENT
-            yield pa.RecordBatch.from_arrays([pa.array(v[keep].view(np.int64)), pa.array(c[keep].astype(np.int64))], names=["s", "c"])
+            yield pa.RecordBatch.from_arrays([pa.array(v[c >= SAMPLE_FREQUENT].view(np.int64))], names=["h"])
 
     buckets = bucket_count(docs)
     part = docs.where((F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0) & F.col("text").isNotNull()).select("text")
-    found = by_bucket(part.mapInArrow(lean(run), "bucket int, s binary")).mapInArrow(lean(count), "s long, c long")
-    rows = found.orderBy(F.desc("c"), "s").limit(FREQUENT_MOST).select("s").toPandas()
-    return np.sort(rows["s"].to_numpy(np.int64).view(np.uint64))
+    found = written(by_bucket(part.mapInArrow(lean(run), "bucket int, s binary")).mapInArrow(lean(count), "h long"), "frequent")
+    own = sieve_of(found, found.count())
+    drop(found)
+    return own
 
 
 def _instances(s: int) -> list[tuple[int, int, int]]:
@@ -133,12 +157,13 @@ def _prefix(s: np.ndarray) -> np.ndarray:
     return mix(s[: len(s) - (4 * len(s) + 4) // 5 + 1] ^ np.uint64(0x7FB5D329728EA185))
 
 
-def candidate_edges(docs: DataFrame, frequent: np.ndarray, n: int = SHINGLE) -> DataFrame:
-    """(u, v): a star for each group of set digests that share a signature, digests reduced to 64 bits."""
+def candidate_edges(docs: DataFrame, frequent: tuple[str, int], sketches: DataFrame, n: int = SHINGLE) -> DataFrame:
+    """(u, v) of set digests that share a signature, reduced to 64 bits: the pairs that may link by their sketches(d1, n_shingles, bits), and a
+    star for each group of more than GROUP. A digest without a sketch has no pair."""
     buckets = bucket_count(docs)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack, seen = Packer(["sig", "id"], buckets), set()
+        pack, seen, often = Packer(["sig", "id"], buckets), set(), Sieve.of(*frequent)
         for batch in batches:
             for _, s in _sets(batch, n):
                 if len(s) < 4:
@@ -149,10 +174,7 @@ def candidate_edges(docs: DataFrame, frequent: np.ndarray, n: int = SHINGLE) ->
                 seen.add(d)
                 if len(seen) > 1_000_000:
                     seen.clear()
-                own = s
-                if len(frequent):
-                    own = s[frequent[np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)] != s]
-                for x in signatures(own, len(s)):
+                for x in signatures(s[~often.passes(s)], len(s)):
                     x = _prefix(s) if x is None else x
                     yield from pack.add(x, np.full(len(x), d, np.uint64))
         yield from pack.flush()
@@ -160,17 +182,43 @@ def candidate_edges(docs: DataFrame, frequent: np.ndarray, n: int = SHINGLE) ->
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in runs(batches, "bucket"):
             sig, own = unpack(rows, "sig", "<u8"), unpack(rows, "id", "<u8")
-            order = np.argsort(sig, kind="stable")
+            order = np.lexsort((own, sig))
             sig, own = sig[order], own[order]
-            same = sig[1:] == sig[:-1]
-            u, v = own[:-1][same], own[1:][same]
-            differ = u != v
-            if differ.any():
-                u, v = spanning(u[differ], v[differ])
-                yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["u", "v"])
+            new = np.r_[True, (sig[1:] != sig[:-1]) | (own[1:] != own[:-1])] if len(sig) else np.zeros(0, bool)
+            sig, own = sig[new], own[new]
+            _, group, size = np.unique(sig, return_inverse=True, return_counts=True)
+            large = size[group] > GROUP
+            at = np.flatnonzero(large)[1:]
+            at = at[group[at] == group[at - 1]]
+            if len(at):
+                u, v = spanning(own[at - 1], own[at])
+                yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64)), pa.array(np.ones(len(u), bool))], names=["u", "v", "star"])
+            some = (size[group] > 1) & ~large
+            group, own, pairs = group[some], own[some], []
+            for k in range(1, GROUP):
+                at = np.flatnonzero(group[k:] == group[:-k])
+                if not len(at):
+                    break
+                pairs.append(np.unique(np.stack([own[at], own[at + k]], 1), axis=0))
+            if pairs:
+                both = np.unique(np.concatenate(pairs), axis=0).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), pa.array(np.zeros(len(both), bool))], names=["u", "v", "star"])
+
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [may_link(*x) for x in zip(*(batch.column(k).to_pylist() for k in range(2, 6)), strict=True)]
+            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     signed_rows = docs.where(F.col("text").isNotNull()).select("text").mapInArrow(lean(sign), "bucket int, sig binary, id binary")
-    return by_bucket(signed_rows).mapInArrow(lean(meet), "u long, v long")
+    met = written(by_bucket(signed_rows).mapInArrow(lean(meet), "u long, v long, star boolean"), "pairs")
+    sk = sketches.select("d1", "n_shingles", "bits")
+    pairs = met.where("not star").select("u", "v").distinct()
+    for end in "uv":
+        pairs = pairs.join(sk.select(F.col("d1").alias(end), F.col("n_shingles").alias(f"n{end}"), F.col("bits").alias(f"b{end}")).hint("merge"), end)
+    linked = pairs.select("u", "v", "nu", "bu", "nv", "bv").mapInArrow(lean(test), "u long, v long")
+    out = written(linked.unionAll(met.where("star").select("u", "v")), "pairs")
+    drop(met)
+    return out
 
 
 def similar(common: int, a: int, b: int) -> bool:
@@ -360,10 +408,14 @@ def _as_components(solved: DataFrame) -> DataFrame:
 def jaccard_components(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row of docs(doc_id, text): see the module."""
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    meta = written(document_sets(docs, n).groupBy("doc_id").agg(F.max(F.struct("n_shingles", "d1", "d2")).alias("x"), F.count("*").alias("times")).select("doc_id", "x.*", "times"), "sets")
+    meta = written(document_sets(docs, n).groupBy("doc_id").agg(F.max(F.struct("n_shingles", "d1", "d2", "bits")).alias("x"), F.count("*").alias("times")).select("doc_id", "x.*", "times"), "sets")
     classes = meta.where("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("size"))
     frequent = frequent_shingles(docs, meta.count(), n)
-    blocks = components(candidate_edges(docs, frequent, n))
+    sketches = meta.where("n_shingles > 0").groupBy("d1").agg(F.first("n_shingles").alias("n_shingles"), F.first("bits").alias("bits"))
+    edges = candidate_edges(docs, frequent, sketches, n)
+    blocks = components(edges)
+    drop(edges)
+    drop_path(docs.sparkSession, frequent[0])
     reps = classes.join(blocks, F.col("d1") == F.col("node")).select(F.col("rep").alias("id"), "component", "size")
 
     paths = []

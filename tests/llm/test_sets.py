@@ -421,3 +421,30 @@ def test_only_members_texts_are_dealt_to_blocks(spark, monkeypatch):
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_components(frame(spark, texts)).collect()}
     assert got == brute_components(texts)
     assert seen and all("MapInArrow task(doc_id" in plan for plan in seen)
+
+
+@pytest.mark.parametrize("size", [4, 63, 64, 65, 130, 700])
+def test_sketches_of_similar_sets_pass(size):
+    """Every pair that links passes, on both sides of a power of two; unlike sets don't."""
+    rng = np.random.default_rng(size)
+    fresh = lambda n: rng.integers(0, 2**64, n, dtype=np.uint64)
+    may = lambda a, b: jaccard_join.may_link(len(a), jaccard_join.sketch(a), len(b), jaccard_join.sketch(b))
+    for _ in range(200):
+        a = np.unique(fresh(size))
+        b = np.unique(np.concatenate([a[rng.permutation(size)[: size - int(rng.integers(0, size // 5 + 1))]], fresh(int(rng.integers(0, size // 4 + 1)))]))
+        if jaccard_join.similar(len(np.intersect1d(a, b)), len(a), len(b)):
+            assert may(a, b) and may(b, a)
+        if size > 60:
+            assert not may(a, np.unique(fresh(size)))
+
+
+def test_shared_passages_make_no_blocks(spark, monkeypatch):
+    """Texts of which each shares a passage with the next share signatures, but none of them becomes a candidate."""
+    rng = random.Random(8)
+    parts = [prose(90, rng) for _ in range(121)]
+    texts = [(i, f"{parts[i]} {parts[i + 1]}") for i in range(120)]
+    members = []
+    linked = jaccard_join.linked
+    monkeypatch.setattr(jaccard_join, "linked", lambda reps, *a: members.append(reps.count()) or linked(reps, *a))
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.jaccard_components(frame(spark, texts)).collect()}
+    assert got == {i: i for i, _ in texts} and members == [0]
