@@ -8,10 +8,11 @@ import re
 from collections import Counter
 
 import pytest
+from pyarrow.fs import FileSelector
 from pyspark.sql import functions as F
 
 from keymoment.operators import lexical, postings
-from keymoment.sources.files import shared_folder
+from keymoment.sources.files import open_folder, shared_folder
 
 
 def brute(docs, queries, k):
@@ -72,3 +73,13 @@ def test_an_empty_corpus(spark):
     index = postings.build(empty, "doc", F.split("text", " "), shared_folder(spark, "test-index"))
     terms = spark.createDataFrame([(1, "a", 1)], "query_id long, term string, qtf long")
     assert index.n_docs == 0 and postings.search(spark, index, terms).top.count() == 0
+
+
+def test_hits_stay_with_their_shards(spark, corpus):
+    """Documents' scores are summed where their blocks are, and the index holds its postings once."""
+    _, index = corpus
+    terms = lexical.query_terms(spark.createDataFrame(QUERIES, "query_id long, text string"), F.split("text", " "))
+    plan = postings.search(spark, index, terms, 10).top._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"hashpartitioning\(shard", plan) and not re.search(r"hashpartitioning\([^)]*doc", plan)
+    fs, where = open_folder(index.path)
+    assert {f.base_name for f in fs.get_file_info(FileSelector(where))} == {"blocks", "places", "index.json"}
