@@ -72,3 +72,39 @@ def test_hits_of_queries_are_not_shuffled(spark):
     post = lexical.postings(docs, "id", F.col("t"), terms)
     plan = lexical.bm25(post, "id", terms, dl=lexical.text_lengths(docs, "id", F.col("t")))._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(query_id" not in plan
+
+
+def test_sparse_channels_and_pairs_come_to_the_items(spark):
+    """With more rows than are sent to tasks, channels are dealt by item and pairs of queries are scored in one row."""
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        d = "/root/testdata/sf0.001"
+        channels = QUERIES["k2_channel_rows"](spark, d)._jdf.queryExecution().executedPlan().toString()
+        paired = QUERIES["k14_pairs_hm"](spark, d)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    for plan in (channels, paired):  # the plan's top, down to the scores, has neither an exchange nor a join
+        assert not any(x in plan[: plan.index("MapInArrow")] for x in ("Exchange", "Join"))
+
+
+def test_pairs_of_parts_of_a_video(spark, monkeypatch):
+    """A video cut into parts gives the windows' values, across the cuts too."""
+    from pyspark.sql import functions as F
+
+    from keymoment.operators import fusion, vector
+
+    r = np.random.default_rng(4)
+    items = spark.createDataFrame([(i, f"V{i % 2}", i // 2 + 1, [float(x) for x in r.normal(0, 1, 4)]) for i in range(60)], "gid long, video_id string, n long, v array<double>").repartition(3)
+    queries = spark.createDataFrame([(q, [float(x) for x in r.normal(0, 1, 4)], [float(x) for x in r.normal(0, 1, 4)]) for q in range(3)], "query_id long, qv array<double>, qw array<double>")
+    monkeypatch.setattr(fusion, "PART", 7)
+    both = vector.products(items, queries, "v", {"a": "qv", "b": "qw"}).withColumns({c: F.greatest(c, F.lit(0.0)) for c in "ab"})
+    for how in ("hm", "product", "a"):
+        want = fusion.pair_score(both, ["query_id", "video_id"], "n", "a", "b", 5, how).select("query_id", "gid", "paired")
+        assert sorted(fusion.pair_scores(items, queries, 5, how).collect()) == sorted(want.collect())
+
+
+def test_queries_that_share_hits(spark):
+    """A provider's hits of a group of queries are not made for each query of it."""
+    plan = QUERIES["q2_hit_provider"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "_m" in plan
