@@ -11,9 +11,10 @@ of MIN_RUN + REACH - 1 words or more is always found, a shorter one of MIN_RUN w
 edge of a repeat stay. In a run of one word or of a short cycle neighbouring marks are equal and count as one.
 
 Of each class of equal marks or lines and each cluster of similar lines the occurrences in the smallest doc_id stay and those in other
-documents go. Repeats within a document alone are left. Map tasks settle what they can: of a class, only the occurrences in the
-task's smallest doc_id are shuffled, the others are known repeats already, so a passage of any frequency leaves
-a task once. Offsets are of bytes in UTF-8.
+documents go. Repeats within a document alone are left. Map tasks settle what they can, SETTLE occurrences at a time: of a class, only
+those in the smallest doc_id among them are shuffled, the others are known repeats already, so a passage of any frequency leaves
+a task once for each SETTLE. What a task holds and gives out at once is bounded by SETTLE and PACK, not by the batches it gets.
+Offsets are of bytes in UTF-8.
 
 Defined cases: null or empty text has no paragraphs; a null doc_id is neither compared nor cut; rows that repeat a doc_id are
 one document (they don't repeat each other, and spans of either are cut from both); ties don't arise, as ids that are equal are one
@@ -41,6 +42,7 @@ from .words import SHINGLE, mix, powers, shingles, text_buffers, words_of
 
 MIN_WORDS, MIN_RUN, REACH = 20, 20, 7
 THRESHOLD, RECALL, ROWS = 0.8, 0.99, 3
+SETTLE, PACK = 1 << 19, 1 << 18
 _NEWLINE = 10
 
 
@@ -111,21 +113,43 @@ def _groups(batch: pa.RecordBatch) -> Iterator[_Group]:
             yield _Group(i, at, starts, ends, h, offsets, data, ids)
 
 
-def _settle(cls: np.ndarray, doc: np.ndarray, *rest: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Occurrences in order of class, split into those in the class's smallest document and the repeats; that document comes last."""
+def _settle(cls: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(numbers of the occurrences in their class's smallest document, numbers of the repeats, that document for each repeat)."""
     order = np.lexsort((doc, cls))
-    own = [x[order] for x in (cls, doc, *rest)]
-    first = np.concatenate([[True], own[0][1:] != own[0][:-1]]) if len(cls) else np.zeros(0, bool)
-    low = own[1][np.flatnonzero(first)][np.cumsum(first) - 1] if len(cls) else own[1]
-    stay = own[1] == low
-    own.append(low)
-    return [x[stay] for x in own], [x[~stay] for x in own]
+    if not len(order):
+        return order, order, doc
+    cls, doc = cls[order], doc[order]
+    first = np.concatenate([[True], cls[1:] != cls[:-1]])
+    low = doc[first][np.cumsum(first) - 1]
+    stay = doc == low
+    return order[stay], order[~stay], low[~stay]
 
 
-_FIELDS = (("cls", "<u8"), ("doc", "<i8"), ("place", "<i8"), ("start", "<i8"), ("size", "<u4"), ("words", "<u4"), ("low", "<i8"))
+#: place is the number of the first word in its document; a text has less than 2 GB, so places and offsets fit in 32 bits.
+_FIELDS = (("cls", "<u8"), ("doc", "<i8"), ("place", "<u4"), ("start", "<u4"), ("size", "<u4"), ("words", "<u4"), ("low", "<i8"))
 _NAMES = [n for n, _ in _FIELDS]
 _SCHEMA = "bucket int, " + ", ".join(f"{n} binary" for n in _NAMES)
-# place is the number of the first word in its document
+_OWN, _KNOWN = _NAMES[:-1], ["key", *_NAMES[1:]]  # packed columns of occurrences in the smallest document, whose low is their doc, and of repeats
+
+
+def _packed(pack: Packer, columns: list[np.ndarray], at: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Packs the rows at of columns step by step, so that no batch has many more than PACK."""
+    for i in range(0, len(at), step := PACK // 4):
+        yield from pack.add(*(c[at[i : i + step]] for c in columns))
+
+
+def _repeats(pack: Packer, spans: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Packs spans (doc, place, start, size, words, low) by document."""
+    yield from _packed(pack, [mix(spans[0].view(np.uint64)), *spans], np.arange(len(spans[0])))
+
+
+def _rows(batch: pa.RecordBatch, kind: int | None = None) -> pa.RecordBatch:
+    """A packed batch with the columns of _SCHEMA, empty where it has none, and its kind before them if one is given."""
+    none = pa.array([b""] * batch.num_rows, pa.binary())
+    columns = {"bucket": batch.column("bucket")} | {n: batch.column(n) if n in batch.schema.names else none for n in _NAMES}
+    if kind is not None:
+        columns = {"kind": pa.array(np.full(batch.num_rows, kind, np.int32))} | columns
+    return pa.RecordBatch.from_pydict(columns)
 
 
 def _joined(doc: np.ndarray, place: np.ndarray, start: np.ndarray, size: np.ndarray, words: np.ndarray, low: np.ndarray) -> list[np.ndarray]:
@@ -147,61 +171,54 @@ def exact_repeats(docs: DataFrame) -> DataFrame:
     """Packed rows of the occurrences of marks and lines outside the smallest document of their class, bucketed by document."""
     buckets = bucket_count(docs)
 
-    def split(own: list[np.ndarray], gone: list[np.ndarray], out: Packer, known: Packer) -> Iterator[tuple[int, pa.RecordBatch]]:
-        yield from ((0, x) for x in out.add(*own)) if out else ()
-        if len(gone[0]):
-            gone = _joined(*gone[1:])
-            yield from ((1, x) for x in known.add(mix(gone[0].view(np.uint64)), np.zeros(len(gone[0]), np.uint64), *gone))
-
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, known = Packer(_NAMES, buckets), Packer(["key", *_NAMES], buckets)
-        held: list[tuple[np.ndarray, ...]] = []
+        out, known = Packer(_OWN, buckets, PACK), Packer(_KNOWN, buckets, PACK)
+        held: list[list[np.ndarray]] = [[] for _ in _OWN]
         n = 0
 
         def settle() -> Iterator[pa.RecordBatch]:
-            own, gone = _settle(*(np.concatenate(x) for x in zip(*held, strict=True)))
-            for kind, x in split(own, gone, out, known):
-                yield _kind(x, kind)
+            columns = []
+            for parts in held:
+                columns.append(np.concatenate(parts))
+                parts.clear()
+            stay, gone, low = _settle(*columns[:2])
+            yield from (_rows(x, 0) for x in _packed(out, columns, stay))
+            if len(gone):
+                spans = _joined(*(c[gone] for c in columns[1:]), low)
+                del columns, stay, gone, low
+                yield from (_rows(x, 1) for x in _repeats(known, spans))
 
         for batch in batches:
             for g in _groups(batch):
                 a, b = g.long_lines()
                 for a, b, names in (g.marks(), (a, b, _window_names(g.h, a, b) ^ np.uint64(0x5851F42D4C957F2D))):
-                    held.append((names, g.ids[a], g.place(a), g.starts[a], (g.ends[b - 1] - g.starts[a]).astype(np.uint32), (b - a).astype(np.uint32)))
+                    for parts, x, (_, kind) in zip(held, (names, g.ids[a], g.place(a), g.starts[a], g.ends[b - 1] - g.starts[a], b - a), _FIELDS[:-1], strict=True):
+                        parts.append(x.astype(kind))
                     n += len(a)
-            if n > 1 << 20:
-                yield from settle()
-                held, n = [], 0
-        if held:
+                if n >= SETTLE:
+                    yield from settle()
+                    n = 0
+        if n:
             yield from settle()
         for kind, pack in ((0, out), (1, known)):
-            yield from (_kind(x, kind) for x in pack.flush())
+            yield from (_rows(x, kind) for x in pack.flush())
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Packer(["key", *_NAMES], buckets)
+        known = Packer(_KNOWN, buckets, PACK)
         for _, rows in runs(batches, "bucket"):
             mine = [r for r in (r.filter(pc.equal(r.column(0), 0)) for r in rows) if r.num_rows]
             for r in rows:
                 yield r.filter(pc.equal(r.column(0), 1)).drop_columns("kind")
             if mine:
-                _, gone = _settle(*(unpack(mine, n, t) for n, t in _FIELDS[:-1]))
-                if len(gone[0]):
-                    gone = _joined(*gone[1:])
-                    for x in known.add(mix(gone[0].view(np.uint64)), np.zeros(len(gone[0]), np.uint64), *gone):
-                        yield x.drop_columns("key")
-        for x in known.flush():
-            yield x.drop_columns("key")
+                _, gone, low = _settle(unpack(mine, "cls", "<u8"), unpack(mine, "doc", "<i8"))
+                if len(gone):
+                    yield from (_rows(x) for x in _repeats(known, _joined(*(unpack(mine, n, t)[gone] for n, t in _FIELDS[1:-1]), low)))
+        yield from (_rows(x) for x in known.flush())
 
     packed = docs.where("doc_id is not null and text is not null").select("doc_id", "text").mapInArrow(lean(cut), f"kind int, {_SCHEMA}")
     return by_bucket(packed).mapInArrow(lean(meet), _SCHEMA)
 
 
-def _kind(batch: pa.RecordBatch, kind: int) -> pa.RecordBatch:
-    if "key" in batch.schema.names:
-        batch = batch.drop_columns("key")
-    return pa.RecordBatch.from_arrays([pa.array(np.full(batch.num_rows, kind, np.int32)), *batch.columns], names=["kind", *batch.schema.names])
-
-
 def _window_names(h: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """A 64-bit name of each word sequence h[a:b]."""
     up, down = powers(len(h) + 1)
@@ -290,13 +307,11 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     buckets = bucket_count(docs)
 
     def pack_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = Packer(["key", *_NAMES], buckets)
+        pack = Packer(_KNOWN, buckets, PACK)
         for batch in batches:
-            d, place, start, size, words, low = (batch.column(k).to_numpy() for k in range(6))
-            for x in pack.add(mix(d.view(np.uint64)), np.zeros(len(d), np.uint64), d, place, start, size.astype(np.uint32), words.astype(np.uint32), low):
-                yield x.drop_columns("key")
-        for x in pack.flush():
-            yield x.drop_columns("key")
+            spans = [batch.column(k).to_numpy().astype(t) for k, (_, t) in enumerate(_FIELDS[1:])]
+            yield from (_rows(x) for x in _repeats(pack, spans))
+        yield from (_rows(x) for x in pack.flush())
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in runs(batches, "bucket"):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import time
+import tracemalloc
 import re
 
 import numpy as np
@@ -226,6 +227,62 @@ def test_repetitive_passages_in_the_middle_of_lines(spark):
         assert {r["doc_id"]: r["also_in"] for r in passages.repeated_passages(frame(spark, texts)).collect()} == {i: i - 1 for i, _ in texts if i % 2}
 
 
+def repeat_tasks(docs, monkeypatch) -> list:
+    """The two tasks of exact_repeats, to be run here."""
+    tasks, kind = [], type(docs)
+    real = kind.mapInArrow
+    with monkeypatch.context() as m:
+        m.setattr(kind, "mapInArrow", lambda self, f, schema, *a, **b: tasks.append(f) or real(self, f, schema, *a, **b))
+        passages.exact_repeats(docs)
+    return tasks
+
+
+def test_memory_of_tasks_that_find_repeats(spark, monkeypatch):
+    rng = np.random.default_rng(13)
+    vocabulary = np.array([w[:3] for w in VOCABULARY])
+    texts = [" ".join(vocabulary[rng.integers(0, len(vocabulary), 600)]) for _ in range(10_000)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(10_000), pa.int64()), "text": pa.array(texts)})
+    cut, meet = repeat_tasks(frame(spark, []), monkeypatch)
+    words.powers(words.PIECE + 1024)
+    tracemalloc.start()
+    try:
+        before, largest, packed = tracemalloc.get_traced_memory()[0], 0, []
+        for x in cut(iter([batch])):
+            largest = max(largest, x.nbytes)
+            if len(packed) < 4:
+                packed.append(x)
+        peak = tracemalloc.get_traced_memory()[1] - before
+    finally:
+        tracemalloc.stop()
+    assert sum(x.num_rows for x in packed) and largest < 16_000_000 and peak < 130_000_000, (largest, peak)
+
+
+def test_repeats_settled_in_small_steps(spark, monkeypatch):
+    rng = random.Random(14)
+    shared = [prose(30, rng) for _ in range(5)]
+    texts = [f"{prose(rng.randrange(60), rng)} {rng.choice(shared)} {prose(40, rng)}\n{rng.choice(shared)}" for _ in range(60)]
+    cut, meet = repeat_tasks(frame(spark, []), monkeypatch)
+    batches = [pa.RecordBatch.from_pydict({"doc_id": pa.array(range(a, a + 20), pa.int64()), "text": pa.array(texts[a : a + 20])}) for a in (40, 0, 20)]
+    monkeypatch.setattr(words, "PIECE", 2000)  # groups of a few documents
+    found = []
+    for settle, pack in ((1 << 19, 1 << 18), (30, 8), (1, 4)):
+        monkeypatch.setattr(passages, "SETTLE", settle)
+        monkeypatch.setattr(passages, "PACK", pack)
+        packed = pa.Table.from_batches(cut(iter(batches))).sort_by("bucket").to_batches()
+        rows = list(meet(iter(packed)))
+        spans = passages._joined(*(passages.unpack(rows, n, t) for n, t in passages._FIELDS[1:]))
+        found.append({(d, a, n) for d, a, n in zip(*(spans[k].tolist() for k in (0, 2, 3)), strict=True)})
+        for d, a, low in zip(*(spans[k].tolist() for k in (0, 2, 5)), strict=True):
+            assert low < d and " ".join(texts[d][a:].split()[:20]) in " ".join(texts[low].split())
+    assert found[0] and found[1] == found[0] and found[2] == found[0]
+    first = {x: min(i for i, t in enumerate(texts) if x in t) for x in shared}
+    for d, t in enumerate(texts):
+        for x in shared:
+            if x in t and d != first[x]:
+                at = t.index(x)
+                assert sum(max(0, min(at + len(x), a + n) - max(at, a)) for e, a, n in found[0] if e == d) > len(x) // 2
+
+
 def test_marks_against_brute_force():
     rng = random.Random(12)
     for _ in range(60):
